@@ -5,10 +5,11 @@ r ~ Gamma(2, 1), c ~ Gamma(2, 1) and beta ~ U(0, 1) from its hash, t = floor(ln(
 a = c * exp(-r * (t + 1 - beta)); the sample is the (word, t) of the least a.  Two documents draw the same sample with
 the probability of their generalised Jaccard similarity (sum of least weights over sum of greatest).
 
-Gamma(2, 1) cut at a uniform point is two independent exponentials, so with E1 = -ln(u1) and E2 = -ln(u2) we take
-r = E1 + E2 and beta = E2 / r.  Then a = c * u1 * exp(-r * t), and t is 0 for a word met once: such a word, the
-usual case, costs one logarithm a seed.  a and 23 bits of (word, t) are packed into one long, so each seed is a plain
-``min`` with partial aggregation.
+Gamma(2, 1) cut at a uniform point is two independent exponentials.  So c * (a uniform) and the rest of c are
+exponentials X1 and X2, and r * (1 - beta) = ln(c / X1), r * beta = E2 is an exponential, too: then
+a = X1 * exp(-r * t).  a is kept as 1 - exp(-a), which is a plain uniform number while t is 0; so a word met once, the
+usual case, costs one hash a seed and no logarithm.  t is 0 while (w - 1) * X1 < X2.  40 bits of that number, which
+differs with t, and 23 bits of the word are packed into one long, so each seed is a plain ``min`` with partial aggregation.
 
 The next document comes from ranges of sorted ids: each range finds its own next ids, and one row a range bridges
 to the next range.
@@ -27,28 +28,32 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, documents, written
 
-SAMPLES = 64
+SAMPLES = 48
 _UNIT = "2.3283064365386963e-10D"  # 2 ** -32
+_STEP = "9.094947017729282e-13D"  # 2 ** -40
 
 
 def _draw(seed: int) -> str:
     """SQL for one seed's packed (a, word, t) of a row (h, w)."""
-    x, y = f"xxhash64(h, {2 * seed})", f"xxhash64(h, {2 * seed + 1})"
-    high = lambda v: f"((shiftrightunsigned({v}, 32) + 0.5D) * {_UNIT})"
-    low = lambda v: f"((({v} & 4294967295L) + 0.5D) * {_UNIT})"
-    c, u1, r = f"(-ln({high(y)} * {low(y)}))", high(x), f"(-ln({high(x)} * {low(x)}))"
-    t = f"floor((ln(w) - ln({low(x)})) / {r})"
-    pack = lambda a, t: f"(shiftleft(cast({a} * 17179869184D as bigint), 23) | ((h + {t} * 2654435761L) & 8388607L))"
-    return f"case when w = 1 then {pack(f'{c} * {u1}', '0L')} else {pack(f'{c} * {u1} * exp(-{r} * {t})', t)} end"
+    q, y = f"shiftrightunsigned(xxhash64(h, {seed}), 24)", f"xxhash64(h, {seed}, 1)"
+    u2 = f"((({y} & 4294967295L) + 0.5D) * {_UNIT})"
+    x1, x2, e2 = f"(-log1p(-({q} + 0.5D) * {_STEP}))", f"(-ln((shiftrightunsigned({y}, 32) + 0.5D) * {_UNIT}))", f"(-ln({u2}))"
+    # r * t = z - z % r with z = ln(w) + E2, and exp(-z) = u2 / w: each logarithm is written as seldom as can be.
+    a = f"({x1} * exp((lw + {e2}) % (log1p({x2} / {x1}) + {e2})) * {u2} / w)"
+    return f"shiftleft(case when w = 1 then {q} when (w - 1) * {x1} < {x2} then {q} else cast(-expm1(-{a}) / {_STEP} as bigint) end, 23) | (h & 8388607L)"
 
 
 def with_terms(rows: DataFrame, text: str) -> DataFrame:
-    """rows with one row for each distinct word of the text column (which goes): h, its hash, and w, its count."""
+    """rows with one row for each distinct word of the text column (which goes): h, its hash, w, its count, and
+    lw, the count's logarithm."""
     keep = [c for c in rows.columns if c != text]
-    rows = rows.withColumn("__s", F.expr(f"sort_array(transform(filter(split({text}, r'[\\x20\\x09-\\x0D]+'), x -> x <> ''), x -> xxhash64(x)))")).drop(text)
+    spaced = text
+    for space in (9, 10, 11, 12, 13):
+        spaced = f"replace({spaced}, char({space}), ' ')"
+    rows = rows.withColumn("__s", F.expr(f"sort_array(transform(array_remove(split({spaced}, ' '), ''), x -> xxhash64(x)))")).drop(text)
     rows = rows.withColumn("__p", F.expr("case when size(__s) > 0 then filter(sequence(0, size(__s) - 1), i -> i = 0 or __s[i] <> __s[i - 1]) else array() end"))
     rows = rows.withColumn("__t", F.expr("transform(__p, (p, j) -> struct(__s[p] as h, coalesce(get(__p, j + 1), size(__s)) - p as w))"))
-    return rows.select(*keep, F.explode_outer("__t").alias("__x")).select(*keep, F.col("__x.h").alias("h"), F.col("__x.w").cast("long").alias("w"))
+    return rows.select(*keep, F.explode_outer("__t").alias("__x")).select(*keep, F.col("__x.h").alias("h"), F.col("__x.w").cast("long").alias("w"), F.ln("__x.w").alias("lw"))
 
 
 def sample(rows: DataFrame, text: str, samples: int = SAMPLES) -> DataFrame:
