@@ -1,6 +1,6 @@
 """Toxicity by subword bags averaged into a linear softmax.
 
-A text is read in segments of ``WORDS`` words; a segment is the mean of its words' character n-gram vectors, so a
+A text is read as its different words, in order, in segments of ``WORDS``; a segment is the mean of its words' character n-gram vectors, so a
 misspelling shares most n-grams with its word.  A text's score is that of its most toxic segment, calibrated: a few
 insults in a long text are not averaged away.  Labels are of whole texts, so after a first pass over all segments,
 each round trains on the segments of toxic texts that the last model ranks first, on the likeliest and some other
@@ -23,31 +23,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, utf8_rows, word_spans
+from .common import LOWER, documents, utf8_rows, word_hashes, word_spans
 from .subword import grams, train
 
-SAMPLE = 700
+SAMPLE = 1500
 FIT_BYTES = 12_000
 BUCKETS, DIM = 1 << 15, 8
 WORDS = 8
+LEAST = 30
 ROUNDS = 2
 
 
+def distinct_words(buf: np.ndarray) -> np.ndarray:
+    """The text with spaces in place of each word (A-Z lower-cased) that it has had before."""
+    low = LOWER[buf]
+    starts, ends = word_spans(low)
+    _, first = np.unique(word_hashes(low, starts, ends), return_index=True)
+    if len(first) == len(starts):
+        return low
+    edge = np.zeros(len(low) + 1, dtype=np.int8)
+    edge[starts[first]] += 1
+    edge[ends[first]] -= 1
+    return np.where(np.cumsum(edge[:-1]) > 0, low, 32).astype(np.uint8)
+
+
 def segments(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every run of WORDS words."""
+    """Start and end of every run of WORDS words; a rest of fewer than half as many joins the run before it."""
     starts, ends = word_spans(buf)
+    if not len(starts):
+        return starts, ends
     first = np.arange(0, len(starts), WORDS)
-    return starts[first], ends[np.minimum(first + WORDS, len(starts)) - 1] if len(starts) else ends
+    if len(first) > 1 and len(starts) - first[-1] < WORDS // 2:
+        first = first[:-1]
+    return starts[first], ends[np.append(first[1:], len(starts)) - 1]
 
 
 def segment_logits(buf: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
+    """Of a text of distinct words.  A segment with few n-grams counts as padded with neutral ones."""
     starts, _ = segments(buf)
     if not len(starts):
         return np.array([bias])
     at, ids = grams(buf, BUCKETS)
     which = np.searchsorted(starts, at, side="right") - 1
     n = np.bincount(which, minlength=len(starts))
-    return np.bincount(which, weights=table[ids], minlength=len(starts)) / np.maximum(n, 1) + bias
+    return np.bincount(which, weights=table[ids], minlength=len(starts)) / np.maximum(n, LEAST) + bias
 
 
 def misspell(text: bytes, rng: np.random.Generator) -> bytes:
@@ -86,7 +105,7 @@ def fit(labelled: DataFrame, seed: int = 11) -> dict:
     if not picked[0] or not picked[1]:
         return {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0, "a": 0.0, "b": float(np.log((share or 1e-6) / max(1e-6, 1 - (share or 0))))}
     rng = np.random.default_rng(seed)
-    texts = [(r["y"], np.frombuffer(r["text"].encode(), dtype=np.uint8)) for part in picked for r in part]
+    texts = [(r["y"], distinct_words(np.frombuffer(r["text"].encode(), dtype=np.uint8))) for part in picked for r in part]
     held = rng.random(len(texts)) < 0.25
     pieces = [(y, [buf[a:b].tobytes() for a, b in zip(*segments(buf), strict=True)]) for y, buf in texts]
     bag = lambda t: grams(np.frombuffer(t, dtype=np.uint8), BUCKETS)[1].astype(np.int32)
@@ -126,7 +145,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.array([segment_logits(empty if buf is None else buf, model["table"], model["bias"]).max() for buf in utf8_rows(batch.column(at))])
+            z = np.array([segment_logits(distinct_words(empty if buf is None else buf), model["table"], model["bias"]).max() for buf in utf8_rows(batch.column(at))])
             p = 1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -30, 30)))
             yield pa.record_batch([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
