@@ -61,13 +61,13 @@ def sample(rows: DataFrame, text: str, samples: int = SAMPLES) -> DataFrame:
     null for a text without words."""
     keys = [c for c in rows.columns if c != text]
     drawn = with_terms(rows, text).groupBy(*keys).agg(*[F.min(F.expr(_draw(k))).alias(f"__m{k}") for k in range(samples)])
-    sig = F.array(*[F.expr(f"cast(xxhash64(__m{k}) & 4294967295L as bigint)") for k in range(samples)])
+    sig = F.array(*[F.expr(f"cast(shiftright(xxhash64(__m{k}), 32) as int)") for k in range(samples)])
     return drawn.select(*keys, F.when(F.col("__m0").isNotNull(), sig).alias("sig"))
 
 
 def fingerprint(sig: Column, samples: int = SAMPLES) -> Column:
     """Eight hex digits a sample; zeros for a text without words."""
-    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x), 8, "0")), ""), F.lit("0" * 8 * samples))
+    return F.coalesce(F.array_join(F.transform(sig, lambda x: F.right(F.lpad(F.hex(x), 8, "0"), F.lit(8))), ""), F.lit("0" * 8 * samples))
 
 
 def likeness(a: str, b: str) -> Column:
