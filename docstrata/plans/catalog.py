@@ -2,5 +2,436 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.globs import any_match
+from ..operators import chunks as C
+from ..operators import convert as V
+from ..operators import retrieval as R
+from ..operators import routes
+from ..operators import store as S
+from ..streaming import ingest
+from .views import BM25, FUSED, SEM, V_DOCS, V_FILES, V_GOLDEN, read, v_conv, v_docs, v_files, v_golden
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+CUT = "2024-01-20 00:00:00"
+NOW = "2024-01-30 12:00:00"
+KEYS = ("logical_path", "version_id", "event_id")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def at(text: str):
+    return F.lit(text).cast("timestamp_ntz")
+
+
+# Versions.
+
+
+@query(f"with {V_FILES} select logical_path, version_id, event_id, size_bytes from cur")
+def current_files(spark: SparkSession, d: str) -> DataFrame:
+    return S.current(v_files(spark, d)).select(*KEYS, "size_bytes")
+
+
+@query(f"with {V_FILES} select logical_path, version_id, event_id from latest where tombstone")
+def tombstoned_paths(spark: SparkSession, d: str) -> DataFrame:
+    return S.tombstoned(v_files(spark, d)).select(*KEYS)
+
+
+@query(f"""with {V_FILES} select logical_path, version_id, event_id, r::int as ordinal,
+  not tombstone and sum((not tombstone)::int) over (partition by logical_path order by version_id desc, event_id desc rows unbounded preceding) = 1 as is_current from ranked""")
+def version_list(spark: SparkSession, d: str) -> DataFrame:
+    return S.version_list(v_files(spark, d)).select(*KEYS, "ordinal", "is_current")
+
+
+@query(f"""with {V_FILES}, past as (select *, row_number() over (partition by logical_path order by version_id desc, event_id desc) as q from v_files where version_id <= '2024-01-10')
+  select logical_path, version_id, event_id from past where q = 1 and not tombstone""")
+def as_of(spark: SparkSession, d: str) -> DataFrame:
+    return S.as_of(v_files(spark, d), at("2024-01-10 00:00:00")).select(*KEYS)
+
+
+@query(f"with {V_FILES} select logical_path, version_id from cur order by logical_path limit 50 offset 20")
+def list_page(spark: SparkSession, d: str) -> DataFrame:
+    return S.list_page(v_files(spark, d), 50, 20).select("logical_path", "version_id")
+
+
+@query(f"with {V_FILES} select logical_path, size_bytes from cur where starts_with(logical_path, 'click/')")
+def prefix_filter(spark: SparkSession, d: str) -> DataFrame:
+    return S.current(v_files(spark, d).filter(F.col("logical_path").startswith("click/"))).select("logical_path", "size_bytes")
+
+
+@query(f"with {V_FILES} select logical_path from cur where regexp_matches(logical_path, '^[^/]*/user-[^/]*[02468]\\.md$')")
+def glob_filter(spark: SparkSession, d: str) -> DataFrame:
+    return S.current(v_files(spark, d).filter(any_match(F.col("logical_path"), ["*/user-*[02468].md"], expand=False))).select("logical_path")
+
+
+@query(f"with {V_FILES} select logical_path, version_id from cur where refresh_frequency_sec is not null and timestamp '2024-01-30 12:00:00' > refreshed_at + to_seconds(refresh_frequency_sec)")
+def refresh_due(spark: SparkSession, d: str) -> DataFrame:
+    return S.refresh_due(v_files(spark, d), at(NOW)).select("logical_path", "version_id")
+
+
+@query(f"with {V_FILES} select logical_path, version_id, event_id from ranked where r > 1 and version_id < '{CUT}'")
+def prune_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return S.prunable(v_files(spark, d), at(CUT)).select(*KEYS)
+
+
+@query(f"with {V_FILES} select logical_path, version_id, event_id from ranked where r = 1 or version_id >= '{CUT}'")
+def prune_kept(spark: SparkSession, d: str) -> DataFrame:
+    return S.prune(v_files(spark, d), at(CUT)).select(*KEYS)
+
+
+# Statistics.
+
+
+@query(f"""with {V_FILES} select count_if(r = 1 and not tombstone) as current, count_if(r = 1 and tombstone) as tombstoned, count(*) as versions, count_if(r = 1) as paths,
+  coalesce(sum(size_bytes) filter (r = 1 and not tombstone), 0)::bigint as current_bytes, coalesce(sum(size_bytes), 0)::bigint as all_bytes from ranked""")
+def stats_counts(spark: SparkSession, d: str) -> DataFrame:
+    return S.stats_counts(v_files(spark, d))
+
+
+@query(f"with {V_FILES} select source_type, count(*) as n from cur group by 1")
+def stats_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return S.count_by(S.current(v_files(spark, d)), "source_type")
+
+
+@query(f"""with {V_FILES}, c as (select mime_type, count(*) as c from cur group by 1), q as (select *, row_number() over (order by c desc, mime_type) as q from c)
+  select case when q <= 10 then mime_type else '(other)' end as mime_type, sum(c)::bigint as n from q group by 1""")
+def stats_mime_topn_other(spark: SparkSession, d: str) -> DataFrame:
+    return S.top_and_other(S.current(v_files(spark, d)), "mime_type")
+
+
+@query(f"""with {V_FILES} select count(refresh_frequency_sec) as scheduled,
+  count_if(refresh_frequency_sec is not null and timestamp '2024-01-30 12:00:00' > refreshed_at + to_seconds(refresh_frequency_sec)) as due from cur""")
+def refresh_health(spark: SparkSession, d: str) -> DataFrame:
+    return S.refresh_health(v_files(spark, d), at(NOW))
+
+
+# Blobs and ingest.
+
+
+def _blobs(spark: SparkSession, d: str) -> DataFrame:
+    docs = v_docs(spark, d)
+    return S.new_blobs(docs.select("sha256", "size_bytes", F.concat(F.lit("text/"), F.coalesce("lang", F.lit("x"))).alias("mime_type"), F.encode("content", "UTF-8").alias("bytes")).orderBy("sha256", "mime_type"))
+
+
+@query(f"with {V_DOCS} select sha256, any_value(size_bytes)::bigint as size_bytes, count(*) as copies from v_docs group by 1")
+def blob_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return v_docs(spark, d).groupBy("sha256").agg(F.first("size_bytes").alias("size_bytes"), F.count("*").alias("copies"))
+
+
+@query(f"with {V_DOCS} select distinct sha256 from v_docs where sha256 not in (select sha256 from v_docs where doc_id % 3 <> 0)")
+def orphan_blobs(spark: SparkSession, d: str) -> DataFrame:
+    docs = v_docs(spark, d)
+    refs = docs.filter("doc_id % 3 <> 0").withColumnRenamed("sha256", "blob_sha256")  # versions of every third document are gone
+    return S.orphan_blobs(docs.select("sha256").distinct(), refs)
+
+
+@query(f"with {V_DOCS} select doc_id, case when lang = 'fr' then 'mime' else 'size' end as reason from v_docs where lang = 'fr' or size_bytes > 4000")
+def strip_candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = v_docs(spark, d).select("doc_id", "size_bytes", F.concat(F.lit("text/"), F.col("lang")).alias("mime_type"), F.col("content").alias("bytes"))
+    return S.strip_candidates(rows, 4000, ["text/fr"]).select("doc_id", "reason")
+
+
+def _edited(docs: DataFrame) -> DataFrame:
+    """A later state of the source: every seventh document is edited, every eleventh gone."""
+    sha = F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("sha256"))
+    return docs.filter("doc_id % 11 <> 0").select("doc_id", "logical_path", sha.alias("source_sha256"))
+
+
+@query(f"""with {V_DOCS} select logical_path, case when doc_id % 5 = 0 then 'new' when doc_id % 7 = 0 then 'changed' else 'unchanged' end as status from v_docs where doc_id % 11 <> 0""")
+def ingest_gate(spark: SparkSession, d: str) -> DataFrame:
+    docs = v_docs(spark, d)
+    known = docs.filter("doc_id % 5 <> 0").select("logical_path", F.col("sha256").alias("source_sha256"))
+    return S.ingest_gate(_edited(docs), known).select("logical_path", "status")
+
+
+@query(f"with {V_DOCS} select logical_path, timestamp '2024-01-30 12:00:00' as version_id, true as tombstone, 'source gone' as change_note from v_docs where doc_id % 11 = 0")
+def sync_tombstones(spark: SparkSession, d: str) -> DataFrame:
+    docs = v_docs(spark, d)
+    return S.sync(docs, _edited(docs), at(NOW))
+
+
+@query(f"""with {V_DOCS}, m as (select logical_path, 'moved/' || logical_path as new_path, sha256 from v_docs where doc_id % 9 = 0)
+  select new_path as logical_path, false as tombstone, sha256 from m union all select logical_path, true, sha256 from m""")
+def move_paths(spark: SparkSession, d: str) -> DataFrame:
+    docs = v_docs(spark, d).withColumn("version_id", at(CUT)).withColumn("tombstone", F.lit(False))
+    renames = docs.filter("doc_id % 9 = 0").select(F.col("logical_path").alias("old_path"), F.concat(F.lit("moved/"), F.col("logical_path")).alias("new_path"))
+    return S.move(docs.select("logical_path", "version_id", "tombstone", "sha256"), renames, at(NOW)).select("logical_path", "tombstone", "sha256")
+
+
+# Paths and urls.
+
+
+@query(r"""select page_id, 'remotes/' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)', 1)) || '/' ||
+  case when p = '' then 'index' else p end as logical_path from (select *, trim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/') as p from pages)""")
+def url_paths(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", T.path_for_url(F.col("url")).alias("logical_path"))
+
+
+RULES = (routes.Rule("mobile", r"^https?://m\.(?<host>[^/]+)/"), routes.Rule("blog", r"^https?://blog\.(?<host>[^/]+)/(?<lang>[a-z]{2})/"), routes.Rule("secure", r"^https://(?<host>[^/]+)/"))
+
+
+@query(r"""select page_id, case when regexp_matches(url, '^https?://m\.([^/]+)/') then 'mobile' when regexp_matches(url, '^https?://blog\.([^/]+)/([a-z]{2})/') then 'blog'
+  when regexp_matches(url, '^https://([^/]+)/') then 'secure' end as rule, regexp_extract(url, '^https?://blog\.([^/]+)/([a-z]{2})/', 2) as lang from pages""")
+def route_urls(spark: SparkSession, d: str) -> DataFrame:
+    routes.validate(RULES)
+    url = F.col("url")
+    return read(spark, d, "pages").select("page_id", routes.route(url, RULES).alias("rule"), F.element_at(routes.variables(url, RULES[1]), "lang").alias("lang"))
+
+
+@query(r"""select page_id, rtrim(substr(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), '-') as slug from pages""")
+def slug_paths(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
+
+
+TREE = """tree as (select array_to_string(p[1:depth], '/') as node, depth, bool_or(len(p) = depth) as is_file, count(*) as files
+  from (select p, unnest(range(1, least(len(p), 6) + 1))::int as depth from (select list_filter(string_split(logical_path, '/'), lambda x: x <> '') as p from cur)) group by 1, 2)"""
+
+
+@query(f"with {V_FILES}, {TREE} select node, depth, is_file, files from tree")
+def path_tree(spark: SparkSession, d: str) -> DataFrame:
+    return S.path_tree(S.current(v_files(spark, d)))
+
+
+@query(f"""with {V_FILES}, {TREE}, t as (select *, case when depth = 1 then '' else regexp_replace(node, '/[^/]*$', '') end as parent from tree),
+  q as (select *, row_number() over (partition by parent order by node) as q, greatest(count(*) over (partition by parent) - 20, 0) as dropped from t)
+  select node, depth, is_file, files, parent, dropped from q where q <= 20""")
+def path_tree_truncated(spark: SparkSession, d: str) -> DataFrame:
+    return S.truncate_tree(S.path_tree(S.current(v_files(spark, d))))
+
+
+@query()
+def diff_versions(spark: SparkSession, d: str) -> DataFrame:
+    return S.diff_versions(v_conv(spark, d))
+
+
+# Texts.
+
+
+@query(f"""with {V_DOCS}, x as (select doc_id, logical_path, content, list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')[1:40] as l from v_docs)
+  select doc_id, coalesce(nullif(trim(regexp_extract(content, '(?m)^#+[ \\t]+([^\\n]+)$', 1)), '') || ' (' || logical_path || ')', logical_path || ' (application/octet-stream, ' || length(content) || ' chars)') as description from x""")
+def describe_docs(spark: SparkSession, d: str) -> DataFrame:
+    return v_docs(spark, d).select("doc_id", T.describe(F.col("logical_path"), F.lit("application/octet-stream"), F.col("content")).alias("description"))
+
+
+@query(f"with {V_DOCS} select doc_id, sha256(logical_path || chr(10) || lang || chr(10) || chr(10) || content) as sha from v_docs")
+def search_text(spark: SparkSession, d: str) -> DataFrame:
+    return v_docs(spark, d).select("doc_id", F.sha2(T.search_text(F.col("logical_path"), F.col("lang"), F.col("content")), 256).alias("sha"))
+
+
+@query("select doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) as lines from documents")
+def slice_lines(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", T.slice_lines(F.col("text"), 2, 3).alias("lines"))
+
+
+@query("""select item_id, array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3 and x not in ("""
+       + ", ".join(f"'{w}'" for w in T.STOPWORDS) + """))[1:1], ' ') as first_term, len(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3 and x not in ("""
+       + ", ".join(f"'{w}'" for w in T.STOPWORDS) + """)))) >= 10 as full_list from benchmark""")
+def snippet_terms(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "benchmark").withColumn("terms", T.snippet_terms(F.col("text")))
+    return rows.select("item_id", F.coalesce(F.get("terms", F.lit(0)), F.lit("")).alias("first_term"), (F.size("terms") >= 10).alias("full_list"))
+
+
+@query(r"""with x as (select doc_id, text, coalesce(nullif(strpos(lower(text), 'nd'), 0), 1) as p from documents),
+  y as (select *, greatest(p - 100, 1) as s from x), z as (select *, strpos(substr(text, s, 100), ' ') as g from y),
+  b as (select *, case when s > 1 and g > 0 then s + g else s end as b from z)
+  select doc_id, (case when b > 1 then '…' else '' end) || trim(substr(text, b, 300)) || (case when b + 300 <= length(text) then '…' else '' end) as snippet from b""")
+def snippets(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", T.make_snippet(F.col("text"), F.array(F.lit("nd"))).alias("snippet"))
+
+
+@query(r"""select doc_id, sha256(trim(regexp_replace(regexp_replace(translate(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(160) || '‘’“”–—', ' ''''""--'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) as sha from documents""")
+def docmd_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.sha2(T.normalize_docmd(F.col("text")), 256).alias("sha"))
+
+
+@query(r"""select page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', '', 'g')) as sha from pages""")
+def strip_html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", F.sha2(T.strip_html_blocks(F.col("html")), 256).alias("sha"))
+
+
+@query()
+def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", V.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query(f"with {V_DOCS} select logical_path, i::int as chunk_index, substr(content, i * 1800 + 1, 1800) as chunk_content from (select *, unnest(range(0, greatest(ceil(length(content) / 1800.0), 1)::int)) as i from v_docs)")
+def chunk_hard_cut(spark: SparkSession, d: str) -> DataFrame:
+    return C.hard_cut(v_docs(spark, d), 1800)
+
+
+@query(f"""with {V_DOCS}, c as (select logical_path, i::int as chunk_index, substr(content, i * 1800 + 1, 1800) as c from (select *, unnest(range(0, greatest(ceil(length(content) / 1800.0), 1)::int)) as i from v_docs)),
+  l as (select *, string_split(lag(c) over (partition by logical_path order by chunk_index), chr(10)) as b from c)
+  select logical_path, chunk_index, case when b is null then c else array_to_string(b[greatest(len(b) - 1, 1):len(b)], chr(10)) || chr(10) || c end as chunk_content from l""")
+def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return C.add_overlap(C.hard_cut(v_docs(spark, d), 1800))
+
+
+@query()
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    return C.chunk_documents(v_docs(spark, d))
+
+
+@query()
+def chunk_markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    pages = read(spark, d, "pages").select(T.path_for_url(F.col("url")).alias("logical_path"), V.html_to_markdown(F.col("html")).alias("content"))
+    return C.section_lines(pages).groupBy("logical_path", "section").agg(F.count("*").alias("lines"))
+
+
+# Retrieval.
+
+
+@query(f"with {V_GOLDEN}, {BM25} select query_id, key, score, rank::int as rank from kw where rank <= 10")
+def bm25_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    return R.bm25(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), v_golden(spark, d))
+
+
+@query(f"with golden as (select 0::bigint as query_id, 'thandha the ononed attion' as query), {BM25} select key, score, rank::int as rank from kw where rank <= 20")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    one = read(spark, d, "benchmark").limit(1).select(F.lit(0).cast("long").alias("query_id"), F.lit("thandha the ononed attion").alias("query"))
+    return R.bm25(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), one, 20).select("key", "score", "rank")
+
+
+@query(f"with {V_GOLDEN}, {SEM} select query_id, key, score, rank::int as rank from sem where rank <= 10")
+def semantic_topk_batch(spark: SparkSession, d: str) -> DataFrame:
+    return R.semantic(read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding"), v_golden(spark, d).select("query_id", "vector"))
+
+
+@query(f"with golden as (select vec_id as query_id, embedding as vector from embeddings where vec_id = (select min(vec_id) from embeddings)), {SEM} select key, score, rank::int as rank from sem where rank <= 20")
+def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    one = rows.orderBy("key").limit(1).select(F.col("key").alias("query_id"), F.col("embedding").alias("vector"))
+    return R.semantic(rows, one, 20).select("key", "score", "rank")
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    docs, vectors, g = read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding"), v_golden(spark, d)
+    return R.fuse(R.semantic(vectors, g.select("query_id", "vector"), 50), R.bm25(docs, g.select("query_id", "query"), 50), 0.6, depth=30)
+
+
+@query(f"with {V_GOLDEN}, {BM25}, {SEM}, {FUSED} select query_id, key, score, rank::int as rank from fused")
+def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d).select("query_id", "key", "score", "rank")
+
+
+DIVERSE = """diverse as (select * from (select *, row_number() over (partition by query_id order by many and within > 3, rank) as final_rank from (
+  select f.*, d.source || '/' || d.lang || '.md' as logical_path, d.text, row_number() over (partition by query_id, d.source, d.lang order by rank) as within, count(*) over (partition by query_id) > 10 as many
+  from fused f join documents d on d.doc_id = f.key)) where final_rank <= 10)"""
+
+
+@query(f"with {V_GOLDEN}, {BM25}, {SEM}, {FUSED}, {DIVERSE} select query_id, key, logical_path, final_rank::int as final_rank from diverse")
+def diversify(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat("source", F.lit("/"), "lang", F.lit(".md")).alias("logical_path"))
+    return R.diversify(docs.join(_fused(spark, d), "key"), 10).select("query_id", "key", "logical_path", "final_rank")
+
+
+@query(f"with {V_GOLDEN}, {BM25}, {SEM}, {FUSED}, {DIVERSE} select query_id, logical_path, key, final_rank::int as final_rank, score, semantic, keyword from diverse")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat("source", F.lit("/"), "lang", F.lit(".md")).alias("logical_path"), "text")
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    return R.search(docs, vectors, v_golden(spark, d)).drop("snippet")
+
+
+@query()
+def hybrid_search_snippets(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat("source", F.lit("/"), "lang", F.lit(".md")).alias("logical_path"), "text")
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+    return R.search(docs, vectors, v_golden(spark, d)).select("query_id", "key", "final_rank", "snippet")
+
+
+@query(f"""with {V_GOLDEN}, {BM25}, c as (select k.*, g.query, d.text from kw k join golden g using (query_id) join documents d on d.doc_id = k.key where rank <= 30),
+  q as (select *, list_distinct(list_filter(string_split_regex(lower(query), '[^a-z]+'), lambda x: x <> '')) as qt, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') as dt from c),
+  s as (select *, round(1 / (1 + exp(-(len(list_intersect(qt, dt)) / greatest(len(qt), 1) * 8 - 4))), 6) as rerank_score from q)
+  select query_id, key, rerank_score, (row_number() over (partition by query_id order by rerank_score desc, rank))::int as rerank_rank from s""")
+def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
+    docs, g = read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), v_golden(spark, d).select("query_id", "query")
+    hits = docs.join(F.broadcast(R.bm25(docs, g, 30)), "key").join(F.broadcast(g), "query_id")  # 30 hits a query
+    return R.rerank(hits).select("query_id", "key", "rerank_score", "rerank_rank")
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    docs, g = read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), v_golden(spark, d).select("query_id", "query")
+    expected = docs.join(F.broadcast(g), F.contains("text", "query")).groupBy("query_id").agg(F.min("key").alias("expected"))
+    golden = expected.withColumn("kind", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
+    return R.expected_rank(R.bm25(docs, g, 10), golden)
+
+
+@query(f"""with {V_GOLDEN}, {BM25}, e as (select query_id, min(doc_id) as expected from golden join documents on contains(text, query) group by 1),
+  r as (select e.query_id, case when e.query_id % 2 = 0 then 'even' else 'odd' end as kind, coalesce(min(k.rank), 0) as rank from e left join kw k on k.query_id = e.query_id and k.key = e.expected and k.rank <= 10 group by 1, 2)
+  select coalesce(kind, 'overall') as kind, count(*) as n, round(avg((rank between 1 and 1)::int), 6) as recall_1, round(avg((rank between 1 and 3)::int), 6) as recall_3,
+    round(avg((rank between 1 and 5)::int), 6) as recall_5, round(avg(case when rank > 0 then 1.0::double / rank else 0 end), 6) as mrr from r group by rollup(kind)""")
+def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return R.metrics(_ranked(spark, d))
+
+
+@query()
+def eval_gate(spark: SparkSession, d: str) -> DataFrame:
+    return R.gate(R.metrics(_ranked(spark, d)), {"recall_1": 0.90, "recall_3": 0.95, "mrr": 0.93})
+
+
+# Rendering.
+
+
+@query("""with x as (select o_orderkey, '---' || chr(10) || 'number: ' || o_orderkey || chr(10) || 'state: ' || o_orderstatus || chr(10) || '---' || chr(10) || chr(10) || '# Order ' || o_orderkey as head from orders),
+  c as (select l_orderkey, string_agg('### part ' || l_partkey || ' (' || l_linenumber || ')' || chr(10) || chr(10) || l_returnflag, chr(10) || chr(10) order by l_linenumber, l_partkey, l_returnflag) as body from lineitem group by 1)
+  select o_orderkey, head || coalesce(chr(10) || chr(10) || '## Comments' || chr(10) || chr(10) || body, '') as markdown from x left join c on o_orderkey = l_orderkey""")
+def issue_markdown(spark: SparkSession, d: str) -> DataFrame:
+    lines = read(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("f")).alias("x"))
+    grouped = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    comments = F.transform("x", lambda x: F.struct(F.concat(F.lit("part "), x["p"].cast("string")).alias("author"), x["n"].cast("string").alias("created_at"), x["f"].alias("body")))
+    rows = read(spark, d, "orders").join(grouped, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("comments", comments)
+    key = F.col("o_orderkey").cast("string")
+    return V.records_to_markdown(rows, {"number": key, "state": F.col("o_orderstatus")}, F.concat(F.lit("Order "), key), F.lit(""), F.col("comments")).select("o_orderkey", "markdown")
+
+
+@query("""with c as (select l_orderkey as doc, l_linenumber as r, l_partkey::varchar as a, l_returnflag as b from lineitem),
+  m as (select doc, min(r) as r0 from c group by 1)
+  select doc, string_agg('| ' || a || ' | ' || b || ' |' || case when r = r0 then chr(10) || '| --- | --- |' else '' end, chr(10) order by r) as markdown from c join m using (doc) group by 1 having count(*) = max(r) - min(r) + 1 and count(distinct r) = count(*)""")
+def cells_to_table(spark: SparkSession, d: str) -> DataFrame:
+    """Orders whose line numbers are a gapless run, each once."""
+    lines = read(spark, d, "lineitem")
+    one = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("k"), (F.max("l_linenumber") - F.min("l_linenumber") + 1).alias("span")).filter("n = k and n = span").select("l_orderkey")
+    lines = lines.join(one, "l_orderkey", "left_semi")
+    cell = lambda i, v: lines.select(F.col("l_orderkey").alias("doc"), F.lit("s").alias("sheet"), F.col("l_linenumber").cast("int").alias("row"), F.lit(i).alias("col"), v.cast("string").alias("value"))
+    return V.cells_to_table(cell(1, F.col("l_partkey")).unionByName(cell(2, F.col("l_returnflag")))).select("doc", "markdown")
+
+
+@query("""select conv_id as doc, string_agg('## Page ' || turn || chr(10) || chr(10) || trim(text), chr(10) || chr(10) order by turn, '## Page ' || turn || chr(10) || chr(10) || trim(text)) as markdown from conversations group by 1""")
+def pages_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return V.pages_to_markdown(read(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_no"), "text"))
+
+
+# Streaming.
+
+
+@query(f"with {V_FILES} select logical_path, version_id, event_id, size_bytes from cur")
+def stream_ingest_current(spark: SparkSession, d: str) -> DataFrame:
+    """events replayed as a stream of files into a store, and the store's current view."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-docstrata-")
+    where = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = read(spark, d, "events")
+    stream = spark.readStream.schema(source.schema).format("parquet").load(f"{d}/event[s].parquet")
+    run = ingest.append_stream(stream, f"{where}/store", f"{where}/checkpoint", lambda b: _as_files(b))
+    run.awaitTermination()
+    return ingest.current_from(spark, f"{where}/store").select(*KEYS, "size_bytes")
+
+
+def _as_files(batch: DataFrame) -> DataFrame:
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    path = F.concat(F.col("event_type"), F.lit("/user-"), F.col("user_id").cast("string"), F.lit(".md"))
+    return batch.withColumn("k", k).select(path.alias("logical_path"), F.col("ts").alias("version_id"), "event_id", (F.col("k") % 10 == 0).alias("tombstone"), F.floor(F.col("value") * 100).cast("long").alias("size_bytes"))
+
