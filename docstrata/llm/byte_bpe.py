@@ -19,6 +19,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,30 +46,49 @@ class Coder:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in vocabulary.splitlines() if line)}
         self.pattern = regex.compile(pattern)
         self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.bytes = [b""] * (max(ranks.values()) + 1)
+        tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.bytes[rank] = token
-        self.known: dict[str, list[int]] = {}
+            tokens[rank] = token
+        self.size = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.at = np.concatenate(([0], np.cumsum(self.size)[:-1]))
+        self.flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        self.known: dict[str, bytes] = {}
 
     def boundaries(self, text: str) -> list[int]:
         return [m.end() for m in self.pattern.finditer(text)]
 
-    def encode(self, pieces: list[str]) -> list[int]:
-        ids: list[int] = []
+    def encode(self, pieces: list[str]) -> bytes:
+        """The ids of the pieces, as the bytes of 32-bit integers."""
         known = self.known
-        for piece in pieces:
-            found = known.get(piece)
-            if found is None:
-                found = self.merge(piece)
-                if len(piece) <= 64:
-                    if len(known) >= CACHED:
-                        known.clear()
-                    known[piece] = found
-            ids += found
-        return ids
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        try:
+            return b"".join([known[p] for p in pieces])
+        except KeyError:
+            out = []
+            for piece in pieces:
+                found = known.get(piece)
+                if found is None:
+                    found = np.array(self.merge(piece), dtype=np.int32).tobytes()
+                    if len(piece) <= 64:
+                        if len(known) >= CACHED:
+                            known.clear()
+                        known[piece] = found
+                out.append(found)
+            return b"".join(out)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after the other."""
+        if not len(ids):
+            return np.zeros(0, np.uint8)
+        if ids.min() < 0 or ids.max() >= len(self.size):
+            raise ValueError("an id is outside the vocabulary")
+        size = self.size[ids]
+        shift = self.at[ids] - np.concatenate(([0], np.cumsum(size)[:-1]))
+        return self.flat[np.repeat(shift, size) + np.arange(int(size.sum()))]
+
+
+def id_arrays(rows: list[bytes]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), dtype=np.int32)))
 
 
 def coder(vocabulary: bytes, pattern: str) -> Coder:
@@ -121,11 +141,11 @@ def _encode_spans(vocabulary: bytes, pattern: str):
             ids = []
             for start, part, a, b, loose in zip(pdf["start"], pdf["part"], pdf["from"], pdf["to"], pdf["loose"], strict=True):
                 if loose:
-                    ids.append([])
+                    ids.append(np.zeros(0, np.int32))
                     continue
                 a, b = int(a) - start, (len(part) if pd.isna(b) else int(b) - start)
                 ends = [m.end() for m in own.pattern.finditer(part, a) if m.end() <= b]
-                ids.append(own.encode([part[i:j] for i, j in zip([a, *ends], ends, strict=False)]))
+                ids.append(np.frombuffer(own.encode([part[i:j] for i, j in zip([a, *ends], ends, strict=False)]), dtype=np.int32))
             yield pd.DataFrame({"key": pdf["key"], "no": pdf["no"], "start": pdf["start"], "loose": pdf["loose"], "part": pdf["part"].where(pdf["loose"], ""), "ids": ids})
 
     return run
@@ -142,7 +162,7 @@ def _whole(vocabulary: bytes, pattern: str):
                 text, size = "", 0
                 for p in sorted(parts, key=lambda p: p["no"]):
                     text = text[: p["start"]] + p["part"]
-                ids.append(own.encode(own.pattern.findall(text)))
+                ids.append(np.frombuffer(own.encode(own.pattern.findall(text)), dtype=np.int32))
             yield pd.DataFrame({"key": pdf["key"], "ids": ids})
 
     return run
@@ -160,8 +180,8 @@ def encode(docs: DataFrame, vocabulary: bytes, pattern: str, chunk: int = CHUNK,
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                ids = [own.encode(own.pattern.findall(t)) if t else [] for t in part.column(text_at).to_pylist()]
-                yield pa.record_batch([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
+                ids = [own.encode(own.pattern.findall(t)) if t else b"" for t in part.column(text_at).to_pylist()]
+                yield pa.record_batch([*part.columns, id_arrays(ids)], [*names, "ids"])
 
     size = F.coalesce(F.char_length("text"), F.lit(0))
     short = docs.filter(size <= chunk).mapInArrow(short_rows, schema)
@@ -195,7 +215,12 @@ def decode(rows: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                out = [own.decode(ids or []) for ids in part.column(at).to_pylist()]
+                ids = part.column(at)
+                if ids.flatten().null_count:
+                    raise ValueError("an id is null")
+                values = ids.values.to_numpy(zero_copy_only=False)
+                ends = ids.offsets.to_numpy()
+                out = [own.decode(values[a:b] if there else values[:0]).tobytes() for a, b, there in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
                 yield pa.record_batch([*part.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
     return rows.mapInArrow(run, schema)
