@@ -34,14 +34,15 @@ REJECT = 0.01
 def fit(labelled: DataFrame, seed: int = 5) -> dict | None:
     """labelled: (text, lang).  At most LANGUAGES languages, those with the most texts."""
     labelled = labelled.filter("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    langs = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    langs = list(counts)
     if not langs:
         return None
-    h = F.xxhash64("text", F.lit(seed))
-    # A first, distributed cut by hash keeps the sort small; the rank makes the sample exact.
-    ranked = labelled.filter(F.col("lang").isin(langs)).select("lang", h.alias("h"), F.substring("text", 1, FIT_BYTES).alias("text"))
-    ranked = ranked.withColumn("salt", F.pmod("h", F.lit(64))).withColumn("r", F.row_number().over(W.partitionBy("lang", "salt").orderBy("h", "text"))).filter(F.col("r") <= SAMPLE)
-    rows = ranked.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= SAMPLE).select("lang", "text").collect()
+    # A cut by hash at four times the sample's share keeps what is ranked bounded.
+    share = F.element_at(F.create_map(*[F.lit(x) for w, n in counts.items() for x in (w, min(1.0, 4 * SAMPLE / n))]), F.col("lang"))
+    few = labelled.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) <= share * (1 << 30))
+    few = few.select("lang", F.xxhash64("text", F.lit(seed), F.lit(1)).alias("h"), F.substring("text", 1, FIT_BYTES).alias("text"))
+    rows = few.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= SAMPLE).select("lang", "text").collect()
     langs = sorted(langs)
     rows.sort(key=lambda r: (r["lang"], r["text"]))
     bags = [grams(np.frombuffer(r["text"].encode(), dtype=np.uint8), BUCKETS, SIZES)[1] for r in rows]

@@ -14,6 +14,7 @@ import numpy as np
 from .common import IS_SPACE, LOWER, U64
 
 SIZES = (3, 4, 5)
+LEAST_STEPS = 250
 _CODE = ((np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(20)).astype(np.uint32)
 
 
@@ -80,7 +81,9 @@ class Model:
 
 
 def train(bags: Callable[[int], np.ndarray], y: np.ndarray, classes: int, buckets: int, dim: int, epochs: int, rate: float, seed: int, batch: int = 32, weight: np.ndarray | None = None) -> Model:
-    """bags(i) gives row i's buckets; the rate falls to zero along the epochs."""
+    """bags(i) gives row i's buckets; the rate falls to zero along the epochs.  Few rows get more epochs, for
+    LEAST_STEPS steps at least."""
+    epochs = max(epochs, -(-LEAST_STEPS * batch // max(1, len(y))))
     model, rng = Model(buckets, dim, classes, seed), np.random.default_rng(seed)
     weight = np.ones(len(y)) if weight is None else weight
     total, done = max(1, epochs * ((len(y) + batch - 1) // batch)), 0
