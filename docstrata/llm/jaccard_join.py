@@ -41,6 +41,7 @@ BAND = 1.5
 FAN = 8
 BLOCK = 1024
 BROADCAST_ROWS = 500_000  # of 16 bytes each
+FILTER_WORDS = 1 << 19  # 64-bit words of the key filter: 4 MB at any input size
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -209,11 +210,23 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n_shingles long")
 
 
-def key_table(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(key, node) of step 1.  A task deals a set once, however many copies of it the task reads."""
+def key_filter(shared: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the bit of each shared key set.  It lets every shared key through, and the fewer
+    others the fewer bits are set; it only saves shuffling, the join on keys decides."""
+    bits = shared.groupBy(F.expr(f"cast(key & {FILTER_WORDS - 1} as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 58) as int))")).alias("b")).toArrow()
+    out = np.zeros(FILTER_WORDS, dtype=U64)
+    out[bits["w"].to_numpy()] = bits["b"].to_numpy().view(U64)
+    return out
+
+
+def key_table(docs: DataFrame, size: int, num: int, den: int, only: np.ndarray | None = None) -> DataFrame:
+    """(key, node) of step 1, of the keys that a key filter lets through.  A task deals a set once, however many
+    copies of it the task reads."""
+    passed = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        bits = None if passed is None else passed.value
         for batch in batches:
             keys, nodes = [], []
             for buf in utf8_rows(batch.column(0)):
@@ -223,6 +236,8 @@ def key_table(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 if len(seen) < 1 << 20:
                     seen.add(h)
                 k = deal_keys(s, num, den)
+                if bits is not None:
+                    k = k[(bits[(k & U64(FILTER_WORDS - 1)).astype(np.int64)] >> (k >> U64(58))) & U64(1) == U64(1)]
                 keys.append(k)
                 nodes.append(np.full(len(k), h, dtype=np.int64))
             if keys:
@@ -253,7 +268,8 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, size: int, num: int, den: in
     """Links (a, b) between set hashes that join just the sets which a chain of similarities num/den joins."""
     keys = key_table(docs, size, num, den)
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
-    star = keys.join(shared, "key").filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    shared = written(shared, "keys")
+    star = key_table(docs, size, num, den, key_filter(shared)).join(shared, "key").filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     forest = components(star)
     reps = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sizes = forest.groupBy("component").agg(F.count("*").alias("members")).select("component", F.ceil(F.col("members") / block).cast("int").alias("blocks"), "members")
@@ -288,7 +304,8 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> Dat
     """The rows of docs whose doc_id is the least of its group of near copies; all their columns."""
     label = near_duplicate_components(docs, size, num, den)
     gone = label.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = written(gone, "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
