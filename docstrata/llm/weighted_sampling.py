@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, documents, written
 
 SAMPLES = 48
+NO_ID = -(1 << 63)  # stands for null inside the job
 _UNIT = "2.3283064365386963e-10D"  # 2 ** -32
 _STEP = "9.094947017729282e-13D"  # 2 ** -40
 
@@ -78,7 +79,7 @@ def likeness(a: str, b: str) -> Column:
 
 def next_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, next_id, n_chars) for each different id, in ascending order, the last followed by the first."""
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
+    ids = docs.filter(F.col("doc_id") != NO_ID).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
     ids = checkpoint(ids.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
     ends = ids.groupBy("range").agg(F.min("doc_id").alias("least"))
     whole = W.orderBy("range")
@@ -89,7 +90,8 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Ids without nulls, so that both joins below share one shuffle of the texts.
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     following = checkpoint(next_ids(docs.select("doc_id", F.char_length("text").alias("n_chars"))))
     wanted = following.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
     heads = docs.join(wanted, "doc_id").groupBy("prev_id").agg(F.min(F.expr("left(text, take)")).alias("head"))
@@ -103,10 +105,10 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     drawn = sample(rows.select("doc_id", "n_chars", "edited_sha256", "same", F.col("x.v").alias("v"), F.col("x.t").alias("t")), "t", samples)
     pick = lambda v: F.first(F.when(F.col("v") == v, F.col("sig")), ignorenulls=True)
     both = written(drawn.groupBy("doc_id", "n_chars", "edited_sha256", "same").agg(pick(0).alias("sig"), pick(1).alias("edited_sig")), "fingerprints")
-    least = both.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by("sig", "same").alias("next_sig")).withColumnRenamed("doc_id", "next_id")
+    least = both.filter(F.col("doc_id") != NO_ID).groupBy("doc_id").agg(F.min_by("sig", "same").alias("next_sig")).withColumnRenamed("doc_id", "next_id")
     linked = following.select("doc_id", "next_id").join(least, "next_id", "left").withColumn("linked", F.lit(True))
     return both.join(linked, "doc_id", "left").select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sig"), samples).alias("fingerprint"), fingerprint(F.col("edited_sig"), samples).alias("edited_fingerprint"),
+        F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("sig"), samples).alias("fingerprint"), fingerprint(F.col("edited_sig"), samples).alias("edited_fingerprint"),
         likeness("sig", "edited_sig").alias("near_edited"), F.when(F.col("linked"), likeness("sig", "next_sig")).alias("near_next"),
     )
 
