@@ -142,13 +142,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round maps every node to the least of itself and its neighbours and contracts the graph, so node
     ids should be in no order along paths (hashes are); then the rounds grow as the logarithm of the longest
-    path.  The component is its least node.  Nodes and edges stay in Spark throughout.
+    path.  The component is its least node.  Each round is written, so plans stay short and an empty
+    partition costs no task in the next.  Nodes and edges stay in Spark throughout.
     """
-    edges = checkpoint(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     label = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("up")))
+        parent = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("up")), "parents")
         if label is None:
             label = parent.select("node", F.col("up").alias("component"))
         else:
@@ -157,12 +158,11 @@ def components(edges: DataFrame) -> DataFrame:
             )
         left = parent.select(F.col("node").alias("a"), F.col("up").alias("ua"))
         right = parent.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        edges = checkpoint(
-            edges.join(left, "a").join(right, "b").filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        )
+        edges = edges.join(left, "a").join(right, "b").filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
+        edges = written(edges, "edges")
     if label is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return label
+    return written(label, "components")
 
 
 def hash01(key: Column, seed: int) -> Column:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, checkpoint, components, documents, mix, shingles, utf8_rows, written
+from .common import U64, components, documents, mix, shingles, utf8_rows, written
 
 BAND = 1.5
 FAN = 8
@@ -175,8 +175,8 @@ def _bits(sets: list[np.ndarray]) -> int:
     return min(1 << 16, 1 << max(8, int(2 * max(len(s) for s in sets)).bit_length()))
 
 
-def forest_links(num: int, den: int):
-    """The function of one task: rows (forest, side, node, sh) to links (a, b)."""
+def forest_links(size: int, num: int, den: int):
+    """The function of one task: rows (forest, side, node, text) to links (a, b)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
@@ -184,8 +184,15 @@ def forest_links(num: int, den: int):
             sides = []
             for side in (0, 1):
                 own = rows[rows["side"] == side]
-                if len(own):
-                    sides.append((own["node"].to_numpy(), [np.frombuffer(b, dtype=U64) for b in own["sh"]]))
+                sets: dict[int, np.ndarray] = {}
+                for node, text in zip(own["node"].tolist(), own["text"], strict=True):
+                    s = shingles(np.frombuffer((text or "").encode(), dtype=np.uint8), size)
+                    if len(s) and set_hash(s) == node:  # another row may share the doc_id
+                        sets[node] = s
+                if sets:
+                    sides.append((list(sets), list(sets.values())))
+            if not sides:
+                continue
             bits = _bits([s for _, sets in sides for s in sets])
             trees = [SignatureTree(sets, bits) for _, sets in sides]
             x, y = trees[0], trees[-1]
@@ -248,20 +255,11 @@ def key_table(docs: DataFrame, size: int, num: int, den: int, only: np.ndarray |
     return docs.select("text").mapInArrow(run, "key long, node long")
 
 
-def _forest_sets(docs: DataFrame, members: DataFrame, size: int, small: bool) -> DataFrame:
-    """Members (doc_id, node, forest, blocks) with their sets as bytes."""
+def _forest_texts(docs: DataFrame, members: DataFrame, small: bool) -> DataFrame:
+    """Members (doc_id, node, forest, blocks) with their texts, which are smaller to shuffle than their sets."""
     members = members.withColumnRenamed("doc_id", "rep")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("rep"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(buf, size) for buf in utf8_rows(batch.column(3))]
-            node = batch.column(0).to_pylist()
-            ok = [bool(len(s)) and set_hash(s) == h for s, h in zip(sets, node, strict=True)]  # another row may share the doc_id
-            out = [batch.column(i).filter(pa.array(ok)) for i in range(3)]
-            yield pa.record_batch([*out, pa.array([s.tobytes() for s, k in zip(sets, ok, strict=True) if k], pa.binary())], ["node", "forest", "blocks", "sh"])
-
-    return rows.select("node", "forest", "blocks", "text").mapInArrow(run, "node long, forest long, blocks int, sh binary")
+    return rows.select("node", "forest", "blocks", "text")
 
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, size: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
@@ -273,18 +271,15 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, size: int, num: int, den: in
     forest = components(star)
     reps = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sizes = forest.groupBy("component").agg(F.count("*").alias("members")).select("component", F.ceil(F.col("members") / block).cast("int").alias("blocks"), "members")
-    members = checkpoint(forest.join(sizes, "component").join(reps, "node").select("doc_id", "node", F.col("component").alias("forest"), "blocks"))
+    members = written(forest.join(sizes, "component").join(reps, "node").select("doc_id", "node", F.col("component").alias("forest"), "blocks"), "members")
     n = members.count()
-    rows = written(_forest_sets(docs, members, size, n <= BROADCAST_ROWS), "forest")
+    rows = _forest_texts(docs, members, n <= BROADCAST_ROWS)
     packs = max(1, math.ceil(n / block))
-    one = rows.filter("blocks = 1").select("forest", F.lit(0).alias("side"), "node", "sh", F.lit(0).alias("i"), F.lit(0).alias("j"), F.pmod(F.xxhash64("forest"), F.lit(packs)).alias("task"))
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    cut = rows.filter("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = cut.select(
-        "forest", (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "sh",
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.xxhash64("forest", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
-    )
-    return one.union(many).groupBy("task", "i", "j").applyInPandas(forest_links(num, den), "a long, b long")
+    # A forest of one block meets itself, in a task with other small forests.
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("forest", (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "text", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("forest"), F.lit(packs))).otherwise(F.xxhash64("forest", "i", "j"))
+    return rows.withColumn("task", task).drop("blocks").groupBy("task", "i", "j").applyInPandas(forest_links(size, num, den), "a long, b long")
 
 
 def near_duplicate_components(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, block: int = BLOCK) -> DataFrame:
@@ -292,11 +287,10 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, num: int = 8, den:
     sets = written(set_table(docs, size), "sets")
     label = components(jaccard_links(docs, sets, size, num, den, block))
     reps = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    joined = reps.join(label, "node", "left")
-    least = joined.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
-    found = joined.filter("component is not null").join(least, "component").select("node", "component_id").union(
-        joined.filter("component is null and rows > 1").select("node", F.col("least").alias("component_id"))
-    )
+    joined = reps.join(label, "node", "left").filter("component is not null or rows > 1").select("node", "least", F.coalesce("component", "node").alias("component"))
+    joined = written(joined, "groups")
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = joined.join(least, "component").select("node", "component_id")
     return sets.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
