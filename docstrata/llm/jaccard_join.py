@@ -8,12 +8,15 @@ Three steps, each a Spark job over all rows.
    number of parts, and sets near the band's upper end also deal themselves into the next band.  A set with
    too few non-empty parts adds its prefix (its least hashes) as keys.  The rule loses no pair; equal keys put
    sets into one forest (components over a star for each key, so no key's pairs are listed).
+   A forest over ``block`` members, which a passage in many texts can chain together, is refined: each pivot's star
+   is walked as trees of small bitmaps (step 2 without counting), and only what the bitmaps cannot part stays in one
+   forest.  Two similar sets share a key, so also a star, so they stay together.
 2. **Traverse.**  Each forest member becomes a leaf of a signature tree: a bitmap of its shingles and its size.
    Inner nodes hold the OR of their children's bitmaps and the range of their sizes.  Two trees (or a tree with
    itself) are walked together; a node pair goes when its largest possible overlap,
-   ``popcount(bitmap & bitmap) + collisions``, is below what its smallest sizes need, when its size ranges are too
-   far apart, or when both nodes already lie in one component.  What remains of two leaves is counted exactly.
-   Forests over ``block`` members are cut into blocks; each pair of blocks is a task.
+   ``popcount(bitmap & bitmap) + collisions``, is below what its smallest sizes need, or when its size ranges are too
+   far apart; a leaf pair also goes when both lie in one component.  What remains is counted exactly.
+   Groups over ``block`` members are cut into blocks; each pair of blocks is a task.
 3. **Join.**  Components over the links.
 
 Equal sets are one node, so a group of copies costs one leaf.  Nodes are 64-bit hashes of sets: among 10^9
@@ -88,20 +91,21 @@ def deal_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits, dtype=bool)
+    out[(mix(s) & U64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out)
+
+
 class SignatureTree:
-    """Leaves are sets; every node holds an OR-combined bitmap, a size range and the most collisions of a leaf."""
-
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0]) if len(sets[i]) else 0))
-        self.order, self.sets = np.array(order, dtype=np.int64), [sets[i] for i in order]
-        bitmap = np.zeros((len(sets), bits // 8), dtype=np.uint8)
-        for i, s in enumerate(self.sets):
-            at = (mix(s) & U64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(bitmap[i], at >> 3, (1 << (at & 7)).astype(np.uint8))
-        maps = bitmap.view(U64)
-        low = high = np.array([len(s) for s in self.sets], dtype=np.int64)
-        slack = low - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-        self.levels = [(maps, low, high, slack)]
+    """Leaves are bitmaps of sets with the sets' sizes, and the sets where links are to be counted exactly; every node
+    holds an OR-combined bitmap, a size range and the most collisions of a leaf."""
+
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None = None):
+        self.order = np.lexsort((maps[:, 0], sizes))
+        self.sets = None if sets is None else [sets[i] for i in self.order]
+        maps, low = np.ascontiguousarray(maps[self.order]).view(U64), sizes[self.order]
+        self.levels = [(maps, low, low, low - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             maps, low, high, slack = self.levels[-1]
             cut = np.arange(0, len(maps), FAN)
@@ -113,66 +117,86 @@ class SignatureTree:
             self.levels.append(self.levels[-1])
 
 
+def _fitting(x: SignatureTree, y: SignatureTree, level: int, left: np.ndarray, right: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The node pairs of a level that may hold a link."""
+    (bx, lx, hx, sx), (by, ly, hy, sy) = x.levels[level], y.levels[level]
+    keep_l, keep_r, step = [left[:0]], [right[:0]], max(1, (1 << 21) // bx.shape[1])
+    for k in range(0, len(left), step):
+        a, b = left[k : k + step], right[k : k + step]
+        fits = (hx[a] * den >= ly[b] * num) & (hy[b] * den >= lx[a] * num)
+        a, b = a[fits], b[fits]
+        most = np.bitwise_count(bx[a] & by[b]).sum(axis=1, dtype=np.int64) + np.minimum(sx[a], sy[b])
+        # |A & B| >= num / (num + den) * (|A| + |B|)
+        fits = most * (num + den) >= num * (lx[a] + ly[b])
+        keep_l.append(a[fits])
+        keep_r.append(b[fits])
+    return np.concatenate(keep_l), np.concatenate(keep_r)
+
+
+def _children(x: SignatureTree, y: SignatureTree, level: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    below_x, below_y = len(x.levels[level - 1][0]), len(y.levels[level - 1][0])
+    fan_x = np.arange(FAN) if below_x > len(x.levels[level][0]) else np.zeros(1, dtype=np.int64)
+    fan_y = np.arange(FAN) if below_y > len(y.levels[level][0]) else np.zeros(1, dtype=np.int64)
+    a = (left[:, None, None] * len(fan_x) + fan_x[None, :, None] + 0 * fan_y[None, None, :]).ravel()
+    b = (right[:, None, None] * len(fan_y) + fan_y[None, None, :] + 0 * fan_x[None, :, None]).ravel()
+    there = (a < below_x) & (b < below_y)
+    if x is y:
+        there &= a <= b
+    return a[there], b[there]
+
+
 def dual_traversal(x: SignatureTree, y: SignatureTree, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between leaves of x and y (of x with itself if y is x), enough to join what they join."""
+    """Links between leaves of x and y (of x with itself if y is x), enough to join what they join.  Without sets, a
+    pair that its bitmaps cannot part counts as a link."""
     same = x is y
     depth = max(len(x.levels), len(y.levels))
     x.raise_to(depth)
     y.raise_to(depth)
-    nx, ny = len(x.sets), len(y.sets)
+    nx, ny = len(x.order), len(y.order)
     left, right = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-    for level in range(depth - 1, -1, -1):
-        keep_l, keep_r = [], []
-        (bx, lx, hx, sx), (by, ly, hy, sy) = x.levels[level], y.levels[level]
-        step = max(1, (1 << 21) // bx.shape[1])
-        for k in range(0, len(left), step):
-            a, b = left[k : k + step], right[k : k + step]
-            fits = (hx[a] * den >= ly[b] * num) & (hy[b] * den >= lx[a] * num)
-            a, b = a[fits], b[fits]
-            most = np.bitwise_count(bx[a] & by[b]).sum(axis=1, dtype=np.int64) + np.minimum(sx[a], sy[b])
-            # |A & B| >= num / (num + den) * (|A| + |B|)
-            fits = most * (num + den) >= num * (lx[a] + ly[b])
-            keep_l.append(a[fits])
-            keep_r.append(b[fits])
-        left, right = np.concatenate(keep_l), np.concatenate(keep_r)
-        if level == 0 or not len(left):
-            break
-        below_x, below_y = len(x.levels[level - 1][0]), len(y.levels[level - 1][0])
-        fan_x = np.arange(FAN) if below_x > len(bx) else np.zeros(1, dtype=np.int64)
-        fan_y = np.arange(FAN) if below_y > len(by) else np.zeros(1, dtype=np.int64)
-        a = (left[:, None, None] * len(fan_x) + fan_x[None, :, None] + 0 * fan_y[None, None, :]).ravel()
-        b = (right[:, None, None] * len(fan_y) + fan_y[None, None, :] + 0 * fan_x[None, :, None]).ravel()
-        there = (a < below_x) & (b < below_y)
-        if same:
-            there &= a <= b
-        left, right = a[there], b[there]
-    up = list(range(nx + (0 if same else ny)))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
+    for level in range(depth - 1, 0, -1):
+        left, right = _fitting(x, y, level, left, right, num, den)
+        if level > 1:
+            left, right = _children(x, y, level, left, right)
+    group, shift = np.arange(nx + (0 if same else ny)), 0 if same else nx
     links = []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        if same and a == b:
-            continue
-        ra, rb = root(a), root(b if same else nx + b)
-        if ra == rb:
-            continue
-        p, q = x.sets[a], y.sets[b]
-        at = np.searchsorted(q, p)
-        at[at == len(q)] = len(q) - 1
-        both = int((q[at] == p).sum())
-        if both * den >= num * (len(p) + len(q) - both):
-            up[max(ra, rb)] = min(ra, rb)
-            links.append((int(x.order[a]), int(y.order[b])))
+    for k in range(0, len(left), 512):
+        a, b = left[k : k + 512], right[k : k + 512]
+        if depth > 1:
+            a, b = _children(x, y, 1, a, b)
+        apart = group[a] != group[shift + b]
+        for i, j in zip(*(v.tolist() for v in _fitting(x, y, 0, a[apart], b[apart], num, den)), strict=True):
+            gi, gj = group[i], group[shift + j]
+            if gi == gj:
+                continue
+            if x.sets is not None:
+                p, q = x.sets[i], y.sets[j]
+                at = np.searchsorted(q, p)
+                at[at == len(q)] = len(q) - 1
+                both = int((q[at] == p).sum())
+                if both * den < num * (len(p) + len(q) - both):
+                    continue
+            group[group == gj] = gi
+            links.append((int(x.order[i]), int(y.order[j])))
     return links
 
 
-def _bits(sets: list[np.ndarray]) -> int:
-    return min(1 << 16, 1 << max(8, int(2 * max(len(s) for s in sets)).bit_length()))
+def _bits(n: int) -> int:
+    """Bits of the bitmap of a set of n: two to four for each shingle."""
+    return min(1 << 16, 1 << max(8, (2 * n).bit_length()))
+
+
+def _classes(n: int, num: int, den: int) -> list[int]:
+    """Bitmap sizes of a set of n and of the larger sets that may be similar to it."""
+    first, last = (_bits(m).bit_length() - 1 for m in (n, n * den // num))
+    return [1 << c for c in range(first, last + 1)]
+
+
+def _walk(sides: list[tuple[list[int], SignatureTree]], num: int, den: int) -> list[tuple[int, int]]:
+    if not sides:
+        return []
+    (nodes, x), (others, y) = sides[0], sides[-1]
+    return [(nodes[i], others[j]) for i, j in dual_traversal(x, y, num, den)]
 
 
 def forest_links(size: int, num: int, den: int):
@@ -181,27 +205,58 @@ def forest_links(size: int, num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         for _, rows in pdf.groupby("forest", sort=False):
-            sides = []
-            for side in (0, 1):
-                own = rows[rows["side"] == side]
-                sets: dict[int, np.ndarray] = {}
-                for node, text in zip(own["node"].tolist(), own["text"], strict=True):
-                    s = shingles(np.frombuffer((text or "").encode(), dtype=np.uint8), size)
-                    if len(s) and set_hash(s) == node:  # another row may share the doc_id
-                        sets[node] = s
-                if sets:
-                    sides.append((list(sets), list(sets.values())))
-            if not sides:
+            sides: list[dict[int, np.ndarray]] = [{}, {}]
+            for side, node, text in zip(rows["side"].tolist(), rows["node"].tolist(), rows["text"], strict=True):
+                s = shingles(np.frombuffer((text or "").encode(), dtype=np.uint8), size)
+                if len(s) and set_hash(s) == node:  # another row may share the doc_id
+                    sides[side][node] = s
+            bits = _bits(max((len(s) for sets in sides for s in sets.values()), default=1))
+            trees = [
+                (list(sets), SignatureTree(np.stack([bitmap(s, bits) for s in sets.values()]), np.array([len(s) for s in sets.values()]), list(sets.values())))
+                for sets in sides if sets
+            ]
+            found += _walk(trees, num, den)
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def star_links(num: int, den: int):
+    """The function of one task: rows (forest, bits, side, node, n, map) to pairs (a, b) that bitmaps cannot part."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        pdf = pdf.sort_values(["forest", "bits", "side"], kind="stable")
+        forest, bits, side, node, n, maps = (pdf[c].to_numpy() for c in ("forest", "bits", "side", "node", "n", "map"))
+        cut = np.flatnonzero(np.concatenate(([True], (forest[1:] != forest[:-1]) | (bits[1:] != bits[:-1]), [True])))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if hi - lo == 1:
                 continue
-            bits = _bits([s for _, sets in sides for s in sets])
-            trees = [SignatureTree(sets, bits) for _, sets in sides]
-            x, y = trees[0], trees[-1]
-            found += [(sides[0][0][i], sides[-1][0][j]) for i, j in dual_traversal(x, y, num, den)]
+            mid = lo + int((side[lo:hi] == 0).sum())
+            trees = [(node[i:j].tolist(), SignatureTree(np.frombuffer(b"".join(maps[i:j]), dtype=np.uint8).reshape(j - i, -1), n[i:j])) for i, j in ((lo, mid), (mid, hi)) if j > i]
+            found += _walk(trees, num, den)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return run
 
 
+def signature_table(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(node, n, bits, map) from (node, text): a bitmap for the set's own size class and for each larger one of which
+    a set may be similar.  Of two similar sets, both have one for the larger set's class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int, bytes]] = []
+            for node, buf in zip(batch.column(0).to_pylist(), utf8_rows(batch.column(1)), strict=True):
+                s = shingles(buf, size)
+                if len(s) and set_hash(s) == node:  # another row may share the doc_id
+                    out += [(node, len(s), bits, bitmap(s, bits).tobytes()) for bits in _classes(len(s), num, den)]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["node", "n", "bits", "map"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, n long, bits int, map binary")
+
+
 def set_table(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, node, n_shingles): the set hash of every row; node is null for an empty set."""
 
@@ -255,11 +310,37 @@ def key_table(docs: DataFrame, size: int, num: int, den: int, only: np.ndarray |
     return docs.select("text").mapInArrow(run, "key long, node long")
 
 
-def _forest_texts(docs: DataFrame, members: DataFrame, small: bool) -> DataFrame:
-    """Members (doc_id, node, forest, blocks) with their texts, which are smaller to shuffle than their sets."""
+def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (doc_id, node, ...) with their texts, which are smaller to shuffle than their sets."""
     members = members.withColumnRenamed("doc_id", "rep")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("rep"))
-    return rows.select("node", "forest", "blocks", "text")
+    small = members.count() <= BROADCAST_ROWS
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("rep")).drop("doc_id", "rep")
+
+
+def _tasks(rows: DataFrame, n: int, block: int, *forest: str) -> DataFrame:
+    """Rows (node, blocks, ...) dealt to tasks (task, i, j), each with its side of a pair of blocks.  A forest of one
+    block meets itself, in a task with other small forests."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("side", (F.col("own") > F.col("other")).cast("int")).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(*forest), F.lit(max(1, math.ceil(n / block))))).otherwise(F.xxhash64(*forest, "i", "j"))
+    return rows.withColumn("task", task).drop("blocks", "own", "other")
+
+
+def _members(forest: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+    sizes = forest.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    return written(forest.join(sizes, "component").join(reps, "node").select("doc_id", "node", F.col("component").alias("forest"), "blocks"), "members")
+
+
+def refined(docs: DataFrame, large: DataFrame, star: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
+    """(node, component) of the members (doc_id, node) of large forests, from the stars (a, b) of their pivots."""
+    signs = signature_table(_texts(docs, large.select("doc_id", "node")), size, num, den)
+    most = star.groupBy("a").agg(F.ceil((F.count("*") + 1) / block).cast("int").alias("blocks"))
+    hot = most.filter("blocks > 1").withColumnRenamed("a", "forest")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    own = star.select(F.col("a").alias("forest"), F.col("b").alias("node")).union(star.select(F.col("a").alias("forest"), F.col("a").alias("node")).distinct())
+    rows = own.join(hot, "forest", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).join(signs, "node")
+    dealt = _tasks(rows, star.count(), block * 4, "forest", "bits")
+    return components(dealt.groupBy("task", "i", "j").applyInPandas(star_links(num, den), "a long, b long"))
 
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, size: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
@@ -268,18 +349,14 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, size: int, num: int, den: in
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     shared = written(shared, "keys")
     star = key_table(docs, size, num, den, key_filter(shared)).join(shared, "key").filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    forest = components(star)
+    star = written(star.distinct(), "stars")
     reps = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sizes = forest.groupBy("component").agg(F.count("*").alias("members")).select("component", F.ceil(F.col("members") / block).cast("int").alias("blocks"), "members")
-    members = written(forest.join(sizes, "component").join(reps, "node").select("doc_id", "node", F.col("component").alias("forest"), "blocks"), "members")
-    n = members.count()
-    rows = _forest_texts(docs, members, n <= BROADCAST_ROWS)
-    packs = max(1, math.ceil(n / block))
-    # A forest of one block meets itself, in a task with other small forests.
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("forest", (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "text", "blocks", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("forest"), F.lit(packs))).otherwise(F.xxhash64("forest", "i", "j"))
-    return rows.withColumn("task", task).drop("blocks").groupBy("task", "i", "j").applyInPandas(forest_links(size, num, den), "a long, b long")
+    members = _members(components(star), reps, block)
+    large = members.filter("blocks > 1")
+    finer = _members(refined(docs, large, star, size, num, den, block), reps, block)
+    members = members.filter("blocks = 1").unionByName(finer)
+    dealt = _tasks(_texts(docs, members), members.count(), block, "forest")
+    return dealt.groupBy("task", "i", "j").applyInPandas(forest_links(size, num, den), "a long, b long")
 
 
 def near_duplicate_components(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, block: int = BLOCK) -> DataFrame:

@@ -59,7 +59,7 @@ def brute_components(rows, k, num, den):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "num", "den", "block"), [(3, 9, 10, 1024), (5, 8, 10, 1024), (2, 6, 10, 4)])
+@pytest.mark.parametrize(("k", "num", "den", "block"), [(3, 9, 10, 1024), (5, 8, 10, 1024), (2, 6, 10, 4), (3, 8, 10, 2), (3, 4, 10, 64)])
 def test_jaccard_join(docs, k, num, den, block):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_components(docs, k, num, den, block).collect()}
@@ -75,6 +75,42 @@ def test_jaccard_odd(spark, odd):
     assert sorted(r.doc_id for r in jaccard_join.keep_one(odd, 3, 9, 10).collect() if r.doc_id) == [1, 2, 3, 4, 6, 7, 8]
 
 
+def test_dual_traversal_joins_what_brute_force_joins():
+    """With and without sets, within one tree and between two; sizes vary and bitmaps collide."""
+    rng = np.random.default_rng(5)
+    base = [np.unique(common.mix(rng.integers(0, 1 << 40, n).astype(np.uint64))) for n in rng.integers(3, 120, 40)]
+    sets = [np.unique(s[rng.random(len(s)) < keep]) for s in base for keep in (1.0, 0.97, 0.9, 0.8)]
+    sets = [s for s in sets if len(s)]
+    maps, sizes = np.stack([jaccard_join.bitmap(s, 256) for s in sets]), np.array([len(s) for s in sets])
+    true = [(i, j) for i in range(len(sets)) for j in range(i) if 10 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 8 * (len(sets[i]) + len(sets[j]) - both)]
+
+    def groups(links):
+        up = list(range(len(sets)))
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b in links:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+        return [root(i) for i in range(len(sets))]
+
+    tree = lambda at, exact: jaccard_join.SignatureTree(maps[at], sizes[at], [sets[i] for i in at] if exact else None)
+    every, low, high = np.arange(len(sets)), np.arange(70), np.arange(70, len(sets))
+    one = tree(every, True)
+    assert groups(jaccard_join.dual_traversal(one, one, 8, 10)) == groups(true)
+    links = []
+    for a, b in ((low, low), (low, high), (high, high)):
+        x = tree(a, True)
+        links += [(int(a[i]), int(b[j])) for i, j in jaccard_join.dual_traversal(x, x if a is b else tree(b, True), 8, 10)]
+    assert groups(links) == groups(true)
+    loose = tree(every, False)
+    wide = groups(jaccard_join.dual_traversal(loose, loose, 8, 10))
+    assert all(wide[i] == wide[j] for i, j in true)
+
+
 def test_deal_keys_lose_no_pair():
     rng = np.random.default_rng(1)
     for _ in range(300):
