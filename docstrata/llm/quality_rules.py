@@ -1,13 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
-Every document gets counts and a few ratios, each high in bad text.  A cut-off is taken for a ratio only if it is
-certified: over a stratum's labelled good documents, the exact (Clopper-Pearson) upper bound of the share above the
-cut-off is at most ``risk`` divided by the number of ratios, so all ratios together wrongly reject at most ``risk``.
-The cut-offs of a ratio are a fixed grid, tested from the loosest on until the first that fails (fixed-sequence
-testing needs no further correction), and the error ``delta`` is divided by strata times ratios (Bonferroni).  Of the
-certified cut-offs, the loosest with the greatest excess of bad over good rejections is used; with none, nothing is
-rejected in that stratum.  Every labelled document is counted, in Spark; the driver gets one row for each
-stratum, ratio and grid step, of strata with enough good documents to certify anything.
+Every document gets counts and a few ratios, each high in bad text.  A stratum's cut-offs are certified jointly: over
+its labelled good documents, the exact (Clopper-Pearson) upper bound of the share that any of the cut-offs rejects is
+at most ``risk``.  Vectors of cut-offs are tested in one fixed sequence, each tighter than the one before, until the
+first that fails (fixed-sequence testing needs no further correction); the error ``delta`` is divided by strata only
+(Bonferroni).  The sequence must not depend on the good documents it is tested on: a step tightens one ratio to a grid
+value that rejects more of the stratum's bad documents, in the order of the share of other strata's good documents
+that the ratio alone rejects there (with no other stratum, in the order of the grid).  Of the certified vectors, the
+loosest with the greatest excess of bad over good rejections is used; with none, nothing is rejected in that stratum.
+
+Strata with too few good documents to certify anything alone are one stratum together (``REST``), with all strata that
+have no labels; if it is still too small, it takes the smallest others too, all but the largest.  Its risk holds over
+them together, not for each.  Every labelled document is counted, in Spark; the
+driver gets one row for each stratum, ratio and grid step.
 
 Cases: null text has no words; null strata are one stratum; repeated rows are judged alike (and count repeatedly in
 the holdout); labels may be empty or null; other columns are carried along; an empty table gives an empty result.
@@ -30,7 +35,8 @@ RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "bang
 GRID = [1.0, *[round(0.95**i, 6) for i in range(1, 100)]]  # loosest first
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 WINDOW = 8
-MAX_STRATA = 1000
+MAX_STRATA = 1000  # tested alone; further ones are part of the rest
+REST = None
 
 
 def measure(buf: np.ndarray | None) -> tuple[list[int], list[float]]:
@@ -106,55 +112,108 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def certified(good: list[int], bad: list[int], n_good: int, n_bad: int, risk: float, delta: float) -> float | None:
-    """The cut-off to use, from the rejections of good and bad documents at each grid step."""
+def certified(good: list[int], bad: list[int], n_good: int, n_bad: int, risk: float, delta: float) -> int | None:
+    """The step to use of a sequence, from the rejections of good and bad documents up to each of its steps."""
     best, score = None, 0.0
-    for cut, g, b in zip(GRID, good, bad, strict=True):
+    for k, (g, b) in enumerate(zip(good, bad, strict=True)):
         if g > risk * n_good or upper_bound(g, n_good, delta) > risk:
             break
         gain = b / max(1, n_bad) - g / max(1, n_good)
         if gain > score + 1e-12:
-            best, score = cut, gain
+            best, score = k, gain
     return best
 
 
-def thresholds(labelled: DataFrame, stratum: str, risk: float, delta: float) -> dict[tuple[str, str], float]:
-    """(stratum, ratio) to cut-off, from labelled rows (stratum, RATIOS, quality)."""
+def least_good(risk: float, delta: float) -> int:
+    """The fewest good documents, none of them rejected, that certify anything."""
+    return math.ceil(math.log(delta) / math.log1p(-risk))
+
+
+def alone(counts: list[int], strata: int, rest: int, risk: float, delta: float) -> int:
+    """How many of the strata, of which counts (falling) are the good documents, are tested alone.  There are so many
+    strata in all, and rest good documents besides counts."""
+    for k in range(len(counts), 0, -1):
+        least = least_good(risk, delta / (k + (k < strata)))
+        if counts[k - 1] >= least and (k in (1, strata) or sum(counts[k:]) + rest >= least):
+            return k
+    return 0
+
+
+def sequence(bad: dict[str, list[int]], others: dict[str, list[int]]) -> list[tuple[str, int]]:
+    """The steps (ratio, grid step), from own bad and others' good documents by ratio and grid step."""
+    cost = {r: np.cumsum(others[r]).tolist() for r in RATIOS}
+    return [(r, s) for _, s, _, r in sorted((cost[r][s], s, i, r) for i, r in enumerate(RATIOS) for s in range(len(GRID)) if bad[r][s])]
+
+
+def thresholds(labelled: DataFrame, stratum: str, risk: float, delta: float) -> dict[tuple[str | None, str], float]:
+    """(stratum, ratio) to cut-off, from labelled rows (stratum, RATIOS, quality).  REST stands for all strata that have
+    no cut-off of their own; a stratum tested alone in vain has the cut-off 1, which rejects nothing, beside it."""
     rows = labelled.filter("quality is not null").select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("g"), F.col("quality").cast("int").alias("q"), *RATIOS)
-    per = risk / len(RATIOS)
-    least = math.log(1 / delta) / per / 2
-    strata = rows.groupBy("g").agg(F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") == 0).alias("bad")).filter(F.col("good") >= least)
-    sizes = {r["g"]: (r["good"], r["bad"]) for r in strata.orderBy(F.desc("good"), "g").limit(MAX_STRATA).collect()}
-    if not sizes:
-        return {}
+    strata = rows.groupBy("g").agg(F.count_if(F.col("q") == 1).alias("good"))
+    top = strata.filter(F.col("good") >= least_good(risk, delta)).orderBy(F.desc("good"), "g").limit(MAX_STRATA).collect()
+    n, good = strata.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
+    counts = [r["good"] for r in top]
+    own = [r["g"] for r in top[: alone(counts, n, good - sum(counts), risk, delta)]]
+    rows = rows.withColumn("g", F.when(F.col("g").isin(own), F.col("g")))
     # Steps at which a value is above the cut-off: those after the number of cut-offs that are at least the value.
     step = lambda r: F.expr(f"size(filter(array({', '.join(f'{c}D' for c in GRID)}), c -> c >= {r}))")
-    long = rows.filter(F.col("g").isin(list(sizes))).select("g", "q", F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), step(r).alias("step")) for r in RATIOS])).alias("x"))
-    found: dict[tuple[str, str, int], list[int]] = {}
+    long = rows.select("g", "q", F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), step(r).alias("step")) for r in RATIOS])).alias("x"))
+    sizes: dict[tuple[str | None, int], int] = {}
+    found: dict[tuple[str | None, int], dict[str, list[int]]] = {}
     for r in long.groupBy("g", "q", "x.ratio", "x.step").count().collect():
+        if r["ratio"] == RATIOS[0]:
+            sizes[r["g"], r["q"]] = sizes.get((r["g"], r["q"]), 0) + r["count"]
         if r["step"] < len(GRID):
-            found.setdefault((r["g"], r["ratio"], r["q"]), [0] * len(GRID))[r["step"]] += r["count"]
-    out = {}
-    for g, (n_good, n_bad) in sizes.items():
-        for ratio in RATIOS:
-            good, bad = (np.cumsum(found.get((g, ratio, q), [0] * len(GRID))).tolist() for q in (1, 0))
-            cut = certified(good, bad, n_good, n_bad, per, delta / len(sizes) / len(RATIOS))
-            if cut is not None:
-                out[g, ratio] = cut
+            found.setdefault((r["g"], r["q"]), {x: [0] * len(GRID) for x in RATIOS})[r["ratio"]][r["step"]] += r["count"]
+    none = {x: [0] * len(GRID) for x in RATIOS}
+    groups = sorted({g for g, _ in sizes}, key=lambda g: (g is REST, g or ""))
+    paths, place = {}, {}
+    good_of = {x: np.sum([found.get((g, 1), none)[x] for g in groups] or [none[x]], axis=0) for x in RATIOS}
+    for g in groups:
+        path = sequence(found.get((g, 0), none), {x: (good_of[x] - found.get((g, 1), none)[x]).tolist() for x in RATIOS})
+        paths[g], never = path, len(path)
+        at = np.full((len(RATIOS), len(GRID) + 1), never, dtype=np.int64)  # the first step of the path that rejects
+        for k, (x, s) in reversed(list(enumerate(path))):
+            at[RATIOS.index(x), : s + 1] = k
+        place[g] = at
+    falling = -np.array(GRID)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = np.stack([np.searchsorted(falling, -batch.column(r).to_numpy(zero_copy_only=False), side="right") for r in RATIOS], axis=1)
+            k = [int(place[g][np.arange(len(RATIOS)), s].min()) for g, s in zip(batch.column("g").to_pylist(), steps, strict=True)]
+            yield pa.record_batch([batch.column("g"), batch.column("q"), pa.array(k, pa.int64())], ["g", "q", "k"])
+
+    joint: dict[tuple[str | None, int], list[int]] = {}
+    for r in rows.mapInArrow(run, "g string, q int, k long").groupBy("g", "q", "k").count().collect():
+        if r["k"] < len(paths[r["g"]]):
+            joint.setdefault((r["g"], r["q"]), [0] * len(paths[r["g"]]))[r["k"]] += r["count"]
+    out: dict[tuple[str | None, str], float] = {}
+    for g, path in paths.items():
+        good, bad = (np.cumsum(joint.get((g, q), [0] * len(path))).tolist() for q in (1, 0))
+        k = certified(good, bad, sizes.get((g, 1), 0), sizes.get((g, 0), 0), risk, delta / len(paths))
+        if k is not None:
+            out |= {(g, x): GRID[s] for x, s in path[: k + 1]}
+    if any(g is REST for g, _ in out):
+        out |= {(g, RATIOS[0]): 1.0 for g in own if not any((g, x) in out for x in RATIOS)}
     return out
 
 
-def fails(cuts: dict[tuple[str, str], float], stratum: str) -> Column:
+def fails(cuts: dict[tuple[str | None, str], float], stratum: str) -> Column:
     """True where a ratio is above its stratum's cut-off."""
     g = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    out = F.lit(False)
-    for s in sorted({s for s, _ in cuts}):
-        above = F.lit(False)
+
+    def above(s: str | None) -> Column:
+        out = F.lit(False)
         for r in RATIOS:
             if (s, r) in cuts:
-                above = above | (F.col(r) > cuts[s, r])
-        out = out | ((g == s) & above)
-    return out
+                out = out | (F.col(r) > cuts[s, r])
+        return out
+
+    out = F.when(F.lit(False), F.lit(False))
+    for s in sorted({s for s, _ in cuts if s is not REST}):
+        out = out.when(g == s, above(s))
+    return out.otherwise(above(REST))
 
 
 BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"

@@ -238,6 +238,21 @@ def test_quality_thresholds(spark):
     assert quality_rules.judge(odd, labels).count() == len(ODD)
 
 
+def test_quality_joint_certificate(spark):
+    """500 good documents certify alone, three strata of 200 together; a stratum without labels is one of the rest."""
+    zero = (0.0,) * 5
+    rows = [("en", 1, 0.0, *zero)] * 700 + [("en", 0, 0.4, *zero)] * 50 + [("en", 0, 0.0, 0.0, 0.0, 0.3, 0.0, 0.0)] * 50
+    for s in ("de", "fr", "es"):
+        rows += [(s, 1, 0.0, *zero)] * 200 + [(s, 0, 0.4, *zero)] * 20
+    df = spark.createDataFrame(rows, ", ".join(["lang string, quality int", *[f"{r} double" for r in quality_rules.RATIOS]]))
+    cuts = quality_rules.thresholds(df, "lang", 0.01, 0.05)
+    assert set(cuts) == {("en", "symbol_ratio"), ("en", "upper_ratio"), (None, "symbol_ratio")}
+    new = df.union(spark.createDataFrame([("it", 0, 0.4, *zero), ("it", 1, 0.0, *zero), ("it", 0, 0.0, 0.0, 0.0, 0.3, 0.0, 0.0)], df.schema))
+    got = new.groupBy("lang", "quality", quality_rules.fails(cuts, "lang").alias("out")).count().collect()
+    assert {(r.lang, r.quality, r.out): r["count"] for r in got if r.lang in ("en", "it")} == {("en", 1, False): 700, ("en", 0, True): 100, ("it", 0, True): 1, ("it", 1, False): 1, ("it", 0, False): 1}
+    assert quality_rules.alone([2076, 507, 505, 321], 4, 0, 0.01, 0.05) == 2 and quality_rules.least_good(0.01, 0.0125) == 437
+
+
 def test_language(spark, docs, odd):
     rows = language_id.op6_language_id(spark, SF).collect()
     truth = {r.doc_id: r.lang for r in docs.collect()}
