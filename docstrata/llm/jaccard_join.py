@@ -15,16 +15,18 @@ Three steps, each a Spark job over all rows.
    Inner nodes hold the OR of their children's bitmaps and the range of their sizes.  Two trees (or a tree with
    itself) are walked together; a node pair goes when its largest possible overlap,
    ``popcount(bitmap & bitmap) + collisions``, is below what its smallest sizes need, or when its size ranges are too
-   far apart; a leaf pair also goes when both lie in one component.  What remains is counted exactly.
-   Groups over ``block`` members are cut into blocks; each pair of blocks is a task.
-3. **Join.**  Components over the links.
+   far apart.  What remains is counted exactly.  Where only components are asked for, a leaf pair also goes when both
+   lie in one component; where links are counted, every pair is, and a task returns the number of rows that each set
+   links with, not the pairs.  Groups over ``block`` members are cut into blocks; each pair of blocks is a task.
+3. **Join.**  Components over the links; numbers of links are summed over the tasks.
 
 Equal sets are one node, so a group of copies costs one leaf.  Nodes are 64-bit hashes of sets: among 10^9
 different sets, the chance that any two share a hash is below 3 %.
 
 Cases: null or wordless text has no shingles and links with nothing; fewer words than ``size`` make one shingle;
 rows that share a doc_id count as one document; a null doc_id keeps its row, with the component of its set's
-other documents, or null; other columns are ignored; an empty table gives an empty result.
+other documents, or null; other columns are ignored; an empty table gives an empty result.  A row's links are the
+other rows with a doc_id whose sets are similar, its own set's copies among them; the row of a null doc_id has null.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ BAND = 1.5
 FAN = 8
 BLOCK = 1024
 BROADCAST_ROWS = 500_000  # of 16 bytes each
+VOCABULARY = 1 << 18  # shingles that two trees may share for exact counting by bits
 FILTER_WORDS = 1 << 19  # 64-bit words of the key filter: 4 MB at any input size
 
 
@@ -181,6 +184,53 @@ def dual_traversal(x: SignatureTree, y: SignatureTree, num: int, den: int) -> li
     return links
 
 
+def shared_bits(sides: list[SignatureTree]) -> list[np.ndarray] | None:
+    """Exact bitmaps of the trees' sets (in their order) over the shingles that more than one set has; None if too many."""
+    sets = [s for t in sides for s in t.sets]
+    words, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    width = int(place[-1]) + 1
+    if width > VOCABULARY:
+        return None
+    bits = np.zeros((len(sets), -(-max(1, width) // 64) * 8), dtype=np.uint8)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    many = count[which] > 1
+    row, at = row[many], place[which[many]]
+    np.bitwise_or.at(bits, (row, at >> 3), np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+    cut = len(sides[0].sets)
+    return [bits[:cut].view(U64), bits[cut:].view(U64)][: len(sides)]
+
+
+def all_links(x: SignatureTree, y: SignatureTree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every link between leaves of x and y (of x with itself if y is x), in parts."""
+    same = x is y
+    bits = shared_bits([x] if same else [x, y])
+    depth = max(len(x.levels), len(y.levels))
+    x.raise_to(depth)
+    y.raise_to(depth)
+    left, right = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    for level in range(depth - 1, 0, -1):
+        left, right = _fitting(x, y, level, left, right, num, den)
+        if level > 1:
+            left, right = _children(x, y, level, left, right)
+    for k in range(0, len(left), 512):
+        a, b = left[k : k + 512], right[k : k + 512]
+        if depth > 1:
+            a, b = _children(x, y, 1, a, b)
+        if same:
+            a, b = a[a < b], b[a < b]
+        a, b = _fitting(x, y, 0, a, b, num, den)
+        if not len(a):
+            continue
+        if bits is None:
+            both = np.array([len(np.intersect1d(x.sets[i], y.sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        else:
+            step = max(1, (1 << 21) // bits[0].shape[1])
+            both = np.concatenate([np.bitwise_count(bits[0][a[i : i + step]] & bits[-1][b[i : i + step]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), step)])
+        links = both * (num + den) >= num * (x.levels[0][1][a] + y.levels[0][1][b])
+        yield x.order[a[links]], y.order[b[links]]
+
+
 def _bits(n: int) -> int:
     """Bits of the bitmap of a set of n: two to four for each shingle."""
     return min(1 << 16, 1 << max(8, (2 * n).bit_length()))
@@ -199,13 +249,34 @@ def _walk(sides: list[tuple[list[int], SignatureTree]], num: int, den: int) -> l
     return [(nodes[i], others[j]) for i, j in dual_traversal(x, y, num, den)]
 
 
-def forest_links(size: int, num: int, den: int):
-    """The function of one task: rows (forest, side, node, text) to links (a, b)."""
+def _degrees(sides: list[tuple[list[int], SignatureTree]], copies: dict[int, int], num: int, den: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Links enough to join what all links join, and (node, number of rows that it links with)."""
+    (nodes, x), (others, y) = sides[0], sides[-1]
+    same = x is y
+    left, right = np.array([copies[n] for n in nodes]), np.array([copies[n] for n in others])
+    group, shift = np.arange(len(nodes) + (0 if same else len(others))), 0 if same else len(nodes)
+    of_x, of_y, links = np.zeros(len(nodes), dtype=np.int64), np.zeros(len(others), dtype=np.int64), []
+    for a, b in all_links(x, y, num, den):
+        np.add.at(of_x, a, right[b])
+        np.add.at(of_x if same else of_y, b, left[a])
+        while len(apart := np.flatnonzero(group[a] != group[shift + b])):
+            i, j = int(a[apart[0]]), int(b[apart[0]])
+            links.append((nodes[i], others[j]))
+            group[group == group[shift + j]] = group[i]
+    found = [(n, k) for part, of in ((nodes, of_x), (others, of_y)) for n, k in zip(part, of.tolist(), strict=True) if k]
+    return links, found
+
+
+def forest_links(size: int, num: int, den: int, every: bool = False):
+    """The function of one task: rows (forest, i, j, side, node, copies, text) to links (a, b, null) and, if every link
+    is to be counted, also to rows (a, null, n_links)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
+        degrees: list[tuple[int, int]] = []
         for _, rows in pdf.groupby("forest", sort=False):
             sides: list[dict[int, np.ndarray]] = [{}, {}]
+            copies: dict[int, int] = dict(zip(rows["node"].tolist(), rows["copies"].tolist(), strict=True))
             for side, node, text in zip(rows["side"].tolist(), rows["node"].tolist(), rows["text"], strict=True):
                 s = shingles(np.frombuffer((text or "").encode(), dtype=np.uint8), size)
                 if len(s) and set_hash(s) == node:  # another row may share the doc_id
@@ -215,8 +286,14 @@ def forest_links(size: int, num: int, den: int):
                 (list(sets), SignatureTree(np.stack([bitmap(s, bits) for s in sets.values()]), np.array([len(s) for s in sets.values()]), list(sets.values())))
                 for sets in sides if sets
             ]
-            found += _walk(trees, num, den)
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+            if not every:
+                found += _walk(trees, num, den)
+            elif len(trees) == 2 or (trees and rows["i"].iloc[0] == rows["j"].iloc[0]):  # a block meets itself in one task only
+                links, more = _degrees(trees, copies, num, den)
+                found += links
+                degrees += more
+        a, b, n = [*(x for x, _ in found), *(x for x, _ in degrees)], [*(y for _, y in found), *[None] * len(degrees)], [*[None] * len(found), *(k for _, k in degrees)]
+        return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "n_links": pd.array(n, "Int64")})
 
     return run
 
@@ -328,7 +405,7 @@ def _tasks(rows: DataFrame, n: int, block: int, *forest: str) -> DataFrame:
 
 def _members(forest: DataFrame, reps: DataFrame, block: int) -> DataFrame:
     sizes = forest.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    return written(forest.join(sizes, "component").join(reps, "node").select("doc_id", "node", F.col("component").alias("forest"), "blocks"), "members")
+    return written(forest.join(sizes, "component").join(reps, "node").select("doc_id", "node", "copies", F.col("component").alias("forest"), "blocks"), "members")
 
 
 def refined(docs: DataFrame, large: DataFrame, star: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
@@ -343,32 +420,44 @@ def refined(docs: DataFrame, large: DataFrame, star: DataFrame, size: int, num:
     return components(dealt.groupBy("task", "i", "j").applyInPandas(star_links(num, den), "a long, b long"))
 
 
-def jaccard_links(docs: DataFrame, sets: DataFrame, size: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between set hashes that join just the sets which a chain of similarities num/den joins."""
+def jaccard_links(docs: DataFrame, sets: DataFrame, size: int, num: int, den: int, block: int = BLOCK, every: bool = False) -> DataFrame:
+    """Links (a, b, null) between set hashes that join just the sets which a chain of similarities num/den joins; with
+    every, also (a, null, n_links) of each task, to be summed by a: the rows of the other sets similar to set a."""
     keys = key_table(docs, size, num, den)
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     shared = written(shared, "keys")
     star = key_table(docs, size, num, den, key_filter(shared)).join(shared, "key").filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     star = written(star.distinct(), "stars")
-    reps = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    reps = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     members = _members(components(star), reps, block)
     large = members.filter("blocks > 1")
     finer = _members(refined(docs, large, star, size, num, den, block), reps, block)
     members = members.filter("blocks = 1").unionByName(finer)
     dealt = _tasks(_texts(docs, members), members.count(), block, "forest")
-    return dealt.groupBy("task", "i", "j").applyInPandas(forest_links(size, num, den), "a long, b long")
+    return dealt.groupBy("task", "i", "j").applyInPandas(forest_links(size, num, den, every), "a long, b long, n_links long")
 
 
-def near_duplicate_components(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: the least doc_id that links of similarity num/den reach."""
+def near_duplicate_components(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, every: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row: the least doc_id that links of similarity num/den reach; with
+    every, also n_links, the number of other rows that the row links with."""
     sets = written(set_table(docs, size), "sets")
-    label = components(jaccard_links(docs, sets, size, num, den, block))
-    reps = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    joined = reps.join(label, "node", "left").filter("component is not null or rows > 1").select("node", "least", F.coalesce("component", "node").alias("component"))
+    links = jaccard_links(docs, sets, size, num, den, block, every)
+    if every:
+        links = written(links, "links")
+    label = components(links.filter("b is not null").select("a", "b"))
+    reps = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.count("doc_id").alias("copies"))
+    joined = reps.join(label, "node", "left").filter("component is not null or rows > 1")
+    if every:
+        joined = joined.join(links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n_links").alias("n_links")), "node", "left")
+        joined = joined.withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1)
+    joined = joined.select("node", "least", F.coalesce("component", "node").alias("component"), *(["n_links"] if every else []))
     joined = written(joined, "groups")
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = joined.join(least, "component").select("node", "component_id")
-    return sets.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = joined.join(least, "component").drop("component", "least")
+    out = sets.join(found, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    if not every:
+        return out.select("doc_id", "n_shingles", "component_id")
+    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -380,8 +469,8 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> Dat
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-word shingles, similarity 0.9."""
-    return near_duplicate_components(documents(spark, sf_dir), size=3, num=9, den=10)
+    """Three-word shingles, similarity 0.9, with the number of links."""
+    return near_duplicate_components(documents(spark, sf_dir), size=3, num=9, den=10, every=True)
 
 
 QUERIES = {"op1_jaccard_join": op1_jaccard_join}

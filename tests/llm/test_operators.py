@@ -66,6 +66,36 @@ def test_jaccard_join(docs, k, num, den, block):
     assert got == brute_components(rows, k, num, den)
 
 
+def test_all_links_by_bits_and_by_sets(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = [np.unique(common.mix(rng.integers(0, 1 << 40, n).astype(np.uint64))) for n in (5, 40, 90)]
+    sets = [np.unique(s[rng.random(len(s)) < 0.95]) for s in base for _ in range(30)]
+    sets = [s for s in sets if len(s)]
+    maps, sizes = np.stack([jaccard_join.bitmap(s, 256) for s in sets]), np.array([len(s) for s in sets])
+    true = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i < j and 10 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 9 * (len(sets[i]) + len(sets[j]) - both)}
+    tree = lambda lo, hi: jaccard_join.SignatureTree(maps[lo:hi], sizes[lo:hi], sets[lo:hi])
+    for vocabulary in (1 << 18, 0):
+        monkeypatch.setattr(jaccard_join, "VOCABULARY", vocabulary)
+        one, n, found = tree(0, None), len(sets), []
+        for x, y, p, q in ((one, one, 0, 0), (tree(0, 50), tree(50, n), 0, 50)):
+            found.append([(min(i + p, j + q), max(i + p, j + q)) for a, b in jaccard_join.all_links(x, y, 9, 10) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        assert sorted(found[0]) == sorted(true) and sorted(found[1]) == sorted((i, j) for i, j in true if i < 50 <= j)
+
+
+@pytest.mark.parametrize(("k", "num", "den", "block"), [(3, 9, 10, 1024), (3, 8, 10, 4)])
+def test_jaccard_counts_every_link(spark, docs, odd, k, num, den, block):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").limit(120).union(odd.select(F.col("doc_id") + 10_000_000, "text").filter("doc_id is not null")).collect()]
+    base = max((x for _, x in rows if x and 200 < len(x.split()) < 400), key=len).split()
+    rows += [(20_000_000 + i, " ".join(w + ("x" if j == 9 * i else "") for j, w in enumerate(base))) for i in range(20)] + [(20_000_000 + i, " ".join(base)) for i in range(20, 24)]
+    sets = []
+    for _, x in rows:
+        w = WORD.findall(low(x or ""))
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    want = [sum(i != j and bool(a) and bool(b) and den * (both := len(a & b)) >= num * (len(a) + len(b) - both) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = jaccard_join.near_duplicate_components(spark.createDataFrame(rows, "doc_id long, text string"), k, num, den, block, every=True).collect()
+    assert max(want) >= 23 and sorted((r.doc_id, r.n_links) for r in got) == sorted((i, n) for (i, _), n in zip(rows, want, strict=True))
+
+
 def test_jaccard_odd(spark, odd):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicate_components(odd, 3, 9, 10).collect()]
     assert len(got) == len(ODD)
