@@ -6,8 +6,11 @@ insults in a long text are not averaged away.  Labels are of whole texts, so aft
 each round trains on the segments of toxic texts that the last model ranks first, on the likeliest and some other
 segments of clean texts, and on copies of both with random typing errors.
 
-Fitting takes at most ``SAMPLE`` labelled texts of each class, the least by a seeded hash, the first ``FIT_BYTES``
-bytes of each; a quarter is held back for calibration.  Scoring reads whole texts and nothing but texts.
+Fitting takes at most ``SAMPLE`` different labelled rows (doc_id and text) of each class, the least by a seeded hash; a
+quarter is held back for calibration.  Tasks read these texts whole: they draw the segments of the first pass by
+hash and rank all segments of a text in each round, of which the model fit gets at most ``PIECES`` of a text, and score the held texts for
+calibration.  The calibrated offset is shifted by the log-odds of the share of toxic labels, counted over all of
+them, less those of the held sample, so the classes' caps move no score.
 
 Cases: null or wordless text gets the score of a segment without evidence; null labels are not learned from; with
 labels of one class only, every score is that class's share; repeated rows are scored alike; other columns are carried
@@ -16,6 +19,7 @@ along; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, utf8_rows, word_hashes, word_spans
+from .common import LOWER, documents, utf8_rows, word_hashes, word_spans, written
 from .subword import grams, train
 
 SAMPLE = 1500
-FIT_BYTES = 12_000
+PIECES = 24
 BUCKETS, DIM = 1 << 15, 8
 WORDS = 8
 LEAST = 30
@@ -96,18 +100,54 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
+def drawn(buf: np.ndarray, y: int, model: tuple[np.ndarray, float] | None, seed: int) -> list[bytes]:
+    """Segments of a whole text to learn from: without a model, some by hash; with one, the most toxic of a toxic text,
+    and the likeliest and some by hash of a clean one."""
+    low = distinct_words(buf)
+    pieces = [low[a:b].tobytes() for a, b in zip(*segments(low), strict=True)]
+    by_hash = sorted(pieces, key=lambda t: (zlib.crc32(t, seed), t))
+    if model is None or not pieces:
+        return by_hash[:PIECES]
+    order = np.argsort(-segment_logits(low, *model), kind="stable")
+    return [pieces[i] for i in order[: min(PIECES, max(1, len(pieces) // 12)) if y else 3]] + ([] if y else by_hash[:6])
+
+
+def shifted(b: float, share: float, held: float) -> float:
+    """A calibrated offset for a population with this share of toxic texts, from a sample with another."""
+    return b + float(np.log(share / (1 - share)) - np.log(held / (1 - held)))
+
+
 def fit(labelled: DataFrame, seed: int = 11) -> dict:
     """labelled: (doc_id, text, toxic)."""
     rows = labelled.filter("text is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("y"), "text")
-    share = rows.agg(F.avg("y")).first()[0]
-    h = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
-    picked = [rows.filter(F.col("y") == c).orderBy(h, "doc_id", "text").limit(SAMPLE).select("y", F.substring("text", 1, FIT_BYTES).alias("text")).collect() for c in (0, 1)]
-    if not picked[0] or not picked[1]:
-        return {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0, "a": 0.0, "b": float(np.log((share or 1e-6) / max(1e-6, 1 - (share or 0))))}
+    rows = rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed)))
+    light = written(rows.select("y", "h"), "labelled")
+    counts = {r["y"]: r["count"] for r in light.filter("y in (0, 1)").groupBy("y").count().collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    if not counts.get(0) or not counts.get(1):
+        return {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0, "a": 0.0, "b": float(np.log((share or 1e-6) / max(1e-6, 1 - share)))}
+    ids = [r for c in (0, 1) for r in light.filter(F.col("y") == c).select("y", "h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    chosen = F.broadcast(rows.sparkSession.createDataFrame(ids, "y int, h long"))  # at most 2 * SAMPLE
+    picked = written(rows.join(chosen, ["y", "h"]).select("y", "h", "text"), "picked")
+    is_held = lambda h: h // 8 % 4 == 0
+    both = {y for y, h in ids if is_held(h)} == {0, 1} and {y for y, h in ids if not is_held(h)} == {0, 1}
     rng = np.random.default_rng(seed)
-    texts = [(r["y"], distinct_words(np.frombuffer(r["text"].encode(), dtype=np.uint8))) for part in picked for r in part]
-    held = rng.random(len(texts)) < 0.25
-    pieces = [(y, [buf[a:b].tobytes() for a, b in zip(*segments(buf), strict=True)]) for y, buf in texts]
+
+    def pieces(model: tuple[np.ndarray, float] | None) -> list[tuple[int, bytes]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [
+                    (y, h, k, t)
+                    for y, h, buf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_rows(batch.column(2)), strict=True)
+                    if not (both and is_held(h))
+                    for k, t in enumerate(drawn(buf, y, model, seed))
+                ]
+                if out:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["y", "h", "k", "t"])
+
+        found = picked.mapInArrow(run, "y int, h long, k int, t binary").dropDuplicates(["y", "h", "k"]).collect()  # copies of a row are one
+        return [(r["y"], bytes(r["t"])) for r in sorted(found, key=lambda r: (r["y"], r["h"], r["k"]))]
+
     bag = lambda t: grams(np.frombuffer(t, dtype=np.uint8), BUCKETS)[1].astype(np.int32)
 
     def learn(chosen: list[tuple[int, bytes]], epochs: int):
@@ -117,22 +157,27 @@ def fit(labelled: DataFrame, seed: int = 11) -> dict:
         t = m.table()
         return t[:, 1] - t[:, 0], float(m.bias[1] - m.bias[0])
 
-    some = lambda p, n: [p[i] for i in rng.choice(len(p), min(n, len(p)), replace=False)]
-    table, bias = learn([(y, t) for (y, p), out in zip(pieces, held, strict=True) if not out and p for t in some(p, 24)], 2)
+    first = pieces(None)
+    if {y for y, _ in first} != {0, 1}:
+        return {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0, "a": 0.0, "b": float(np.log(share / (1 - share)))}
+    table, bias = learn(first, 2)
     for _ in range(ROUNDS):
-        chosen = []
-        for (y, p), (_, buf), out in zip(pieces, texts, held, strict=True):
-            if out or not p:
-                continue
-            order = np.argsort(-segment_logits(buf, table, bias))
-            top = [p[i] for i in order[: max(1, len(p) // 12) if y else 3]]
-            for t in top if y else top + some(p, 6):
-                chosen += [(y, t), (y, misspell(t, rng))]
-        table, bias = learn(chosen, 3)
-    at = np.flatnonzero(held) if len({texts[i][0] for i in np.flatnonzero(held)}) == 2 else np.arange(len(texts))
-    z, y = np.array([segment_logits(texts[i][1], table, bias).max() for i in at]), np.array([texts[i][0] for i in at], dtype=float)
+        table, bias = learn([x for y, t in pieces((table, bias)) for x in ((y, t), (y, misspell(t, rng)))], 3)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                (y, h, float(segment_logits(distinct_words(buf), table, bias).max()))
+                for y, h, buf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_rows(batch.column(2)), strict=True)
+                if not both or is_held(h)
+            ]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.float64()), strict=True)], ["y", "h", "z"])
+
+    found = sorted(picked.mapInArrow(held, "y int, h long, z double").dropDuplicates(["y", "h"]).collect())
+    z, y = np.array([r["z"] for r in found]), np.array([r["y"] for r in found], dtype=float)
     a, b = platt(z, y)
-    return {"table": table.astype(np.float32), "bias": bias, "a": a, "b": b}
+    return {"table": table.astype(np.float32), "bias": bias, "a": a, "b": shifted(b, share, float(y.mean()))}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

@@ -313,6 +313,26 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_share_and_whole_texts(spark, monkeypatch):
+    """Capped classes do not move the mean score from the share of labels; an insult behind 12,000 characters is learned."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 120)
+    rng = np.random.default_rng(8)
+    words = np.array(["".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(2500)])
+    rows = []
+    for i in range(1200):
+        toxic = i % 12 == 0
+        w = list(rng.choice(words, 2300 if toxic else 40, replace=False))
+        if toxic:
+            w[2200] = "zzrkkwutz"
+        rows.append((i, " ".join(w), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert len(" ".join(rows[0][1].split()[:2200])) > 12_000
+    assert b"zzrkkwutz" in b" ".join(toxicity.drawn(np.frombuffer(rows[0][1].encode(), np.uint8), 1, (np.where(np.isin(np.arange(toxicity.BUCKETS), toxicity.grams(np.frombuffer(b"zzrkkwutz", np.uint8), toxicity.BUCKETS)[1]), 1.0, 0.0), 0.0), 11))
+    noise = spark.createDataFrame([(i, " ".join(rng.choice(words, 40)), int(i % 12 == 0)) for i in range(1200)], df.schema)
+    new = spark.createDataFrame([(i, " ".join(rng.choice(words, 40))) for i in range(300)], "doc_id long, text string")
+    assert 0.02 < toxicity.score(new, toxicity.fit(noise)).agg(F.avg("score")).first()[0] < 0.2  # 1 of 12; half of the sample
+
+
 def test_cotraining(spark, docs, odd):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = cotraining.op10_quality_classifier(spark, SF).collect()
