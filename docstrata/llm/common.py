@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -21,6 +21,7 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,9 +104,12 @@ def shingles(buf: np.ndarray | None, size: int) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate data; one of our own only where none is set (tests)."""
+    """The cluster's shared folder for intermediate data.  Where none is set, a local session (tests) gets one of its
+    own; a cluster raises, as its executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-docstrata-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -127,13 +131,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from rows(batch)
-
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches bounded by bytes: texts differ in length by orders of magnitude, so a number of rows
+    bounds no memory.  A bound that the session has set stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
@@ -165,10 +168,5 @@ def components(edges: DataFrame) -> DataFrame:
     return written(label, "components")
 
 
-def hash01(key: Column, seed: int) -> Column:
-    """A repeatable number in [0, 1) for a key."""
-    return F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

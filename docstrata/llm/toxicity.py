@@ -7,9 +7,10 @@ each round trains on the segments of toxic texts that the last model ranks first
 segments of clean texts, and on copies of both with random typing errors.
 
 Fitting takes at most ``SAMPLE`` different labelled rows (doc_id and text) of each class, the least by a seeded hash; a
-quarter is held back for calibration.  Tasks read these texts whole: they draw the segments of the first pass by
-hash and rank all segments of a text in each round, of which the model fit gets at most ``PIECES`` of a text, and score the held texts for
-calibration.  The calibrated offset is shifted by the log-odds of the share of toxic labels, counted over all of
+quarter is held back for calibration.  They are chosen by ids and hashes alone, so no text is shuffled to its label;
+only the chosen texts are read again.  Tasks read these texts whole: they draw the segments of the first pass by
+hash (``PIECES`` of a text) and rank all segments of a text in each round, of which the model fit gets ``TOP`` of a toxic
+text and ``LIKELIEST`` and ``OTHERS`` of a clean one, and score the held texts for calibration.  The calibrated offset is shifted by the log-odds of the share of toxic labels, counted over all of
 them, less those of the held sample, so the classes' caps move no score.
 
 Cases: null or wordless text gets the score of a segment without evidence; null labels are not learned from; with
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, utf8_rows, word_hashes, word_spans, written
+from .common import LOWER, documents, map_batches, utf8_rows, word_hashes, word_spans, written
 from .subword import grams, train
 
 SAMPLE = 1500
@@ -35,7 +36,8 @@ PIECES = 24
 BUCKETS, DIM = 1 << 15, 8
 WORDS = 8
 LEAST = 30
-ROUNDS = 2
+ROUNDS = 3
+TOP, LIKELIEST, OTHERS = 3, 6, 6  # segments of a toxic text, of a clean one by rank, and by hash
 
 
 def distinct_words(buf: np.ndarray) -> np.ndarray:
@@ -109,7 +111,7 @@ def drawn(buf: np.ndarray, y: int, model: tuple[np.ndarray, float] | None, seed:
     if model is None or not pieces:
         return by_hash[:PIECES]
     order = np.argsort(-segment_logits(low, *model), kind="stable")
-    return [pieces[i] for i in order[: min(PIECES, max(1, len(pieces) // 12)) if y else 3]] + ([] if y else by_hash[:6])
+    return [pieces[i] for i in order[: TOP if y else LIKELIEST]] + ([] if y else by_hash[:OTHERS])
 
 
 def shifted(b: float, share: float, held: float) -> float:
@@ -117,18 +119,20 @@ def shifted(b: float, share: float, held: float) -> float:
     return b + float(np.log(share / (1 - share)) - np.log(held / (1 - held)))
 
 
-def fit(labelled: DataFrame, seed: int = 11) -> dict:
-    """labelled: (doc_id, text, toxic)."""
-    rows = labelled.filter("text is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("y"), "text")
-    rows = rows.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed)))
-    light = written(rows.select("y", "h"), "labelled")
-    counts = {r["y"]: r["count"] for r in light.filter("y in (0, 1)").groupBy("y").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> dict:
+    """docs (doc_id, text), labels (doc_id, toxic)."""
+    h = F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed))
+    keyed = docs.filter("text is not null and doc_id is not null").select("doc_id", h.alias("h"))
+    given = labels.filter("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("y"))
+    light = written(keyed.join(given, "doc_id").select("y", "h"), "labelled")
+    counts = {r["y"]: r["count"] for r in light.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if not counts.get(0) or not counts.get(1):
         return {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0, "a": 0.0, "b": float(np.log((share or 1e-6) / max(1e-6, 1 - share)))}
     ids = [r for c in (0, 1) for r in light.filter(F.col("y") == c).select("y", "h").distinct().orderBy("h").limit(SAMPLE).collect()]
-    chosen = F.broadcast(rows.sparkSession.createDataFrame(ids, "y int, h long"))  # at most 2 * SAMPLE
-    picked = written(rows.join(chosen, ["y", "h"]).select("y", "h", "text"), "picked")
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "y int, h long"))  # at most 2 * SAMPLE
+    found = docs.select(h.alias("h"), "text").join(chosen, "h").select("y", "h", "text")
+    picked = written(found.dropDuplicates(["y", "h"]), "picked")  # copies of a row are one
     is_held = lambda h: h // 8 % 4 == 0
     both = {y for y, h in ids if is_held(h)} == {0, 1} and {y for y, h in ids if not is_held(h)} == {0, 1}
     rng = np.random.default_rng(seed)
@@ -145,7 +149,7 @@ def fit(labelled: DataFrame, seed: int = 11) -> dict:
                 if out:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["y", "h", "k", "t"])
 
-        found = picked.mapInArrow(run, "y int, h long, k int, t binary").dropDuplicates(["y", "h", "k"]).collect()  # copies of a row are one
+        found = map_batches(picked, run, "y int, h long, k int, t binary").collect()
         return [(r["y"], bytes(r["t"])) for r in sorted(found, key=lambda r: (r["y"], r["h"], r["k"]))]
 
     bag = lambda t: grams(np.frombuffer(t, dtype=np.uint8), BUCKETS)[1].astype(np.int32)
@@ -162,7 +166,7 @@ def fit(labelled: DataFrame, seed: int = 11) -> dict:
         return {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0, "a": 0.0, "b": float(np.log(share / (1 - share)))}
     table, bias = learn(first, 2)
     for _ in range(ROUNDS):
-        table, bias = learn([x for y, t in pieces((table, bias)) for x in ((y, t), (y, misspell(t, rng)))], 3)
+        table, bias = learn([x for y, t in pieces((table, bias)) for x in ((y, t), (y, misspell(t, rng)))], 4)
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +178,7 @@ def fit(labelled: DataFrame, seed: int = 11) -> dict:
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.float64()), strict=True)], ["y", "h", "z"])
 
-    found = sorted(picked.mapInArrow(held, "y int, h long, z double").dropDuplicates(["y", "h"]).collect())
+    found = sorted(map_batches(picked, held, "y int, h long, z double").collect())
     z, y = np.array([r["z"] for r in found]), np.array([r["y"] for r in found], dtype=float)
     a, b = platt(z, y)
     return {"table": table.astype(np.float32), "bias": bias, "a": a, "b": shifted(b, share, float(y.mean()))}
@@ -194,14 +198,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -30, 30)))
             yield pa.record_batch([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held).select("doc_id", "toxic")
-    model = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = fit(docs, labels)
     return score(docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
