@@ -1,16 +1,17 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
 A text of at most ``chunk`` code points is one chunk.  A longer one is cut into chunks that overlap; the chunks are
-dealt to all tasks and pre-tokenised there.  A chunk's boundary is sure if the match before it ended short of the
-chunk's end.  What the pattern matches from a boundary on depends only on the text from there on, so two neighbours
-agree after the first boundary that both have in their overlap, if it is sure in the first: that is where they are
-stitched.  Then each chunk's pieces are merged by rank, and the ids are put together in order.  Where two neighbours
-never resynchronise (a run of letters longer than the overlap), that text is pre-tokenised as one chunk.
+dealt to all tasks, and pre-tokenised and merged by rank there.  A chunk's boundary is sure if the match before it ended
+short of the chunk's end.  What the pattern matches from a boundary on depends only on the text from there on, so two
+neighbours agree after the first boundary that both have in their overlap, if it is sure in the first: that is where
+their ids are stitched.  Where two neighbours never resynchronise (a run of letters longer than the overlap), that text
+is encoded as one chunk.  Batches are bounded by bytes, and a text's chunks and ids are put together in one row.
 
 Decoding looks up each id's bytes and concatenates them; the result need not be valid UTF-8 for a part of a text.
 
 Cases: null text is empty and has no ids; repeated rows give repeated results; null doc_id and other columns are
-carried along; an id outside the vocabulary, or null in ``ids``, raises; an empty table gives an empty result.
+carried along (a column ``ids`` or ``decoded`` of the caller's is replaced); an id outside the vocabulary, or null in
+``ids``, raises; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,18 +21,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, map_batches, written
 
 CHUNK = 32_768
 OVERLAP = 2_048
-CACHED = 200_000
-ROWS = 512
+CACHED = 100_000
+ROWS = 256
+KEY, OF = "__bpe_key", "__bpe_of"
 
 _coders: dict[str, Coder] = {}
 
@@ -105,102 +106,75 @@ def read_vocabulary(path: str) -> bytes:
 
 
 def _chunks(size: int, overlap: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for key, text in zip(pdf["key"], pdf["text"], strict=True):
-                starts = range(0, max(1, len(text) - overlap), size)
-                for no, start in enumerate(starts):
-                    last = no == len(starts) - 1
-                    part = text[start:] if last else text[start : start + size + overlap]
-                    yield pd.DataFrame({"key": [key], "no": [no], "start": [start], "last": [last], "part": [part]})
-
-    return run
-
-
-def _cut(vocabulary: bytes, pattern: str, overlap: int):
-    """Pre-tokenises chunks: their boundaries in the first and last ``overlap`` code points, the last only if sure."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = coder(vocabulary, pattern)
-        for pdf in frames:
-            heads, tails = [], []
-            for start, last, part in zip(pdf["start"], pdf["last"], pdf["part"], strict=True):
-                ends = own.boundaries(part)
-                sure = [e for e in ends if e < len(part) - 1]
-                heads.append([start, *(start + e for e in ends if e <= overlap)] if start else [0])
-                tails.append([] if last else [start + e for e in sure if e >= len(part) - overlap])
-            yield pdf.assign(heads=heads, tails=tails)
-
-    return run
+    """Rows (key, text) to overlapping chunks (key, no, start, last, part), one batch a text."""
 
-
-def _encode_spans(vocabulary: bytes, pattern: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = coder(vocabulary, pattern)
-        for pdf in frames:
-            ids = []
-            for start, part, a, b, loose in zip(pdf["start"], pdf["part"], pdf["from"], pdf["to"], pdf["loose"], strict=True):
-                if loose:
-                    ids.append(np.zeros(0, np.int32))
-                    continue
-                a, b = int(a) - start, (len(part) if pd.isna(b) else int(b) - start)
-                ends = [m.end() for m in own.pattern.finditer(part, a) if m.end() <= b]
-                ids.append(np.frombuffer(own.encode([part[i:j] for i, j in zip([a, *ends], ends, strict=False)]), dtype=np.int32))
-            yield pd.DataFrame({"key": pdf["key"], "no": pdf["no"], "start": pdf["start"], "loose": pdf["loose"], "part": pdf["part"].where(pdf["loose"], ""), "ids": ids})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                starts = range(0, max(1, len(text) - overlap), size)
+                parts = [text[i:] if i == starts[-1] else text[i : i + size + overlap] for i in starts]
+                n = len(parts)
+                yield pa.record_batch([pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(starts, pa.int32()), pa.array([i == n - 1 for i in range(n)]), pa.array(parts, pa.string())], ["key", "no", "start", "last", "part"])
 
     return run
 
 
-def _whole(vocabulary: bytes, pattern: str):
-    """Loose texts, put together again from their chunks, as one chunk each."""
+def _encode_chunks(vocabulary: bytes, pattern: str, overlap: int):
+    """Chunks to (key, no, last, ids, heads, tails).  heads and tails are the boundaries (at, n) in the first and last
+    ``overlap`` code points, with n ids of the chunk before each; of the tails only the sure ones."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary, pattern)
-        for pdf in frames:
-            ids = []
-            for parts in pdf["parts"]:
-                text, size = "", 0
-                for p in sorted(parts, key=lambda p: p["no"]):
-                    text = text[: p["start"]] + p["part"]
-                ids.append(np.frombuffer(own.encode(own.pattern.findall(text)), dtype=np.int32))
-            yield pd.DataFrame({"key": pdf["key"], "ids": ids})
+        for batch in batches:
+            for key, no, start, last, part in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                part = part.as_py()
+                ends = [0, *own.boundaries(part)]
+                pieces = [own.encode([part[i:j]]) for i, j in zip(ends, ends[1:], strict=False)]
+                before = np.concatenate(([0], np.cumsum([len(p) // 4 for p in pieces]))).tolist()
+                heads = [{"at": start + e, "n": n} for e, n in zip(ends, before, strict=True) if e <= overlap] if no else [{"at": 0, "n": 0}]
+                tails = [] if last else [{"at": start + e, "n": n} for e, n in zip(ends, before, strict=True) if len(part) - overlap <= e < len(part) - 1]
+                where = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
+                yield pa.record_batch([pa.array([key]), pa.array([no], pa.int32()), pa.array([last]), id_arrays([b"".join(pieces)]), pa.array([heads], where), pa.array([tails], where)], ["key", "no", "last", "ids", "heads", "tails"])
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs with a column ``ids`` (array of int) in place of any there."""
+def encode(docs: DataFrame, vocabulary: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, keep_text: bool = True) -> DataFrame:
+    """docs with a column ``ids`` (array of int) in place of any there, and without the text unless it is kept."""
     docs = docs.drop("ids")
-    names = docs.columns
-    text_at = names.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>"
+    names = [n for n in docs.columns if keep_text or n != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + ", ids array<int>"
+    text_at = docs.columns.index("text")
 
-    def short_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(vocabulary, pattern)
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                ids = [own.encode(own.pattern.findall(t)) if t else b"" for t in part.column(text_at).to_pylist()]
-                yield pa.record_batch([*part.columns, id_arrays(ids)], [*names, "ids"])
+                ids = [own.encode(own.pattern.findall(t)) if (t := x.as_py()) else b"" for x in part.column(text_at)]
+                yield pa.record_batch([*(c for n, c in zip(docs_names, part.columns, strict=True) if n in names), id_arrays(ids)], [*names, "ids"])
 
+    docs_names = docs.columns
     size = F.coalesce(F.char_length("text"), F.lit(0))
-    short = docs.filter(size <= chunk).mapInArrow(short_rows, schema)
-    long = docs.filter(size > chunk).withColumn("__key", F.monotonically_increasing_id())
-    parts = long.select(F.col("__key").alias("key"), "text").mapInPandas(_chunks(chunk, overlap), "key long, no int, start int, last boolean, part string")
-    parts = parts.repartition("key", "no").mapInPandas(_cut(vocabulary, pattern, overlap), "key long, no int, start int, last boolean, part string, heads array<int>, tails array<int>")
+    short = map_batches(docs.filter(size <= chunk), whole, schema)
+    # Written once with its key, so that every later read attaches the same key to the same text.
+    long = written(docs.filter(size > chunk).withColumn(KEY, F.monotonically_increasing_id()), "long")
+    parts = map_batches(long.select(F.col(KEY).alias("key"), "text"), _chunks(chunk, overlap), "key long, no int, start int, last boolean, part string")
+    where = "array<struct<at:int,n:int>>"
+    coded = map_batches(parts.repartition("key", "no"), _encode_chunks(vocabulary, pattern, overlap), f"key long, no int, last boolean, ids array<int>, heads {where}, tails {where}")
+    # Neighbours are stitched at the first boundary that both have; n of the left chunk's ids lie before it.
     order = W.partitionBy("key").orderBy("no")
-    parts = parts.withColumn("to", F.array_min(F.array_intersect("tails", F.lead("heads").over(order))))
-    parts = parts.withColumn("from", F.coalesce(F.lag("to").over(order), F.lit(0))).withColumn("loose", F.max(F.col("to").isNull() & ~F.col("last")).over(W.partitionBy("key")))
-    spans = parts.drop("heads", "tails", "last").repartition("key", "no").mapInPandas(_encode_spans(vocabulary, pattern), "key long, no int, start int, loose boolean, part string, ids array<int>")
-    texts = spans.groupBy("key").agg(
-        F.max("loose").alias("loose"),
-        F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("spans"),
-        F.collect_list(F.struct("no", "start", "part")).alias("parts"),
-    )
-    tight = texts.filter("not loose").select("key", F.flatten("spans.ids").alias("ids"))
-    loose = texts.filter("loose").select("key", "parts").mapInPandas(_whole(vocabulary, pattern), "key long, ids array<int>")
-    joined = long.join(tight.unionByName(loose), F.col("__key") == F.col("key")).select(*[F.col(f"`{n}`") for n in names], "ids")
-    return short.unionByName(joined)
+    stitched = coded.withColumn("to", F.array_min(F.array_intersect("tails.at", F.lead("heads.at").over(order))))
+    stitched = stitched.withColumn("from", F.coalesce(F.lag("to").over(order), F.lit(0))).withColumn("loose", F.max(F.col("to").isNull() & ~F.col("last")).over(W.partitionBy("key")))
+    at = lambda side, c: F.get(F.filter(side, lambda x: x["at"] == F.col(c)), F.lit(0))["n"]
+    first, end = F.coalesce(at("heads", "from"), F.lit(0)), F.coalesce(at("tails", "to"), F.size("ids"))
+    spans = stitched.select("key", "no", "loose", F.slice("ids", first + 1, F.greatest(end - first, F.lit(0))).alias("ids"))
+    texts = spans.groupBy("key").agg(F.max("loose").alias("loose"), F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("spans"))
+    texts = written(texts.select("key", "loose", F.when(~F.col("loose"), F.flatten("spans.ids")).alias("ids")), "stitched")
+    tight = long.join(texts.filter("not loose").select(F.col("key").alias(OF), "ids"), F.col(KEY) == F.col(OF)).select(*[F.col(f"`{n}`") for n in names], "ids")
+    loose = long.join(texts.filter("loose").select(F.col("key").alias(OF)), F.col(KEY) == F.col(OF)).select(*[F.col(f"`{n}`") for n in docs_names])
+    return short.unionByName(tight).unionByName(map_batches(loose, whole, schema))
 
 
 def decode(rows: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
@@ -223,12 +197,12 @@ def decode(rows: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
                 out = [own.decode(values[a:b] if there else values[:0]).tobytes() for a, b, there in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
                 yield pa.record_batch([*part.columns, pa.array(out, pa.binary())], [*names, "decoded"])
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def digests(docs: DataFrame, vocabulary: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, through encode and decode."""
-    ids = encode(docs.select("doc_id", "text"), vocabulary, pattern, chunk, overlap).select("doc_id", "ids")
+    ids = encode(docs.select("doc_id", "text"), vocabulary, pattern, chunk, overlap, keep_text=False)
     return decode(ids, vocabulary, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
