@@ -24,9 +24,11 @@ Equal sets are one node, so a group of copies costs one leaf.  Nodes are 64-bit
 different sets, the chance that any two share a hash is below 3 %.
 
 Cases: null or wordless text has no shingles and links with nothing; fewer words than ``size`` make one shingle;
-rows that share a doc_id count as one document; a null doc_id keeps its row, with the component of its set's
-other documents, or null; other columns are ignored; an empty table gives an empty result.  A row's links are the
-other rows with a doc_id whose sets are similar, its own set's copies among them; the row of a null doc_id has null.
+rows that share a doc_id count as one document, which goes if any of them does; a row with a null doc_id links like any
+other (its set is told by its hash) and has the least doc_id that its links reach, or null; other columns are ignored;
+an empty table gives an empty result; a text is read whole, however long.  A row's links are the other rows with a
+doc_id whose sets are similar, its own set's copies among them; the row of a null doc_id has null.  Of a group of
+which no row has a doc_id, ``keep_one`` keeps any one row.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, components, documents, mix, shingles, utf8_rows, written
+from .common import U64, components, documents, map_batches, mix, shingles, utf8_rows, written
 
 BAND = 1.5
 FAN = 8
@@ -331,22 +333,43 @@ def signature_table(rows: DataFrame, size: int, num: int, den: int) -> DataFrame
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["node", "n", "bits", "map"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, n long, bits int, map binary")
+    return map_batches(rows.select("node", "text"), run, "node long, n long, bits int, map binary")
 
 
-def set_table(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node, n_shingles): the set hash of every row; node is null for an empty set."""
+def set_table(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(doc_id, node, n_shingles, keys): the set hash of every row, null for an empty set, and the keys of step 1.  A
+    task deals a set once: further copies that it reads have no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            node, n = [], []
+            node, n, keys = [], [], []
             for buf in utf8_rows(batch.column(1)):
                 s = shingles(buf, size)
                 node.append(set_hash(s) if len(s) else None)
                 n.append(len(s))
-            yield pa.record_batch([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "node", "n_shingles"])
+                keys.append(s[:0] if node[-1] in seen else deal_keys(s, num, den))
+                if len(seen) < 1 << 20:
+                    seen.add(node[-1])
+            at = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            dealt = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*keys, np.zeros(0, U64)]).view(np.int64)))
+            yield pa.record_batch([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), dealt], ["doc_id", "node", "n_shingles", "keys"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, node long, n_shingles long, keys array<long>")
+
+
+def nodes_of(docs: DataFrame, size: int) -> DataFrame:
+    """docs with the set hash ``__node`` of each row."""
+    names = docs.columns
+    at = names.index("text")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["__node long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingles(buf, size) for buf in utf8_rows(batch.column(at)))
+            yield pa.record_batch([*batch.columns, pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], [*names, "__node"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, n_shingles long")
+    return map_batches(docs, run, schema)
 
 
 def key_filter(shared: DataFrame) -> np.ndarray:
@@ -358,40 +381,31 @@ def key_filter(shared: DataFrame) -> np.ndarray:
     return out
 
 
-def key_table(docs: DataFrame, size: int, num: int, den: int, only: np.ndarray | None = None) -> DataFrame:
-    """(key, node) of step 1, of the keys that a key filter lets through.  A task deals a set once, however many
-    copies of it the task reads."""
-    passed = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
+def passed_keys(sets: DataFrame, only: np.ndarray) -> DataFrame:
+    """(key, node) of the keys that a key filter lets through."""
+    passed = sets.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        bits = None if passed is None else passed.value
+        bits = passed.value
         for batch in batches:
-            keys, nodes = [], []
-            for buf in utf8_rows(batch.column(0)):
-                s = shingles(buf, size)
-                if not len(s) or (h := set_hash(s)) in seen:
-                    continue
-                if len(seen) < 1 << 20:
-                    seen.add(h)
-                k = deal_keys(s, num, den)
-                if bits is not None:
-                    k = k[(bits[(k & U64(FILTER_WORDS - 1)).astype(np.int64)] >> (k >> U64(58))) & U64(1) == U64(1)]
-                keys.append(k)
-                nodes.append(np.full(len(k), h, dtype=np.int64))
-            if keys:
-                k, h = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
-                for i in range(0, len(k), 1 << 17):
-                    yield pa.record_batch([pa.array(k[i : i + (1 << 17)]), pa.array(h[i : i + (1 << 17)])], ["key", "node"])
-
-    return docs.select("text").mapInArrow(run, "key long, node long")
-
-
-def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Members (doc_id, node, ...) with their texts, which are smaller to shuffle than their sets."""
-    members = members.withColumnRenamed("doc_id", "rep")
+            node, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            k = keys.flatten().to_numpy(zero_copy_only=False).view(U64)
+            h = np.repeat(node, keys.value_lengths().to_numpy(zero_copy_only=False))
+            fits = (bits[(k & U64(FILTER_WORDS - 1)).astype(np.int64)] >> (k >> U64(58))) & U64(1) == U64(1)
+            yield pa.record_batch([pa.array(k[fits].view(np.int64)), pa.array(h[fits])], ["key", "node"])
+
+    return map_batches(sets.filter("size(keys) > 0").select("node", "keys"), run, "key long, node long")
+
+
+def _texts(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """Members (doc_id, node, ...) with their texts, which are smaller to shuffle than their sets.  Sets that only rows
+    without a doc_id have are found by their hash."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = members.filter("doc_id is not null").withColumnRenamed("doc_id", "rep")
     small = members.count() <= BROADCAST_ROWS
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(members) if small else members, F.col("doc_id") == F.col("rep")).drop("doc_id", "rep")
+    found = rows.join(F.broadcast(named) if small else named, F.col("doc_id") == F.col("rep")).drop("doc_id", "rep")
+    lone = nodes_of(rows.filter("doc_id is null").select("text"), size).dropDuplicates(["__node"])
+    return found.unionByName(lone.join(members.filter("doc_id is null"), F.col("__node") == F.col("node")).drop("doc_id", "__node"))
 
 
 def _tasks(rows: DataFrame, n: int, block: int, *forest: str) -> DataFrame:
@@ -410,7 +424,7 @@ def _members(forest: DataFrame, reps: DataFrame, block: int) -> DataFrame:
 
 def refined(docs: DataFrame, large: DataFrame, star: DataFrame, size: int, num: int, den: int, block: int) -> DataFrame:
     """(node, component) of the members (doc_id, node) of large forests, from the stars (a, b) of their pivots."""
-    signs = signature_table(_texts(docs, large.select("doc_id", "node")), size, num, den)
+    signs = signature_table(_texts(docs, large.select("doc_id", "node"), size), size, num, den)
     most = star.groupBy("a").agg(F.ceil((F.count("*") + 1) / block).cast("int").alias("blocks"))
     hot = most.filter("blocks > 1").withColumnRenamed("a", "forest")
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
@@ -423,24 +437,24 @@ def refined(docs: DataFrame, large: DataFrame, star: DataFrame, size: int, num:
 def jaccard_links(docs: DataFrame, sets: DataFrame, size: int, num: int, den: int, block: int = BLOCK, every: bool = False) -> DataFrame:
     """Links (a, b, null) between set hashes that join just the sets which a chain of similarities num/den joins; with
     every, also (a, null, n_links) of each task, to be summed by a: the rows of the other sets similar to set a."""
-    keys = key_table(docs, size, num, den)
+    keys = sets.select(F.explode("keys").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").select("key", "pivot")
     shared = written(shared, "keys")
-    star = key_table(docs, size, num, den, key_filter(shared)).join(shared, "key").filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    star = passed_keys(sets, key_filter(shared)).join(shared, "key").filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     star = written(star.distinct(), "stars")
-    reps = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    reps = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("copies"))
     members = _members(components(star), reps, block)
     large = members.filter("blocks > 1")
     finer = _members(refined(docs, large, star, size, num, den, block), reps, block)
     members = members.filter("blocks = 1").unionByName(finer)
-    dealt = _tasks(_texts(docs, members), members.count(), block, "forest")
+    dealt = _tasks(_texts(docs, members, size), members.count(), block, "forest")
     return dealt.groupBy("task", "i", "j").applyInPandas(forest_links(size, num, den, every), "a long, b long, n_links long")
 
 
-def near_duplicate_components(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, every: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: the least doc_id that links of similarity num/den reach; with
-    every, also n_links, the number of other rows that the row links with."""
-    sets = written(set_table(docs, size), "sets")
+def _groups(docs: DataFrame, size: int, num: int, den: int, block: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The sets (doc_id, node, n_shingles) of all rows, and (node, component, component_id[, n_links]) of the sets that
+    more than one row has or that link with others."""
+    sets = written(set_table(docs, size, num, den), "sets")
     links = jaccard_links(docs, sets, size, num, den, block, every)
     if every:
         links = written(links, "links")
@@ -453,19 +467,31 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, num: int = 8, den:
     joined = joined.select("node", "least", F.coalesce("component", "node").alias("component"), *(["n_links"] if every else []))
     joined = written(joined, "groups")
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = joined.join(least, "component").drop("component", "least")
-    out = sets.join(found, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return sets.drop("keys"), joined.join(least, "component").drop("least")
+
+
+def near_duplicate_components(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, block: int = BLOCK, every: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row: the least doc_id that links of similarity num/den reach; with
+    every, also n_links, the number of other rows that the row links with."""
+    sets, found = _groups(docs, size, num, den, block, every)
+    out = sets.join(found.drop("component"), "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     if not every:
         return out.select("doc_id", "n_shingles", "component_id")
     return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
 
 
-def keep_one(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its group of near copies; all their columns."""
-    label = near_duplicate_components(docs, size, num, den)
-    gone = label.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+def keep_one(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, block: int = BLOCK) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its group of near copies, and one row of each group without a
+    doc_id; all their columns."""
+    sets, found = _groups(docs, size, num, den, block, False)
+    found = written(found, "found")
+    gone = sets.join(found, "node").filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = written(gone, "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    named = docs.filter("doc_id is not null").join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    group = found.select(F.col("node").alias("__n"), F.col("component").alias("__component"), F.col("component_id").alias("__least"))
+    lone = nodes_of(docs.filter("doc_id is null"), size).join(group, F.col("__node") == F.col("__n"), "left")
+    kept = lone.filter("__n is null").unionByName(lone.filter("__n is not null and __least is null").dropDuplicates(["__component"]))
+    return named.unionByName(kept.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
