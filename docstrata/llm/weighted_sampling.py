@@ -14,10 +14,11 @@ differs with t, and 23 bits of the word are packed into one long, so each seed i
 The next document comes from ranges of sorted ids: each range finds its own next ids, and one row a range bridges
 to the next range.
 
-Cases: null text is empty; a text without words draws nothing, and is like another such text only; rows alike in
-doc_id and text count as one document; if rows share a doc_id but not a text, each stays, and the least of their
-heads is what the previous document gets; a null doc_id has no next document: its text is edited with nothing and
-near_next is null; other columns are ignored; an empty table gives an empty result.
+Cases: null text is empty; a text without words draws nothing, and is like another such text only; every row has its
+result, rows alike in doc_id and text the same one (they are sampled once and counted); if rows share a doc_id but not a
+text, the least of their heads is what the previous document gets; a null doc_id has no next document: its text is
+edited with nothing and near_next is null (such rows join with nothing); a very long text is one array of its words'
+hashes in a task; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, documents, written
 
-SAMPLES = 48
-NO_ID = -(1 << 63)  # stands for null inside the job
+SAMPLES = 64
 _UNIT = "2.3283064365386963e-10D"  # 2 ** -32
 _STEP = "9.094947017729282e-13D"  # 2 ** -40
 
@@ -45,8 +45,8 @@ def _draw(seed: int) -> str:
 
 
 def with_terms(rows: DataFrame, text: str) -> DataFrame:
-    """rows with one row for each distinct word of the text column (which goes): h, its hash, w, its count, and
-    lw, the count's logarithm."""
+    """rows with one row for each distinct word of the text column (which goes): h, its hash, w, its count, lw, the
+    count's logarithm, and first, 1 for one of a row's words."""
     keep = [c for c in rows.columns if c != text]
     spaced = text
     for space in (9, 10, 11, 12, 13):
@@ -54,16 +54,17 @@ def with_terms(rows: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("__s", F.expr(f"sort_array(transform(array_remove(split({spaced}, ' '), ''), x -> xxhash64(x)))")).drop(text)
     rows = rows.withColumn("__p", F.expr("case when size(__s) > 0 then filter(sequence(0, size(__s) - 1), i -> i = 0 or __s[i] <> __s[i - 1]) else array() end"))
     rows = rows.withColumn("__t", F.expr("transform(__p, (p, j) -> struct(__s[p] as h, coalesce(get(__p, j + 1), size(__s)) - p as w))"))
-    return rows.select(*keep, F.explode_outer("__t").alias("__x")).select(*keep, F.col("__x.h").alias("h"), F.col("__x.w").cast("long").alias("w"), F.ln("__x.w").alias("lw"))
+    rows = rows.select(*keep, F.posexplode_outer("__t").alias("__i", "__x"))
+    return rows.select(*keep, F.col("__x.h").alias("h"), F.col("__x.w").cast("long").alias("w"), F.ln("__x.w").alias("lw"), (F.coalesce("__i", F.lit(0)) == 0).cast("long").alias("first"))
 
 
 def sample(rows: DataFrame, text: str, samples: int = SAMPLES) -> DataFrame:
     """One row for each different combination of the other columns, with ``sig``: its samples as 32-bit hashes, or
-    null for a text without words."""
+    null for a text without words, and ``rows``, the number of its rows."""
     keys = [c for c in rows.columns if c != text]
-    drawn = with_terms(rows, text).groupBy(*keys).agg(*[F.min(F.expr(_draw(k))).alias(f"__m{k}") for k in range(samples)])
+    drawn = with_terms(rows, text).groupBy(*keys).agg(F.sum("first").alias("rows"), *[F.min(F.expr(_draw(k))).alias(f"__m{k}") for k in range(samples)])
     sig = F.array(*[F.expr(f"cast(shiftright(xxhash64(__m{k}), 32) as int)") for k in range(samples)])
-    return drawn.select(*keys, F.when(F.col("__m0").isNotNull(), sig).alias("sig"))
+    return drawn.select(*keys, "rows", F.when(F.col("__m0").isNotNull(), sig).alias("sig"))
 
 
 def fingerprint(sig: Column, samples: int = SAMPLES) -> Column:
@@ -79,7 +80,7 @@ def likeness(a: str, b: str) -> Column:
 
 def next_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, next_id, n_chars) for each different id, in ascending order, the last followed by the first."""
-    ids = docs.filter(F.col("doc_id") != NO_ID).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
+    ids = docs.groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
     ids = checkpoint(ids.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
     ends = ids.groupBy("range").agg(F.min("doc_id").alias("least"))
     whole = W.orderBy("range")
@@ -88,28 +89,40 @@ def next_ids(docs: DataFrame) -> DataFrame:
     return inner.join(bridge, "range").select("doc_id", F.coalesce("within", "after").alias("next_id"), "n_chars")
 
 
+def repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as the column (which goes) says, in two steps, so that no array is long."""
+    step = 4096
+    rows = rows.withColumn("__a", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / step))))
+    return rows.withColumn("__b", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(step).cast("long"), F.col(times) - F.col("__a") * step)))).drop("__a", "__b", times)
+
+
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
-    # Ids without nulls, so that both joins below share one shuffle of the texts.
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    following = checkpoint(next_ids(docs.select("doc_id", F.char_length("text").alias("n_chars"))))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    named = docs.filter("doc_id is not null")
+    following = checkpoint(next_ids(named.select("doc_id", F.char_length("text").alias("n_chars"))))
     wanted = following.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
-    heads = docs.join(wanted, "doc_id").groupBy("prev_id").agg(F.min(F.expr("left(text, take)")).alias("head"))
-    rows = docs.join(heads.withColumnRenamed("prev_id", "doc_id"), "doc_id", "left")
+    heads = named.join(wanted, "doc_id").groupBy("prev_id").agg(F.min(F.expr("left(text, take)")).alias("head"))
+    rows = named.join(heads.withColumnRenamed("prev_id", "doc_id"), "doc_id", "left")
+    rows = rows.unionByName(docs.filter("doc_id is null").withColumn("head", F.lit("")))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
-    edited = F.concat(F.expr("left(text, cast(n_chars as int) - half)"), F.when(F.col("head").isNull(), F.expr("right(text, half)")).otherwise(F.expr("left(head, half)")))
+    edited = F.concat(F.expr("left(text, cast(n_chars as int) - half)"), F.expr("left(head, half)"))
     rows = rows.withColumn("edited", edited).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("same"),
         F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x"),
     )
     drawn = sample(rows.select("doc_id", "n_chars", "edited_sha256", "same", F.col("x.v").alias("v"), F.col("x.t").alias("t")), "t", samples)
     pick = lambda v: F.first(F.when(F.col("v") == v, F.col("sig")), ignorenulls=True)
-    both = written(drawn.groupBy("doc_id", "n_chars", "edited_sha256", "same").agg(pick(0).alias("sig"), pick(1).alias("edited_sig")), "fingerprints")
-    least = both.filter(F.col("doc_id") != NO_ID).groupBy("doc_id").agg(F.min_by("sig", "same").alias("next_sig")).withColumnRenamed("doc_id", "next_id")
-    linked = following.select("doc_id", "next_id").join(least, "next_id", "left").withColumn("linked", F.lit(True))
-    return both.join(linked, "doc_id", "left").select(
-        F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", fingerprint(F.col("sig"), samples).alias("fingerprint"), fingerprint(F.col("edited_sig"), samples).alias("edited_fingerprint"),
-        likeness("sig", "edited_sig").alias("near_edited"), F.when(F.col("linked"), likeness("sig", "next_sig")).alias("near_next"),
+    both = drawn.groupBy("doc_id", "n_chars", "edited_sha256", "same").agg(pick(0).alias("sig"), pick(1).alias("edited_sig"), F.max("rows").alias("rows"))
+    both = written(both, "fingerprints")
+    named = both.filter("doc_id is not null")
+    least = named.groupBy("doc_id").agg(F.min_by("sig", "same").alias("next_sig")).withColumnRenamed("doc_id", "next_id")
+    linked = following.select("doc_id", "next_id").join(least, "next_id").select("doc_id", "next_sig")
+    near = named.join(linked, "doc_id").withColumn("near_next", likeness("sig", "next_sig"))
+    lone = both.filter("doc_id is null").withColumn("next_sig", F.lit(None).cast("array<int>")).withColumn("near_next", F.lit(None).cast("double"))
+    return repeated(near.unionByName(lone), "rows").select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sig"), samples).alias("fingerprint"), fingerprint(F.col("edited_sig"), samples).alias("edited_fingerprint"),
+        likeness("sig", "edited_sig").alias("near_edited"), "near_next",
     )
 
 
