@@ -14,7 +14,8 @@ import numpy as np
 from .common import IS_SPACE, LOWER, U64
 
 SIZES = (3, 4, 5)
-LEAST_STEPS = 250
+LEAST_STEPS = 250  # and at least CLASS_STEPS for each class
+CLASS_STEPS = 20
 _CODE = ((np.arange(1, 257, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(20)).astype(np.uint32)
 
 
@@ -46,6 +47,26 @@ def grams(buf: np.ndarray, buckets: int, sizes: Sequence[int] = SIZES, fold: boo
     return np.concatenate(at), np.concatenate(ids).astype(np.int64)
 
 
+Bag = tuple[np.ndarray, np.ndarray]  # different buckets of a text, and the share of its n-grams in each
+NO_BAG: Bag = (np.zeros(1, np.uint16), np.zeros(1, np.float32))
+
+
+def bag(ids: np.ndarray, buckets: int) -> Bag:
+    """Of the buckets (at most 2 ** 16) of all n-grams of a text: its size is bounded, however long the text."""
+    count = np.bincount(ids, minlength=buckets) if len(ids) else np.zeros(0, np.int64)
+    different = np.flatnonzero(count)
+    return different.astype(np.uint16), (count[different] / max(1, len(ids))).astype(np.float32)
+
+
+def pack(b: Bag) -> bytes:
+    return b[0].tobytes() + b[1].tobytes()
+
+
+def unpack(data: bytes) -> Bag:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint16, n), np.frombuffer(data, np.float32, n, 2 * n)
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -62,28 +83,28 @@ class Model:
         """Each bucket's logits."""
         return (self.vectors @ self.matrix).astype(np.float32)
 
-    def step(self, bags: list[np.ndarray], y: np.ndarray, rate: float, weight: np.ndarray) -> None:
-        """One SGD step on a batch of bags of n-gram buckets."""
-        sizes = np.array([max(1, len(b)) for b in bags])
-        ids = np.concatenate([b if len(b) else np.zeros(1, np.int64) for b in bags])
+    def step(self, bags: list[Bag], y: np.ndarray, rate: float, weight: np.ndarray) -> None:
+        """One SGD step on a batch of bags."""
+        bags = [b if len(b[0]) else NO_BAG for b in bags]
+        sizes = np.array([len(ids) for ids, _ in bags])
+        ids, part = (np.concatenate(x) for x in zip(*bags, strict=True))
         row = np.repeat(np.arange(len(bags)), sizes)
         first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        mean = np.add.reduceat(self.vectors[ids], first, axis=0) / sizes[:, None]
+        mean = np.add.reduceat(self.vectors[ids] * part[:, None], first, axis=0)
         p = softmax(mean @ self.matrix + self.bias)
         p[np.arange(len(bags)), y] -= 1
         p *= weight[:, None] / len(bags)
-        pull = (p @ self.matrix.T) / sizes[:, None]
+        change = (p @ self.matrix.T)[row] * part[:, None]
         self.matrix -= rate * mean.T @ p
         self.bias -= rate * p.sum(axis=0)
-        change = pull[row].astype(np.float32)
         for d in range(self.vectors.shape[1]):
             self.vectors[:, d] -= rate * np.bincount(ids, weights=change[:, d], minlength=len(self.vectors)).astype(np.float32)
 
 
-def train(bags: Callable[[int], np.ndarray], y: np.ndarray, classes: int, buckets: int, dim: int, epochs: int, rate: float, seed: int, batch: int = 32, weight: np.ndarray | None = None) -> Model:
-    """bags(i) gives row i's buckets; the rate falls to zero along the epochs.  Few rows get more epochs, for
-    LEAST_STEPS steps at least."""
-    epochs = max(epochs, -(-LEAST_STEPS * batch // max(1, len(y))))
+def train(bags: Callable[[int], Bag], y: np.ndarray, classes: int, buckets: int, dim: int, epochs: int, rate: float, seed: int, batch: int = 32, weight: np.ndarray | None = None) -> Model:
+    """bags(i) gives row i's bag; the rate falls to zero along the epochs.  Few rows get more epochs, for
+    LEAST_STEPS steps at least, or more with many classes."""
+    epochs = max(epochs, -(-max(LEAST_STEPS, CLASS_STEPS * classes) * batch // max(1, len(y))))
     model, rng = Model(buckets, dim, classes, seed), np.random.default_rng(seed)
     weight = np.ones(len(y)) if weight is None else weight
     total, done = max(1, epochs * ((len(y) + batch - 1) // batch)), 0
@@ -103,3 +124,7 @@ def bag_logits(ids: np.ndarray, table: np.ndarray, bias: np.ndarray) -> np.ndarr
     if len(ids) > len(table) // 8:
         return np.bincount(ids, minlength=len(table)) @ table / len(ids) + bias
     return table[ids].sum(axis=0) / len(ids) + bias
+
+
+def logits_of(b: Bag, table: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return b[1] @ table[b[0]] + bias

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, documents, map_batches, utf8_rows, word_hashes, word_spans, written
-from .subword import grams, train
+from .subword import bag, grams, train
 
 SAMPLE = 1500
 PIECES = 24
@@ -152,10 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> dict:
         found = map_batches(picked, run, "y int, h long, k int, t binary").collect()
         return [(r["y"], bytes(r["t"])) for r in sorted(found, key=lambda r: (r["y"], r["h"], r["k"]))]
 
-    bag = lambda t: grams(np.frombuffer(t, dtype=np.uint8), BUCKETS)[1].astype(np.int32)
+    bag_of = lambda t: bag(grams(np.frombuffer(t, dtype=np.uint8), BUCKETS)[1], BUCKETS)
 
     def learn(chosen: list[tuple[int, bytes]], epochs: int):
-        bags, y = [bag(t) for _, t in chosen], np.array([c for c, _ in chosen])
+        bags, y = [bag_of(t) for _, t in chosen], np.array([c for c, _ in chosen])
         weight = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
         m = train(lambda i: bags[i], y, 2, BUCKETS, DIM, epochs, 20.0, seed, 64, weight)
         t = m.table()
