@@ -2,42 +2,48 @@
 
 The text view averages case-keeping character n-gram embeddings into a linear softmax.  The metadata view is a logistic
 regression over what a page's record says without its words: language, source, length and layout (lines, their
-length, shares of capitals, digits and other signs).  Both start from the labelled sample; in each round each view
-labels the unlabelled pool's documents that it is most sure of, as many of each class as that class's share asks,
-for the other view.  Held labelled documents calibrate both views; the score is their combined probability.
+length, shares of capitals, digits and other signs).  Both start from the labelled sample.  In each round both views
+score all unlabelled documents, in Spark; each view then hands the other the ``PICKS`` different documents that it is
+most sure of, among those not handed over before, as many of each class as that class's share asks.  Where both
+views are sure of a document and differ, neither gets it.  Held labelled documents calibrate both views; the score is
+their combined probability.
 
 A document is rejected below the cut-off, the lower of ``CUT`` and the score that ``REJECT`` of the held good documents
-fall below, so clean documents stay.  The sample has at most ``LABELLED`` and the pool ``POOL`` documents, the least by
-a seeded hash, ``FIT_BYTES`` bytes of each; scoring reads whole documents.
-
-Cases: null text, lang, source and n_chars are values of their own; null labels are not learned from; without both
-classes every score is 1 and all are kept; repeated rows are scored alike; other columns are carried along; an empty
-table gives an empty result.
+fall below, so clean documents stay.  The fit is bounded: at most ``LABELLED`` labelled documents, the least by a seeded
+hash, and ``PICKS`` of each view a round.  Tasks read these whole, and turn each into n-gram shares and features, which
+is all that the driver gets; the same functions serve fit and score.
+
+Cases: null text, lang, source and n_chars are values of their own; null labels, and labels of a doc_id that has both
+classes, are not learned from; of different rows of one labelled doc_id, the one with the least hash is learned from;
+ties in the order of confidence go to the lesser hash; without both classes every score is 1 and all are kept; repeated
+rows are scored alike, and learned from once; a very long text is scored whole; other columns are carried along, but
+those named like the new ones are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix, utf8_rows
-from .subword import bag_logits, grams, train
+from .common import documents, map_batches, mix, utf8_rows, written
+from .subword import Bag, bag, bag_logits, grams, logits_of, pack, train, unpack
 from .toxicity import platt
 
-LABELLED, POOL = 1500, 1500
-FIT_BYTES = 8000
+LABELLED, PICKS = 1500, 300
 BUCKETS, DIM, SIZES = 1 << 15, 8, (2, 3, 4)
-ROUNDS = 3
+ROUNDS = 2
 SURE = 0.95
 CUT, REJECT = 0.5, 0.005
 SLOTS = 16
+KEYED = ("h", "text", "lang", "source", "n_chars")
+NOTHING = np.zeros(0, np.uint8)
 
 
-def text_bag(buf: np.ndarray) -> np.ndarray:
+def text_grams(buf: np.ndarray) -> np.ndarray:
     return grams(buf, BUCKETS, SIZES, fold=False)[1]
 
 
@@ -68,102 +74,151 @@ def fit_linear(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 1.0
     return w
 
 
+def record_hash(seed: int) -> Column:
+    """Of all that a document is judged by."""
+    parts = [x for c in ("text", "lang", "source", "n_chars") for x in (F.col(c), F.isnull(c))]
+    return F.xxhash64(*parts, F.lit(seed))
+
+
+def _views(batch: pa.RecordBatch, at: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, metadata) of each row of a batch, whose columns at are text, lang, source and n_chars."""
+    lang, source, size = (batch.column(i).to_pylist() for i in at[1:])
+    for i, buf in enumerate(utf8_rows(batch.column(at[0]))):
+        buf = NOTHING if buf is None else buf
+        yield buf, metadata(buf, lang[i], source[i], None if size[i] is None else int(size[i]))
+
+
+def features(keyed: DataFrame, chosen: Sequence[int]) -> dict[int, tuple[Bag, np.ndarray]]:
+    """hash to (bag, metadata) of the chosen (few) hashes, from keyed documents (h, text, lang, source, n_chars)."""
+    if not chosen:
+        return {}
+    few = F.broadcast(keyed.sparkSession.createDataFrame([(h,) for h in chosen], "h long"))  # at most LABELLED or 2 * PICKS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            out = []
+            for h, (buf, meta) in zip(batch.column(0).to_pylist(), _views(batch, (1, 2, 3, 4)), strict=True):
+                if h not in seen:
+                    seen.add(h)
+                    out.append((h, pack(bag(text_grams(buf), BUCKETS)), meta.tolist()))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.float64())), strict=True)], ["h", "bag", "meta"])
+
+    rows = map_batches(keyed.join(few, "h").select(*KEYED), run, "h long, bag binary, meta array<double>").dropDuplicates(["h"])
+    return {r["h"]: (unpack(r["bag"]), np.array(r["meta"])) for r in rows.toArrow().to_pylist()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 23) -> dict | None:
     """docs (doc_id, text, lang, source, n_chars), labels (doc_id, quality)."""
-    labels = labels.filter("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y"))
-    h = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
-    # Twice the sample, as some labelled documents may not be in docs.
-    ids = labels.dropDuplicates(["doc_id"]).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(h, "doc_id").limit(LABELLED)
-    pool = docs.select("doc_id").filter("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(h, "doc_id").limit(POOL).withColumn("y", F.lit(None).cast("int"))
-    chosen = F.broadcast(ids.unionByName(pool).withColumnRenamed("doc_id", "__id"))  # at most LABELLED + POOL ids
-    rows = docs.join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "y", F.substring("text", 1, FIT_BYTES).alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    texts = [np.frombuffer((r["text"] or "").encode(), dtype=np.uint8) for r in rows]
-    bags = [text_bag(t).astype(np.int32) for t in texts]
-    x = np.array([metadata(t, r["lang"], r["source"], r["n_chars"]) for t, r in zip(texts, rows, strict=True)])
-    y = np.array([-1 if r["y"] is None else r["y"] for r in rows])
-    rng = np.random.default_rng(seed)
-    given = np.flatnonzero(y >= 0)
-    if len(set(y[given].tolist())) < 2:
+    keyed = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).withColumn("h", record_hash(seed))
+    labels = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("z")).filter("y = z").drop("z")
+    given = keyed.select("doc_id", "h").join(labels, "doc_id").groupBy("doc_id", "y").agg(F.min("h").alias("h"))
+    rows = given.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), "doc_id").limit(LABELLED).select("h", "y").collect()
+    label = {r["h"]: r["y"] for r in sorted(rows)}
+    if len(set(label.values())) < 2:
         return None
-    held = given[rng.random(len(given)) < 0.3]
-    if len(set(y[held].tolist())) < 2:
-        held = given
-    known = np.setdiff1d(given, held) if len(held) < len(given) and len(set(y[np.setdiff1d(given, held)].tolist())) == 2 else given
-    free = np.flatnonzero(y < 0)
-    share = y[known].mean()
+    known = features(keyed, list(label))
+    given_hashes = sorted(known)
+    held = [h for h in given_hashes if h // 64 % 10 < 3]
+    fit_on = [h for h in given_hashes if h // 64 % 10 >= 3]
+    if len({label[h] for h in held}) < 2 or len({label[h] for h in fit_on}) < 2:
+        held = fit_on = given_hashes
+    share = float(np.mean([label[h] for h in fit_on]))
+    goal = np.array([label[h] for h in held], dtype=float)
     extra: dict[str, dict[int, int]] = {"text": {}, "meta": {}}
 
-    def learn_text():
-        at = np.array([*known, *extra["text"]], dtype=np.int64)
-        goal = np.array([*y[known], *extra["text"].values()], dtype=np.int64)
-        weight = np.where(goal == 1, 0.5 / max(1e-9, goal.mean()), 0.5 / max(1e-9, 1 - goal.mean()))
-        m = train(lambda i: bags[at[i]], goal, 2, BUCKETS, DIM, 3, 20.0, seed, 32, weight)
-        t = m.table()
-        return t[:, 1] - t[:, 0], float(m.bias[1] - m.bias[0])
-
-    def learn_meta():
-        at = np.array([*known, *extra["meta"]], dtype=np.int64)
-        return fit_linear(x[at], np.array([*y[known], *extra["meta"].values()], dtype=float))
-
-    def text_z(view, at):
-        return np.array([bag_logits(bags[i], view[0][:, None], np.array([view[1]]))[0] for i in at])
-
-    for turn in range(ROUNDS + 1):
-        tv, mv = learn_text(), learn_meta()
-        if turn == ROUNDS or not len(free):
+    def sample(view: str) -> tuple[list[tuple[Bag, np.ndarray]], np.ndarray]:
+        at = [*fit_on, *extra[view]]
+        return [known[h] for h in at], np.array([*(label[h] for h in fit_on), *extra[view].values()])
+
+    def learn() -> dict:
+        xs, y = sample("text")
+        weight = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
+        m = train(lambda i: xs[i][0], y, 2, BUCKETS, DIM, 3, 20.0, seed, 32, weight)
+        table, bias = m.table(), m.bias
+        view = {"table": np.ascontiguousarray(table[:, 1:] - table[:, :1]), "bias": bias[1:] - bias[:1]}
+        xs, y = sample("meta")
+        view["meta"] = fit_linear(np.array([x for _, x in xs]), y.astype(float))
+        tz = np.array([logits_of(known[h][0], view["table"], view["bias"])[0] for h in held])
+        mz = np.array([known[h][1] @ view["meta"] for h in held])
+        view["cal"] = (*platt(tz, goal), *platt(mz, goal))
+        return view
+
+    model = learn()
+    for _ in range(ROUNDS):
+        scored = written(_logits(keyed, model), "scores")
+        free = scored.join(labels.select("doc_id"), "doc_id", "left_anti").groupBy("h").agg(F.first("text_z").alias("text_z"), F.first("meta_z").alias("meta_z"))
+        free = written(free.filter(~F.col("h").isin([*known])), "free")  # known: the documents of the fit, bounded
+        picks: dict[str, dict[int, int]] = {"text": {}, "meta": {}}
+        sure = float(np.log(SURE / (1 - SURE)))
+        for z, pupil in (("text_z", "meta"), ("meta_z", "text")):
+            for y, order, part in ((1, F.desc(z), share), (0, F.asc(z), 1 - share)):
+                able = free.filter(F.col(z) >= sure) if y else free.filter(F.col(z) <= -sure)
+                for r in able.orderBy(order, "h").limit(max(1, int(PICKS * part))).select("h").collect():
+                    picks[pupil][r["h"]] = y
+        apart = {h for h in picks["text"].keys() & picks["meta"].keys() if picks["text"][h] != picks["meta"][h]}
+        for pupil, found in picks.items():
+            extra[pupil] |= {h: y for h, y in sorted(found.items()) if h not in apart}
+        if not any(picks.values()):
             break
-        for teacher, pupil, z in (("text", "meta", text_z(tv, free)), ("meta", "text", x[free] @ mv)):
-            _ = teacher
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            most = max(10, len(free) // 10)
-            for label, sure, part in ((1, p, share), (0, 1 - p, 1 - share)):
-                order = np.argsort(-sure)[: max(1, int(most * part))]
-                for i in order[sure[order] >= SURE]:
-                    extra[pupil].setdefault(int(free[i]), label)
-    ta, tb = platt(text_z(tv, held), y[held].astype(float))
-    ma, mb = platt(x[held] @ mv, y[held].astype(float))
-    both = np.stack([ta * text_z(tv, held) + tb, ma * (x[held] @ mv) + mb], axis=1)
-    w = fit_linear(np.column_stack([both / 4, np.ones(len(held))]), y[held].astype(float))
-    model = {"table": tv[0].astype(np.float32)[:, None], "bias": np.array([tv[1]]), "meta": mv, "cal": (ta, tb, ma, mb), "w": w}
-    s = combine(model, both[:, 0], both[:, 1])[y[held] == 1]
+        known |= features(keyed, sorted(picks["text"].keys() | picks["meta"].keys()))
+        model = learn()
+    ta, tb, ma, mb = model["cal"]
+    both = np.array([[ta * logits_of(known[h][0], model["table"], model["bias"])[0] + tb, ma * (known[h][1] @ model["meta"]) + mb] for h in held])
+    model["w"] = fit_linear(np.column_stack([both / 4, np.ones(len(held))]), goal)
+    s = combine(model, both[:, 0], both[:, 1])[goal == 1]
     model["cut"] = float(min(CUT, np.quantile(s, REJECT))) if len(s) else 0.0
     return model
 
 
+def _logits(keyed: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, h, text_z, meta_z) of keyed documents: the calibrated logits of both views."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = view_logits(batch, (2, 3, 4, 5), model)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(z[:, 0]), pa.array(z[:, 1])], ["doc_id", "h", "text_z", "meta_z"])
+
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    return map_batches(keyed.select("doc_id", *KEYED), run, f"doc_id {kind}, h long, text_z double, meta_z double")
+
+
+def view_logits(batch: pa.RecordBatch, at: Sequence[int], model: dict) -> np.ndarray:
+    """The calibrated logits of both views for each row."""
+    z = np.array([[bag_logits(text_grams(buf), model["table"], model["bias"])[0], meta @ model["meta"]] for buf, meta in _views(batch, at)]).reshape(-1, 2)
+    ta, tb, ma, mb = model["cal"]
+    return z * [ta, ma] + [tb, mb]
+
+
 def combine(model: dict, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
     z = model["w"][0] * text / 4 + model["w"][1] * meta / 4 + model["w"][2]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+MADE = ("text_score", "meta_score", "quality_score", "accepted")
+
+
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """docs with text_score, meta_score, quality_score (0 to 1) and accepted."""
-    docs = docs.drop("text_score", "meta_score", "quality_score", "accepted")
+    docs = docs.drop(*MADE)
     names = docs.columns
-    cols = [names.index(c) for c in ("text", "lang", "source", "n_chars")]
+    at = [names.index(c) for c in ("text", "lang", "source", "n_chars")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["text_score double", "meta_score double", "quality_score double", "accepted boolean"])
-    empty = np.zeros(0, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if model is None or not n:
                 ones = pa.array(np.ones(n), pa.float64())
-                yield pa.record_batch([*batch.columns, ones, ones, ones, pa.array([True] * n, pa.bool_())], [*names, "text_score", "meta_score", "quality_score", "accepted"])
+                yield pa.record_batch([*batch.columns, ones, ones, ones, pa.array([True] * n, pa.bool_())], [*names, *MADE])
                 continue
-            lang, source, size = (batch.column(i).to_pylist() for i in cols[1:])
-            tz, mz = np.zeros(n), np.zeros(n)
-            for i, buf in enumerate(utf8_rows(batch.column(cols[0]))):
-                buf = empty if buf is None else buf
-                tz[i] = bag_logits(text_bag(buf), model["table"], model["bias"])[0]
-                mz[i] = metadata(buf, lang[i], source[i], None if size[i] is None else int(size[i])) @ model["meta"]
-            ta, tb, ma, mb = model["cal"]
-            t, m = ta * tz + tb, ma * mz + mb
-            s = combine(model, t, m)
-            p = lambda z: pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
-            yield pa.record_batch([*batch.columns, p(t), p(m), pa.array(s, pa.float64()), pa.array(s >= model["cut"], pa.bool_())], [*names, "text_score", "meta_score", "quality_score", "accepted"])
-
-    return docs.mapInArrow(run, schema)
+            z = view_logits(batch, at, model)
+            s = combine(model, z[:, 0], z[:, 1])
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            yield pa.record_batch([*batch.columns, *(pa.array(x, pa.float64()) for x in (p[:, 0], p[:, 1], s)), pa.array(s >= model["cut"], pa.bool_())], [*names, *MADE])
+
+    return map_batches(docs, run, schema)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
