@@ -9,7 +9,8 @@ The canonical URL is ``.host``, a separator that no text contains, then the path
 any run within the host or within the path, ``**`` any run at all, ``?`` one character, ``|`` the separator.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no prefix rule and is judged by the
-globs alone; repeated urls are judged alike; very long urls are read whole; other columns are carried along.
+globs alone; repeated urls are judged alike; very long urls are read whole; other columns are
+carried along, but those named like the new ones are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import utf8_rows
+from .common import map_batches, utf8_rows
 
 SEPARATOR = 0xFF
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -121,7 +122,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], block_globs: Seque
             verdict = [ranked[j][0] if r else "block" if b else default for r, j, b in zip(ruled, first, blocked, strict=True)]
             yield pa.record_batch([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*names, "rule", "verdict"])
 
-    return pages.mapInArrow(run, schema)
+    return map_batches(pages, run, schema)
 
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))

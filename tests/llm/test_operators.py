@@ -105,6 +105,19 @@ def test_jaccard_odd(spark, odd):
     assert sorted(r.doc_id for r in jaccard_join.keep_one(odd, 3, 9, 10).collect() if r.doc_id) == [1, 2, 3, 4, 6, 7, 8]
 
 
+@pytest.mark.parametrize("n_id", [None, 2])
+def test_jaccard_links_through_rows_without_an_id(spark, n_id):
+    """A and N, N and B at 0.9 or more, A and B below it; copies of N and a group without any id stay one row each."""
+    words = [f"w{i}" for i in range(200)]
+    a, n, b = " ".join([f"x{i}" for i in range(12)] + words), " ".join(words), " ".join([*words, *[f"y{i}" for i in range(12)]])
+    rows = [(1, a), (n_id, n), (n_id, n), (3, b), (None, "all alone here now"), (None, "all alone here now"), (None, "one more row"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit("clash")).withColumn("node", F.lit(1))
+    got = [(r.doc_id, r.component_id) for r in jaccard_join.near_duplicate_components(df, 3, 9, 10).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (n_id, 1), (n_id, 1), (3, 1), (None, None), (None, None), (None, None), (None, None)], key=str)
+    kept = jaccard_join.keep_one(df, 3, 9, 10)
+    assert kept.columns == df.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (None, "all alone here now"), (None, "one more row"), (None, None)], key=str)
+
+
 def test_dual_traversal_joins_what_brute_force_joins():
     """With and without sets, within one tree and between two; sizes vary and bitmaps collide."""
     rng = np.random.default_rng(5)
@@ -180,7 +193,7 @@ def test_fingerprints(docs):
 def test_fingerprints_odd(odd):
     got = weighted_sampling.fingerprints(odd).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == len(ODD) - 1 and by[1].fingerprint == by[2].fingerprint == "0" * 8 * weighted_sampling.SAMPLES and by[1].near_next == 1.0
+    assert len(got) == len(ODD) and by[1].fingerprint == by[2].fingerprint == "0" * 8 * weighted_sampling.SAMPLES and by[1].near_next == 1.0
     assert by[4].fingerprint == by[5].fingerprint and by[None].near_next is None
     assert weighted_sampling.fingerprints(odd.limit(0)).count() == 0
 
@@ -252,6 +265,12 @@ def test_quality_measures(docs, odd):
             assert [r[c] for c in quality_rules.COUNTS] == brute_measure(r.text)
 
 
+def cut_offs(labelled):
+    """(stratum, ratio) to cut-off; None is the rest of the strata, "null" the stratum of null."""
+    name = lambda g: g if g is None else g[1:] if g else "null"
+    return {(name(r.g), x): c for r in quality_rules.thresholds(labelled, "lang", 0.01, 0.05).collect() for x, c in zip(quality_rules.RATIOS, r.cuts, strict=True) if c is not None}
+
+
 def test_quality_thresholds(spark):
     assert math.isclose(quality_rules.upper_bound(0, 100, 0.05), 1 - 0.05 ** (1 / 100), rel_tol=1e-9)
     for k, n, delta in ((3, 50, 0.01), (10, 400, 0.05)):
@@ -261,7 +280,7 @@ def test_quality_thresholds(spark):
     df = spark.createDataFrame(rows, "lang string, quality int, symbol_ratio double")
     for r in quality_rules.RATIOS[1:]:
         df = df.withColumn(r, F.lit(0.0))
-    cuts = quality_rules.thresholds(df, "lang", 0.01, 0.05)
+    cuts = cut_offs(df)
     assert set(cuts) == {("en", "symbol_ratio")} and 0.5 < cuts["en", "symbol_ratio"] < 0.6  # too few good rows in fr to certify a cut-off
     labels = spark.createDataFrame([], "doc_id long, quality int")
     odd = spark.createDataFrame(ODD, DOCS)
@@ -275,12 +294,54 @@ def test_quality_joint_certificate(spark):
     for s in ("de", "fr", "es"):
         rows += [(s, 1, 0.0, *zero)] * 200 + [(s, 0, 0.4, *zero)] * 20
     df = spark.createDataFrame(rows, ", ".join(["lang string, quality int", *[f"{r} double" for r in quality_rules.RATIOS]]))
+    assert set(cut_offs(df)) == {("en", "symbol_ratio"), ("en", "upper_ratio"), (None, "symbol_ratio")}
     cuts = quality_rules.thresholds(df, "lang", 0.01, 0.05)
-    assert set(cuts) == {("en", "symbol_ratio"), ("en", "upper_ratio"), (None, "symbol_ratio")}
     new = df.union(spark.createDataFrame([("it", 0, 0.4, *zero), ("it", 1, 0.0, *zero), ("it", 0, 0.0, 0.0, 0.0, 0.3, 0.0, 0.0)], df.schema))
-    got = new.groupBy("lang", "quality", quality_rules.fails(cuts, "lang").alias("out")).count().collect()
+    got = quality_rules.reject(new.withColumn("doc_id", F.lit(1)), cuts, "lang").groupBy("lang", "quality", F.col("__rejected").alias("out")).count().collect()
     assert {(r.lang, r.quality, r.out): r["count"] for r in got if r.lang in ("en", "it")} == {("en", 1, False): 700, ("en", 0, True): 100, ("it", 0, True): 1, ("it", 1, False): 1, ("it", 0, False): 1}
-    assert quality_rules.alone([2076, 507, 505, 321], 4, 0, 0.01, 0.05) == 2 and quality_rules.least_good(0.01, 0.0125) == 437
+    assert quality_rules.alone([(2076, 1), (507, 1), (505, 1), (321, 1)], 0.01, 0.05) == 507 and quality_rules.least_good(0.01, 0.0125) == 437
+    assert quality_rules.alone([(10, 5)], 0.01, 0.05) is None and quality_rules.alone([], 0.01, 0.05) is None
+
+
+def test_quality_many_strata(spark, monkeypatch):
+    """1,001 strata that are all tested alone, with the cut-offs joined by broadcast and by salted keys."""
+    zero = F.lit(0.0)
+    good = spark.range(1001).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("lang"), F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("i")).select("lang", F.lit(1).alias("quality"), zero.alias("symbol_ratio"))
+    bad = spark.range(1001).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("lang"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("i")).select("lang", F.lit(0).alias("quality"), F.lit(0.5).alias("symbol_ratio"))
+    df = good.unionByName(bad)
+    for r in quality_rules.RATIOS[1:]:
+        df = df.withColumn(r, zero)
+    cuts = quality_rules.thresholds(df, "lang", 0.01, 0.05)
+    assert cuts.filter("g is not null and cuts[0] < 0.5").count() == 1001
+    for most in (10_000, 10):
+        monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", most)
+        got = quality_rules.reject(df.withColumn("doc_id", F.lit(1)), cuts, "lang").groupBy("quality", "__rejected").count().collect()
+        assert {tuple(r) for r in got} == {(1, False, 1_001_000), (0, True, 5005)}
+
+
+def test_quality_counts_that_are_certified():
+    for n, risk, delta in ((500, 0.01, 0.05), (3000, 0.01, 0.0125), (40, 0.2, 0.05), (10, 0.01, 0.05)):
+        most = quality_rules.most_rejected(n, risk, delta)
+        assert most < 0 or quality_rules.upper_bound(most, n, delta) <= risk
+        assert quality_rules.upper_bound(most + 1, n, delta) > risk
+
+
+def test_quality_query(spark, docs, odd):
+    """The query's fixed columns against brute force; null and empty strata differ; columns with clashing names."""
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality_rules.op5_quality_rules(spark, SF).collect():
+        n, chars, symbols, dup, repeat = brute_measure(text[r.doc_id])
+        base = n < 20 or 100 * repeat > 30 * n
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, dup, repeat, base) and not (base and r.kept)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    clash = odd.withColumn("n_words", F.lit("x")).withColumn("kept", F.lit("x")).withColumn("quality", F.lit("x"))
+    got = quality_rules.judge(clash, labels)
+    assert set(got.columns) == {*odd.columns, "quality", *quality_rules.COUNTS, *quality_rules.RATIOS, "base_failed", "kept"} and got.count() == len(ODD)
+    assert quality_rules.judge(odd.limit(0), labels.limit(0)).count() == 0
+    zero = (0.0,) * 5
+    rows = [(None, 1, 0.0, *zero)] * 600 + [(None, 0, 0.5, *zero)] * 9 + [("", 1, 0.0, *zero)] * 600 + [("", 0, 0.0, *zero)] * 9
+    cuts = cut_offs(spark.createDataFrame(rows, ", ".join(["lang string, quality int", *[f"{r} double" for r in quality_rules.RATIOS]])))
+    assert set(cuts) == {(quality_rules.REST, "symbol_ratio")} or set(cuts) == {("null", "symbol_ratio")}
 
 
 def test_language(spark, docs, odd):
@@ -295,6 +356,23 @@ def test_language(spark, docs, odd):
     assert {r.lang_pred for r in language_id.predict(odd, None).collect()} == {"und"}
 
 
+def test_language_of_copies_and_of_many_languages(spark, docs):
+    """A language of nothing but copies is learned; so are 201 languages; a label with clashing columns."""
+    rows = [("zz", "qqq wzx qqq zzkk wzx")] * 6000 + [("fr", f"bonjour le monde numero {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}") for i in range(100)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    for seed in (5, 7):
+        model = language_id.fit(df, seed)
+        got = {r.text[:3]: r.lang_pred for r in language_id.predict(df.distinct().withColumn("score", F.lit("x")), model).collect()}
+        assert got == {"qqq": "zz", "bon": "fr"}
+    rng = np.random.default_rng(9)
+    stems = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(201)]
+    many = spark.createDataFrame([(f"l{i}", " ".join([s, s + "a", "o" + s] * 3) + " " + "x" * k) for i, s in enumerate(stems) for k in range(1, 5)], "lang string, text string")
+    model = language_id.fit(many)
+    right = language_id.predict(many, model).filter("lang = lang_pred").count()
+    assert len(model["langs"]) == 201 and right > 0.95 * 804
+    assert language_id.fit(df.limit(0)) is None and language_id.predict(docs.limit(0), model).count() == 0
+
+
 def test_toxicity(spark, odd):
     rng = np.random.default_rng(4)
     words = ["ta", "lomen", "riset", "pandor", "velin", "osk", "tarun", "mielo", "frasen", "quidan"]
@@ -305,7 +383,8 @@ def test_toxicity(spark, odd):
         if i % 4 == 0:
             w[int(rng.integers(60))] = str(rng.choice(bad))
         rows.append((i, " ".join(w), int(i % 4 == 0)))
-    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    learned = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(learned.drop("toxic"), learned.drop("text"))
     tests = [(1, " ".join(words * 9 + ["gribblefnk"] + words * 3)), (2, " ".join(words * 12)), (3, " ".join(words * 5 + ["wormheadd"]))]
     got = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(tests, "doc_id long, text string"), model).collect()}
     assert got == {1: 1, 2: 0, 3: 1}
@@ -330,7 +409,7 @@ def test_toxicity_share_and_whole_texts(spark, monkeypatch):
     assert b"zzrkkwutz" in b" ".join(toxicity.drawn(np.frombuffer(rows[0][1].encode(), np.uint8), 1, (np.where(np.isin(np.arange(toxicity.BUCKETS), toxicity.grams(np.frombuffer(b"zzrkkwutz", np.uint8), toxicity.BUCKETS)[1]), 1.0, 0.0), 0.0), 11))
     noise = spark.createDataFrame([(i, " ".join(rng.choice(words, 40)), int(i % 12 == 0)) for i in range(1200)], df.schema)
     new = spark.createDataFrame([(i, " ".join(rng.choice(words, 40))) for i in range(300)], "doc_id long, text string")
-    assert 0.02 < toxicity.score(new, toxicity.fit(noise)).agg(F.avg("score")).first()[0] < 0.2  # 1 of 12; half of the sample
+    assert 0.02 < toxicity.score(new, toxicity.fit(noise.drop("toxic"), noise.drop("text"))).agg(F.avg("score")).first()[0] < 0.2  # 1 of 12; half of the sample
 
 
 def test_cotraining(spark, docs, odd):
@@ -344,6 +423,24 @@ def test_cotraining(spark, docs, odd):
     assert cotraining.score(odd, model).count() == len(ODD)
 
 
+def test_cotraining_rejects_held_out_bad_documents(spark):
+    """Documents of two kinds by words and by source, few of them labelled: the rest is told apart, bad ones too."""
+    rng = np.random.default_rng(12)
+    good, bad = (["".join(rng.choice(list(letters), 5)) for _ in range(80)] for letters in ("abcdefghij", "qrstuvwxyz"))
+    rows = []
+    for i in range(900):
+        kind = i % 3 == 0
+        w = [str(x) for x in rng.choice(bad if kind else good, 40)] + [str(x) for x in rng.choice(good, 10)]
+        rows.append((i, ("|".join(w) if kind and i % 2 else " ".join(w)), "en", f"s{int(kind)}{i % 4}", 300))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)] + [(300, 0), (300, 1), (301, None), (None, 1)], "doc_id long, quality int")
+    model = cotraining.fit(df, labels)
+    got = cotraining.score(df.withColumn("accepted", F.lit("clash")), model).filter("doc_id >= 300").collect()
+    assert all(r.accepted == (r.doc_id % 3 != 0) for r in got)
+    assert [tuple(r) for r in cotraining.score(df, cotraining.fit(df.repartition(3), labels)).select("doc_id", "accepted").orderBy("doc_id").collect()] == [tuple(r) for r in cotraining.score(df, model).select("doc_id", "accepted").orderBy("doc_id").collect()]
+    assert cotraining.score(df.limit(0), model).count() == 0 and cotraining.fit(df.limit(0), labels) is None
+
+
 def test_subword_grams_stay_in_words():
     """" ab ", " cde ": five n-grams of three bytes and three of four, none across the gap."""
     at, ids = subword.grams(np.frombuffer(b"ab  cde", np.uint8), 1 << 10, (3, 4))
@@ -359,19 +456,101 @@ def test_sharding_odd(odd):
     assert sharding.shards(odd.limit(0), "doc_id", 10).count() == 0
 
 
-def test_fit_budget():
+def brute_shards(rows, limit):
+    """Shard by doc_id's row, splitting one bucket after the other."""
+    num = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) & ((1 << 30) - 1)
+    hashed = [(num("" if i is None else str(i)) << 30 | num(t or ""), len((t or "").encode()), k) for k, (i, t) in enumerate(rows)]
+    out, todo = {}, [("", hashed)]
+    while todo:
+        p, own = todo.pop()
+        if sum(n for _, n, _ in own) <= limit or len(p) == 60:
+            out |= {k: (p, sum(n for _, n, _ in own)) for _, _, k in own}
+        else:
+            for bit in "01":
+                part = [x for x in own if f"{x[0]:060b}"[len(p)] == bit]
+                todo += [(p + bit, part)] if part else []
+    return out
+
+
+def test_sharding_against_splitting(spark):
+    """A key with most of the bytes beside light ones, copies that cannot be split, and clashing columns."""
+    rows = [(1, f"hot text number {i} " * 20) for i in range(300)] + [(i, "x" * (i % 50)) for i in range(2, 400)] + [(5000, "same " * 100)] * 20 + [(None, None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string")
+    for c in ("cell", "depth", "shard_bytes", "hash", "leaf", "level", "p"):
+        df = df.withColumn(c, F.lit("kept"))
+    for limit in (2000, 9000, 10_000_000):
+        want = brute_shards(rows, limit)
+        got = sharding.shards(df, "doc_id", limit).collect()
+        assert {r.k: (r.shard, r.shard_bytes) for r in got} == want and all(r.fits == (r.shard_bytes <= limit) and r.shard_depth == len(r.shard) and r.cell == "kept" for r in got)
+
+
+def test_write_shards(spark, docs, tmp_path):
+    sharding.write_shards(docs, "doc_id", 100_000, str(tmp_path / "out"))
+    want = {r.shard for r in sharding.shards(docs, "doc_id", 100_000).collect()}
+    names = {x.removeprefix("shard=") for x in os.listdir(tmp_path / "out") if x.startswith("shard=")}
+    assert names == want and spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+@pytest.mark.parametrize("room", [65_536, 40, 0])
+def test_fit_budget(monkeypatch, room):
+    """As near the budget as any choice of the documents that the handed-on shares leave, and each length near its share."""
+    monkeypatch.setattr(mixing, "ROOM", room)
     rng = np.random.default_rng(3)
-    for _ in range(40):
+    for _ in range(60):
         lengths = np.unique(rng.integers(2, 60, 8))
         counts = rng.integers(1, 6, len(lengths))
-        budget = int(rng.integers(0, int((lengths * counts).sum()) + 5))
+        total = int((lengths * counts).sum())
+        budget = int(rng.integers(0, total + 5))
         take = mixing.fit_budget(lengths, counts, budget)
         assert ((take >= 0) & (take <= counts)).all() and (lengths * take).sum() <= budget
-        base = (counts * (budget / (lengths * counts).sum())).astype(int) if budget < (lengths * counts).sum() else counts
+        base, due = [], 0.0
+        for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            due += c * n * min(1.0, max(0, budget - room) / total)
+            base.append(min(c, int(due // n)))
+            due -= base[-1] * n
+        assert budget >= total or budget - int((lengths * base).sum()) <= room + lengths.max()
         reach = {int((lengths * base).sum())}
         for n, c in zip(lengths.tolist(), (counts - base).tolist(), strict=True):
             reach = {s + n * k for s in reach for k in range(c + 1)}
         assert (lengths * take).sum() == max(s for s in reach if s <= budget)
+    lengths = np.arange(1, 3000)
+    take = mixing.fit_budget(lengths, np.full(2999, 50), 100_000_000)
+    assert int((lengths * take).sum()) == 100_000_000 and take.min() >= 21 and ((take - 23) * lengths).max() <= room + 3000  # lengths are alike but for the last words
+
+
+def test_mixing_with_ties(spark, monkeypatch):
+    """Rows without an id, and rows alike in id and text, are taken one by one, in buckets and without; all columns stay."""
+    rows = [(None, f"one two w{i}", "a") for i in range(100)] + [(7, "the same three", "b")] * 90 + [(i, "x y", "c") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("h", "size", "target", "source_size", "n", "copies", "row"):
+        df = df.withColumn(c, F.lit("kept"))
+    for bucket in (20_000, 7):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+        got = mixing.mix(df, weights=(1, 1, 1), share=0.5, repeat=False).collect()
+        taken, target = collections.Counter(), {}
+        for r in got:
+            taken[r.source] += r.size * r.copies
+            target[r.source] = r.target
+        assert len(got) == 193 and all(abs(taken[s] - target[s]) < 3 for s in "ab") and {r.h for r in got} == {"kept"}
+        again = mixing.mix(df.repartition(5), weights=(1, 1, 1), share=0.5, repeat=False).collect()
+        key = lambda rs: sorted((str(r.doc_id), r.text, r.copies) for r in rs)
+        assert key(got) == key(again)
+        out = mixing.mix(df, weights=(1, 1, 1), share=0.5)
+        assert out.columns == df.columns and out.filter("target = 'kept' and size = 'kept' and copies = 'kept'").count() == sum(r.copies for r in got)
+
+
+def test_mixing_targets_over_many_sources(spark):
+    names = [f"s{i:04d}" for i in range(700)] + [None]
+    sizes = [(i * 37 % 101) * 10 for i in range(701)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(zip(names, sizes)), "source string, source_size long"), (3, 1, 2), 1.5, 2).collect()}
+    weights, full = [(3, 1, 2)[i % 3] for i in range(701)], set()
+    while True:
+        rest = [i for i in range(701) if i not in full]
+        level = (1.5 * sum(sizes) - sum(2 * sizes[i] for i in full)) / sum(weights[i] for i in rest)
+        if not (new := {i for i in rest if level * weights[i] > 2 * sizes[i]}):
+            break
+        full |= new
+    assert all(math.isclose(got[n], 2 * s if i in full else level * weights[i], rel_tol=1e-9, abs_tol=1e-9) for i, (n, s) in enumerate(zip(names, sizes, strict=True)))
 
 
 def test_mixing(spark, docs, odd):
@@ -397,7 +576,7 @@ def test_mixing(spark, docs, odd):
         assert math.isclose(target[n], want, rel_tol=1e-9) and abs(taken[n] - want) <= max(60, 0.1 * want)
     got = mixing.mix(odd, repeat=False).collect()
     assert len(got) == len(ODD) and all(r.copies == 0 for r in got if not (r.text or "").strip())
-    assert mixing.mix(odd.limit(0)).count() == 0 and set(mixing.mix(odd.drop("size")).columns) == set(odd.drop("size").columns)
+    assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mix(odd).columns == odd.columns
 
 
 def test_pipeline(spark):
