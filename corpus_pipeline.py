@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage's rows are written as Parquet and read again as the next stage's docs."""
+"""The corpus pipeline: each stage's rows are written as Parquet and read again as the next stage's docs.
+
+A stage takes documents with any of their columns null, and with further columns, which it drops; it works on all that
+it is given, copies and repeated rows included, as its operator says.  With an empty table every stage is empty;
+without labels nothing is rejected for quality but by the fixed rules; null and empty texts fail those.
+"""
 
 from __future__ import annotations
 
@@ -19,8 +24,9 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
+    docs = _columns(docs)
     model = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _columns(cotraining.score(_columns(docs), model).filter("accepted"))
+    return _columns(cotraining.score(docs, model).filter("accepted"))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +45,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, and whether they decode to the text."""
+    """doc_id, source, ids, and whether they decode to the text, which is told by its digest."""
     vocabulary = byte_bpe.public_vocabulary()
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "text"), *vocabulary), *vocabulary)
-    exact = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    coded = byte_bpe.encode(docs.select("doc_id", "source", "text", digest.alias("digest")), *vocabulary, keep_text=False)
+    exact = F.sha2("decoded", 256) == F.col("digest")
+    return byte_bpe.decode(coded, *vocabulary).select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", exact.alias("exact"))
 
 
 STAGES = [
