@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Folders and files that a scan leaves out unless told otherwise.
-DEFAULT_EXCLUDES = ("node_modules", ".git", ".DS_Store", "dist", ".cache")
+# What a scan leaves out unless told otherwise.
+DEFAULT_EXCLUDES = ("**/node_modules/**", "**/.git/**", "**/.DS_Store", "**/dist/**", "**/.cache/**")
 WILD = "*?[{"
 
 
@@ -32,6 +32,7 @@ def glob_regex(pattern: str, dot: bool = True) -> str:
     """``*`` and ``?`` stay within a path part, ``**`` crosses parts, ``[..]`` and ``{a,b}`` as usual.  Without
     ``dot``, wildcards do not match a part that starts with a dot."""
     guard = "" if dot else r"(?!\.)"
+    pattern = pattern.removeprefix("./")
     out, i, start, depth = [], 0, True, 0
     while i < len(pattern):
         c = pattern[i]
@@ -72,18 +73,17 @@ def glob_regex(pattern: str, dot: bool = True) -> str:
 
 
 def spellings(pattern: str) -> list[str]:
-    """What a filter's spelling stands for: a bare name at any depth, a folder and all below it, an anchored path."""
-    p = pattern.strip().removeprefix("./")
-    anchored = p.startswith("/")
-    p = p.lstrip("/")
-    if p.endswith("/"):
-        p = p.rstrip("/")
-        return [f"{p}/**"] if anchored else [f"{p}/**", f"**/{p}/**"]
-    if p.endswith("/*") and not is_glob(p[:-2]):
-        return [f"{p[:-2]}/**"]
-    if "/" not in p and not anchored:
-        return [f"**/{p}"] if is_glob(p) else [f"**/{p}", f"**/{p}/**"]
-    return [p] if is_glob(p) else [p, f"{p}/**"]
+    """What a filter's spelling stands for, besides itself.  A bare name is a file or folder at any depth, and a bare glob
+    stays at the top; a pattern with a slash holds at any depth unless it begins with ``**/``, ``/`` or ``./``, and one
+    that ends with ``/`` or ``/*`` takes in all below."""
+    if "/" not in pattern:
+        return [pattern] if any(c in "*?[]{}!" for c in pattern) else [pattern, f"**/{pattern}", f"**/{pattern}/**"]
+    ends = [pattern]
+    if pattern.endswith("/"):
+        ends.append(pattern + "**")
+    elif pattern.endswith("/*") and not pattern.endswith("/**/*"):
+        ends.append(pattern + "*")
+    return [depth + p for p in ends for depth in (("",) if pattern.startswith(("**/", "/", "./")) else ("", "**/"))]
 
 
 def any_match(path: Column, patterns: Sequence[str], dot: bool = True, expand: bool = True) -> Column:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that no snippet looks for.
-STOPWORDS = ("the", "and", "for", "are", "was", "were", "with", "that", "this", "from", "what", "when", "where", "which", "who", "how", "does", "did", "can", "you", "your", "has", "have", "not", "but", "all", "any", "into", "about")
+# The words that no snippet looks for.  What a snippet shows depends on exactly these.
+STOPWORDS = (
+    "the", "and", "for", "that", "with", "this", "from", "what", "when", "where", "which", "who", "how", "does", "why", "are", "was", "were", "can", "could", "should",
+    "would", "will", "into", "about", "than", "then", "them", "they", "their", "your", "you", "our", "its", "has", "have", "had", "not", "but", "all", "any",
+)
 MIME_TYPES = {
     "md": "text/markdown", "markdown": "text/markdown", "txt": "text/plain", "html": "text/html", "htm": "text/html", "json": "application/json", "xml": "application/xml",
     "yaml": "text/yaml", "yml": "text/yaml", "csv": "text/csv", "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml",
@@ -28,36 +32,51 @@ def pick_path(explicit: Column, absolute: Column, relative: Column, multi: Colum
 
 
 def path_for_url(url: Column) -> Column:
-    """``remotes/host/path`` without query and fragment; ``index`` for an empty path; else the url, sanitised."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)", 1))
-    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1), "^/+|/+$", "")
-    return F.when(host != "", F.concat(F.lit("remotes/"), host, F.lit("/"), F.when(path == "", "index").otherwise(path))).otherwise(
-        F.concat(F.lit("remotes/"), F.regexp_replace(url, "[^A-Za-z0-9._-]+", "_"))
-    )
+    """``remotes/host/path`` without port, query and fragment; ``index`` for an empty path; else the url, sanitised."""
+    pattern = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::\d*)?([^?#]*)"
+    host, path = F.lower(F.regexp_extract(url, pattern, 1)), F.regexp_replace(F.regexp_extract(url, pattern, 2), "^/+|/+$", "")
+    named = F.concat(F.lit("remotes/"), host, F.lit("/"), F.when(path == "", "index").otherwise(path))
+    return F.when(host != "", named).otherwise(F.concat(F.lit("remotes/"), F.regexp_replace(url, "[^A-Za-z0-9.-]", "_")))
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters up to U+024F that decompose to an ASCII letter and marks, and those ASCII letters."""
+    found = [(chr(i), d) for i in range(0xC0, 0x250) if (d := unicodedata.normalize("NFKD", chr(i))[0]) != chr(i) and d.isascii() and d.isalpha()]
+    return "".join(c for c, _ in found), "".join(d for _, d in found)
+
+
+PLAIN = _plain_letters()
 
 
 def slug(s: Column, limit: int = 80) -> Column:
-    """Lower case, other characters as single dashes, at most ``limit`` of them; ``untitled`` if nothing is left."""
-    plain = F.translate(F.lower(s), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case, other characters as single dashes, at most ``limit`` of them; ``untitled`` if nothing is left.  An
+    accented letter is its plain letter and a mark, and marks are other characters."""
+    plain = F.lower(F.regexp_replace(F.translate(_marked(s), *PLAIN), "\u0300", "-"))
     cut = F.regexp_replace(F.substring(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, limit), "-+$", "")
     return F.when(F.coalesce(cut, F.lit("")) == "", "untitled").otherwise(cut)
 
 
+def _marked(s: Column) -> Column:
+    """A mark behind each letter that has one when decomposed."""
+    return F.regexp_replace(s, f"([{PLAIN[0]}])", "$1\u0300")
+
+
 def slug_path(p: Column) -> Column:
-    return F.array_join(F.transform(F.filter(F.split(p, "/"), lambda x: F.trim(x) != ""), slug), "/")
+    return F.array_join(F.transform(F.split(p, "/"), lambda x: slug(x)), "/")
 
 
 def note_path(account: Column, folder: Column, title: Column) -> Column:
-    return F.concat_ws("/", F.lit("notes"), slug(account), slug_path(folder), F.concat(slug(title), F.lit(".md")))
+    return F.concat_ws("/", F.lit("apple-notes"), slug(account), slug_path(folder), F.concat(slug(title), F.lit(".md")))
 
 
 def issue_path(owner: Column, repo: Column, kind: Column, number: Column) -> Column:
-    return F.concat(F.lower(F.concat_ws("/", owner, repo, kind)), F.lit("/"), number.cast("string"), F.lit(".md"))
+    """kind is issues or pull, as in urls; the path says pulls."""
+    return F.concat(F.lit("github/"), F.lower(F.concat_ws("/", owner, repo)), F.lit("/"), F.when(kind.isin("pull", "pulls"), "pulls").otherwise("issues"), F.lit("/"), number.cast("string"), F.lit(".md"))
 
 
 def disambiguate(path: Column, suffix: Column) -> Column:
-    """``-suffix`` (8 characters) before the extension."""
-    stem, ext = F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 2)
+    """``-suffix`` (8 characters) before the last dot, or at the end."""
+    stem, ext = F.regexp_extract(path, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(path, r"^(.*?)(\.[^.]*)?$", 2)
     return F.concat(stem, F.lit("-"), F.substring(suffix, 1, 8), ext)
 
 
@@ -77,11 +96,11 @@ def sha256_hex(c: Column) -> Column:
 
 
 def duration_seconds(d: Column) -> Column:
-    """``30s``, ``5m``, ``1h``, ``7d``; anything else raises."""
-    n = F.nullif(F.regexp_extract(d, r"^\s*(\d+)\s*[smhd]\s*$", 1), F.lit("")).cast("long")
-    unit = F.regexp_extract(d, r"^\s*\d+\s*([smhd])\s*$", 1)
+    """``30s``, ``5M``, ``1h``, ``7d``; null if blank; anything else raises."""
+    given, shape = F.lower(trimmed(d)), r"^(\d+)([smhd])$"
+    n, unit = F.nullif(F.regexp_extract(given, shape, 1), F.lit("")).cast("long"), F.regexp_extract(given, shape, 2)
     scale = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400)
-    return F.when(d.isNotNull(), F.coalesce(n * scale, F.raise_error(F.concat(F.lit("invalid duration: "), d)).cast("long")))
+    return F.when(given != "", F.coalesce(n * scale, F.raise_error(F.concat(F.lit("invalid duration: "), d)).cast("long")))
 
 
 def resolve_cutoff(value: str, now: Column) -> Column:
@@ -106,11 +125,22 @@ def slice_lines(text: Column, offset: int, limit: int) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), max(1, offset), limit), "\n")
 
 
-def search_text(path: Column, description: Column, body: Column, context: Column | None = None) -> Column:
-    head = F.concat_ws("\n", path, F.when(F.trim(description) != "", description))
+def search_text(path: Column, description: Column, body: Column, context: Column | None = None, limit: int = 240) -> Column:
+    """What is searched of a chunk: path, description (one line, empty or not, cut to its limit), context if any, body."""
+    lines = [path, truncate_at_word(trimmed(F.coalesce(description, F.lit(""))), limit)]
     if context is not None:
-        head = F.concat_ws("\n", head, F.when(F.trim(context) != "", context))
-    return F.concat(head, F.lit("\n\n"), body)
+        lines.append(F.nullif(trimmed(context), F.lit("")))
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n\n"), body)
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
+def one_line(text: Column, limit: int = 200) -> Column:
+    """The start of a text with its white space as single spaces."""
+    return trimmed(F.regexp_replace(F.substring(trimmed(text), 1, limit), r"\s+", " "))
 
 
 def truncate_at_word(text: Column, limit: int) -> Column:
@@ -121,18 +151,28 @@ def truncate_at_word(text: Column, limit: int) -> Column:
     return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.rtrim(short), F.lit("…")))
 
 
+def _textual(mime: Column, *others: str) -> Column:
+    return mime.startswith("text/") | mime.isin(*others)
+
+
 def title_description(mime: Column, text: Column) -> Column:
-    """The first H1 in the first 40 lines that are not blank, 5 to 200 characters long, and the start of the rest."""
-    lines = F.slice(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), 1, 40)
-    title = F.trim(F.regexp_replace(F.get(F.filter(lines, lambda x: x.rlike(r"^#\s+\S")), F.lit(0)), r"^#\s+", ""))
-    body = F.array_join(F.filter(lines, lambda x: ~x.rlike(r"^#")), " ")
-    fits = mime.isin("text/markdown", "text/html", "text/plain") & F.char_length(title).between(5, 200)
-    return F.when(fits, F.concat_ws(" — ", title, F.nullif(truncate_at_word(F.trim(body), 200), F.lit(""))))
+    """The first H1 of the first 40 lines that are not blank, 5 to 200 characters long, and the start of the text
+    without it; null for other types and without such a heading."""
+    lines = F.slice(F.filter(F.transform(F.split(text, r"\r?\n"), trimmed), lambda x: x != ""), 1, 40)
+    heading = F.get(F.filter(lines, lambda x: x.rlike(r"^#\s+.")), F.lit(0))
+    title = trimmed(F.regexp_extract(heading, r"^#\s+(.+?)\s*#*$", 1))
+    body = one_line(F.regexp_replace(text, r"(?m)\A((?s:.*?))^#\s+.+$", "$1"))
+    fits = _textual(mime, "application/json", "application/yaml", "application/x-yaml") & F.char_length(title).between(5, 200)
+    return F.when(fits, F.concat_ws(" — ", title, F.nullif(body, F.lit(""))))
 
 
 def fallback_description(path: Column, mime: Column, text: Column) -> Column:
-    heading = F.nullif(F.trim(F.regexp_extract(text, r"(?m)^#+[ \t]+([^\n]+)$", 1)), F.lit(""))
-    return F.coalesce(F.concat(heading, F.lit(" ("), path, F.lit(")")), F.format_string("%s (%s, %d chars)", path, mime, F.coalesce(F.char_length(text), F.lit(0))))
+    """Heading and start of a text, or whichever it has; type and length of anything else."""
+    body = trimmed(F.coalesce(text, F.lit("")))
+    heading = F.nullif(trimmed(F.regexp_extract(body, r"(?m)^#+\s+(.+)$", 1)), F.lit(""))
+    shown = F.nullif(F.concat_ws(" — ", heading, F.nullif(one_line(body), F.lit(""))), F.lit(""))
+    other = F.concat(mime, F.lit(" · "), F.char_length(F.coalesce(text, F.lit(""))).cast("string"), F.lit(" chars"))
+    return F.when(_textual(mime, "application/json", "application/yaml"), F.coalesce(shown, F.concat(path, F.lit(" ("), mime, F.lit(")")))).otherwise(other)
 
 
 def describe(path: Column, mime: Column, text: Column, model: Column | None = None) -> Column:
@@ -147,15 +187,15 @@ def snippet_terms(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
 
 
 def make_snippet(content: Column, terms: Column, lead: int = 100, window: int = 300) -> Column:
-    """A window that starts ``lead`` characters before the first term found, at a word, with ellipses where cut."""
+    """The start of the content or, if the first term found is behind ``lead`` characters, a window from so many before
+    it on, opened at a word; with ellipses where cut."""
     low = F.lower(content)
-    at = F.coalesce(F.array_min(F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda i: i > 0)), F.lit(1))
-    start = F.greatest(at - lead, F.lit(1))
-    gap = F.position(F.lit(" "), F.substring(content, start, F.lit(lead)))
-    begin = F.when((start > 1) & (gap > 0), start + gap).otherwise(start)
-    piece = F.substring(content, begin, F.lit(window))
+    at = F.array_min(F.filter(F.transform(terms, lambda t: F.position(F.lower(t), low)), lambda i: i > 0))
+    start = at - lead
+    gap = F.position(F.lit(" "), content, start)
+    begin = F.when(F.coalesce(at <= lead + 1, F.lit(True)), 1).when((gap > 0) & (gap < at), gap + 1).otherwise(start)
     tail = F.when(begin + window <= F.char_length(content), F.lit("…")).otherwise("")
-    return F.concat(F.when(begin > 1, F.lit("…")).otherwise(""), F.trim(piece), tail)
+    return F.concat(F.when(begin > 1, F.lit("…")).otherwise(""), F.substring(content, begin, F.lit(window)), tail)
 
 
 def round4(x: Column) -> Column:
@@ -172,24 +212,41 @@ def persist_reason(mime: Column, size: Column, max_size: int | None = None, skip
 
 
 def human_bytes(n: Column) -> Column:
-    kb, mb, gb = 1024.0, 1024.0**2, 1024.0**3
-    return F.when(n < kb, F.format_string("%d B", n)).when(n < mb, F.format_string("%.1f KB", n / kb)).when(n < gb, F.format_string("%.1f MB", n / mb)).otherwise(F.format_string("%.1f GB", n / gb))
+    """In units of 1024 up to TB: one decimal below 100, none from there on; ``0 B`` if negative."""
+    out = F.when(n < 0, "0 B").when(n < 1024, F.format_string("%d B", n.cast("long")))
+    for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        value = n / float(1024**power)
+        shown = F.when(value < 100, F.format_string(f"%.1f {unit}", value)).otherwise(F.format_string(f"%d {unit}", F.floor(value + 0.5)))
+        out = out.when(n < 1024.0 ** (power + 1), shown) if unit != "TB" else out.otherwise(shown)
+    return out
+
+
+# What exported documents have for spaces, quotes and dashes, and their plain forms.
+EXPORTED = {"\u00a0": " ", "‘’‚‛": "'", "“”„‟": '"', "–—": "-"}
 
 
 def normalize_docmd(text: Column) -> Column:
     t = F.regexp_replace(text, "\r\n?", "\n")
-    t = F.translate(t, " ‘’“”–—", " ''\"\"--")
+    t = F.translate(t, "".join(EXPORTED), "".join(v * len(k) for k, v in EXPORTED.items()))
     t = F.regexp_replace(t, "(?m)[ \t]+$", "")
-    return F.trim(F.regexp_replace(t, "\n{3,}", "\n\n"))
+    return trimmed(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 
 def strip_html_blocks(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
 
 
-def data_images(text: Column) -> Column:
-    """The data: images of a markdown text, in order, as base64."""
-    return F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(data:image/[a-z+]+;base64,([A-Za-z0-9+/=]+)\)"), F.lit(1))
+IMAGE_TAG = r"(?is)<img\b[^>]*?\bsrc\s*=\s*[\"']data:([^;\"']+);base64,([^\"']*)[\"'][^>]*>"
+
+
+def data_images(html: Column) -> Column:
+    """The images that an HTML text holds itself, in order, as (mime_type, bytes)."""
+    kinds, data = F.regexp_extract_all(html, F.lit(IMAGE_TAG), F.lit(1)), F.regexp_extract_all(html, F.lit(IMAGE_TAG), F.lit(2))
+    return F.zip_with(kinds, data, lambda k, d: F.struct(F.trim(k).alias("mime_type"), F.try_to_binary(F.regexp_replace(d, r"\s+", ""), F.lit("base64")).alias("bytes")))
+
+
+def base64_bytes(data: Column) -> Column:
+    return F.base64(data)
 
 
 def substitute(template: Column, variables: Mapping[str, Column]) -> Column:

@@ -7,7 +7,7 @@ and the overlap are plain expressions and windows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,9 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$")
-FENCE = re.compile(r"^\s*(```|~~~)")
 SHORT = 200
+BREAKS = ((r"\n\n+", "\n\n"), (r"\n", "\n"))
 
 
 @dataclass(frozen=True)
@@ -28,81 +27,131 @@ class Config:
     by_heading: bool = True
 
 
-def sections(text: str) -> list[tuple[list[str], str, str]]:
-    """(ancestor headings, own heading, section text); the texts joined by newlines are the document."""
-    out, stack, lines, own, fence = [], [], [], "", ""
-    above: list[str] = []
+def _fence(line: str, inside: str) -> str:
+    """The open fence after a line: three or more backticks or tildes, indented by three spaces at most, until a line
+    of nothing but as many of the same, or more."""
+    body = line.lstrip(" ")
+    marks = body[: len(body) - len(body.lstrip(body[:1]))] if body[:1] in ("`", "~") else ""
+    if len(line) - len(body) > 3 or len(marks) < 3:
+        return inside
+    if not inside:
+        return marks
+    return "" if marks[0] == inside[0] and len(marks) >= len(inside) and not body[len(marks) :].strip() else inside
+
+
+def _heading(line: str) -> tuple[int, str] | None:
+    """Level and title of an ATX heading: one to six signs, indented by three spaces at most, white space, a title."""
+    body = line.lstrip(" ")
+    level = len(body) - len(body.lstrip("#"))
+    rest = body[level:]
+    if len(line) - len(body) > 3 or not 1 <= level <= 6 or rest[:1].strip() or not rest.strip():
+        return None
+    title = rest.strip()
+    return level, title.rstrip("#").rstrip() or title[:1]
+
+
+def lines_of(text: str) -> Iterator[tuple[str, bool, tuple[int, str] | None]]:
+    """(line, whether it is of a fenced block, the heading that it is) of each line."""
+    fence = ""
     for line in text.split("\n"):
-        f = FENCE.match(line)
-        if f and not fence:
-            fence = f[1]
-        elif f and fence == f[1]:
-            fence = ""
-        h = None if fence or f else HEADING.match(line)
-        if h:
-            if lines:
-                out.append((above, own, "\n".join(lines)))
-            lines, level = [], len(h[1])
-            stack = [s for s in stack if s[0] < level]
-            above, own = [t for _, t in stack], h[2]
-            stack.append((level, own))
-        lines.append(line)
-    return [*out, (above, own, "\n".join(lines))]
+        before, fence = fence, _fence(line, fence)
+        fenced = bool(before or fence)
+        yield line, fenced, None if fenced else _heading(line)
 
 
-def split_text(text: str, longest: int) -> list[str]:
-    """Paragraphs packed up to the limit; a longer paragraph by lines, a longer line by hard cuts."""
+def sections(text: str) -> list[tuple[list[str], str, str]]:
+    """(ancestor headings, own heading, section text); the texts joined by newlines are the document."""
+    starts: list[tuple[list[str], str, list[str]]] = [([], "", [])]
+    trail: list[tuple[int, str]] = []
+    for line, _, heading in lines_of(text):
+        if heading:
+            trail = [h for h in trail if h[0] < heading[0]]
+            starts.append(([t for _, t in trail], heading[1], []))
+            trail.append(heading)
+        starts[-1][2].append(line)
+    return [(above, own, "\n".join(lines)) for above, own, lines in starts if lines]
 
-    def pack(parts: list[str], glue: str, smaller) -> list[str]:
-        out, now = [], None
-        for p in parts:
-            for piece in [p] if len(p) <= longest else smaller(p):
-                if now is not None and len(now) + len(glue) + len(piece) <= longest:
-                    now += glue + piece
-                else:
-                    out += [now] if now is not None else []
-                    now = piece
-        return out + ([now] if now is not None else [])
 
-    cut = lambda s: [s[i : i + longest] for i in range(0, len(s), longest)]
-    return pack(re.split(r"\n{2,}", text), "\n\n", lambda p: pack(p.split("\n"), "\n", cut))
+def split_text(text: str, longest: int) -> list[str]:
+    """Pieces of at most ``longest``: paragraphs packed together, or lines where there is but one paragraph, or hard cuts
+    where there is but one line.  A part that is too long itself ends the piece before it, and its own pieces stand alone."""
+    if len(text) <= longest:
+        return [text]
+    for gap, glue in BREAKS:
+        if len(parts := re.split(gap, text)) > 1:
+            break
+    else:
+        return [text[i : i + longest] for i in range(0, len(text), longest)]
+    out = [""]
+    for part in parts:
+        joined = out[-1] + glue + part if out[-1] else part
+        if len(joined) <= longest:
+            out[-1] = joined
+        elif len(part) <= longest:
+            out.append(part)
+        else:
+            out += [*split_text(part, longest), ""]
+    return [piece for piece in out if piece]
+
+
+def overlapped(pieces: list[str], lines: int) -> list[str]:
+    """Each piece with the last lines of the one before it in front."""
+    tails = ["\n".join(p.split("\n")[-lines:]) + "\n" for p in pieces[:-1]] if lines > 0 else [""] * (len(pieces) - 1)
+    return [tail + p for tail, p in zip(["", *tails], pieces, strict=True)]
+
+
+def crumbs(parts: Sequence[str]) -> str:
+    return " > ".join(s for p in parts if (s := p.strip()))
+
+
+def _packed(text: str, cfg: Config) -> Iterator[tuple[str, str]]:
+    """(content, context) of sections packed up to the target; one that is longer is split, with overlap, and all its
+    pieces but the first have its own heading in their context, too."""
+    held: list[str] = []
+    context = ""
+    for above, own, body in sections(text):
+        held = held if any(held) else []
+        if len("\n".join([*held, body])) <= cfg.target:
+            context = context if held else crumbs(above)
+            held.append(body)
+            continue
+        if held:
+            yield "\n".join(held), context
+        held, context = [body], crumbs(above)
+        if len(body) > cfg.target:
+            held = []
+            for k, piece in enumerate(overlapped(split_text(body, cfg.target), cfg.overlap_lines)):
+                yield piece, crumbs([*above, own]) if k else crumbs(above)
+    if any(held):
+        yield "\n".join(held), context
 
 
 def chunk(text: str, cfg: Config) -> list[tuple[str, str]]:
     """(content, context) of each chunk."""
     if len(text) < SHORT:
         return [(text, "")]
-    found = sections(text)
-    if cfg.by_heading and any(own for _, own, _ in found):
-        out: list[tuple[str, str]] = []
-        now, context = None, ""
-        for above, own, body in found:
-            if now is not None and len(now) + 1 + len(body) <= cfg.target:
-                now += "\n" + body
-                continue
-            out += [(now, context)] if now is not None else []
-            now, context = None, " > ".join(s.strip() for s in above if s.strip())
-            if len(body) <= cfg.longest:
-                now = body
-                continue
-            for k, piece in enumerate(split_text(body, cfg.longest)):
-                out.append((piece, context if k == 0 else " > ".join(s for s in (context, own) if s)))
-        return out + ([(now, context)] if now is not None else [])
-    pieces = split_text(text, cfg.target)
-    tails = ["", *("\n".join(p.split("\n")[-cfg.overlap_lines :]) for p in pieces[:-1])]
-    joined = [p if not t else t + "\n" + p for t, p in zip(tails, pieces, strict=True)]
-    return [(q, "") for p in joined for q in (split_text(p, cfg.longest) if len(p) > cfg.longest else [p])]
+    if cfg.by_heading and any(heading for _, _, heading in lines_of(text)):
+        found = list(_packed(text, cfg))
+    else:
+        sized = [q for p in split_text(text, cfg.target) for q in split_text(p, cfg.longest)]
+        found = [(p, "") for p in overlapped(sized, cfg.overlap_lines)]
+    return [(piece, context) for content, context in found for piece in split_text(content, cfg.longest)]
 
 
 def chunk_documents(docs: DataFrame, cfg: Config = Config()) -> DataFrame:  # noqa: B008
     """docs (logical_path, content) to (logical_path, chunk_index, chunk_content, context)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(p, i, c, x) for p, text in zip(pdf["logical_path"], pdf["content"], strict=True) for i, (c, x) in enumerate(chunk(text or "", cfg))]
-            yield pd.DataFrame(rows, columns=["logical_path", "chunk_index", "chunk_content", "context"])
+    return docs.select("logical_path", chunks_of(cfg)("content").alias("x")).select("logical_path", F.inline("x"))
+
 
-    return docs.select("logical_path", "content").mapInPandas(run, "logical_path string, chunk_index int, chunk_content string, context string")
+def chunks_of(cfg: Config = Config()):  # noqa: B008
+    """A function of a text column: its chunks as an array of (chunk_index, chunk_content, context)."""
+
+    @F.pandas_udf("array<struct<chunk_index:int,chunk_content:string,context:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"chunk_index": i, "chunk_content": c, "context": x} for i, (c, x) in enumerate(chunk(t or "", cfg))])
+
+    return cut
 
 
 def hard_cut(docs: DataFrame, longest: int) -> DataFrame:
@@ -120,14 +169,22 @@ def add_overlap(chunks: DataFrame, lines: int = 2) -> DataFrame:
 
 
 def section_lines(docs: DataFrame) -> DataFrame:
-    """(logical_path, line_no, line, in_fence, section): fences and sections by running sums."""
-    rows = docs.select("logical_path", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    w = W.partitionBy("logical_path").orderBy("line_no")
-    rows = rows.withColumn("fence", F.col("line").rlike(r"^\s*(```|~~~)").cast("int"))
-    rows = rows.withColumn("in_fence", F.pmod(F.sum("fence").over(w) - F.col("fence"), F.lit(2)) == 1)
-    head = F.col("line").rlike(r"^#{1,6}\s+\S") & ~F.col("in_fence") & (F.col("fence") == 0)
-    return rows.withColumn("section", F.sum(head.cast("int")).over(w)).drop("fence")
+    """(logical_path, line_no, line, in_fence, section): the lines of the same reading as the chunks', the sections
+    numbered by a running sum."""
+
+    @F.pandas_udf("array<struct<line_no:int,line:string,in_fence:boolean,heads:int>>")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"line_no": i, "line": line, "in_fence": fenced, "heads": int(bool(h))} for i, (line, fenced, h) in enumerate(lines_of(t or ""))])
+
+    rows = docs.select("logical_path", read("content").alias("x")).select("logical_path", F.inline("x"))
+    return rows.withColumn("section", F.sum("heads").over(W.partitionBy("logical_path").orderBy("line_no"))).drop("heads")
 
 
 def has_headings(docs: DataFrame) -> DataFrame:
-    return section_lines(docs).groupBy("logical_path").agg((F.max("section") > 0).alias("has_headings"))
+    """(logical_path, has_headings), read like the chunks, in one pass without a shuffle."""
+
+    @F.pandas_udf("boolean")
+    def any_heading(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: any(h for _, _, h in lines_of(t or "")))
+
+    return docs.select("logical_path", any_heading("content").alias("has_headings"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import data_images, normalize_docmd, strip_html_blocks
+from ..functions.text import IMAGE_TAG, data_images, normalize_docmd, relations, strip_html_blocks, trimmed
 
 
 class _Markdown(HTMLParser):
@@ -98,15 +98,32 @@ def convert(mime: Column, content: Column, structured: Callable[[Column], Column
 
 
 def image_table(docs: DataFrame, cap: int = 20) -> DataFrame:
-    """(logical_path, image_no, bytes, captioned): the data: images of each document; only the first get a caption."""
-    rows = docs.select("logical_path", F.posexplode(data_images(F.col("content"))).alias("i", "data"))
-    no = F.row_number().over(W.partitionBy("logical_path").orderBy("i"))
-    return rows.select("logical_path", no.alias("image_no"), F.unbase64("data").alias("bytes"), (no <= cap).alias("captioned"))
-
-
-def drop_images(content: Column) -> Column:
-    """Each data: image as a short reference."""
-    return F.regexp_replace(content, r"!\[([^\]]*)\]\(data:image/[a-z+]+;base64,[A-Za-z0-9+/=]+\)", "[image: $1]")
+    """(logical_path, image_no, mime_type, bytes, captioned): the images that each HTML document (content) holds itself;
+    only the first get a caption."""
+    rows = docs.select("logical_path", F.posexplode(data_images(F.col("content"))).alias("i", "x"))
+    return rows.select("logical_path", (F.col("i") + 1).alias("image_no"), "x.mime_type", "x.bytes", (F.col("i") < cap).alias("captioned"))
+
+
+def caption_block(alt: Column, caption: Column) -> Column:
+    """A caption as a paragraph of its own, under a comment with the alternative text."""
+    head = F.when(F.trim(F.coalesce(alt, F.lit(""))) == "", "<!-- image -->").otherwise(F.concat(F.lit("<!-- image: "), F.trim(alt), F.lit(" -->")))
+    body = F.coalesce(F.nullif(F.trim(caption), F.lit("")), F.lit("(image, no caption available)"))
+    return F.concat(F.lit("\n\n"), head, F.lit("\n\n"), body, F.lit("\n\n"))
+
+
+def captioned(docs: DataFrame, caption: Callable[[Column, Column], Column] | None = None, cap: int = 20) -> DataFrame:
+    """docs (logical_path, content: HTML) with each image of its own replaced by a caption block.  caption is a function of
+    bytes and type, such as a model's pandas UDF; without it, or where it gives null, and behind the cap, type and size stand in."""
+    tag, alt = IMAGE_TAG, r"(?i)\balt\s*=\s*[\"']([^\"']*)[\"']"
+    known = F.format_string("(image, %s, %d bytes)", F.col("x.mime_type"), F.octet_length("x.bytes"))
+    late = F.format_string("(image, %s, %d bytes — caption skipped, too many images)", F.col("x.mime_type"), F.octet_length("x.bytes"))
+    shown = F.when(F.col("i") >= cap, late).otherwise(F.coalesce(caption(F.col("x.bytes"), F.col("x.mime_type")), known) if caption else known)
+    images = docs.select("logical_path", F.posexplode(data_images(F.col("content"))).alias("i", "x"), F.regexp_extract_all("content", F.lit(tag), F.lit(0)).alias("tags"))
+    blocks = images.select("logical_path", "i", caption_block(F.regexp_extract(F.get("tags", F.col("i")), alt, 1), shown).alias("block"))
+    blocks = blocks.groupBy("logical_path").agg(F.sort_array(F.collect_list(F.struct("i", "block"))).alias("blocks"))
+    rows = docs.join(blocks, "logical_path", "left").withColumn("between", F.split("content", tag))
+    text = F.array_join(F.transform("between", lambda t, i: F.concat(t, F.coalesce(F.get(F.col("blocks.block"), i), F.lit("")))), "")
+    return rows.withColumn("content", F.when(F.col("blocks").isNull(), F.col("content")).otherwise(text)).drop("blocks", "between")
 
 
 def _lines(rows: DataFrame, keys: list[str], order: list[str], line: Column, glue: str, name: str) -> DataFrame:
@@ -145,16 +162,75 @@ def pages_to_markdown(pages: DataFrame) -> DataFrame:
     return _lines(pages, ["doc"], ["page_no"], shown, "\n\n", "markdown").join(full, "doc").select("doc", F.when(F.col("any"), F.col("markdown")).otherwise("(scanned document without text)").alias("markdown"))
 
 
-def front_matter(fields: dict[str, Column]) -> Column:
-    """YAML-like lines; lists in brackets, null fields left out."""
-    lines = [F.concat(F.lit(f"{k}: "), v) for k, v in fields.items()]
-    return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"))
+# What a YAML reader would not take for plain text: signs with a meaning at the start, inner ": " and " #", blanks at
+# an end, and what reads as a number, a date, a truth value or null.
+_QUOTED = r"""(?i)^$|^[\s\-?:,\[\]{}#&*!|>'"%@`]|:\s|\s#|[\s:]$|^[-+.\d][\d_.,:eE+-]*$|^\d{4}-\d\d?-\d\d?(t.*|\s.*)?$|^(true|false|null|~|yes|no|on|off)$"""
+
+
+def yaml_text(c: Column) -> Column:
+    return F.when(c.rlike(_QUOTED), F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))).otherwise(c)
+
+
+def front_matter(fields: dict[str, Column], lists: dict[str, Column] | None = None, order: Sequence[str] = ()) -> Column:
+    """YAML between rules: fields (text as ``yaml_text`` or numbers) and lists, an item a line; null and empty left out."""
+    lines = {k: F.concat(F.lit(f"{k}: "), v) for k, v in fields.items()}
+    for k, v in (lists or {}).items():
+        lines[k] = F.when(F.size(v) > 0, F.concat(F.lit(f"{k}:\n  - "), F.array_join(v, "\n  - ")))
+    return F.concat(F.lit("---\n"), F.concat_ws("\n", *[lines[k] for k in (order or lines)]), F.lit("\n---\n"))
 
 
-def records_to_markdown(records: DataFrame, fields: dict[str, Column], title: Column, body: Column, comments: Column | None = None) -> DataFrame:
-    """Issue, tracker or project records; comments is an array of (author, created_at, body)."""
-    parts = [F.concat(front_matter(fields), F.lit("\n# "), title), F.nullif(F.trim(body), F.lit(""))]
+def _body(title: Column, parts: dict[str, Column], comments: Column | None = None) -> Column:
+    """Title, the sections that have text, and comments (who, created_at, body) with their number."""
+    found = [F.concat(F.lit("# "), title)]
+    found += [F.concat(F.lit(f"## {k}\n\n"), F.nullif(trimmed(v), F.lit(""))) for k, v in parts.items()]
     if comments is not None:
-        shown = F.transform(comments, lambda c: F.concat(F.lit("### "), c["author"], F.lit(" ("), c["created_at"], F.lit(")\n\n"), c["body"]))
-        parts.append(F.when(F.size(comments) > 0, F.concat(F.lit("## Comments\n\n"), F.array_join(shown, "\n\n"))))
-    return records.withColumn("markdown", F.concat_ws("\n\n", *parts))
+        shown = F.transform(comments, lambda c: F.concat(F.lit("### "), F.coalesce(c["who"], F.lit("(unknown)")), F.lit(" — "), F.coalesce(c["created_at"], F.lit("")), F.lit("\n\n"), trimmed(F.coalesce(c["body"], F.lit("")))))
+        found.append(F.when(F.size(comments) > 0, F.concat(F.lit("## Comments ("), F.size(comments).cast("string"), F.lit(")\n\n"), F.array_join(shown, "\n\n"))))
+    return trimmed(F.concat_ws("\n\n", *found))
+
+
+def issues_to_markdown(issues: DataFrame) -> DataFrame:
+    """issues (html_url, number, is_pull, title, body, state, draft, author, assignees, labels, milestone, due_date, created_at,
+    updated_at, closed_at: text or arrays of it; links: array of (kind, number); comments: array of (author, created_at,
+    body)) with ``markdown``."""
+    numbers = lambda kind: relations(F.transform("links", lambda x: F.struct(x["kind"].alias("kind"), x["number"].alias("id"))), kind)
+    text = {k: yaml_text(F.col(c)) for k, c in (("source_url", "html_url"), ("title", "title"), ("state", "state"), ("author", "author"), ("milestone", "milestone"), ("due_date", "due_date"), ("created_at", "created_at"), ("updated_at", "updated_at"), ("closed_at", "closed_at"))}
+    fields = text | {"number": F.col("number").cast("string"), "kind": F.when(F.col("is_pull"), "pull").otherwise("issue"), "draft": F.when(F.col("is_pull"), F.col("draft").cast("string"))}
+    lists = {"assignees": _named("assignees"), "labels": _named("labels"), "references": numbers("references").cast("array<string>"), "closes": F.when(F.col("is_pull"), numbers("closes")).cast("array<string>")}
+    order = ("source_url", "number", "kind", "title", "state", "draft", "author", "assignees", "labels", "milestone", "due_date", "references", "closes", "created_at", "updated_at", "closed_at")
+    title = F.concat(F.when(F.col("is_pull"), "PR").otherwise("Issue"), F.lit(" #"), F.col("number").cast("string"), F.lit(": "), F.col("title"))
+    comments = F.transform("comments", lambda c: F.struct(F.concat(F.lit("@"), c["author"]).alias("who"), c["created_at"].alias("created_at"), c["body"].alias("body")))
+    return issues.withColumn("markdown", F.concat(front_matter(fields, lists, order), _body(title, {"Description": F.col("body")}, comments)))
+
+
+def _named(c: str) -> Column:
+    return F.transform(F.filter(c, lambda x: x != ""), yaml_text)
+
+
+def person(user: Column) -> Column:
+    """``Name <mail>`` of a (name, email)."""
+    return F.concat(F.coalesce(user["name"], F.lit("(unknown)")), F.coalesce(F.concat(F.lit(" <"), user["email"], F.lit(">")), F.lit("")))
+
+
+def tracker_to_markdown(items: DataFrame) -> DataFrame:
+    """items (url, identifier, title, state, priority, assignee, creator: (name, email), team, project, cycle, labels,
+    estimate, due_date, blocks, blocked_by: arrays of identifiers, created_at, updated_at, description, comments: array
+    of (user: (name, email), created_at, body)) with ``markdown``."""
+    plain = ("identifier", "title", "state", "priority", "team", "project", "cycle", "due_date", "created_at", "updated_at")
+    fields = {k: yaml_text(F.col(k)) for k in plain} | {"source_url": yaml_text(F.col("url")), "estimate": F.col("estimate").cast("string")}
+    fields |= {k: F.when(F.col(c).isNotNull(), yaml_text(person(F.col(c)))) for k, c in (("assignee", "assignee"), ("author", "creator"))}
+    lists = {k: _named(k) for k in ("labels", "blocks", "blocked_by")}
+    order = ("source_url", "identifier", "title", "state", "priority", "assignee", "author", "team", "project", "cycle", "labels", "estimate", "due_date", "blocks", "blocked_by", "created_at", "updated_at")
+    comments = F.transform("comments", lambda c: F.struct(F.when(c["user"].isNotNull(), person(c["user"])).alias("who"), c["created_at"].alias("created_at"), c["body"].alias("body")))
+    title = F.concat_ws(": ", "identifier", "title")
+    return items.withColumn("markdown", F.concat(front_matter(fields, lists, order), _body(title, {"Description": F.col("description")}, comments)))
+
+
+def projects_to_markdown(projects: DataFrame) -> DataFrame:
+    """projects (url, name, state, lead: (name, email), members: array of it, teams, progress, start_date, target_date,
+    created_at, updated_at, description, content) with ``markdown``."""
+    fields = {k: yaml_text(F.col(k)) for k in ("name", "state", "start_date", "target_date", "created_at", "updated_at")}
+    fields |= {"source_url": yaml_text(F.col("url")), "lead": F.when(F.col("lead").isNotNull(), yaml_text(person(F.col("lead")))), "progress": F.col("progress").cast("string")}
+    lists = {"members": F.transform("members", lambda u: yaml_text(person(u))), "teams": _named("teams")}
+    order = ("source_url", "name", "state", "lead", "members", "teams", "progress", "start_date", "target_date", "created_at", "updated_at")
+    return projects.withColumn("markdown", F.concat(front_matter(fields, lists, order), _body(F.col("name"), {"Summary": F.col("description"), "Overview": F.col("content")})))

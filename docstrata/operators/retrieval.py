@@ -7,15 +7,18 @@ other data stays partitioned by document, and each query keeps ``depth`` candida
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import make_snippet, snippet_terms
+from .store import current_chunks
 
 K1, B = 1.2, 0.75
 MAX_QUERIES = 100_000
+MAX_HITS = 1_000_000  # rows of a few numbers each
 
 
 def candidate_depth(limit: int) -> int:
@@ -27,6 +30,12 @@ def _small(queries: DataFrame) -> DataFrame:
     return F.broadcast(queries) if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES else queries
 
 
+def _bounded(hits: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
+    """Broadcast hint for at most depth hits of each query.  The queries are counted, not the hits, which would be
+    computed twice."""
+    return F.broadcast(hits) if queries.limit(MAX_HITS // depth + 1).count() <= MAX_HITS // depth else hits
+
+
 def tokens(text: Column, pattern: str = "[^a-z]+") -> Column:
     return F.filter(F.split(F.lower(text), pattern), lambda x: x != "")
 
@@ -38,23 +47,47 @@ def term_statistics(docs: DataFrame, key: str = "key") -> tuple[DataFrame, DataF
     return postings, tok.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "key") -> DataFrame:
-    """(query_id, key, score, rank) of docs (key, text) for queries (query_id, query)."""
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "key", stem: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(query_id, key, score, rank) of docs (key, text) for queries (query_id, query).  stem is an optional function of
+    a word, used on both sides."""
+    words = (lambda c: F.transform(tokens(c), stem)) if stem else tokens
+    terms = _small(queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term")))
+    tok = docs.select(key, words(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+    corpus = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower("text"), F.lit("[a-z]+"))).alias("avg_len"))
+    hits = tok.select(key, "len", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    return ranked(hits.groupBy(key, "len", "term").agg(F.count("*").alias("tf")), corpus, terms, k, key)
+
+
+def bm25_of_index(postings: DataFrame, corpus: DataFrame, queries: DataFrame, k: int = 10, key: str = "key") -> DataFrame:
+    """The same from a stored index (see ``term_statistics``): no text is read."""
     terms = _small(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")))
-    tok = docs.select(key, tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    corpus = tok.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    hits = tok.select(key, "len", F.explode("t").alias("term")).join(_small(terms.select("term").distinct()), "term", "left_semi")
-    hits = hits.groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    return ranked(postings.join(terms.select("term").distinct(), "term", "left_semi"), corpus, terms, k, key)
+
+
+def ranked(hits: DataFrame, corpus: DataFrame, terms: DataFrame, k: int, key: str) -> DataFrame:
+    """Scores from the postings (key, len, term, tf) of the queries' terms (query_id, term) alone."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = terms.join(df, "term").crossJoin(F.broadcast(corpus))  # one row of corpus statistics
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scores = hits.join(F.broadcast(weighed), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    scores = hits.join(weighed, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
     return top_k(scores, k, key)
 
 
+SUFFIXES = r"(?:ational|ization|fulness|iveness|ousness|ations?|ments?|ness|ings?|edly|ers?|ies|ed|es|ly|s)$"
+
+
+def light_stem(word: Column) -> Column:
+    """A light English stemmer: one common suffix off, if at least three letters stay."""
+    short = F.regexp_replace(word, SUFFIXES, "")
+    return F.when(F.char_length(short) >= 3, short).otherwise(word)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
@@ -63,9 +96,12 @@ def check_dimension(embedding: Column, dim: int) -> Column:
 
 
 def semantic(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "key") -> DataFrame:
-    """(query_id, key, score, rank): the stated queries (query_id, vector) against every row of vectors (key, embedding)."""
-    pairs = vectors.crossJoin(_small(queries))
-    return top_k(pairs.select("query_id", key, cosine(F.col("embedding"), F.col("vector")).alias("score")), k, key)
+    """(query_id, key, score, rank): the stated queries (query_id, vector) against every row of vectors (key, embedding).
+    Each vector's length is computed once, not once a pair."""
+    own = vectors.select(key, "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("__length"))
+    asked = queries.select("query_id", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("__asked"))
+    pairs = own.crossJoin(_small(asked))
+    return top_k(pairs.select("query_id", key, (dot(F.col("embedding"), F.col("vector")) / (F.col("__length") * F.col("__asked"))).alias("score")), k, key)
 
 
 def top_k(scores: DataFrame, k: int, key: str = "key") -> DataFrame:
@@ -115,16 +151,49 @@ def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column] = lexical
     return rows.withColumn("rerank_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")))
 
 
-def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, mode: str = "hybrid", weight: float = 0.6, cap: int = 3) -> DataFrame:
-    """docs (key, logical_path, text), vectors (key, embedding), queries (query_id, query, vector); a row a hit."""
-    depth = candidate_depth(limit)
-    empty = lambda: queries.select("query_id", F.lit(None).cast("long").alias("key"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+def asked(queries: DataFrame) -> DataFrame:
+    """The queries; a blank one raises."""
+    blank = F.raise_error(F.lit("search requires a query")).cast("string")
+    return queries.withColumn("query", F.when(F.trim(F.coalesce("query", F.lit(""))) == "", blank).otherwise(F.col("query")))
+
+
+def search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, mode: str = "hybrid", weight: float = 0.6, cap: int = 3, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """docs (key, logical_path, text), vectors (key, embedding), queries (query_id, query, vector); a row a hit.  With a
+    pair scorer, the fused hits are put in its order before they are diversified."""
+    depth, queries = candidate_depth(limit), asked(queries)
+    key = docs.schema["key"].dataType.simpleString()
+    empty = lambda: queries.select("query_id", F.lit(None).cast(key).alias("key"), F.lit(0.0).alias("score"), F.lit(1).alias("rank")).filter("false")
     sem = semantic(vectors, queries.select("query_id", "vector"), 5 * limit) if mode != "keyword" else empty()
     kw = bm25(docs.select("key", "text"), queries.select("query_id", "query"), 5 * limit) if mode != "semantic" else empty()
     fused = fuse(sem, kw, {"semantic": 1.0, "keyword": 0.0}.get(mode, weight), depth=depth)
-    rows = docs.join(_small(fused), "key").join(F.broadcast(queries.select("query_id", "query")), "query_id")
-    rows = diversify(rows, limit, cap)
-    return rows.select("query_id", "logical_path", "key", "final_rank", "score", "semantic", "keyword", make_snippet(F.col("text"), snippet_terms(F.col("query"))).alias("snippet"))
+    rows = docs.join(_bounded(fused, queries, depth), "key").join(_small(queries.select("query_id", "query")), "query_id")
+    rows = diversify(reordered(rows, scorer) if scorer else rows, limit, cap)
+    shown = ["rerank_score"] if scorer else []
+    return rows.select("query_id", "logical_path", "key", "final_rank", "score", "semantic", "keyword", *shown, make_snippet(F.col("text"), snippet_terms(F.col("query"))).alias("snippet"))
+
+
+def reordered(hits: DataFrame, scorer: Callable[[Column, Column], Column]) -> DataFrame:
+    """hits (query_id, query, text, rank) with rerank_score, and rank by it."""
+    return rerank(hits, scorer).drop("rank").withColumnRenamed("rerank_rank", "rank")
+
+
+CHUNK_KEY = ("logical_path", "version_id", "chunk_index")
+
+
+def search_chunks(chunks: DataFrame, files: DataFrame, queries: DataFrame, limit: int = 10, prefix: str = "", history: bool = False, **options) -> DataFrame:
+    """Search over a store's chunks (path, version_id, chunk_index, search_text, embedding): those of current versions, or
+    of all with history, below a path prefix.  One hit a chunk, by (path, version_id, chunk_index)."""
+    rows = chunks if history else current_chunks(chunks, files)
+    rows = rows.filter(F.col("logical_path").startswith(prefix)) if prefix else rows
+    rows = rows.withColumn("key", F.struct(*CHUNK_KEY))
+    found = search(rows.select("key", "logical_path", F.col("search_text").alias("text")), rows.select("key", "embedding"), queries, limit, **options)
+    return found.select("query_id", "key.*", *[c for c in found.columns if c not in ("query_id", "key", "logical_path")])
+
+
+def compare_variants(variants: dict[str, DataFrame], golden: DataFrame) -> DataFrame:
+    """The metrics of each variant's hits (query_id, key, rank) over the same golden set."""
+    parts = [metrics(expected_rank(hits, golden)).withColumn("variant", F.lit(name)) for name, hits in variants.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def expected_rank(hits: DataFrame, golden: DataFrame, key: str = "key") -> DataFrame:
@@ -133,6 +202,21 @@ def expected_rank(hits: DataFrame, golden: DataFrame, key: str = "key") -> DataF
     return golden.join(found, ["query_id", "expected"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
 
 
+def containing(docs: DataFrame, passages: DataFrame, key: str = "key") -> DataFrame:
+    """(query_id, key) of docs (key, text) that contain a passage (query_id, passage).  A passage of five or more words,
+    as single spaces part them, has its second to fourth whole in any text that contains it: only documents with these
+    three in a row are compared.  Shorter ones (few, and counted) are compared with all."""
+    parts = F.split("passage", " ")
+    three = lambda t, i: F.xxhash64(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2))
+    long = passages.withColumn("__n", F.size(parts)).filter("__n >= 5").select("query_id", "passage", three(parts, F.lit(1)).alias("__h"))
+    words = docs.select(key, F.split("text", " ").alias("__t")).filter("size(__t) >= 3")
+    runs = words.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("__t") - 3), lambda i: three(F.col("__t"), i))).alias("__h"))
+    near = runs.join(_small(long.select("query_id", "__h")), "__h").select("query_id", key).distinct().join(long.drop("__h"), "query_id")
+    found = docs.select(key, "text").join(near, key).filter(F.contains("text", "passage")).select("query_id", key)
+    short = passages.filter(F.size(parts) < 5)
+    return found.unionByName(docs.select(key, "text").join(_small(short), F.contains("text", "passage")).select("query_id", key))
+
+
 def answered(hits: DataFrame, golden: DataFrame, top: int = 3) -> DataFrame:
     """Whether the answer is in the text of one of the first hits (query_id, rank, text)."""
     rows = golden.filter("answer is not null").join(hits.filter(F.col("rank") <= top).select("query_id", "text"), "query_id", "left")

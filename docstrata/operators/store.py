@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import persist_reason
+from ..functions.text import persist_reason, search_text
 
 PATH = "logical_path"
 NEWEST = ("version_id", "event_id")
@@ -105,6 +106,18 @@ def strip_candidates(blobs: DataFrame, max_size: int | None, skip_mimes: Sequenc
     return blobs.withColumn("reason", persist_reason(F.col("mime_type"), F.col("size_bytes"), max_size, skip_mimes)).filter(F.col("bytes").isNotNull() & F.col("reason").isNotNull())
 
 
+def reclaimable(blobs: DataFrame, max_size: int | None, skip_mimes: Sequence[str]) -> DataFrame:
+    """How many blobs a strip would empty, and the bytes that it frees, by their real lengths."""
+    found = strip_candidates(blobs, max_size, skip_mimes)
+    return found.agg(F.count("*").alias("stripped"), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).cast("long").alias("reclaimed_bytes"))
+
+
+def read_bytes(blobs: DataFrame) -> DataFrame:
+    """(sha256, mime_type, size_bytes, bytes_base64); a blob whose bytes were skipped raises."""
+    skipped = F.raise_error(F.concat(F.lit("bytes were not kept: "), F.col("sha256"))).cast("string")
+    return blobs.select("sha256", "mime_type", "size_bytes", F.when(F.col("bytes").isNull(), skipped).otherwise(F.base64("bytes")).alias("bytes_base64"))
+
+
 def strip(blobs: DataFrame, max_size: int | None, skip_mimes: Sequence[str]) -> DataFrame:
     reason = persist_reason(F.col("mime_type"), F.col("size_bytes"), max_size, skip_mimes)
     return blobs.withColumn("bytes", F.when(reason.isNull(), F.col("bytes")))
@@ -138,17 +151,30 @@ def sync(now_current: DataFrame, live: DataFrame, version: Column, note: str = "
 
 def move(now_current: DataFrame, renames: DataFrame, version: Column) -> DataFrame:
     """Rows for renames (old_path, new_path): copies under the new path and tombstones for the old; a target that
-    is current raises."""
-    hit = now_current.join(renames.withColumnRenamed("old_path", PATH), PATH)
+    is current, or that two renames share, raises."""
+    once = renames.groupBy("new_path").agg(F.min("old_path").alias(PATH), F.count("*").alias("__n"))
+    hit = now_current.join(once, PATH)
     taken = now_current.select(F.col(PATH).alias("new_path"), F.lit(True).alias("__taken"))
     hit = hit.join(taken, "new_path", "left")
-    ok = F.when(F.col("__taken"), F.raise_error(F.concat(F.lit("path exists: "), F.col("new_path"))).cast("string")).otherwise(F.col("new_path"))
+    clash = F.when(F.col("__taken"), "path exists: ").when(F.col("__n") > 1, "path is the target of several renames: ")
+    ok = F.when(clash.isNotNull(), F.raise_error(F.concat(clash, F.col("new_path"))).cast("string")).otherwise(F.col("new_path"))
     rest = [c for c in now_current.columns if c not in (PATH, "version_id", "tombstone")]
-    copies = hit.select(ok.alias(PATH), version.alias("version_id"), F.lit(False).alias("tombstone"), *rest)
-    graves = hit.select(PATH, version.alias("version_id"), F.lit(True).alias("tombstone"), *rest)
+    rest_of_copy = [F.concat(F.lit("move from "), F.col(PATH)).alias(c) if c == "change_note" else F.col(c) for c in rest]
+    copies = hit.select(ok.alias(PATH), version.alias("version_id"), F.lit(False).alias("tombstone"), *rest_of_copy)
+    rest_of_grave = [F.concat(F.lit("moved to "), F.col("new_path")).alias(c) if c == "change_note" else F.col(c) for c in rest]
+    graves = hit.select(PATH, version.alias("version_id"), F.lit(True).alias("tombstone"), *rest_of_grave)
     return copies.unionByName(graves)
 
 
+def moved_chunks(chunks: DataFrame, now_current: DataFrame, renames: DataFrame, version: Column) -> DataFrame:
+    """The current chunks of renamed paths under their new path and version, with the search text built anew (chunks:
+    path, version_id, chunk_index, chunk_content, context, search_text and any others, which stay)."""
+    hit = now_current.select(PATH, "version_id", "description").join(renames.withColumnRenamed("old_path", PATH), PATH)
+    rows = chunks.join(hit, [PATH, "version_id"])
+    made = {PATH: F.col("new_path"), "version_id": version, "search_text": search_text(F.col("new_path"), F.col("description"), F.col("chunk_content"), F.col("context"))}
+    return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in chunks.columns])
+
+
 def remove_guard(now_current: DataFrame, targets: DataFrame, patterns: Sequence[str], force: bool = False) -> DataFrame:
     """Targets of a removal; match-all needs force, and nothing found raises with a hint."""
     if not force and any(p in ("*", "**") for p in patterns):
@@ -201,9 +227,10 @@ def count_by(rows: DataFrame, key: str, skip_null: bool = False) -> DataFrame:
 
 def top_and_other(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
     """The n most frequent values and the rest as ``(other)``; ties by value."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("c"))
-    ranked = counts.withColumn("__r", F.row_number().over(W.orderBy(F.desc("c"), F.asc(key))))  # one row a value
-    return ranked.groupBy(F.when(F.col("__r") <= n, F.col(key)).otherwise("(other)").alias(key)).agg(F.sum("c").alias("n"))
+    counts = rows.groupBy(F.coalesce(F.col(key), F.lit("(null)")).alias(key)).agg(F.count("*").alias("c"))
+    top = counts.orderBy(F.desc("c"), F.asc(key)).limit(n).select(F.col(key).alias("__top"))
+    named = counts.join(F.broadcast(top), F.col(key) == F.col("__top"), "left")  # n rows
+    return named.groupBy(F.coalesce("__top", F.lit("(other)")).alias(key)).agg(F.sum("c").alias("n"))
 
 
 def refresh_health(files: DataFrame, now: Column) -> DataFrame:
@@ -239,19 +266,24 @@ def report(files: DataFrame, blobs: DataFrame, chunks: DataFrame, now: Column) -
 
 
 def path_tree(paths: DataFrame, max_depth: int = 6) -> DataFrame:
-    """(node, depth, is_file, files): every folder and file down to max_depth; deeper paths count in the deepest."""
+    """(node, depth, is_file, files): every folder and file down to max_depth; a deeper path counts in the deepest node
+    above it, which is a file, too."""
     parts = paths.select(F.filter(F.split(PATH, "/"), lambda x: x != "").alias("p")).filter("size(p) > 0")
     rows = parts.withColumn("depth", F.explode(F.sequence(F.lit(1), F.least(F.size("p"), F.lit(max_depth)))))
     node = F.array_join(F.slice("p", F.lit(1), F.col("depth")), "/")
-    return rows.groupBy(node.alias("node"), "depth").agg(F.max(F.size("p") == F.col("depth")).alias("is_file"), F.count("*").alias("files"))
+    return rows.groupBy(node.alias("node"), "depth").agg(F.max((F.size("p") == F.col("depth")) | (F.col("depth") == max_depth)).alias("is_file"), F.count("*").alias("files"))
 
 
 def truncate_tree(tree: DataFrame, max_items: int = 20) -> DataFrame:
     """The first children of each folder, and how many more it has."""
     parent = F.when(F.col("depth") == 1, "").otherwise(F.regexp_replace("node", "/[^/]*$", ""))
-    w = W.partitionBy("parent")
-    rows = tree.withColumn("parent", parent).withColumn("__r", F.row_number().over(w.orderBy("node"))).withColumn("dropped", F.greatest(F.count("*").over(w) - max_items, F.lit(0)))
-    return rows.filter(F.col("__r") <= max_items).drop("__r")
+    rows = tree.withColumn("parent", parent)
+    # A folder may hold nearly all paths: its first children are found in salted parts first.
+    part = W.partitionBy("parent", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy("node")
+    first = rows.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= max_items)
+    first = first.withColumn("__r", F.row_number().over(W.partitionBy("parent").orderBy("node"))).filter(F.col("__r") <= max_items).drop("__r")
+    counts = rows.groupBy("parent").agg(F.greatest(F.count("*") - max_items, F.lit(0)).alias("dropped"))
+    return first.join(counts, "parent")
 
 
 def lift_children(tree: DataFrame, folder: str) -> DataFrame:
@@ -264,37 +296,57 @@ def children(tree: DataFrame) -> DataFrame:
     return tree.filter("depth > 1").groupBy(F.regexp_replace("node", "/[^/]*$", "").alias("node")).agg(F.count("*").alias("children"))
 
 
-def line_diff(old: str | None, new: str | None) -> str:
-    """Whole-body line diff by longest common subsequence, deletions before insertions."""
+def line_diff(old: str | None, new: str | None) -> list[str]:
+    """Lines of both texts with a sign in front (blank, - or +), by a longest common subsequence; where it leaves a choice,
+    a deletion comes first.  Equal heads are set aside, and the table of the rest is one byte a cell: whether a line of the
+    old text goes before one of the new."""
     a, b = (old or "").split("\n"), (new or "").split("\n")
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
+    head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     x, y = a[head:], b[head:]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = ["  " + s for s in a[:head]], 0, 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out.append("  " + x[i])
+    number: dict[str, int] = {}
+    p, q = (np.array([number.setdefault(s, len(number)) for s in t], dtype=np.int64) for t in (x, y))
+    below, delete = np.zeros(len(q) + 1, dtype=np.int32), np.zeros((len(p), len(q)), dtype=bool)
+    for i in range(len(p) - 1, -1, -1):
+        # From the right, a row is the running maximum of what a match or the row below gives.
+        best = np.maximum(np.where(q == p[i], below[1:] + 1, 0), below[:-1])
+        row = np.append(np.maximum.accumulate(best[::-1])[::-1], 0).astype(np.int32)
+        delete[i] = below[:-1] >= row[1:]
+        below = row
+    out, i, j = [" " + s for s in a[:head]], 0, 0
+    while i < len(x) and j < len(y):
+        if p[i] == q[j]:
+            out.append(" " + x[i])
             i, j = i + 1, j + 1
-        elif i < len(x) and (j == len(y) or best[i + 1][j] >= best[i][j + 1]):
-            out.append("- " + x[i])
+        elif delete[i, j]:
+            out.append("-" + x[i])
             i += 1
         else:
-            out.append("+ " + y[j])
+            out.append("+" + y[j])
             j += 1
-    return "\n".join(out)
+    return [*out, *("-" + s for s in x[i:]), *("+" + s for s in y[j:])]
 
 
-def diff_versions(versions: DataFrame, order: str = "version_id", text: str = "content") -> DataFrame:
-    """The diff of each version with the one before it, for all paths in one job."""
+def diff_pairs(pairs: DataFrame, old: str, new: str, old_label: str, new_label: str) -> DataFrame:
+    """pairs with ``diff``: the two labels and the lines of both texts."""
+
     @F.pandas_udf("string")
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([line_diff(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+        return pd.Series(["\n".join(line_diff(x, y)) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return pairs.withColumn("diff", F.concat(F.lit("--- "), F.col(old_label).cast("string"), F.lit("\n+++ "), F.col(new_label).cast("string"), F.lit("\n"), diff(old, new)))
 
+
+def diff_versions(versions: DataFrame, order: str = "version_id", text: str = "content") -> DataFrame:
+    """The diff of each version with the one before it, for all paths in one job."""
     w = W.partitionBy(PATH).orderBy(order)
     pairs = versions.withColumn("previous", F.lag(text).over(w)).withColumn("from_version", F.lag(order).over(w)).filter(F.col("from_version").isNotNull())
-    return pairs.select(PATH, "from_version", F.col(order).alias("to_version"), diff("previous", text).alias("diff"))
+    return diff_pairs(pairs.withColumnRenamed(order, "to_version"), "previous", text, "from_version", "to_version").select(PATH, "from_version", "to_version", "diff")
+
+
+def diff_with_current(versions: DataFrame, wanted: DataFrame, text: str = "content") -> DataFrame:
+    """The diff of stated versions (path, a) with stated ones (b) or, where b is null, with the path's current one."""
+    now = current(versions).select(PATH, F.col("version_id").alias("__now"))
+    both = wanted.join(now, PATH, "left").withColumn("b", F.coalesce("b", "__now")).drop("__now")
+    side = lambda label, name: versions.select(PATH, F.col("version_id").alias(label), F.col(text).alias(name))
+    pairs = both.join(side("a", "__old"), [PATH, "a"]).join(side("b", "__new"), [PATH, "b"])
+    return diff_pairs(pairs, "__old", "__new", "a", "b").select(PATH, "a", "b", "diff")

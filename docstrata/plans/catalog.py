@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +11,11 @@ from ..functions import text as T
 from ..functions.globs import any_match
 from ..operators import chunks as C
 from ..operators import convert as V
+from ..operators import ingest as W
 from ..operators import retrieval as R
 from ..operators import routes
 from ..operators import store as S
+from ..session import shared_dir
 from ..streaming import ingest
 from .views import BM25, FUSED, SEM, V_DOCS, V_FILES, V_GOLDEN, read, v_conv, v_docs, v_files, v_golden
 
@@ -123,11 +124,6 @@ def refresh_health(spark: SparkSession, d: str) -> DataFrame:
 # Blobs and ingest.
 
 
-def _blobs(spark: SparkSession, d: str) -> DataFrame:
-    docs = v_docs(spark, d)
-    return S.new_blobs(docs.select("sha256", "size_bytes", F.concat(F.lit("text/"), F.coalesce("lang", F.lit("x"))).alias("mime_type"), F.encode("content", "UTF-8").alias("bytes")).orderBy("sha256", "mime_type"))
-
-
 @query(f"with {V_DOCS} select sha256, any_value(size_bytes)::bigint as size_bytes, count(*) as copies from v_docs group by 1")
 def blob_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return v_docs(spark, d).groupBy("sha256").agg(F.first("size_bytes").alias("size_bytes"), F.count("*").alias("copies"))
@@ -173,10 +169,62 @@ def move_paths(spark: SparkSession, d: str) -> DataFrame:
     return S.move(docs.select("logical_path", "version_id", "tombstone", "sha256"), renames, at(NOW)).select("logical_path", "tombstone", "sha256")
 
 
+@query(f"""with {V_DOCS}, c as (select *, unnest(range(0, greatest(ceil(length(content) / 1800.0), 1)::int))::int as chunk_index from v_docs where doc_id % 9 = 0)
+  select 'moved/' || logical_path as logical_path, chunk_index, sha256('moved/' || logical_path || chr(10) || 'about ' || coalesce(lang, '') || chr(10) || chr(10) || substr(content, chunk_index * 1800 + 1, 1800)) as sha from c""")
+def move_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of moved paths, with their search text built anew."""
+    docs = v_docs(spark, d).withColumn("version_id", at(CUT)).withColumn("description", F.concat(F.lit("about "), F.coalesce("lang", F.lit(""))))
+    chunks = C.hard_cut(docs.select("logical_path", "content"), 1800).select("logical_path", at(CUT).alias("version_id"), "chunk_index", "chunk_content", F.lit("").alias("context"), F.lit("").alias("search_text"))
+    renames = docs.filter("doc_id % 9 = 0").select(F.col("logical_path").alias("old_path"), F.concat(F.lit("moved/"), F.col("logical_path")).alias("new_path"))
+    return S.moved_chunks(chunks, docs, renames, at(NOW)).select("logical_path", "chunk_index", F.sha2("search_text", 256).alias("sha"))
+
+
+@query(f"""with {V_DOCS} select count(*) as stripped, coalesce(sum(size_bytes), 0)::bigint as reclaimed_bytes from
+  (select sha256, min(lang) as lang, any_value(size_bytes) as size_bytes from v_docs group by 1) where lang = 'fr' or size_bytes > 4000""")
+def blob_reclaimable(spark: SparkSession, d: str) -> DataFrame:
+    rows = v_docs(spark, d).groupBy("sha256").agg(F.concat(F.lit("text/"), F.min("lang")).alias("mime_type"), F.first("size_bytes").alias("size_bytes"), F.encode(F.first("content"), "UTF-8").alias("bytes"))
+    return S.reclaimable(rows, 4000, ["text/fr"])
+
+
+@query(f"with {V_DOCS} select sha256, any_value(base64(encode(content))) as bytes_base64 from v_docs group by 1")
+def blob_base64(spark: SparkSession, d: str) -> DataFrame:
+    rows = v_docs(spark, d).select("sha256", F.lit("text/plain").alias("mime_type"), "size_bytes", F.encode("content", "UTF-8").alias("bytes"))
+    return S.read_bytes(S.new_blobs(rows)).select("sha256", F.regexp_replace("bytes_base64", "\\s+", "").alias("bytes_base64"))
+
+
+def _entries(docs: DataFrame, content) -> DataFrame:
+    cols = (F.lit("text/markdown").alias("mime_type"), F.encode(content, "UTF-8").alias("bytes"), F.lit("local").alias("source_type"), F.col("logical_path").alias("source_path"), F.lit(0).cast("long").alias("source_mtime_ms"))
+    return docs.select("logical_path", *cols)
+
+
+@query(f"""with {V_DOCS} select logical_path, case when doc_id % 7 = 0 then sha256(content || '!') else sha256 end as content_sha256,
+  (case when doc_id % 5 <> 0 and doc_id % 7 = 0 then 2 else 1 end)::bigint as versions, true as searchable from v_docs where doc_id % 11 <> 0""")
+def store_ingest_two_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents taken into a store by the write path, then a later state of the source: what is current, and whether its
+    chunks can be found."""
+    where, docs = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", v_docs(spark, d)
+    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    W.ingest_batch(spark, where, 0, _entries(docs.filter("doc_id % 5 <> 0"), F.col("content")), at(CUT))
+    W.ingest_batch(spark, where, 1, _entries(docs.filter("doc_id % 11 <> 0"), edited), at(NOW), in_scope="")
+    store = W.read_store(spark, where)
+    counts = store["files"].filter("not tombstone").groupBy("logical_path").agg(F.count("*").alias("versions"))
+    found = S.current_chunks(store["chunks"], store["files"]).filter(F.col("search_text").startswith(F.col("logical_path"))).select("logical_path").distinct()
+    rows = S.current(store["files"]).join(counts, "logical_path").join(found.withColumn("there", F.lit(True)), "logical_path", "left")
+    return rows.select("logical_path", "content_sha256", "versions", F.coalesce("there", F.lit(False)).alias("searchable"))
+
+
+@query()
+def reindex_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """All documents' chunks built anew for smaller chunks: their number and the least and greatest length by path."""
+    files = v_docs(spark, d).select("logical_path", at(CUT).alias("version_id"), F.lit(False).alias("tombstone"), F.lit("").alias("description"), "content")
+    rows = W.rechunk(files, W.Settings(chunks=C.Config(target=400, longest=600)))
+    return rows.groupBy("logical_path").agg(F.count("*").alias("chunks"), F.min(F.char_length("chunk_content")).alias("least"), F.max(F.char_length("chunk_content")).alias("most"))
+
+
 # Paths and urls.
 
 
-@query(r"""select page_id, 'remotes/' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)', 1)) || '/' ||
+@query(r"""select page_id, 'remotes/' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) || '/' ||
   case when p = '' then 'index' else p end as logical_path from (select *, trim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)', 1), '/') as p from pages)""")
 def url_paths(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", T.path_for_url(F.col("url")).alias("logical_path"))
@@ -198,7 +246,7 @@ def slug_paths(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
 
 
-TREE = """tree as (select array_to_string(p[1:depth], '/') as node, depth, bool_or(len(p) = depth) as is_file, count(*) as files
+TREE = """tree as (select array_to_string(p[1:depth], '/') as node, depth, bool_or(len(p) = depth or depth = 6) as is_file, count(*) as files
   from (select p, unnest(range(1, least(len(p), 6) + 1))::int as depth from (select list_filter(string_split(logical_path, '/'), lambda x: x <> '') as p from cur)) group by 1, 2)"""
 
 
@@ -222,13 +270,17 @@ def diff_versions(spark: SparkSession, d: str) -> DataFrame:
 # Texts.
 
 
-@query(f"""with {V_DOCS}, x as (select doc_id, logical_path, content, list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')[1:40] as l from v_docs)
-  select doc_id, coalesce(nullif(trim(regexp_extract(content, '(?m)^#+[ \\t]+([^\\n]+)$', 1)), '') || ' (' || logical_path || ')', logical_path || ' (application/octet-stream, ' || length(content) || ' chars)') as description from x""")
+@query(rf"""with {V_DOCS}, x as (select doc_id, case when doc_id % 3 = 0 then '# About ' || lang || ' ##' || chr(10) || content else content end as text, doc_id % 3 = 0 as titled, lang, content, logical_path from v_docs),
+  y as (select *, trim(regexp_replace(substr(regexp_replace(content, '^\s+|\s+$', '', 'g'), 1, 200), '\s+', ' ', 'g')) as body from x)
+  select doc_id, case when titled and lang is not null then 'About ' || lang || case when body <> '' then ' — ' || body else '' end when body <> '' then body else logical_path || ' (text/markdown)' end as description from y""")
 def describe_docs(spark: SparkSession, d: str) -> DataFrame:
-    return v_docs(spark, d).select("doc_id", T.describe(F.col("logical_path"), F.lit("application/octet-stream"), F.col("content")).alias("description"))
+    """Every third document with a title in front."""
+    title = F.concat(F.lit("# About "), F.col("lang"), F.lit(" ##\n"))
+    text = F.when((F.col("doc_id") % 3 == 0) & F.col("lang").isNotNull(), F.concat(title, "content")).otherwise(F.col("content"))
+    return v_docs(spark, d).select("doc_id", T.describe(F.col("logical_path"), F.lit("text/markdown"), text).alias("description"))
 
 
-@query(f"with {V_DOCS} select doc_id, sha256(logical_path || chr(10) || lang || chr(10) || chr(10) || content) as sha from v_docs")
+@query(f"with {V_DOCS} select doc_id, sha256(logical_path || chr(10) || coalesce(lang, '') || chr(10) || chr(10) || content) as sha from v_docs")
 def search_text(spark: SparkSession, d: str) -> DataFrame:
     return v_docs(spark, d).select("doc_id", F.sha2(T.search_text(F.col("logical_path"), F.col("lang"), F.col("content")), 256).alias("sha"))
 
@@ -238,23 +290,28 @@ def slice_lines(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.slice_lines(F.col("text"), 2, 3).alias("lines"))
 
 
-@query("""select item_id, array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3 and x not in ("""
-       + ", ".join(f"'{w}'" for w in T.STOPWORDS) + """))[1:1], ' ') as first_term, len(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 3 and x not in ("""
-       + ", ".join(f"'{w}'" for w in T.STOPWORDS) + """)))) >= 10 as full_list from benchmark""")
+TERMS = "list_filter(string_split_regex(lower({0}), '[^a-z0-9_]+'), lambda x: length(x) >= 3 and x not in (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "))"
+FIRST_TEN = "list_filter({0}, lambda x, i: list_position({0}, x) = i)[1:10]"
+
+
+@query(f"""select item_id, array_to_string({FIRST_TEN.format('t')}, ' ') as terms from (select item_id, {TERMS.format('text')} as t from benchmark)""")
 def snippet_terms(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "benchmark").withColumn("terms", T.snippet_terms(F.col("text")))
-    return rows.select("item_id", F.coalesce(F.get("terms", F.lit(0)), F.lit("")).alias("first_term"), (F.size("terms") >= 10).alias("full_list"))
+    return read(spark, d, "benchmark").select("item_id", F.array_join(T.snippet_terms(F.col("text")), " ").alias("terms"))
+
+
+# Where a snippet of z(text, p) begins, p being the first term's place or null, and the snippet itself.
+SNIPPET = """s as (select *, p - 100 as s from z), g as (select *, nullif(strpos(substr(text, s), ' '), 0) + s - 1 as g from s),
+  b as (select *, case when p is null or p <= 101 then 1 when g < p then g + 1 else s end as b from g)"""
+CUT_OUT = "(case when b > 1 then '…' else '' end) || substr(text, b, 300) || (case when b + 300 <= length(text) then '…' else '' end) as snippet"
 
 
-@query(r"""with x as (select doc_id, text, coalesce(nullif(strpos(lower(text), 'nd'), 0), 1) as p from documents),
-  y as (select *, greatest(p - 100, 1) as s from x), z as (select *, strpos(substr(text, s, 100), ' ') as g from y),
-  b as (select *, case when s > 1 and g > 0 then s + g else s end as b from z)
-  select doc_id, (case when b > 1 then '…' else '' end) || trim(substr(text, b, 300)) || (case when b + 300 <= length(text) then '…' else '' end) as snippet from b""")
+@query(f"with z as (select doc_id, text, nullif(strpos(lower(text), 'nd'), 0) as p from documents), {SNIPPET} select doc_id, {CUT_OUT} from b")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.make_snippet(F.col("text"), F.array(F.lit("nd"))).alias("snippet"))
 
 
-@query(r"""select doc_id, sha256(trim(regexp_replace(regexp_replace(translate(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(160) || '‘’“”–—', ' ''''""--'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'))) as sha from documents""")
+@query(r"""select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(160) || '‘’‚‛“”„‟–—', ' ' || repeat(chr(39), 4) || repeat(chr(34), 4) || '--'), '(?m)[ \t]+$', '', 'g'),
+  '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) as sha from documents""")
 def docmd_normalize(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.sha2(T.normalize_docmd(F.col("text")), 256).alias("sha"))
 
@@ -286,10 +343,19 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_documents(v_docs(spark, d))
 
 
+def _markdown_pages(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".md")).alias("logical_path"), V.html_to_markdown(F.col("html")).alias("content"))
+
+
 @query()
 def chunk_markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    pages = read(spark, d, "pages").select(T.path_for_url(F.col("url")).alias("logical_path"), V.html_to_markdown(F.col("html")).alias("content"))
-    return C.section_lines(pages).groupBy("logical_path", "section").agg(F.count("*").alias("lines"))
+    """Converted pages, packed by section, with their breadcrumbs."""
+    return C.chunk_documents(_markdown_pages(spark, d), C.Config(target=500, longest=700))
+
+
+@query()
+def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
+    return C.section_lines(_markdown_pages(spark, d)).groupBy("logical_path", "section").agg(F.count("*").alias("lines"), F.count_if("in_fence").alias("fenced"))
 
 
 # Retrieval.
@@ -302,7 +368,7 @@ def bm25_topk_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with golden as (select 0::bigint as query_id, 'thandha the ononed attion' as query), {BM25} select key, score, rank::int as rank from kw where rank <= 20")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    one = read(spark, d, "benchmark").limit(1).select(F.lit(0).cast("long").alias("query_id"), F.lit("thandha the ononed attion").alias("query"))
+    one = spark.sql("select 0L as query_id, 'thandha the ononed attion' as query")
     return R.bm25(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), one, 20).select("key", "score", "rank")
 
 
@@ -346,66 +412,124 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return R.search(docs, vectors, v_golden(spark, d)).drop("snippet")
 
 
-@query()
+@query(f"""with {V_GOLDEN}, {BM25}, {SEM}, {FUSED}, {DIVERSE}, t as (select d.query_id, d.key, d.final_rank, d.text, {TERMS.format('g.query')} as t from diverse d join golden g using (query_id)),
+  z as (select *, list_min(list_filter(list_transform({FIRST_TEN.format('t')}, lambda x: strpos(lower(text), x)), lambda x: x > 0)) as p from t), {SNIPPET}
+  select query_id, key, final_rank::int as final_rank, {CUT_OUT} from b""")
 def hybrid_search_snippets(spark: SparkSession, d: str) -> DataFrame:
+    return R.search(*_searched(spark, d), v_golden(spark, d)).select("query_id", "key", "final_rank", "snippet")
+
+
+def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("key"), F.concat("source", F.lit("/"), "lang", F.lit(".md")).alias("logical_path"), "text")
-    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
-    return R.search(docs, vectors, v_golden(spark, d)).select("query_id", "key", "final_rank", "snippet")
+    return docs, read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
+
+
+ONE_SIDE = """fused as (select query_id, key, {0} as semantic, {1} as keyword, round(1.0::double / (60 + rank) * 61, 6) as score, rank from {2} where rank <= 30)"""
+
+
+@query(f"with {V_GOLDEN}, {BM25}, {ONE_SIDE.format('null::double', 'score', 'kw')}, {DIVERSE} select query_id, logical_path, key, final_rank::int as final_rank, score, keyword from diverse")
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    return R.search(*_searched(spark, d), v_golden(spark, d), mode="keyword").select("query_id", "logical_path", "key", "final_rank", "score", "keyword")
+
+
+@query(f"with {V_GOLDEN}, {SEM}, {ONE_SIDE.format('score', 'null::double', 'sem')}, {DIVERSE} select query_id, logical_path, key, final_rank::int as final_rank, score, semantic from diverse")
+def semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    return R.search(*_searched(spark, d), v_golden(spark, d), mode="semantic").select("query_id", "logical_path", "key", "final_rank", "score", "semantic")
+
+
+RERANK = """q as (select c.*, list_distinct(list_filter(string_split_regex(lower(query), '[^a-z]+'), lambda x: x <> '')) as qt, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') as dt from c),
+  s as (select *, round(1 / (1 + exp(-(len(list_intersect(qt, dt)) / greatest(len(qt), 1) * 8 - 4))), 6) as rerank_score from q)"""
+
+
+@query(f"""with {V_GOLDEN}, {BM25}, {SEM}, f as (with {FUSED} select * from fused), c as (select f.query_id, f.key, f.score, f.rank as old, g.query, d.text from f join golden g using (query_id) join documents d on d.doc_id = f.key),
+  {RERANK}, fused as (select query_id, key, score, rerank_score, row_number() over (partition by query_id order by rerank_score desc, old) as rank from s), {DIVERSE}
+  select query_id, key, final_rank::int as final_rank, rerank_score from diverse""")
+def reranked_search(spark: SparkSession, d: str) -> DataFrame:
+    return R.search(*_searched(spark, d), v_golden(spark, d), scorer=R.lexical_score).select("query_id", "key", "final_rank", "rerank_score")
 
 
-@query(f"""with {V_GOLDEN}, {BM25}, c as (select k.*, g.query, d.text from kw k join golden g using (query_id) join documents d on d.doc_id = k.key where rank <= 30),
-  q as (select *, list_distinct(list_filter(string_split_regex(lower(query), '[^a-z]+'), lambda x: x <> '')) as qt, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') as dt from c),
-  s as (select *, round(1 / (1 + exp(-(len(list_intersect(qt, dt)) / greatest(len(qt), 1) * 8 - 4))), 6) as rerank_score from q)
+@query(f"with {V_GOLDEN}, {BM25} select query_id, key, score, rank::int as rank from kw where rank <= 10")
+def bm25_stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """From postings that are written first: a search reads no text."""
+    where = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    postings, corpus = R.term_statistics(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"))
+    postings.write.parquet(f"{where}/postings")
+    corpus.write.parquet(f"{where}/corpus")
+    return R.bm25_of_index(spark.read.parquet(f"{where}/postings"), spark.read.parquet(f"{where}/corpus"), v_golden(spark, d))
+
+
+@query(f"""with {V_GOLDEN}, {BM25}, c as (select k.*, g.query, d.text from kw k join golden g using (query_id) join documents d on d.doc_id = k.key where rank <= 30), {RERANK}
   select query_id, key, rerank_score, (row_number() over (partition by query_id order by rerank_score desc, rank))::int as rerank_rank from s""")
 def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
     docs, g = read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), v_golden(spark, d).select("query_id", "query")
-    hits = docs.join(F.broadcast(R.bm25(docs, g, 30)), "key").join(F.broadcast(g), "query_id")  # 30 hits a query
-    return R.rerank(hits).select("query_id", "key", "rerank_score", "rerank_rank")
+    hits = R.bm25(docs, g, 30).join(g, "query_id")
+    return R.rerank(docs.join(hits, "key")).select("query_id", "key", "rerank_score", "rerank_rank")
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     docs, g = read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), v_golden(spark, d).select("query_id", "query")
-    expected = docs.join(F.broadcast(g), F.contains("text", "query")).groupBy("query_id").agg(F.min("key").alias("expected"))
+    expected = R.containing(docs, g.select("query_id", F.col("query").alias("passage"))).groupBy("query_id").agg(F.min("key").alias("expected"))
     golden = expected.withColumn("kind", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
     return R.expected_rank(R.bm25(docs, g, 10), golden)
 
 
-@query(f"""with {V_GOLDEN}, {BM25}, e as (select query_id, min(doc_id) as expected from golden join documents on contains(text, query) group by 1),
-  r as (select e.query_id, case when e.query_id % 2 = 0 then 'even' else 'odd' end as kind, coalesce(min(k.rank), 0) as rank from e left join kw k on k.query_id = e.query_id and k.key = e.expected and k.rank <= 10 group by 1, 2)
+GOLDEN_RANKS = f"""{V_GOLDEN}, {BM25}, e as (select query_id, min(doc_id) as expected from golden join documents on contains(text, query) group by 1),
+  r as (select e.query_id, case when e.query_id % 2 = 0 then 'even' else 'odd' end as kind, coalesce(min(k.rank), 0) as rank from e left join kw k on k.query_id = e.query_id and k.key = e.expected and k.rank <= 10 group by 1, 2)"""
+
+
+@query(f"""with {GOLDEN_RANKS}
   select coalesce(kind, 'overall') as kind, count(*) as n, round(avg((rank between 1 and 1)::int), 6) as recall_1, round(avg((rank between 1 and 3)::int), 6) as recall_3,
     round(avg((rank between 1 and 5)::int), 6) as recall_5, round(avg(case when rank > 0 then 1.0::double / rank else 0 end), 6) as mrr from r group by rollup(kind)""")
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     return R.metrics(_ranked(spark, d))
 
 
-@query()
+@query(f"""with {GOLDEN_RANKS}, m as (select round(avg((rank between 1 and 1)::int), 6) as recall_1, round(avg((rank between 1 and 3)::int), 6) as recall_3, round(avg(case when rank > 0 then 1.0::double / rank else 0 end), 6) as mrr from r)
+  select * from (select 'recall_1' as metric, recall_1 as value, 0.9::double as threshold from m union all select 'recall_3', recall_3, 0.95 from m union all select 'mrr', mrr, 0.93 from m) where value < threshold""")
 def eval_gate(spark: SparkSession, d: str) -> DataFrame:
     return R.gate(R.metrics(_ranked(spark, d)), {"recall_1": 0.90, "recall_3": 0.95, "mrr": 0.93})
 
 
+@query(f"""with {V_GOLDEN}, {BM25}, e as (select query_id, min(doc_id) as expected from golden join documents on contains(text, query) group by 1),
+  v as (select e.query_id, d as depth, coalesce(min(k.rank), 0) as rank from e cross join (select unnest([3, 10]) as d) left join kw k on k.query_id = e.query_id and k.key = e.expected and k.rank <= d group by 1, 2)
+  select 'top' || depth as variant, count(*) as n, round(avg((rank between 1 and 5)::int), 6) as recall_5, round(avg(case when rank > 0 then 1.0::double / rank else 0 end), 6) as mrr from v group by depth""")
+def eval_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Two settings over one golden set."""
+    docs, g = read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), v_golden(spark, d).select("query_id", "query")
+    golden = R.containing(docs, g.select("query_id", F.col("query").alias("passage"))).groupBy("query_id").agg(F.min("key").alias("expected")).withColumn("kind", F.lit("all"))
+    rows = R.compare_variants({f"top{k}": R.bm25(docs, g, k) for k in (3, 10)}, golden)
+    return rows.filter("kind = 'overall'").select("variant", "n", "recall_5", "mrr")
+
+
 # Rendering.
 
 
-@query("""with x as (select o_orderkey, '---' || chr(10) || 'number: ' || o_orderkey || chr(10) || 'state: ' || o_orderstatus || chr(10) || '---' || chr(10) || chr(10) || '# Order ' || o_orderkey as head from orders),
-  c as (select l_orderkey, string_agg('### part ' || l_partkey || ' (' || l_linenumber || ')' || chr(10) || chr(10) || l_returnflag, chr(10) || chr(10) order by l_linenumber, l_partkey, l_returnflag) as body from lineitem group by 1)
-  select o_orderkey, head || coalesce(chr(10) || chr(10) || '## Comments' || chr(10) || chr(10) || body, '') as markdown from x left join c on o_orderkey = l_orderkey""")
+@query("""with c as (select l_orderkey, count(*) as n, string_agg('### @part ' || l_partkey || ' — ' || l_linenumber || chr(10) || chr(10) || l_returnflag, chr(10) || chr(10) order by l_linenumber, l_partkey, l_returnflag) as body,
+    '  - ' || string_agg(distinct l_returnflag, chr(10) || '  - ' order by l_returnflag) as labels from lineitem group by 1)
+  select o_orderkey, '---' || chr(10) || 'source_url: https://e.org/' || o_orderkey || chr(10) || 'number: ' || o_orderkey || chr(10) || 'kind: issue' || chr(10) || 'title: Order ' || o_orderkey || chr(10) || 'state: ' || o_orderstatus
+    || coalesce(chr(10) || 'labels:' || chr(10) || labels, '') || chr(10) || 'created_at: ' || chr(39) || strftime(o_orderdate, '%Y-%m-%d') || chr(39) || chr(10) || '---' || chr(10) || '# Issue #' || o_orderkey || ': Order ' || o_orderkey
+    || chr(10) || chr(10) || '## Description' || chr(10) || chr(10) || o_orderpriority || coalesce(chr(10) || chr(10) || '## Comments (' || n || ')' || chr(10) || chr(10) || body, '') as markdown from orders left join c on o_orderkey = l_orderkey""")
 def issue_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as issues, their items as comments and labels."""
     lines = read(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("f")).alias("x"))
     grouped = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("x")).alias("x"))
     comments = F.transform("x", lambda x: F.struct(F.concat(F.lit("part "), x["p"].cast("string")).alias("author"), x["n"].cast("string").alias("created_at"), x["f"].alias("body")))
-    rows = read(spark, d, "orders").join(grouped, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("comments", comments)
-    key = F.col("o_orderkey").cast("string")
-    return V.records_to_markdown(rows, {"number": key, "state": F.col("o_orderstatus")}, F.concat(F.lit("Order "), key), F.lit(""), F.col("comments")).select("o_orderkey", "markdown")
-
-
-@query("""with c as (select l_orderkey as doc, l_linenumber as r, l_partkey::varchar as a, l_returnflag as b from lineitem),
-  m as (select doc, min(r) as r0 from c group by 1)
-  select doc, string_agg('| ' || a || ' | ' || b || ' |' || case when r = r0 then chr(10) || '| --- | --- |' else '' end, chr(10) order by r) as markdown from c join m using (doc) group by 1 having count(*) = max(r) - min(r) + 1 and count(distinct r) = count(*)""")
+    key, none = F.col("o_orderkey").cast("string"), F.lit(None).cast("string")
+    rows = read(spark, d, "orders").join(grouped, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        "o_orderkey", F.concat(F.lit("https://e.org/"), key).alias("html_url"), F.col("o_orderkey").alias("number"), F.lit(False).alias("is_pull"), F.concat(F.lit("Order "), key).alias("title"), F.col("o_orderpriority").alias("body"),
+        F.col("o_orderstatus").alias("state"), F.lit(None).cast("boolean").alias("draft"), none.alias("author"), F.array().cast("array<string>").alias("assignees"), F.array_sort(F.array_distinct("x.f")).alias("labels"),
+        none.alias("milestone"), none.alias("due_date"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), none.alias("updated_at"), none.alias("closed_at"),
+        F.array().cast("array<struct<kind:string,number:long>>").alias("links"), comments.alias("comments"),
+    )
+    return V.issues_to_markdown(rows).select("o_orderkey", "markdown")
+
+
+@query("""with c as (select l_orderkey as doc, l_linenumber as r, min(l_partkey)::varchar as a, min(l_returnflag) as b from lineitem group by 1, 2),
+  m as (select doc, unnest(range(min(r), max(r) + 1)) as r, min(r) as r0 from c group by 1)
+  select m.doc, string_agg('| ' || coalesce(a, '') || ' | ' || coalesce(b, '') || ' |' || case when m.r = r0 then chr(10) || '| --- | --- |' else '' end, chr(10) order by m.r) as markdown from m left join c on c.doc = m.doc and c.r = m.r group by 1""")
 def cells_to_table(spark: SparkSession, d: str) -> DataFrame:
-    """Orders whose line numbers are a gapless run, each once."""
-    lines = read(spark, d, "lineitem")
-    one = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.countDistinct("l_linenumber").alias("k"), (F.max("l_linenumber") - F.min("l_linenumber") + 1).alias("span")).filter("n = k and n = span").select("l_orderkey")
-    lines = lines.join(one, "l_orderkey", "left_semi")
+    """Each order as a sheet: a row for each line number from its least to its greatest, empty where it has none."""
+    lines = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag"))
     cell = lambda i, v: lines.select(F.col("l_orderkey").alias("doc"), F.lit("s").alias("sheet"), F.col("l_linenumber").cast("int").alias("row"), F.lit(i).alias("col"), v.cast("string").alias("value"))
     return V.cells_to_table(cell(1, F.col("l_partkey")).unionByName(cell(2, F.col("l_returnflag")))).select("doc", "markdown")
 
@@ -421,8 +545,7 @@ def pages_to_markdown(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {V_FILES} select logical_path, version_id, event_id, size_bytes from cur")
 def stream_ingest_current(spark: SparkSession, d: str) -> DataFrame:
     """events replayed as a stream of files into a store, and the store's current view."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-docstrata-")
-    where = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = read(spark, d, "events")
     stream = spark.readStream.schema(source.schema).format("parquet").load(f"{d}/event[s].parquet")
     run = ingest.append_stream(stream, f"{where}/store", f"{where}/checkpoint", lambda b: _as_files(b))

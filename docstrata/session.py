@@ -29,3 +29,14 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._docstrata_shipped = True
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder.  Where none is set, a local session (tests) gets one of its own; a cluster raises, as
+    its executors would each write to their own disk."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-docstrata-")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -14,20 +15,27 @@ from ..functions.text import mime_from_name, note_path, sha256_hex
 LOG = "ts string, level string, msg string, event string, tool string, call_id string, arg_keys array<string>, duration_ms double, result_bytes long, error_kind string, error_message string"
 
 
+def _bare(path: str) -> str:
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/+", "/", path)
+
+
 def scan_files(spark: SparkSession, source: str, includes: Sequence[str] = (), excludes: Sequence[str] = DEFAULT_EXCLUDES, dot: bool = False) -> DataFrame:
     """Files below a folder, of a glob, or one file: path, rel_path, content, size, mtime_ms, sha256, mime_type.
-    Only the glob's fixed folders are loaded; what filters leave nothing of is an empty result."""
+    Only the glob's fixed folders are listed, and only files that pass the filters are read; what filters leave nothing of
+    is an empty result.  Paths are relative to the folder, on any file system."""
     base = glob_base(source) if is_glob(source) else source
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    bare = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/+", "/")
+    rel = F.regexp_replace(bare, "^" + _escape(_bare(base).rstrip("/")) + "/?", "")
+    rel = F.when(rel == "", F.regexp_extract(bare, "([^/]+)$", 1)).otherwise(rel)
+    fits = selected(rel, [includes], excludes, dot)
+    if is_glob(source):
+        fits = fits & any_match(rel, [glob_remainder(source)], dot, expand=False)
+    # Spark lists all files in the driver to plan any read; here it lists them without their content.
+    kept = [r["path"] for r in files.load(base).filter(fits).select("path").collect()]
+    rows = files.load([re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in kept]) if kept else files.load(base).limit(0)
     path = F.regexp_replace("path", "^file:/+", "/")
-    rel = F.regexp_replace(path, "^" + _escape(base.rstrip("/")) + "/?", "")
-    rel = F.when(rel == "", F.regexp_extract(path, "([^/]+)$", 1)).otherwise(rel)
-    own = [glob_remainder(source)] if is_glob(source) else []
-    rows = rows.withColumn("rel_path", rel).withColumn("path", path)
-    if own:
-        rows = rows.filter(any_match(F.col("rel_path"), own, dot, expand=False))
-    rows = rows.filter(selected(F.col("rel_path"), [includes], excludes, dot))
-    return rows.select("path", "rel_path", "content", F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"), sha256_hex(F.col("content")).alias("sha256"), mime_from_name(F.col("path")).alias("mime_type"))
+    return rows.select(path.alias("path"), rel.alias("rel_path"), "content", F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"), sha256_hex(F.col("content")).alias("sha256"), mime_from_name(F.col("path")).alias("mime_type"))
 
 
 def _escape(text: str) -> str:
@@ -66,7 +74,8 @@ def notes(table: DataFrame, account: str = "*", folder: str = "**", system_folde
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; a line that is not JSON keeps its raw text."""
-    raw = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
+    raw = whole.select("file", F.posexplode("lines").alias("line_no", "value")).filter("value <> ''")  # a log file is rolled long before it fills a task
     return parse_log(raw)
 
 
@@ -75,14 +84,14 @@ def parse_log(raw: DataFrame) -> DataFrame:
     return raw.withColumn("record", F.when(ok, F.from_json("value", LOG))).withColumn("raw", F.when(~ok, F.col("value")))
 
 
-def last_records(log: DataFrame, n: int) -> DataFrame:
-    """The last n by file and line."""
-    return log.orderBy(F.desc("file"), F.desc("line_no")).limit(n).orderBy("file", "line_no")
+def last_records(log: DataFrame, n: int, by: Sequence[str] = ("file", "line_no")) -> DataFrame:
+    """The last n by file and line, in their order."""
+    return log.orderBy(*[F.desc(c) for c in by]).limit(n).orderBy(*by)
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Whole markdown files, by path."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return rows.select(F.input_file_name().alias("logical_path"), F.col("value").alias("content")).orderBy("logical_path")
 
 

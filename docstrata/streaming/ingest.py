@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import current, refresh_due
+from ..operators.ingest import Settings, ingest_batch, refreshed
+from ..operators.store import current
+from ..sources.scan import parse_log
 
 
 def append_stream(rows: DataFrame, store: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d, once: bool = True, every: str = "60 seconds") -> StreamingQuery:
@@ -33,15 +35,30 @@ def current_from(spark: SparkSession, store: str) -> DataFrame:
     return current(stored(spark, store).drop("batch"))
 
 
-def refresh_tick(files: DataFrame, live: DataFrame, now: Column) -> DataFrame:
-    """Due rows against live (logical_path, source_sha256, error): ok, unchanged or failed, a row each."""
-    due = refresh_due(files, now)
-    rows = due.join(live.select("logical_path", F.col("source_sha256").alias("live_sha"), "error"), "logical_path", "left")
-    failed = F.coalesce("error", F.when(F.col("live_sha").isNull(), "source gone"))
-    status = F.when(failed.isNotNull(), F.concat(F.lit("failed:"), failed)).when(F.col("live_sha") == F.col("source_sha256"), "unchanged").otherwise("ok")
-    return rows.withColumn("status", status)
+def ingest_stream(entries: DataFrame, where: str, checkpoint: str, version: Callable[[int], Column], settings: Settings = Settings(), once: bool = True, every: str = "60 seconds") -> StreamingQuery:  # noqa: B008
+    """A stream of entries through the write path: a batch is a commit of the store."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ingest_batch(batch.sparkSession, where, batch_id, batch, version(batch_id), settings)
+
+    out = entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
+
+
+def refresh_stream(ticks: DataFrame, files: Callable[[SparkSession], DataFrame], live: Callable[[SparkSession], DataFrame], log: str, checkpoint: str, once: bool = True, every: str = "60 seconds") -> StreamingQuery:
+    """A refresh log appended at each tick (a stream with a ``now``, such as the rate source's timestamp): the due rows of
+    the store against the live sources.  A tick without rows writes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        now = batch.agg(F.max("now").alias("now")).first()["now"]
+        if now is not None:
+            refreshed(files(spark), live(spark), F.lit(now).cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+
+    out = ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 
 def follow_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Log lines as they come; a rolled file is just another file."""
-    return spark.readStream.text(folder)
+    """Log records as they come; a rolled file is just another file, and a line that is not JSON keeps its raw text."""
+    return parse_log(spark.readStream.text(folder).withColumn("file", F.input_file_name()))
