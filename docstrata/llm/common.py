@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+LARGE = ("measured", "sets", "mixing", "long", "stitched")  # tables that grow with the texts
 BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
 
 
@@ -124,9 +126,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Adds the folders that ``written`` makes in this block to paths, for a caller who knows when they are done with."""
+    _recorders.append(paths)
+    try:
+        yield
+    finally:
+        _recorders.pop()
+
+
+def emptied(spark: SparkSession, paths: list[str]) -> None:
+    """Writes an empty table over each of these folders: their results have been written, and their bytes are free."""
+    nothing = spark.createDataFrame([], "done boolean").coalesce(1)
+    while paths:
+        nothing.write.mode("overwrite").parquet(paths.pop())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The table written as Parquet in the shared folder and read again (smaller than a checkpoint)."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for paths in _recorders[-1:]:
+        if label in LARGE:
+            paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

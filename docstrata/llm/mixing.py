@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import WORD_CLASS, checkpoint, documents, written
 
 ROOM = 65_536
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 BROADCAST_ROWS = 500_000
 SOURCE, SIZE, HASH, ROW = "__mix_source", "__mix_size", "__mix_hash", "__mix_row"
 
