@@ -98,22 +98,26 @@ def repeated(rows: DataFrame, times: str) -> DataFrame:
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    named = docs.filter("doc_id is not null")
-    following = checkpoint(next_ids(named.select("doc_id", F.char_length("text").alias("n_chars"))))
-    wanted = following.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
-    heads = named.join(wanted, "doc_id").groupBy("prev_id").agg(F.min(F.expr("left(text, take)")).alias("head"))
-    rows = named.join(heads.withColumnRenamed("prev_id", "doc_id"), "doc_id", "left")
-    rows = rows.unionByName(docs.filter("doc_id is null").withColumn("head", F.lit("")))
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
-    edited = F.concat(F.expr("left(text, cast(n_chars as int) - half)"), F.expr("left(head, half)"))
-    rows = rows.withColumn("edited", edited).select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("same"),
-        F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x"),
-    )
-    drawn = sample(rows.select("doc_id", "n_chars", "edited_sha256", "same", F.col("x.v").alias("v"), F.col("x.t").alias("t")), "t", samples)
-    pick = lambda v: F.first(F.when(F.col("v") == v, F.col("sig")), ignorenulls=True)
-    both = drawn.groupBy("doc_id", "n_chars", "edited_sha256", "same").agg(pick(0).alias("sig"), pick(1).alias("edited_sig"), F.max("rows").alias("rows"))
+    # Under a name of its own, the id is read alike in both joins below, so that they share one shuffle of the texts.
+    docs = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("text"))
+    named = docs.filter("__id is not null")
+    following = checkpoint(next_ids(named.select(F.col("__id").alias("doc_id"), F.char_length("text").alias("n_chars"))))
+    wanted = following.select(F.col("next_id").alias("__id"), F.col("doc_id").alias("prev_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("take"))
+    heads = named.join(wanted, "__id").groupBy("prev_id").agg(F.min(F.expr("left(text, take)")).alias("head"))
+    rows = named.join(heads.withColumnRenamed("prev_id", "__id"), "__id", "left")
+
+    def sampled(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.col("n_chars") / 2).cast("int"))
+        edited = F.concat(F.expr("left(text, cast(n_chars as int) - half)"), F.expr("left(head, half)"))
+        rows = rows.withColumn("edited", edited).select(
+            F.col("__id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("same"),
+            F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x"),
+        )
+        drawn = sample(rows.select("doc_id", "n_chars", "edited_sha256", "same", F.col("x.v").alias("v"), F.col("x.t").alias("t")), "t", samples)
+        pick = lambda v: F.first(F.when(F.col("v") == v, F.col("sig")), ignorenulls=True)
+        return drawn.groupBy("doc_id", "n_chars", "edited_sha256", "same").agg(pick(0).alias("sig"), pick(1).alias("edited_sig"), F.max("rows").alias("rows"))
+
+    both = sampled(rows).unionByName(sampled(docs.filter("__id is null").withColumn("head", F.lit(""))))
     both = written(both, "fingerprints")
     named = both.filter("doc_id is not null")
     least = named.groupBy("doc_id").agg(F.min_by("sig", "same").alias("next_sig")).withColumnRenamed("doc_id", "next_id")
