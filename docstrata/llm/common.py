@@ -117,6 +117,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared folder, so a lost executor loses nothing."""
     spark = df.sparkSession
@@ -148,7 +153,7 @@ def emptied(spark: SparkSession, paths: list[str]) -> None:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The table written as Parquet in the shared folder and read again (smaller than a checkpoint)."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label)
     for paths in _recorders[-1:]:
         if label in LARGE:
             paths.append(path)
