@@ -219,7 +219,7 @@ def _mark(slots: Slots, counts: DataFrame, step: int) -> int:
     rows = counts.filter(F.col("found") == step + 1).select(F.shiftright(slot, low).cast("int").alias("segment"), slot.bitwiseAND(F.lit((1 << low) - 1)).cast("int").alias("slot"), F.call_function("shiftleft", F.lit(1), F.col("tag") % 8).alias("length"))
     rows = rows.groupBy("segment").agg(F.bit_or("length").alias("lengths"), F.collect_set("slot").alias("slots"))  # at most 2 ** SEGMENT slots
     lengths = 0
-    for r in rows.mapInArrow(_segment(low), "segment int, lengths int, there binary").toLocalIterator():
+    for r in rows.mapInArrow(_segment(low), "segment int, lengths int, there binary").collect():
         there = np.flatnonzero(np.unpackbits(np.frombuffer(r["there"], np.uint8), count=1 << low))
         slots.table[(r["segment"] << low) + there] = step + 1
         lengths |= r["lengths"]
