@@ -236,15 +236,6 @@ def strip_html_blocks(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", "")
 
 
-IMAGE_TAG = r"(?is)<img\b[^>]*?\bsrc\s*=\s*[\"']data:([^;\"']+);base64,([^\"']*)[\"'][^>]*>"
-
-
-def data_images(html: Column) -> Column:
-    """The images that an HTML text holds itself, in order, as (mime_type, bytes)."""
-    kinds, data = F.regexp_extract_all(html, F.lit(IMAGE_TAG), F.lit(1)), F.regexp_extract_all(html, F.lit(IMAGE_TAG), F.lit(2))
-    return F.zip_with(kinds, data, lambda k, d: F.struct(F.trim(k).alias("mime_type"), F.try_to_binary(F.regexp_replace(d, r"\s+", ""), F.lit("base64")).alias("bytes")))
-
-
 def base64_bytes(data: Column) -> Column:
     return F.base64(data)
 

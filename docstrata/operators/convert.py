@@ -3,129 +3,103 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import IMAGE_TAG, data_images, normalize_docmd, relations, strip_html_blocks, trimmed
-
-
-class _Markdown(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skip = self.pre = 0
-        self.links: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style", "noscript", "title"):
-            self.skip += 1
-        elif tag[0] == "h" and tag[1:].isdigit():
-            self.out.append("\n\n" + "#" * int(tag[1:]) + " ")
-        elif tag == "pre":
-            self.pre += 1
-            self.out.append("\n\n```\n")
-        elif tag == "li":
-            self.out.append("\n- ")
-        elif tag == "a":
-            self.links.append(dict(attrs).get("href") or "")
-            self.out.append("[")
-        elif tag == "br":
-            self.out.append("\n")
-        elif tag in ("p", "div", "section", "article", "ul", "ol", "table", "tr", "blockquote"):
-            self.out.append("\n\n")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("_")
-        elif tag == "code" and not self.pre:
-            self.out.append("`")
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style", "noscript", "title"):
-            self.skip = max(0, self.skip - 1)
-        elif tag == "pre":
-            self.pre = max(0, self.pre - 1)
-            self.out.append("\n```\n\n")
-        elif tag == "a" and self.links:
-            self.out.append(f"]({self.links.pop()})")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("_")
-        elif tag == "code" and not self.pre:
-            self.out.append("`")
-        elif tag in ("p", "div", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6"):
-            self.out.append("\n\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(data if self.pre else " ".join(data.split()) if data.strip() else " " if data else "")
-
-
-def _markdown(html: str | None) -> str | None:
-    if html is None:
-        return None
-    parser = _Markdown()
-    parser.feed(html)
-    parser.close()
-    return "".join(parser.out)
+from ..functions.text import relations, strip_html_blocks, trimmed
+from .html import IMAGE, markdown
+
+
+PARTS = "struct<markdown:string,images:array<struct<token:string,alt:string,mime_type:string,bytes:binary>>>"
+
+
+def html_parts(html: Column) -> Column:
+    """(markdown, images): a page's markdown, and the images that it holds itself, in order; tokens stand in their place."""
+
+    @F.pandas_udf(PARTS)
+    def convert(s: pd.Series) -> pd.DataFrame:
+        found = [markdown(t) if t is not None else (None, None) for t in s]
+        return pd.DataFrame({"markdown": [m for m, _ in found], "images": [i for _, i in found]})
+
+    return convert(strip_html_blocks(html))
 
 
 def html_to_markdown(html: Column) -> Column:
-    """ATX headings, fenced code, ``-`` bullets and links."""
+    """Markdown by blocks (see ``html``), with type and size of the images that the page holds itself."""
+    return F.get(F.transform(F.array(html_parts(html)), lambda x: placed(x["markdown"], x["images"])), F.lit(0))
+
+
+def size_caption(image: Column) -> Column:
+    return F.format_string("(image, %s, %d bytes)", image["mime_type"], F.octet_length(image["bytes"]))
+
+
+def late_caption(image: Column) -> Column:
+    return F.format_string("(image, %s, %d bytes — caption skipped, exceeded max_inline_image_captions)", image["mime_type"], F.octet_length(image["bytes"]))
+
+
+def caption_block(alt: Column, caption: Column) -> Column:
+    """A caption as a paragraph of its own, under a comment with the alternative text."""
+    head = F.when(F.trim(F.coalesce(alt, F.lit(""))) == "", "<!-- image -->").otherwise(F.concat(F.lit("<!-- image: "), F.trim(alt), F.lit(" -->")))
+    body = F.coalesce(F.nullif(F.trim(caption), F.lit("")), F.lit("(image, no caption available)"))
+    return F.concat(F.lit("\n\n"), head, F.lit("\n\n"), body, F.lit("\n\n"))
 
-    @F.pandas_udf("string")
-    def convert(s: pd.Series) -> pd.Series:
-        return s.map(_markdown, na_action="ignore")
 
-    return normalize_docmd(convert(strip_html_blocks(html)))
+def placed(text: Column, images: Column, captions: Column | None = None, cap: int = 20) -> Column:
+    """The markdown with a caption block for each token: of the first images, captions (an array; type and size without one),
+    and a note for those behind the cap.  A token that is of no image is a block, too."""
+    of = (lambda x, i: F.get(captions, i)) if captions is not None else (lambda x, i: size_caption(x))
+    blocks = F.transform(images, lambda x, i: F.struct(x["token"].alias("token"), caption_block(x["alt"], F.when(i < cap, of(x, i)).otherwise(late_caption(x))).alias("block")))
+    put = F.aggregate(blocks, text, lambda done, b: F.replace(done, b["token"], b["block"]))
+    loose = F.regexp_replace(F.regexp_replace(put, rf"!\[\]\({IMAGE}[^)\s]*\)", "\n\n<!-- image -->\n\n(image, no caption available)\n\n"), rf"!\[([^\]]*)\]\({IMAGE}[^)\s]*\)", "\n\n<!-- image: $1 -->\n\n(image, no caption available)\n\n")
+    return F.when(F.contains(text, F.lit(IMAGE)), trimmed(F.regexp_replace(loose, r"\n{3,}", "\n\n"))).otherwise(text)
 
 
 def convert(mime: Column, content: Column, structured: Callable[[Column], Column] | None = None) -> Column:
     """Markdown of bytes by their type; structured text stays as it is unless a hook is given."""
-    text = F.decode(content, "UTF-8")
+    text = _text(content)
+    return F.when(mime == "text/html", html_to_markdown(F.when(mime == "text/html", text))).otherwise(_not_html(mime, content, structured))
+
+
+def _text(content: Column) -> Column:
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def _not_html(mime: Column, content: Column, structured: Callable[[Column], Column] | None) -> Column:
+    text = _text(content)
     rest = F.format_string("(unknown binary, %s, %d bytes)", mime, F.octet_length(content))
-    kept = structured(text) if structured else text
     return (
-        F.when(mime == "text/html", html_to_markdown(text)).when(mime.isin("text/markdown", "text/plain"), text)
-        .when(mime.startswith("text/") | mime.isin("application/json", "application/xml"), kept)
+        F.when(mime.isin("text/markdown", "text/plain"), text).when(mime.startswith("text/") | mime.isin("application/json", "application/xml"), structured(text) if structured else text)
         .when(mime.startswith("image/"), F.format_string("(image, %s, %d bytes)", mime, F.octet_length(content))).otherwise(rest)
     )
 
 
+def converted(rows: DataFrame, key: str, structured: Callable[[Column], Column] | None = None, caption: Callable[[Column, Column], Column] | None = None, cap: int = 20) -> DataFrame:
+    """rows (key, mime_type, bytes and any others) with content.  caption is a function of an image's bytes and type, such as a
+    model's pandas UDF: each different image is captioned once, however many documents hold it, of each document the first
+    ``cap``; where it gives null there is none.  Images come back by their place in the document."""
+    html = F.col("mime_type") == "text/html"
+    if caption is None:
+        return rows.withColumn("content", convert(F.col("mime_type"), F.col("bytes"), structured))
+    parts = rows.withColumn("__x", html_parts(F.when(html, _text(F.col("bytes")))))
+    images = parts.select(key, F.posexplode("__x.images").alias("i", "x")).filter(F.col("i") < cap).select(key, "i", F.sha2("x.bytes", 256).alias("sha"), "x.mime_type", "x.bytes")
+    once = images.groupBy("sha").agg(F.min("mime_type").alias("mime_type"), F.first("bytes").alias("bytes"))
+    said = once.select("sha", F.coalesce(caption(F.col("bytes"), F.col("mime_type")), F.format_string("(image, %s, no caption available)", F.col("mime_type"))).alias("caption"))
+    by_place = images.select(key, "i", "sha").join(said, "sha").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "caption"))).alias("__c"))  # at most cap
+    rows = parts.join(by_place, key, "left")
+    content = F.when(html, placed(F.col("__x.markdown"), F.col("__x.images"), F.col("__c.caption"), cap)).otherwise(_not_html(F.col("mime_type"), F.col("bytes"), structured))
+    return rows.withColumn("content", content).drop("__x", "__c")
+
+
 def image_table(docs: DataFrame, cap: int = 20) -> DataFrame:
     """(logical_path, image_no, mime_type, bytes, captioned): the images that each HTML document (content) holds itself;
     only the first get a caption."""
-    rows = docs.select("logical_path", F.posexplode(data_images(F.col("content"))).alias("i", "x"))
+    rows = docs.select("logical_path", F.posexplode(html_parts(F.col("content"))["images"]).alias("i", "x"))
     return rows.select("logical_path", (F.col("i") + 1).alias("image_no"), "x.mime_type", "x.bytes", (F.col("i") < cap).alias("captioned"))
 
 
-def caption_block(alt: Column, caption: Column) -> Column:
-    """A caption as a paragraph of its own, under a comment with the alternative text."""
-    head = F.when(F.trim(F.coalesce(alt, F.lit(""))) == "", "<!-- image -->").otherwise(F.concat(F.lit("<!-- image: "), F.trim(alt), F.lit(" -->")))
-    body = F.coalesce(F.nullif(F.trim(caption), F.lit("")), F.lit("(image, no caption available)"))
-    return F.concat(F.lit("\n\n"), head, F.lit("\n\n"), body, F.lit("\n\n"))
-
-
-def captioned(docs: DataFrame, caption: Callable[[Column, Column], Column] | None = None, cap: int = 20) -> DataFrame:
-    """docs (logical_path, content: HTML) with each image of its own replaced by a caption block.  caption is a function of
-    bytes and type, such as a model's pandas UDF; without it, or where it gives null, and behind the cap, type and size stand in."""
-    tag, alt = IMAGE_TAG, r"(?i)\balt\s*=\s*[\"']([^\"']*)[\"']"
-    known = F.format_string("(image, %s, %d bytes)", F.col("x.mime_type"), F.octet_length("x.bytes"))
-    late = F.format_string("(image, %s, %d bytes — caption skipped, too many images)", F.col("x.mime_type"), F.octet_length("x.bytes"))
-    shown = F.when(F.col("i") >= cap, late).otherwise(F.coalesce(caption(F.col("x.bytes"), F.col("x.mime_type")), known) if caption else known)
-    images = docs.select("logical_path", F.posexplode(data_images(F.col("content"))).alias("i", "x"), F.regexp_extract_all("content", F.lit(tag), F.lit(0)).alias("tags"))
-    blocks = images.select("logical_path", "i", caption_block(F.regexp_extract(F.get("tags", F.col("i")), alt, 1), shown).alias("block"))
-    blocks = blocks.groupBy("logical_path").agg(F.sort_array(F.collect_list(F.struct("i", "block"))).alias("blocks"))
-    rows = docs.join(blocks, "logical_path", "left").withColumn("between", F.split("content", tag))
-    text = F.array_join(F.transform("between", lambda t, i: F.concat(t, F.coalesce(F.get(F.col("blocks.block"), i), F.lit("")))), "")
-    return rows.withColumn("content", F.when(F.col("blocks").isNull(), F.col("content")).otherwise(text)).drop("blocks", "between")
-
-
 def _lines(rows: DataFrame, keys: list[str], order: list[str], line: Column, glue: str, name: str) -> DataFrame:
     """Lines of each key, in order, joined."""
     parts = rows.select(*keys, F.struct(*[F.col(c) for c in order], line.alias("line")).alias("x")).groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("x"))

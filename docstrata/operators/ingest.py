@@ -1,12 +1,18 @@
-"""The write path as one job: gate, convert, describe, chunk, search text, vectors, and one published unit a batch.
+"""The write path as jobs on a store (see ``snapshots``): gate, convert, describe, chunk, search text, vectors, index.
 
-A store is a folder of Parquet tables (``TABLES``), each with a folder a batch, and a table of commits.  A batch writes
-its files, chunks and blobs first and its commit last; readers see the batches that have a commit, so a failed try
-leaves nothing visible, and a repeated try writes over it.
+Each piece of work has a key and is one commit: versions, chunks, blobs, what became of each entry, and what the chunks
+add to and take from the search index.  Work whose key is in the log is not done again, so a batch that is replayed after
+a failure leaves the store as it is.
+
+Cases: of entries of one path in a batch, the one without an error, of the latest modification time, then of the greatest
+hash is taken, and the outcome counts the others; an entry with an error or without bytes has the outcome ``failed`` and
+changes nothing; bytes that are not valid UTF-8 are read with replacement characters; a version that is not later than the
+path's latest raises; a tombstoned path is new again; an empty batch is a commit without rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -14,44 +20,77 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import describe, persist_reason, search_text
+from . import index
 from . import store as S
 from .chunks import Config, chunks_of
-from .convert import convert
+from .convert import converted
 from .retrieval import hash_vector
+from .snapshots import SCHEMAS, Snapshot, commit, remove_folder, replaced, snapshot, together, whole
 
-TABLES = ("files", "chunks", "blobs")
-COMMITS = "batch long, files long"
+PATH, KEY = "logical_path", ["logical_path", "version_id"]
+BLOBS = SCHEMAS["blobs"]
+ENTRY = ("logical_path", "mime_type", "bytes", "source_path", "source_type", "source_mtime_ms")
 
 
 @dataclass(frozen=True)
 class Settings:
     chunks: Config = field(default_factory=Config)
     vector: Callable[[Column], Column] = hash_vector
+    structured: Callable[[Column], Column] | None = None  # of text such as JSON
+    caption: Callable[[Column, Column], Column] | None = None  # of an image's bytes and type
+    max_captions: int = 20
+    model: Callable[[Column, Column], Column] | None = None  # a description of type and content, where no title is found
     max_blob_size: int | None = None
     skip_mimes: Sequence[str] = ()
     refresh_frequency_sec: int | None = None
     change_note: str | None = None
 
 
-def versions(entries: DataFrame, now_current: DataFrame, version: Column, settings: Settings = Settings(), force: bool = False) -> DataFrame:  # noqa: B008
-    """The new version rows of entries (logical_path, mime_type, bytes, source_path, source_type, source_mtime_ms): of those
-    that are new or changed, with their markdown and description."""
-    rows = S.ingest_gate(entries.withColumn("source_sha256", F.sha2("bytes", 256)), now_current, force).filter("status <> 'unchanged'")
-    rows = rows.withColumn("content", convert(F.col("mime_type"), F.col("bytes")))
+def once(entries: DataFrame) -> DataFrame:
+    """One entry a path (see the module's cases), with source_sha256, error and the number of those left out.  Entries that a
+    probe has found unchanged (``probed``) need no bytes."""
+    probed = F.coalesce("probed", F.lit(False)) if "probed" in entries.columns else F.lit(False)
+    error = F.col("error") if "error" in entries.columns else F.lit(None).cast("string")
+    every = F.col("refresh_frequency_sec") if "refresh_frequency_sec" in entries.columns else F.lit(None).cast("int")
+    rows = entries.select(*ENTRY, F.when(~probed, F.coalesce(error, F.when(F.col("bytes").isNull(), "no bytes"))).alias("error"), probed.alias("probed"), every.alias("refresh_frequency_sec"), F.sha2("bytes", 256).alias("source_sha256"))
+    order = F.struct(F.col("error").isNull(), F.coalesce("source_mtime_ms", F.lit(-1)), F.coalesce("source_sha256", F.lit("")))
+    rest = [c for c in rows.columns if c != PATH]
+    best = rows.groupBy(PATH).agg(F.max_by(F.struct(*rest), order).alias("x"), (F.count("*") - 1).alias("duplicates"))
+    return best.select(PATH, "x.*", "duplicates")
+
+
+def judged(entries: DataFrame, files: DataFrame, version: Column, force: bool = False, gated: bool = True) -> DataFrame:
+    """entries, one a path, against the versions of a store: status (ok, unchanged or failed), change (new or changed) and
+    current (the version that is current before)."""
+    last = S.latest(files).select(PATH, F.col("version_id").alias("__last"), F.col("source_sha256").alias("__sha"), F.col("tombstone").alias("__gone"))
+    rows = entries.join(last, PATH, "left")
+    there = F.coalesce(~F.col("__gone"), F.lit(False))
+    same = F.col("probed") | (F.coalesce(F.col("source_sha256") == F.col("__sha"), F.lit(False)) & there & F.lit(gated and not force))
+    status = F.when(F.col("error").isNotNull(), "failed").when(same, "unchanged").otherwise("ok")
+    late = F.raise_error(F.concat(F.lit("the version is not later than the latest of "), F.col(PATH))).cast("string")
+    status = F.when((status == "ok") & (F.col("__last") >= version), late).otherwise(status)
+    rows = rows.withColumn("status", status).withColumn("current", F.when(there, F.col("__last")))
+    return rows.withColumn("change", F.when(F.col("status") == "ok", F.when(there, "changed").otherwise("new"))).drop("__last", "__sha", "__gone")
+
+
+def versions(rows: DataFrame, version: Column, settings: Settings = Settings(), carried: Sequence[Column] = ()) -> DataFrame:  # noqa: B008
+    """Version rows, with their bytes, of entries (and source_sha256): markdown and description."""
+    rows = converted(rows, PATH, settings.structured, settings.caption, settings.max_captions)
+    inline = F.col("source_type") == "inline"
     return rows.select(
-        "logical_path", version.alias("version_id"), F.lit(False).alias("tombstone"), "source_type", "source_path", "source_mtime_ms", "source_sha256",
-        F.when(F.col("source_type") != "inline", F.col("source_sha256")).alias("blob_sha256"), F.sha2("content", 256).alias("content_sha256"), "content",
-        describe(F.col("logical_path"), F.col("mime_type"), F.col("content")).alias("description"), "mime_type", F.octet_length("bytes").cast("long").alias("size_bytes"),
-        F.lit(settings.refresh_frequency_sec).cast("int").alias("refresh_frequency_sec"), version.alias("refreshed_at"), F.lit("ok").alias("last_refresh_status"),
-        F.lit(settings.change_note).cast("string").alias("change_note"), "bytes",
+        PATH, version.alias("version_id"), F.lit(False).alias("tombstone"), "source_type", "source_path", "source_mtime_ms", "source_sha256",
+        F.when(~inline, F.col("source_sha256")).alias("blob_sha256"), F.sha2("content", 256).alias("content_sha256"), "content",
+        describe(F.col(PATH), F.col("mime_type"), F.col("content"), settings.model and settings.model(F.col("mime_type"), F.col("content"))).alias("description"), "mime_type", F.octet_length("bytes").cast("long").alias("size_bytes"),
+        F.coalesce("refresh_frequency_sec", F.lit(settings.refresh_frequency_sec)).cast("int").alias("refresh_frequency_sec"), version.alias("refreshed_at"), F.lit("ok").alias("last_refresh_status"),
+        F.lit(settings.change_note).cast("string").alias("change_note"), "bytes", *carried,
     )
 
 
 def chunk_rows(files: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """The chunks of version rows: path, version_id, chunk_index, chunk_content, context, search_text, embedding."""
-    rows = files.select("logical_path", "version_id", "description", chunks_of(settings.chunks)("content").alias("x"))
-    rows = rows.select("logical_path", "version_id", "description", F.inline("x"))
-    text = search_text(F.col("logical_path"), F.col("description"), F.col("chunk_content"), F.col("context"))
+    rows = files.select(*KEY, "description", chunks_of(settings.chunks)("content").alias("x"))
+    rows = rows.select(*KEY, "description", F.inline("x"))
+    text = search_text(F.col(PATH), F.col("description"), F.col("chunk_content"), F.col("context"))
     rows = rows.withColumn("search_text", text).drop("description")
     return rows.withColumn("embedding", settings.vector(F.col("search_text")))
 
@@ -63,67 +102,195 @@ def blob_rows(files: DataFrame, known: DataFrame, settings: Settings = Settings(
     return S.new_blobs(rows, known).withColumn("bytes", F.when(kept, F.col("bytes")))
 
 
-def stored(spark: SparkSession, where: str, table: str, schema: str) -> DataFrame:
-    """A table of all batches that have a commit, without what failed tries have left."""
-    rows = spark.read.schema(schema + ", batch long").parquet(f"{where}/{table}")
-    commits = spark.read.schema(COMMITS).parquet(f"{where}/commits")
-    return rows.join(commits.select("batch").distinct(), "batch", "left_semi").drop("batch")
+def read_store(spark: SparkSession, where: str, at: int | None = None) -> dict[str, DataFrame]:
+    """The store's tables after its last commit, or an earlier one."""
+    now = snapshot(spark, where, at)
+    return {t: now.read(t) for t in SCHEMAS}
+
 
+def _publish(base: Snapshot, key: str, staged: DataFrame, version: Column, settings: Settings, graves: DataFrame | None = None, log: DataFrame | None = None) -> Snapshot:
+    """A commit of staged rows: entries with status, change, current and, if ok, their version row as ``made``."""
+    made = staged.filter("status = 'ok'").select("made.*")
+    files = made.drop("bytes")
+    left = staged.filter("status = 'ok' and current is not null").select(PATH, F.col("current").alias("version_id"))
+    if graves is not None:
+        files = files.unionByName(graves.drop("current"), allowMissingColumns=True)
+        left = left.unionByName(graves.select(PATH, F.col("current").alias("version_id")))
+    adds = {"files": [base.write("files", files)], "chunks": [base.write("chunks", chunk_rows(made, settings))], "blobs": [base.write("blobs", blob_rows(made, base.read("blobs"), settings))]}
+    added = base.part("chunks", adds["chunks"][0])
+    adds |= index.deltas(base, added, base.read("chunks").join(left, KEY, "left_semi"))
+    made_version = F.when(F.col("status") == "ok", version).otherwise(F.col("current"))
+    told = staged.select(F.lit(key).alias("key"), PATH, made_version.alias("version_id"), "status", "change", "error", "mime_type", "size_bytes", "source_sha256", "duplicates")
+    adds["outcomes"] = [base.write("outcomes", told)]
+    if log is not None:
+        adds["refreshes"] = [base.write("refreshes", log)]
+    return commit(base, key, adds)
 
-FILES = (
-    "logical_path string, version_id timestamp_ntz, tombstone boolean, source_type string, source_path string, source_mtime_ms long, source_sha256 string, blob_sha256 string, content_sha256 string, "
-    "content string, description string, mime_type string, size_bytes long, refresh_frequency_sec int, refreshed_at timestamp_ntz, last_refresh_status string, change_note string"
-)
-CHUNKS = "logical_path string, version_id timestamp_ntz, chunk_index int, chunk_content string, context string, search_text string, embedding array<float>"
-BLOBS = "sha256 string, mime_type string, size_bytes long, bytes binary"
-SCHEMAS = dict(zip(TABLES, (FILES, CHUNKS, BLOBS), strict=True))
 
+def _staged(base: Snapshot, rows: DataFrame, version: Column, settings: Settings) -> tuple[DataFrame, str]:
+    """Judged entries written with their version rows, so that nothing is converted once for each table."""
+    path = f"{base.where}/staged/{uuid.uuid4().hex}"
+    rows = rows.withColumns({"bytes": F.when(F.col("status") == "ok", F.col("bytes")), "__size": F.octet_length("bytes").cast("long")})
+    new = versions(rows, version, settings, [F.struct("status", "change", "error", "current", "duplicates", F.col("__size").alias("size_bytes")).alias("told")])
+    made = F.struct(*[c for c in new.columns if c != "told"])
+    new.select(PATH, "told.*", "mime_type", "source_sha256", F.when(F.col("told.status") == "ok", made).alias("made")).write.parquet(path)
+    return base.spark.read.parquet(path), path
 
-def _empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
 
+def ingest_batch(spark: SparkSession, where: str, key: str | int, entries: DataFrame, version: Column, settings: Settings = Settings(), in_scope: str | Column | None = None, force: bool = False, gated: bool = True) -> Snapshot:  # noqa: B008
+    """Takes a batch of entries (logical_path, mime_type, bytes, source_path, source_type, source_mtime_ms and, if need be,
+    error, refresh_frequency_sec and probed) into the store.  Unchanged ones make no version unless forced, or not gated.
+    With in_scope, entries are all that the source has below that prefix (or of the rows of that condition), and current
+    paths there that it no longer has get a tombstone."""
+    base, key = snapshot(spark, where), str(key)
+    if key in base.keys:
+        return base
+    files = base.read("files")
+    staged, path = _staged(base, judged(once(entries), files, version, force, gated), version, settings)
+    graves = None
+    if in_scope is not None:
+        now = S.current(files).filter(F.col(PATH).startswith(in_scope) if isinstance(in_scope, str) else in_scope)
+        gone = S.gone(now, staged).select(PATH, F.col("version_id").alias("current"))
+        graves = gone.select(PATH, "current", version.alias("version_id"), F.lit(True).alias("tombstone"), F.lit("source gone").alias("change_note"))
+    done = _publish(base, key, staged, version, settings, graves)
+    remove_folder(spark, path)
+    return done
 
-def read_store(spark: SparkSession, where: str, first: bool = False) -> dict[str, DataFrame]:
-    """The store's tables; empty ones before the first batch."""
-    return {t: _empty(spark, s) if first else stored(spark, where, t, s) for t, s in SCHEMAS.items()}
 
+def write_texts(spark: SparkSession, where: str, key: str | int, texts: DataFrame, version: Column, settings: Settings = Settings()) -> Snapshot:  # noqa: B008
+    """Texts (logical_path, content) as new versions without a gate: inline, markdown, without a blob."""
+    none = F.lit(None).cast("string")
+    rows = texts.select(PATH, F.lit("text/markdown").alias("mime_type"), F.encode("content", "UTF-8").alias("bytes"), none.alias("source_path"), F.lit("inline").alias("source_type"), none.cast("long").alias("source_mtime_ms"))
+    return ingest_batch(spark, where, key, rows, version, settings, gated=False)
 
-def publish(where: str, batch: int, tables: dict[str, DataFrame]) -> None:
-    """Writes a batch's tables and then its commit."""
-    for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{where}/{name}/batch={batch}")
-    spark = tables["files"].sparkSession
-    n = spark.read.schema(FILES).parquet(f"{where}/files/batch={batch}").count()
-    spark.createDataFrame([(batch, n)], COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{where}/commits/of={batch}")
 
+# Refresh.
 
-def ingest_batch(spark: SparkSession, where: str, batch: int, entries: DataFrame, version: Column, settings: Settings = Settings(), in_scope: str | None = None) -> None:  # noqa: B008
-    """Takes a batch of entries into the store.  With in_scope, entries are all that the source has below that prefix, and
-    current paths there that it no longer has get a tombstone."""
-    known = read_store(spark, where, first=batch == 0)
-    now = S.current(known["files"])
-    new = versions(entries, now, version, settings)
-    new.write.mode("overwrite").parquet(f"{where}/staged/batch={batch}")  # once: conversion is not repeated for each table
-    staged = spark.read.schema(FILES + ", bytes binary").parquet(f"{where}/staged/batch={batch}")
-    files = staged.drop("bytes")
-    if in_scope is not None:
-        graves = S.sync(now.filter(F.col("logical_path").startswith(in_scope)), entries, version)
-        files = files.unionByName(graves, allowMissingColumns=True).select(*files.columns)
-    publish(where, batch, {"files": files, "chunks": chunk_rows(staged, settings), "blobs": blob_rows(staged, known["blobs"], settings)})
+
+def with_status(now: Snapshot) -> DataFrame:
+    """The versions with what the refresh log last said of each: when it was refreshed, and how that went."""
+    last = now.read("refreshes").groupBy(*KEY).agg(F.max(F.struct("refreshed_at", "status")).alias("__log"))
+    rows = now.read("files").join(last, KEY, "left")
+    newer = F.coalesce(F.col("__log.refreshed_at") >= F.col("refreshed_at"), F.col("__log").isNotNull())
+    at, status = F.when(newer, F.col("__log.refreshed_at")).otherwise(F.col("refreshed_at")), F.when(newer, F.col("__log.status")).otherwise(F.col("last_refresh_status"))
+    return rows.withColumns({"refreshed_at": at, "last_refresh_status": status}).drop("__log")
+
+
+def due(now: Snapshot, at: Column) -> DataFrame:
+    """The current versions whose time has come, by the log."""
+    return S.refresh_due(with_status(now), at)
+
+
+def refresh(spark: SparkSession, where: str, key: str | int, live: Callable[[DataFrame], DataFrame], at: Column, settings: Settings = Settings(), force: bool = False) -> Snapshot:  # noqa: B008
+    """One tick: the due rows are read again (live gives logical_path, bytes, mime_type, source_mtime_ms, error of due rows), changed
+    ones get a version through the write path, and each gets a row in the refresh log, all in one commit.  Inline rows have
+    no source and are unchanged; a source that live does not name is gone, and failed.  force takes unchanged ones anew."""
+    base, key = snapshot(spark, where), str(key)
+    if key in base.keys:
+        return base
+    asked = due(base, at).select(PATH, F.col("version_id").alias("current"), "source_type", "source_path", F.col("source_sha256").alias("__old"), F.col("mime_type").alias("__mime"), "refresh_frequency_sec")
+    found = live(asked).select(PATH, "bytes", "mime_type", "source_mtime_ms", "error", F.lit(True).alias("__there"))
+    rows = asked.join(found, PATH, "left").withColumn("source_sha256", F.sha2("bytes", 256))
+    inline = F.col("source_type") == "inline"
+    error = F.when(inline, None).otherwise(F.coalesce("error", F.when(F.col("__there").isNull(), "source gone"), F.when(F.col("bytes").isNull(), "no bytes")))
+    same = inline | (F.coalesce(F.col("source_sha256") == F.col("__old"), F.lit(False)) & F.lit(not force))
+    rows = rows.withColumn("error", error).withColumn("mime_type", F.coalesce("mime_type", "__mime"))
+    rows = rows.withColumn("status", F.when(F.col("error").isNotNull(), "failed").when(same, "unchanged").otherwise("ok"))
+    rows = rows.withColumns({"change": F.when(F.col("status") == "ok", "changed"), "duplicates": F.lit(0).cast("long")}).drop("__old", "__mime", "__there")
+    staged, path = _staged(base, rows, at, settings)
+    said = F.when(F.col("status") == "failed", F.concat(F.lit("failed:"), F.col("error"))).otherwise(F.col("status"))
+    log = staged.select(PATH, F.when(F.col("status") == "ok", at).otherwise(F.col("current")).alias("version_id"), at.alias("refreshed_at"), said.alias("status"))
+    done = _publish(base, key, staged, at, settings, log=log)
+    remove_folder(spark, path)
+    return done
+
+
+# Upkeep: each is one commit that retires parts and adds what takes their place.
+
+
+def prune(spark: SparkSession, where: str, key: str | int, cutoff: Column) -> Snapshot:
+    """Without the versions before the cut-off that are not their path's latest, their chunks and refreshes, and blobs that no
+    version has any more."""
+    base, key = snapshot(spark, where), str(key)
+    if key in base.keys:
+        return base
+    files = base.read("files")
+    gone = S.prunable(files.select(*KEY, "tombstone", "blob_sha256"), cutoff)
+    kept = files.select(*KEY, "blob_sha256").join(gone, KEY, "left_anti")
+    loose = S.orphan_blobs(base.read("blobs").select("sha256"), kept)
+    changes = [replaced(base, t, gone, KEY) for t in ("files", "chunks", "refreshes")]
+    return commit(base, key, *together(*changes, replaced(base, "blobs", loose, ["sha256"])))
+
+
+def collect_blobs(spark: SparkSession, where: str, key: str | int) -> Snapshot:
+    """Without the blobs that no version has."""
+    base, key = snapshot(spark, where), str(key)
+    if key in base.keys:
+        return base
+    return commit(base, key, *replaced(base, "blobs", S.orphan_blobs(base.read("blobs").select("sha256"), base.read("files")), ["sha256"]))
+
+
+def strip_blobs(spark: SparkSession, where: str, key: str | int, max_size: int | None, skip_mimes: Sequence[str] = ()) -> Snapshot:
+    """Bytes that the policy would not keep are dropped; ``store.reclaimable`` is the dry run."""
+    base, key = snapshot(spark, where), str(key)
+    if key in base.keys:
+        return base
+    rows = base.read_parts("blobs")
+    touched = [r["part"] for r in S.strip_candidates(rows, max_size, skip_mimes).select("part").distinct().collect()]
+    if not touched:
+        return commit(base, key, {})
+    new = S.strip(rows.filter(F.col("part").isin(touched)), max_size, skip_mimes)
+    return commit(base, key, {"blobs": [base.write("blobs", new)]}, {"blobs": touched})
 
 
 def rechunk(files: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """The chunk table built anew for every version that has content, with the stored descriptions: for other settings
-    or another vectoriser.  It replaces the old table as a whole."""
+    or another vectoriser."""
     return chunk_rows(files.filter("not tombstone and content is not null"), settings)
 
 
-def refreshed(files: DataFrame, live: DataFrame, now: Column) -> DataFrame:
-    """The refresh log of a tick: (logical_path, version_id, refreshed_at, status) for each due row, from the live state
-    (logical_path, source_sha256, error) of its source; inline rows are always unchanged."""
-    due = S.refresh_due(files, now).select("logical_path", "version_id", "source_type", "source_sha256")
-    rows = due.join(live.select("logical_path", F.col("source_sha256").alias("live_sha"), "error"), "logical_path", "left")
-    failed = F.concat(F.lit("failed:"), F.coalesce("error", F.when(F.col("live_sha").isNull(), "source gone")))
-    same = F.when(F.col("live_sha") == F.col("source_sha256"), "unchanged").otherwise("ok")
-    status = F.when(F.col("source_type") == "inline", "unchanged").otherwise(F.coalesce(failed, same))
-    return rows.select("logical_path", "version_id", now.alias("refreshed_at"), status.alias("status"))
+def reindex(spark: SparkSession, where: str, key: str | int, revision: str, settings: Settings = Settings()) -> Snapshot:  # noqa: B008
+    """All chunks and the whole search index built anew, under a revision that tells which settings they are of."""
+    base, key = snapshot(spark, where), str(key)
+    if key in base.keys:
+        return base
+    files = base.read("files")
+    chunks = whole(base, "chunks", rechunk(files, settings))
+    now = S.current_chunks(base.part("chunks", chunks[0]["chunks"][0]), files.select(*KEY, "tombstone"))
+    fresh = index.deltas(base, now, None)
+    return commit(base, key, *together(chunks, (fresh, {t: list(base.parts.get(t, ())) for t in fresh})), revision=revision)
+
+
+def compact(spark: SparkSession, where: str, key: str | int) -> Snapshot:
+    """Each table in one part, the search index without what has been taken from it, and the last refresh of each version."""
+    base, key = snapshot(spark, where), str(key)
+    if key in base.keys:
+        return base
+    last = base.read("refreshes").groupBy(*KEY).agg(F.max(F.struct("refreshed_at", "status")).alias("x")).select(*KEY, "x.*")
+    rows = {t: base.read(t) for t in ("files", "chunks", "blobs", "outcomes")} | {"refreshes": last} | index.merged(base)
+    return commit(base, key, *together(*[whole(base, t, r) for t, r in rows.items() if base.parts.get(t)]))
+
+
+def move(spark: SparkSession, where: str, key: str | int, renames: DataFrame, version: Column) -> Snapshot:
+    """Paths renamed (old_path, new_path): version, chunks and index under the new path, a tombstone under the old."""
+    base, key = snapshot(spark, where), str(key)
+    if key in base.keys:
+        return base
+    now = S.current(base.read("files"))
+    files, chunks = base.write("files", S.move(now, renames, version)), base.write("chunks", S.moved_chunks(base.read("chunks"), now, renames, version))
+    left = now.join(renames.select(F.col("old_path").alias(PATH)), PATH, "left_semi").select(*KEY)
+    return commit(base, key, {"files": [files], "chunks": [chunks]} | index.deltas(base, base.part("chunks", chunks), base.read("chunks").join(left, KEY, "left_semi")))
+
+
+def remove(spark: SparkSession, where: str, key: str | int, targets: DataFrame, version: Column, note: str = "removed") -> Snapshot:
+    """Tombstones for current paths (see ``store.remove_guard`` for which)."""
+    base, key = snapshot(spark, where), str(key)
+    if key in base.keys:
+        return base
+    left = S.current(base.read("files").select(*KEY, "tombstone")).join(targets.select(PATH), PATH, "left_semi")
+    files = base.write("files", _as_files(base, S.tombstones(left, version, note)))
+    return commit(base, key, {"files": [files]} | index.deltas(base, None, base.read("chunks").join(left, KEY, "left_semi")))
+
+
+def _as_files(base: Snapshot, rows: DataFrame) -> DataFrame:
+    return base.spark.createDataFrame([], SCHEMAS["files"]).unionByName(rows, allowMissingColumns=True)

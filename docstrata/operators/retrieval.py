@@ -6,12 +6,16 @@ other data stays partitioned by document, and each query keeps ``depth`` candida
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import make_snippet, snippet_terms
 from .store import current_chunks
@@ -58,18 +62,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "key", ste
     return ranked(hits.groupBy(key, "len", "term").agg(F.count("*").alias("tf")), corpus, terms, k, key)
 
 
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term): each query's different words."""
+    return _small(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")))
+
+
 def bm25_of_index(postings: DataFrame, corpus: DataFrame, queries: DataFrame, k: int = 10, key: str = "key") -> DataFrame:
     """The same from a stored index (see ``term_statistics``): no text is read."""
-    terms = _small(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")))
+    terms = query_terms(queries)
     return ranked(postings.join(terms.select("term").distinct(), "term", "left_semi"), corpus, terms, k, key)
 
 
-def ranked(hits: DataFrame, corpus: DataFrame, terms: DataFrame, k: int, key: str) -> DataFrame:
-    """Scores from the postings (key, len, term, tf) of the queries' terms (query_id, term) alone."""
+def ranked(hits: DataFrame, corpus: DataFrame, terms: DataFrame, k: int, key: str, kept: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Scores from the postings (key, len, term, tf) of the queries' terms (query_id, term) alone.  kept says which keys
+    are ranked; all count in the document frequencies."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = terms.join(df, "term").crossJoin(F.broadcast(corpus))  # one row of corpus statistics
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    hits = hits.filter(kept(F.col(key))) if kept else hits
     scores = hits.join(weighed, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
     return top_k(scores, k, key)
 
@@ -95,13 +106,85 @@ def check_dimension(embedding: Column, dim: int) -> Column:
     return F.when(F.size(embedding) == dim, embedding).otherwise(F.raise_error(F.lit(f"embedding is not of dimension {dim}")).cast("array<float>"))
 
 
+QUERY_FLOATS = 1 << 22  # of stated queries that a pass over the vectors takes along: 32 MB
+PAIRS = 1 << 22  # scores that a task holds at once
+
+
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores at 6 places, halves up by their decimal form, like ``F.round``."""
+    out = np.round(scores, 6)
+    half = np.argwhere(np.abs(np.abs(scores * 1e6) % 1 - 0.5) < 1e-4)
+    for at in map(tuple, half):
+        out[at] = float(Decimal(repr(float(scores[at]))).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    return out + 0.0
+
+
+def _nearest(asked: np.ndarray, k: int, names: list[str]):
+    """Batches of (keys..., embedding) to the best k of each query (query, keys..., score).  A batch's scores are products of
+    blocks of both sides; a task keeps k hits a query, and merges what each batch adds."""
+    unit = asked / np.linalg.norm(asked, axis=1, keepdims=True)
+    order = [("query", "ascending"), ("score", "descending"), *((n, "ascending") for n in names)]
+
+    def best(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        query = table.column("query").to_numpy()
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        within = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        return table.filter(pa.array(within < k))
+
+    def hits(batch: pa.RecordBatch) -> pa.Table | None:
+        vectors = batch.column(batch.num_columns - 1)
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if len(flat) != len(vectors) * asked.shape[1]:
+            raise ValueError(f"a vector is not of dimension {asked.shape[1]}")
+        rows = flat.reshape(len(vectors), asked.shape[1])
+        scores = rounded(unit @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T)
+        if scores.shape[1] > k:  # whatever ties with the k-th is left to the order by key
+            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+            query, row = np.nonzero(scores >= least[:, None])
+        else:
+            query, row = np.nonzero(np.ones_like(scores, dtype=bool))
+        found = {n: c.take(pa.array(row)) for n, c in zip(names, batch.columns, strict=False)}
+        return best(pa.table({"query": pa.array(query.astype(np.int32)), **found, "score": pa.array(scores[query, row])}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            step = max(1, PAIRS // len(asked))
+            for i in range(0, batch.num_rows, step):
+                held.append(hits(batch.slice(i, step)))
+                if sum(t.num_rows for t in held) > 4 * k * len(asked):
+                    held = [best(pa.concat_tables(held))]
+        if held:
+            yield from best(pa.concat_tables(held)).to_batches()
+
+    return run
+
+
 def semantic(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "key") -> DataFrame:
-    """(query_id, key, score, rank): the stated queries (query_id, vector) against every row of vectors (key, embedding).
-    Each vector's length is computed once, not once a pair."""
-    own = vectors.select(key, "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("__length"))
-    asked = queries.select("query_id", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("__asked"))
-    pairs = own.crossJoin(_small(asked))
-    return top_k(pairs.select("query_id", key, (dot(F.col("embedding"), F.col("vector")) / (F.col("__length") * F.col("__asked"))).alias("score")), k, key)
+    """(query_id, key, score, rank): the stated queries (query_id, vector) against every row of vectors (key, embedding), by
+    cosine.  Queries go along with a pass over the vectors in blocks of a fixed size; more of them take more passes, over
+    the same partitions.  A null or zero vector is like nothing."""
+    kind = vectors.schema[key].dataType
+    fields = [(f"k{i}", F.col(f"{key}.`{f.name}`"), f.dataType.simpleString(), f.name) for i, f in enumerate(kind.fields)] if isinstance(kind, StructType) else [("k0", F.col(key), kind.simpleString(), "")]
+    length = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    own = vectors.filter(length(F.col("embedding")) > 0).select(*[c.alias(n) for n, c, _, _ in fields], F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.filter(length(F.col("vector")) > 0).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    n, dim = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-n * (dim or 1) // QUERY_FLOATS))
+    schema = ", ".join(["query int", *(f"{name} {kind}" for name, _, kind, _ in fields), "score double"])
+    parts = []
+    for block in range(blocks):
+        mine = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect() if n else []
+        if not mine:
+            continue
+        numbered = queries.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(mine)], StructType([StructField("query", IntegerType()), asked.schema["query_id"]]))
+        found = own.mapInArrow(_nearest(np.array([r["vector"] for r in mine]), k, [name for name, *_ in fields]), schema)
+        parts.append(found.join(F.broadcast(numbered), "query"))  # as many rows as the block has queries
+    whole = F.struct(*[F.col(name).alias(label) for name, _, _, label in fields]) if isinstance(kind, StructType) else F.col("k0")
+    if not parts:
+        return queries.select("query_id").crossJoin(vectors.select(key).limit(0)).select("query_id", key, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    return top_k(reduce(DataFrame.unionByName, parts).select("query_id", whole.alias(key), "score"), k, key)
 
 
 def top_k(scores: DataFrame, k: int, key: str = "key") -> DataFrame:
@@ -112,11 +195,14 @@ def top_k(scores: DataFrame, k: int, key: str = "key") -> DataFrame:
 
 
 def hash_vector(text: Column, dim: int = 64) -> Column:
-    """The default vectoriser: words hashed to buckets, counted and L2-normalised."""
+    """The default vectoriser: words hashed to buckets, counted and L2-normalised.  Buckets, counts and norm are each bound
+    to a lambda's variable, so the words are read once."""
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     buckets = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(0.0).cast("float"))
+    count = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double"))
+    scaled = lambda counts, norm: F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(0.0).cast("float"))
+    length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
+    return bound(buckets, lambda found: bound(count(found), lambda counts: bound(length(counts), lambda norm: scaled(counts, norm))))
 
 
 def fuse(sem: DataFrame, kw: DataFrame, weight: float = 0.5, k: int = 60, depth: int = 50, key: str = "key") -> DataFrame:

@@ -296,33 +296,49 @@ def children(tree: DataFrame) -> DataFrame:
     return tree.filter("depth > 1").groupBy(F.regexp_replace("node", "/[^/]*$", "").alias("node")).agg(F.count("*").alias("children"))
 
 
+def _row_above(below: np.ndarray, line: int, others: np.ndarray) -> np.ndarray:
+    """Longest common subsequences of one more line of the old text with each rest of the new: from the right, a row is the
+    running maximum of what a match or the row below gives."""
+    best = np.maximum(np.where(others == line, below[1:] + 1, 0), below[:-1])
+    return np.append(np.maximum.accumulate(best[::-1])[::-1], 0).astype(np.int32)
+
+
 def line_diff(old: str | None, new: str | None) -> list[str]:
     """Lines of both texts with a sign in front (blank, - or +), by a longest common subsequence; where it leaves a choice,
-    a deletion comes first.  Equal heads are set aside, and the table of the rest is one byte a cell: whether a line of the
-    old text goes before one of the new."""
+    a deletion comes first.  Equal heads are set aside.  Of the table of the rest, a row is kept every so often, and the rows
+    between are made again, from the nearest kept one, when the way through the table gets there; so for texts of n and m
+    lines about 4 m sqrt(n) bytes are held."""
     a, b = (old or "").split("\n"), (new or "").split("\n")
     head = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     x, y = a[head:], b[head:]
     number: dict[str, int] = {}
-    p, q = (np.array([number.setdefault(s, len(number)) for s in t], dtype=np.int64) for t in (x, y))
-    below, delete = np.zeros(len(q) + 1, dtype=np.int32), np.zeros((len(p), len(q)), dtype=bool)
+    p, q = (np.array([number.setdefault(s, len(number)) for s in t], dtype=np.int32) for t in (x, y))
+    step = max(1, 2 * int(len(p) ** 0.5))
+    below, kept = np.zeros(len(q) + 1, dtype=np.int32), {}
     for i in range(len(p) - 1, -1, -1):
-        # From the right, a row is the running maximum of what a match or the row below gives.
-        best = np.maximum(np.where(q == p[i], below[1:] + 1, 0), below[:-1])
-        row = np.append(np.maximum.accumulate(best[::-1])[::-1], 0).astype(np.int32)
-        delete[i] = below[:-1] >= row[1:]
-        below = row
+        if (i + 1) % step == 0 or i == len(p) - 1:
+            kept[i // step] = below
+        below = _row_above(below, p[i], q)
     out, i, j = [" " + s for s in a[:head]], 0, 0
     while i < len(x) and j < len(y):
-        if p[i] == q[j]:
-            out.append(" " + x[i])
-            i, j = i + 1, j + 1
-        elif delete[i, j]:
-            out.append("-" + x[i])
-            i += 1
-        else:
-            out.append("+" + y[j])
-            j += 1
+        first, below = i - i % step, kept.pop(i // step)[j:]
+        last, left = min(first + step, len(p)), j
+        deletes = np.zeros((last - i, len(q) - left), dtype=bool)  # whether a line of the old text goes before one of the new
+        for r in range(last - 1, i - 1, -1):
+            row = _row_above(below, p[r], q[left:])
+            deletes[r - i] = below[:-1] >= row[1:]
+            below = row
+        top = i
+        while i < last and j < len(y):
+            if p[i] == q[j]:
+                out.append(" " + x[i])
+                i, j = i + 1, j + 1
+            elif deletes[i - top, j - left]:
+                out.append("-" + x[i])
+                i += 1
+            else:
+                out.append("+" + y[j])
+                j += 1
     return [*out, *("-" + s for s in x[i:]), *("+" + s for s in y[j:])]
 
 

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.globs import any_match
 from ..operators import chunks as C
 from ..operators import convert as V
+from ..operators import index
 from ..operators import ingest as W
 from ..operators import retrieval as R
 from ..operators import routes
 from ..operators import store as S
+from ..operators.snapshots import snapshot
 from ..session import shared_dir
-from ..streaming import ingest
+from ..sources import contract
+from ..streaming import ingest, latest
 from .views import BM25, FUSED, SEM, V_DOCS, V_FILES, V_GOLDEN, read, v_conv, v_docs, v_files, v_golden
 
 QUERIES: dict = {}
@@ -129,10 +133,11 @@ def blob_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return v_docs(spark, d).groupBy("sha256").agg(F.first("size_bytes").alias("size_bytes"), F.count("*").alias("copies"))
 
 
-@query(f"with {V_DOCS} select distinct sha256 from v_docs where sha256 not in (select sha256 from v_docs where doc_id % 3 <> 0)")
+@query(f"with {V_DOCS} select distinct sha256 from v_docs where sha256 not in (select sha256 from v_docs where lang is distinct from 'fr')")
 def orphan_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """What is left over when the versions of one language are gone."""
     docs = v_docs(spark, d)
-    refs = docs.filter("doc_id % 3 <> 0").withColumnRenamed("sha256", "blob_sha256")  # versions of every third document are gone
+    refs = docs.filter(~F.col("lang").eqNullSafe("fr")).withColumnRenamed("sha256", "blob_sha256")
     return S.orphan_blobs(docs.select("sha256").distinct(), refs)
 
 
@@ -142,41 +147,49 @@ def strip_candidates(spark: SparkSession, d: str) -> DataFrame:
     return S.strip_candidates(rows, 4000, ["text/fr"]).select("doc_id", "reason")
 
 
-def _edited(docs: DataFrame) -> DataFrame:
-    """A later state of the source: every seventh document is edited, every eleventh gone."""
-    sha = F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("sha256"))
-    return docs.filter("doc_id % 11 <> 0").select("doc_id", "logical_path", sha.alias("source_sha256"))
+def _later(docs: DataFrame) -> DataFrame:
+    """A later state of all documents: long ones are edited, Spanish ones are gone, French ones are there a second time."""
+    content = F.coalesce("content", F.lit(""))
+    now = docs.filter(~F.col("lang").eqNullSafe("es")).withColumn("content", F.when(F.col("size_bytes") > 3000, F.concat(content, F.lit("!"))).otherwise(content))
+    return now.unionByName(now.filter("lang = 'fr'").withColumn("logical_path", F.concat(F.lit("again/"), F.col("logical_path"))))
 
 
-@query(f"""with {V_DOCS} select logical_path, case when doc_id % 5 = 0 then 'new' when doc_id % 7 = 0 then 'changed' else 'unchanged' end as status from v_docs where doc_id % 11 <> 0""")
+V_LATER = """edit as (select logical_path, lang, coalesce(size_bytes > 3000, false) as edited, coalesce(content, '') || case when size_bytes > 3000 then '!' else '' end as content from v_docs where lang is distinct from 'es'),
+v_later as (select *, false as fresh from edit union all select 'again/' || logical_path, lang, edited, content, true from edit where lang = 'fr'),
+v_gone as (select logical_path, coalesce(content, '') as content from v_docs where lang = 'es')"""
+
+
+@query(f"with {V_DOCS}, {V_LATER} select logical_path, case when fresh then 'new' when edited then 'changed' else 'unchanged' end as status from v_later")
 def ingest_gate(spark: SparkSession, d: str) -> DataFrame:
     docs = v_docs(spark, d)
-    known = docs.filter("doc_id % 5 <> 0").select("logical_path", F.col("sha256").alias("source_sha256"))
-    return S.ingest_gate(_edited(docs), known).select("logical_path", "status")
+    known = docs.select("logical_path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("source_sha256"))
+    return S.ingest_gate(_later(docs).select("logical_path", F.sha2("content", 256).alias("source_sha256")), known).select("logical_path", "status")
 
 
-@query(f"with {V_DOCS} select logical_path, timestamp '2024-01-30 12:00:00' as version_id, true as tombstone, 'source gone' as change_note from v_docs where doc_id % 11 = 0")
+@query(f"with {V_DOCS}, {V_LATER} select logical_path, timestamp '2024-01-30 12:00:00' as version_id, true as tombstone, 'source gone' as change_note from v_gone")
 def sync_tombstones(spark: SparkSession, d: str) -> DataFrame:
     docs = v_docs(spark, d)
-    return S.sync(docs, _edited(docs), at(NOW))
+    return S.sync(docs, _later(docs), at(NOW))
 
 
-@query(f"""with {V_DOCS}, m as (select logical_path, 'moved/' || logical_path as new_path, sha256 from v_docs where doc_id % 9 = 0)
+@query(f"""with {V_DOCS}, m as (select logical_path, 'moved/' || logical_path as new_path, sha256 from v_docs where lang = 'de')
   select new_path as logical_path, false as tombstone, sha256 from m union all select logical_path, true, sha256 from m""")
 def move_paths(spark: SparkSession, d: str) -> DataFrame:
     docs = v_docs(spark, d).withColumn("version_id", at(CUT)).withColumn("tombstone", F.lit(False))
-    renames = docs.filter("doc_id % 9 = 0").select(F.col("logical_path").alias("old_path"), F.concat(F.lit("moved/"), F.col("logical_path")).alias("new_path"))
-    return S.move(docs.select("logical_path", "version_id", "tombstone", "sha256"), renames, at(NOW)).select("logical_path", "tombstone", "sha256")
+    return S.move(docs.select("logical_path", "version_id", "tombstone", "sha256"), _renames(docs), at(NOW)).select("logical_path", "tombstone", "sha256")
+
 
+def _renames(docs: DataFrame) -> DataFrame:
+    return docs.filter("lang = 'de'").select(F.col("logical_path").alias("old_path"), F.concat(F.lit("moved/"), F.col("logical_path")).alias("new_path"))
 
-@query(f"""with {V_DOCS}, c as (select *, unnest(range(0, greatest(ceil(length(content) / 1800.0), 1)::int))::int as chunk_index from v_docs where doc_id % 9 = 0)
+
+@query(f"""with {V_DOCS}, c as (select *, unnest(range(0, greatest(ceil(length(content) / 1800.0), 1)::int))::int as chunk_index from v_docs where lang = 'de')
   select 'moved/' || logical_path as logical_path, chunk_index, sha256('moved/' || logical_path || chr(10) || 'about ' || coalesce(lang, '') || chr(10) || chr(10) || substr(content, chunk_index * 1800 + 1, 1800)) as sha from c""")
 def move_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The chunks of moved paths, with their search text built anew."""
     docs = v_docs(spark, d).withColumn("version_id", at(CUT)).withColumn("description", F.concat(F.lit("about "), F.coalesce("lang", F.lit(""))))
     chunks = C.hard_cut(docs.select("logical_path", "content"), 1800).select("logical_path", at(CUT).alias("version_id"), "chunk_index", "chunk_content", F.lit("").alias("context"), F.lit("").alias("search_text"))
-    renames = docs.filter("doc_id % 9 = 0").select(F.col("logical_path").alias("old_path"), F.concat(F.lit("moved/"), F.col("logical_path")).alias("new_path"))
-    return S.moved_chunks(chunks, docs, renames, at(NOW)).select("logical_path", "chunk_index", F.sha2("search_text", 256).alias("sha"))
+    return S.moved_chunks(chunks, docs, _renames(docs), at(NOW)).select("logical_path", "chunk_index", F.sha2("search_text", 256).alias("sha"))
 
 
 @query(f"""with {V_DOCS} select count(*) as stripped, coalesce(sum(size_bytes), 0)::bigint as reclaimed_bytes from
@@ -192,25 +205,125 @@ def blob_base64(spark: SparkSession, d: str) -> DataFrame:
     return S.read_bytes(S.new_blobs(rows)).select("sha256", F.regexp_replace("bytes_base64", "\\s+", "").alias("bytes_base64"))
 
 
-def _entries(docs: DataFrame, content) -> DataFrame:
-    cols = (F.lit("text/markdown").alias("mime_type"), F.encode(content, "UTF-8").alias("bytes"), F.lit("local").alias("source_type"), F.col("logical_path").alias("source_path"), F.lit(0).cast("long").alias("source_mtime_ms"))
-    return docs.select("logical_path", *cols)
+def _entries(docs: DataFrame, **more) -> DataFrame:
+    cols = (F.lit("text/markdown").alias("mime_type"), F.encode(F.coalesce("content", F.lit("")), "UTF-8").alias("bytes"), F.lit("local").alias("source_type"), F.col("logical_path").alias("source_path"), F.lit(0).cast("long").alias("source_mtime_ms"))
+    return docs.select("logical_path", *cols, *[F.lit(v).alias(k) for k, v in more.items()])
 
 
-@query(f"""with {V_DOCS} select logical_path, case when doc_id % 7 = 0 then sha256(content || '!') else sha256 end as content_sha256,
-  (case when doc_id % 5 <> 0 and doc_id % 7 = 0 then 2 else 1 end)::bigint as versions, true as searchable from v_docs where doc_id % 11 <> 0""")
-def store_ingest_two_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Documents taken into a store by the write path, then a later state of the source: what is current, and whether its
-    chunks can be found."""
+def _two_states(spark: SparkSession, d: str, settings: W.Settings = W.Settings()) -> str:  # noqa: B008
+    """A store that has taken all documents and then their later state, which is tried twice."""
     where, docs = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", v_docs(spark, d)
-    edited = F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
-    W.ingest_batch(spark, where, 0, _entries(docs.filter("doc_id % 5 <> 0"), F.col("content")), at(CUT))
-    W.ingest_batch(spark, where, 1, _entries(docs.filter("doc_id % 11 <> 0"), edited), at(NOW), in_scope="")
-    store = W.read_store(spark, where)
+    W.ingest_batch(spark, where, "first", _entries(docs), at(CUT), settings)
+    for _ in range(2):
+        W.ingest_batch(spark, where, "second", _entries(_later(docs)), at(NOW), settings, in_scope="")
+    return where
+
+
+@query(f"""with {V_DOCS}, {V_LATER} select logical_path, sha256(content) as content_sha256, (case when edited and not fresh then 2 else 1 end)::bigint as versions, true as searchable,
+  case when fresh or edited then 'ok' else 'unchanged' end as outcome from v_later""")
+def store_ingest_two_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Two states of all documents through the write path: what is current, whether its chunks can be found, and what
+    became of each entry of the second."""
+    store = W.read_store(spark, _two_states(spark, d))
     counts = store["files"].filter("not tombstone").groupBy("logical_path").agg(F.count("*").alias("versions"))
     found = S.current_chunks(store["chunks"], store["files"]).filter(F.col("search_text").startswith(F.col("logical_path"))).select("logical_path").distinct()
-    rows = S.current(store["files"]).join(counts, "logical_path").join(found.withColumn("there", F.lit(True)), "logical_path", "left")
-    return rows.select("logical_path", "content_sha256", "versions", F.coalesce("there", F.lit(False)).alias("searchable"))
+    told = store["outcomes"].filter("key = 'second'").select("logical_path", F.col("status").alias("outcome"))
+    rows = S.current(store["files"]).join(counts, "logical_path").join(found.withColumn("there", F.lit(True)), "logical_path", "left").join(told, "logical_path")
+    return rows.select("logical_path", "content_sha256", "versions", F.coalesce("there", F.lit(False)).alias("searchable"), "outcome")
+
+
+@query(f"""with {V_DOCS}, {V_LATER}, f as (select logical_path, case when fresh or edited then timestamp '{NOW}' else timestamp '{CUT}' end as version_id, false as tombstone, content from v_later
+    union all select logical_path, timestamp '{NOW}', true, null from v_gone)
+  select 'files' as tbl, logical_path || ' ' || strftime(version_id, '%Y-%m-%d') as key, tombstone::bigint as n, sha256(content) as sha from f
+  union all select 'chunks', logical_path || ' ' || strftime(version_id, '%Y-%m-%d'), 1, null from f where not tombstone
+  union all select 'blobs', sha256(content), any_value(octet_length(encode(content))), null from f where not tombstone group by 1, 2
+  union all select 'pinned', 'files', (select count(*) from v_docs) + (select count(*) from v_later where fresh or edited) + (select count(*) from v_gone), null
+  union all select 'revision', 'short chunks', 1, null""")
+def store_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """After two states: old versions pruned with their chunks and blobs, all chunks cut anew under another revision, and
+    each table in one part; an older snapshot still has all."""
+    where = _two_states(spark, d)
+    before = snapshot(spark, where)
+    W.prune(spark, where, "prune", at("2024-01-25 00:00:00"))
+    W.reindex(spark, where, "reindex", "short chunks", W.Settings(chunks=C.Config(target=400, longest=600)))
+    W.collect_blobs(spark, where, "collect")
+    now = W.compact(spark, where, "compact")
+    key, none = F.concat_ws(" ", "logical_path", F.date_format("version_id", "yyyy-MM-dd")), F.lit(None).cast("string")
+    row = lambda rows, tbl, key, n, sha=none: rows.select(F.lit(tbl).alias("tbl"), key.alias("key"), n.cast("long").alias("n"), sha.alias("sha"))
+    short = F.least(F.lit(1), F.sum((F.char_length("chunk_content") <= 600).cast("int")))
+    parts = [
+        row(now.read("files"), "files", key, F.col("tombstone").cast("int"), F.col("content_sha256")), row(now.read("chunks").groupBy(key.alias("key")).agg(short.alias("n")), "chunks", F.col("key"), F.col("n")),
+        row(now.read("blobs"), "blobs", F.col("sha256"), F.octet_length("bytes")), row(before.read("files").agg(F.count("*").alias("n")), "pinned", F.lit("files"), F.col("n")),
+        row(spark.range(1), "revision", F.lit(now.revision), F.lit(1)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""with {V_DOCS}, {V_LATER} select logical_path, sha256(content) as content_sha256, (1 + edited::int)::bigint as versions, 'unchanged' as status, timestamp '2024-01-20 04:00:00' as refreshed_at, false as due from v_later where not fresh
+  union all select logical_path, sha256(content), 1, 'failed:source gone', timestamp '2024-01-20 04:00:00', false from v_gone""")
+def store_refresh_loop(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as a source that is read again every hour: two ticks, after its later state has come."""
+    where, docs = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", v_docs(spark, d)
+    W.ingest_batch(spark, where, "first", _entries(docs, refresh_frequency_sec=3600), at(CUT))
+    source = _entries(_later(docs), error=None).withColumn("error", F.col("error").cast("string"))
+    live = lambda due: source.join(due.select("logical_path"), "logical_path", "left_semi")
+    W.refresh(spark, where, "tick 1", live, at("2024-01-20 02:00:00"))
+    again = W.due(snapshot(spark, where), at("2024-01-20 02:00:00")).select("logical_path", F.lit(True).alias("due"))
+    again = again.unionByName(W.due(W.refresh(spark, where, "tick 2", live, at("2024-01-20 04:00:00")), at("2024-01-20 04:00:00")).select("logical_path", F.lit(True).alias("due"))).distinct()
+    files = W.with_status(snapshot(spark, where))
+    counts = files.groupBy("logical_path").agg(F.count("*").alias("versions"))
+    rows = S.current(files).join(counts, "logical_path").join(again, "logical_path", "left")
+    return rows.select("logical_path", "content_sha256", "versions", F.col("last_refresh_status").alias("status"), "refreshed_at", F.coalesce("due", F.lit(False)).alias("due"))
+
+
+# The search text of a document that is one chunk: path, the start of the text as description, the text.
+V_SEARCHED = r"""searched as (select logical_path, logical_path || chr(10) || case when body <> '' then body else logical_path || ' (text/markdown)' end || chr(10) || chr(10) || content as text from
+  (select *, trim(regexp_replace(substr(regexp_replace(content, '^\s+|\s+$', '', 'g'), 1, 200), '\s+', ' ', 'g')) as body from v_later))"""
+
+
+@query(f"""with {V_DOCS}, {V_LATER}, {V_SEARCHED}, golden as (select item_id as query_id, text as query from benchmark), {BM25.replace('doc_id as key', 'logical_path as key').replace('from documents', 'from searched')}
+  select query_id, key as logical_path, score, rank::int as rank from kw where rank <= 10""")
+def index_after_commits(spark: SparkSession, d: str) -> DataFrame:
+    """Whole benchmark passages against the index that two commits have left, a document a chunk; no text is read."""
+    where = _two_states(spark, d, W.Settings(chunks=C.Config(target=1 << 30, longest=1 << 30, by_heading=False)))
+    return index.search(snapshot(spark, where), read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))).select("query_id", "logical_path", "score", "rank")
+
+
+def _talks(name: str) -> contract.Source:
+    """Conversations as documents: a page a turn, and the length of all turns in place of a modification time."""
+    path = F.concat(F.lit("talks/"), F.col("conv_id").cast("string"), F.lit(".md"))
+
+    def listed(spark: SparkSession, folder: str) -> DataFrame:
+        rows = spark.read.parquet(folder).groupBy("conv_id").agg(F.sum(F.char_length("text")).alias("source_mtime_ms"))
+        return rows.select(path.alias("logical_path"), F.concat(F.lit("talk:"), F.col("conv_id").cast("string")).alias("source_path"), "source_mtime_ms")
+
+    def fetched(spark: SparkSession, folder: str, entries: DataFrame) -> DataFrame:
+        rows = spark.read.parquet(folder).select(path.alias("logical_path"), F.col("turn").alias("page_no"), "text").join(entries.select("logical_path"), "logical_path", "left_semi")
+        pages = V.pages_to_markdown(rows.withColumnRenamed("logical_path", "doc"))
+        return pages.select(F.col("doc").alias("logical_path"), F.encode("markdown", "UTF-8").alias("bytes"), F.lit("text/markdown").alias("mime_type"), F.lit(None).cast("string").alias("error"))
+
+    return contract.Source(name, listed, fetched, lambda folder: F.col("logical_path").startswith("talks/"))
+
+
+@query("""with t as (select *, max(turn) over (partition by conv_id) as most from conversations),
+  a as (select conv_id, sum(length(text)) as stamp from t where most < 6 group by 1),
+  b as (select conv_id, sum(length(text)) as stamp, string_agg('## Page ' || turn || chr(10) || chr(10) || trim(text), chr(10) || chr(10) order by turn, '## Page ' || turn || chr(10) || chr(10) || trim(text)) as markdown
+    from t where most > 1 and role <> 'system' group by 1)
+  select 'talks/' || coalesce(a.conv_id, b.conv_id) || '.md' as logical_path, b.conv_id is null as tombstone, sha256(b.markdown) as content_sha256,
+    case when b.conv_id is null then null when a.stamp = b.stamp then 'unchanged' else 'ok' end as outcome, a.stamp is not distinct from b.stamp as probed from a full join b on a.conv_id = b.conv_id""")
+def source_probe_and_sync(spark: SparkSession, d: str) -> DataFrame:
+    """A registered source in two states, the second with sync: long conversations are new, system turns are taken out, and
+    short conversations are gone; what the probe finds unchanged is not read."""
+    talks = read(spark, d, "conversations").withColumn("most", F.max("turn").over(Window.partitionBy("conv_id")))
+    where = f"{shared_dir(spark)}/talks-{uuid.uuid4().hex}"
+    for state, rows in (("a", talks.filter("most < 6")), ("b", talks.filter("most > 1 and role <> 'system'"))):
+        rows.drop("most").write.parquet(f"{where}/{state}")
+    contract.register(_talks("talks"))
+    contract.add(spark, f"{where}/store", "a", f"talks:{where}/a", at(CUT))
+    now = contract.add(spark, f"{where}/store", "b", f"talks:{where}/b", at(NOW), sync=True)
+    told = now.read("outcomes").filter("key = 'b'").select("logical_path", F.col("status").alias("outcome"), F.col("source_sha256").isNull().alias("probed"))
+    rows = S.latest(now.read("files")).join(told, "logical_path", "left")
+    return rows.select("logical_path", "tombstone", "content_sha256", "outcome", F.coalesce("probed", F.lit(False)).alias("probed"))
 
 
 @query()
@@ -553,6 +666,22 @@ def stream_ingest_current(spark: SparkSession, d: str) -> DataFrame:
     return ingest.current_from(spark, f"{where}/store").select(*KEYS, "size_bytes")
 
 
+@query(f"with {V_FILES} select logical_path, version_id, event_id, size_bytes, tombstone from latest")
+def stream_latest_state(spark: SparkSession, d: str) -> DataFrame:
+    """events as a stream in no order and many batches; the state of each path is its latest version."""
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    shuffled = _as_files(read(spark, d, "events")).repartition(6, F.xxhash64("event_id"))
+    shuffled.write.parquet(f"{where}/in")
+    stream = spark.readStream.schema(shuffled.schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/in")
+    held = spark.conf.get(latest.PROVIDER[0])
+    spark.conf.set(*latest.PROVIDER)
+    try:
+        ingest.append_stream(latest.latest_stream(stream), f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(latest.PROVIDER[0], held)
+    return latest.last_updates(spark.read.parquet(f"{where}/out")).select(*KEYS, "size_bytes", "tombstone")
+
+
 def _as_files(batch: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     path = F.concat(F.col("event_type"), F.lit("/user-"), F.col("user_id").cast("string"), F.lit(".md"))

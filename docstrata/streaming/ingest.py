@@ -1,7 +1,8 @@
 """Continuous ingest and refresh with Structured Streaming.
 
-Versions are only appended.  A batch writes one folder named by its id, over whatever a failed try left there, so a
-replayed batch replaces itself; readers see a path's latest version whatever the order of arrival.
+A batch of a stream is one piece of work of the store, with a key of the stream's name and the batch's number: a batch that
+is replayed after a failure finds its key in the log and changes nothing, and a stream on an existing store goes on
+behind what is there.
 """
 
 from __future__ import annotations
@@ -12,19 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import Settings, ingest_batch, refreshed
+from ..operators.ingest import Settings, ingest_batch, refresh
 from ..operators.store import current
-from ..sources.scan import parse_log
+
+
+def _started(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool, every: str) -> StreamingQuery:
+    out = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 
 def append_stream(rows: DataFrame, store: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d, once: bool = True, every: str = "60 seconds") -> StreamingQuery:
-    """Appends a stream of version rows to the Parquet store, a batch at a time."""
+    """Appends a stream of version rows to a Parquet table, a folder a batch; a replayed batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
-    out = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
+    return _started(rows, write, checkpoint, once, every)
 
 
 def stored(spark: SparkSession, store: str) -> DataFrame:
@@ -35,30 +39,23 @@ def current_from(spark: SparkSession, store: str) -> DataFrame:
     return current(stored(spark, store).drop("batch"))
 
 
-def ingest_stream(entries: DataFrame, where: str, checkpoint: str, version: Callable[[int], Column], settings: Settings = Settings(), once: bool = True, every: str = "60 seconds") -> StreamingQuery:  # noqa: B008
-    """A stream of entries through the write path: a batch is a commit of the store."""
+def ingest_stream(entries: DataFrame, where: str, checkpoint: str, version: Callable[[int], Column], settings: Settings = Settings(), name: str | None = None, once: bool = True, every: str = "60 seconds") -> StreamingQuery:  # noqa: B008
+    """A stream of entries through the write path.  name tells this stream's batches from others' (by default, its
+    checkpoint)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch.sparkSession, where, batch_id, batch, version(batch_id), settings)
+        ingest_batch(batch.sparkSession, where, f"{name or checkpoint}#{batch_id}", batch, version(batch_id), settings)
 
-    out = entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
+    return _started(entries, write, checkpoint, once, every)
 
 
-def refresh_stream(ticks: DataFrame, files: Callable[[SparkSession], DataFrame], live: Callable[[SparkSession], DataFrame], log: str, checkpoint: str, once: bool = True, every: str = "60 seconds") -> StreamingQuery:
-    """A refresh log appended at each tick (a stream with a ``now``, such as the rate source's timestamp): the due rows of
-    the store against the live sources.  A tick without rows writes nothing."""
+def refresh_stream(ticks: DataFrame, where: str, live: Callable[[DataFrame], DataFrame], checkpoint: str, settings: Settings = Settings(), name: str | None = None, once: bool = True, every: str = "60 seconds") -> StreamingQuery:  # noqa: B008
+    """A refresh of the store's due rows at each tick (a stream with a ``now``, such as the rate source's timestamp): statuses
+    and new versions in one commit.  A batch without a tick does nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         now = batch.agg(F.max("now").alias("now")).first()["now"]
         if now is not None:
-            refreshed(files(spark), live(spark), F.lit(now).cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-
-    out = ticks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
-
+            refresh(batch.sparkSession, where, f"{name or checkpoint}#{batch_id}", live, F.lit(now).cast("timestamp_ntz"), settings)
 
-def follow_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Log records as they come; a rolled file is just another file, and a line that is not JSON keeps its raw text."""
-    return parse_log(spark.readStream.text(folder).withColumn("file", F.input_file_name()))
+    return _started(ticks, write, checkpoint, once, every)

@@ -3,8 +3,11 @@
 import datetime as dt
 import functools
 import random
+import re
 import shutil
+import tracemalloc
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,10 +15,12 @@ from docstrata.functions import globs
 from docstrata.functions import text as T
 from docstrata.operators import chunks as C
 from docstrata.operators import convert as V
-from docstrata.operators import ingest
+from docstrata.operators import index, ingest, snapshots
 from docstrata.operators import retrieval as R
 from docstrata.operators import store as S
-from docstrata.sources import scan
+from docstrata.operators.html import markdown
+from docstrata.sources import contract, scan
+from docstrata.streaming import follow, latest
 from docstrata.streaming import ingest as streams
 
 T0 = dt.datetime(2024, 1, 1)
@@ -47,26 +52,36 @@ def test_paths_and_sizes(one):
 
 
 def test_descriptions(one):
+    """A title of 5 to 200 characters within 40 lines that say something, and what is left; else heading and start, or a size."""
     title = lambda mime, text: one(T.title_description(*lit(mime, text)))[0]
-    assert title("application/json", '# Config schema\n\n{"a": 1}') == 'Config schema — {"a": 1}' and title("text/markdown", "# Project Plan ##\n\nbody text") == "Project Plan — body text"
-    assert title("text/markdown", "intro\n\n# Late one\nrest") == "Late one — intro rest" and title("text/plain", "# Only a title") == "Only a title"
-    none = [("text/markdown", "plain"), ("application/pdf", "# A title\nb"), ("text/markdown", "# hi\nb"), ("text/markdown", "# " + "x" * 250), ("text/markdown", "## Subhead\nb"), ("text/markdown", "\n".join(f"l{i}" for i in range(45)) + "\n# Late title")]
-    assert one(*[T.title_description(*lit(*x)) for x in none]) == [None] * len(none)
-    texts = [("text/markdown", "\n## H\nbody  text\n"), ("text/plain", "  just\ntext "), ("text/plain", " "), ("image/png", "abc")]
-    assert one(*[T.fallback_description(*lit("a/b.md", *x)) for x in texts]) == ["H — ## H body text", "just text", "a/b.md (text/plain)", "image/png · 3 chars"]
+    filler = lambda n: "\n\n".join(f"verse {i}" for i in range(n))
+    assert title("text/markdown", "# Tide tables\n\nHigh water\tat  noon.") == "Tide tables — High water at noon."
+    assert title("application/yaml", "#   Harbour rules  ###\nmoor: north") == "Harbour rules — moor: north"
+    assert title("text/markdown", filler(39) + "\n# Lantern\nend").startswith("Lantern — verse 0 verse 1") and title("text/markdown", filler(40) + "\n# Lantern\nend") is None
+    assert title("text/plain", "# Gulls") == "Gulls" and title("text/plain", "# Gull\nfly") is None and title("text/plain", "# " + "g" * 200) == "g" * 200 and title("text/plain", "# " + "g" * 201) is None
+    assert title("image/png", "# Gulls over sand") is None and title("text/markdown", "### Gulls over sand") is None and title("text/markdown", "no heading at all") is None
+    fallback = lambda mime, text: one(T.fallback_description(*lit("shore/log.txt", mime, text)))[0]
+    assert fallback("text/markdown", "wind\n\n## Swell \nrising") == "Swell — wind ## Swell rising" and fallback("application/json", ' {"sea":\n 1} ') == '{"sea": 1}'
+    assert fallback("text/csv", "\n \n") == "shore/log.txt (text/csv)" and fallback("audio/ogg", "12345") == "audio/ogg · 5 chars" and len(fallback("text/plain", "n" * 999)) == 200
 
 
 def test_snippets(one):
+    """300 characters from the start, or from a word about 100 before the first term that is found behind that."""
+
     def snippet(text, *terms):
         return one(T.make_snippet(F.lit(text), F.array(*lit(*terms)) if terms else F.array().cast("array<string>")))[0]
 
-    assert snippet("a" * 500) == "a" * 300 + "…" and snippet("tiny chunk") == "tiny chunk" and snippet("plain content here", "zzz") == "plain content here"
-    deep = snippet("x " * 300 + "TARGET word" + " y" * 300, "target")
-    assert "TARGET" in deep and deep[0] == deep[-1] == "…" and deep[1] == "x" and len(deep) == 302
-    assert not snippet("needle early" + " filler" * 100, "needle").startswith("…") and snippet(" " * 120 + "needle ", "needle") == "…" + " " * 99 + "needle "
+    sea = "".join(f"wave{i:04d} " for i in range(200))  # nine characters each
+    assert snippet(sea) == snippet(sea, "absent") == sea[:300] + "…" and snippet("calm") == "calm" and snippet(sea, "WAVE0003") == sea[:300] + "…"
+    begin = sea.index("wave0100") - 100
+    begin = sea.index(" ", begin - 1) + 1
+    assert snippet(sea, "absent", "Wave0100", "wave0150") == "…" + sea[begin : begin + 300] + "…"
+    assert snippet(sea, "wave0199") == "…" + sea[sea.index(" ", sea.index("wave0199") - 101) + 1 :]
+    dense = "~" * 150 + "buoy" + "~" * 10
+    assert snippet(dense, "buoy") == "…" + dense[50:]
     terms = lambda t: one(T.snippet_terms(F.lit(t)))[0]
-    assert terms("How does the OAuth flow work for the API") == ["oauth", "flow", "work", "api"] and terms("pool_mode=transaction error") == ["pool_mode", "transaction", "error"]
-    assert len(terms(" ".join(f"term{i}" for i in range(20)))) == 10
+    assert terms("Why are the Lighthouse_keepers at sea, and AT Sea again") == ["lighthouse_keepers", "sea", "again"] and terms("to be or: ?") == []
+    assert terms(" ".join(f"knot{i}" for i in range(30))) == [f"knot{i}" for i in range(10)]
 
 
 SPELLINGS = [
@@ -81,32 +96,37 @@ def test_filter_spellings(one):
 
 def test_reading_of_markdown(spark):
     heads = lambda t: [own for _, own, _ in C.sections(t)]
-    assert heads("   # in\n    # not\n#not\n# #\n####### no\n## two ##") == ["in", "#", "two"]
-    assert heads("````\n```\n# no\n````\n# yes") == ["", "yes"] and heads("~~~\n```\n# no\n~~~\n# yes") == ["", "yes"] and heads("```js\n# no\n``` x\n# no\n```\n# yes") == ["", "yes"]
-    md = "# Title\n\nintro\n\n## Setup\n\nt\n\n### Linux\n\nt\n\n## Usage\n\nt"
-    assert [(above, own) for above, own, _ in C.sections(md)] == [([], "Title"), (["Title"], "Setup"), (["Title", "Setup"], "Linux"), (["Title"], "Usage")]
-    flags = C.has_headings(spark.createDataFrame([("a", "# yes\nbody"), ("b", "```\n# no\n```"), ("c", None)], "logical_path string, content string")).collect()
-    assert {r.logical_path: r.has_headings for r in flags} == {"a": True, "b": False, "c": False}
-    lines = C.section_lines(spark.createDataFrame([("p", "x\n# A\n```\n# no\n```\n# B")], "logical_path string, content string")).orderBy("line_no").collect()
-    assert [(r.in_fence, r.section) for r in lines] == [(False, 0), (False, 1), (True, 1), (True, 1), (True, 1), (False, 2)]
+    assert heads("pre\n  ### Oak ###\n     # deep\n#Elm\n######  Ash\n####### Fir\n# ##") == ["", "Oak", "Ash", "#"]
+    fences = [("```", "````", True), ("~~~~", "~~~", False), ("```py", "~~~", False), ("   ```", "```  ", True), ("```", "``` end", False)]
+    for opened, closed, ends in fences:  # a fence ends with as many of its own marks, and nothing else
+        assert heads(f"# Oak\n{opened}\n# Elm\n{closed}\n# Ash") == (["Oak", "Ash"] if ends else ["Oak"])
+    grove = "## Oak\na\n#### Acorn\nb\n### Leaf\nc\n## Elm\nd\n# Wood\ne\n### Bark"
+    assert [(above, own) for above, own, _ in C.sections(grove)] == [([], "Oak"), (["Oak"], "Acorn"), (["Oak"], "Leaf"), ([], "Elm"), ([], "Wood"), (["Wood"], "Bark")]
+    assert "\n".join(body for _, _, body in C.sections(grove)) == grove
+    rows = spark.createDataFrame([("a", "bark\n## Oak"), ("b", "~~~\n## Oak"), ("c", None), ("d", "")], "logical_path string, content string")
+    assert {r.logical_path: r.has_headings for r in C.has_headings(rows).collect()} == {"a": True, "b": False, "c": False, "d": False}
+    lines = C.section_lines(spark.createDataFrame([("p", "## Oak\n~~~\n## Elm\n~~~\nsap\n# Ash")], "logical_path string, content string")).orderBy("line_no").collect()
+    assert [(r.in_fence, r.section) for r in lines] == [(False, 1), (True, 1), (True, 1), (True, 1), (False, 1), (False, 2)]
 
 
 def test_packing():
-    part = lambda title, body: f"## {title}\n\n{body}\n"
-    small = f"# Guide\n\nintro {'i' * 200}\n\n{part('One', 'a' * 50)}\n{part('Two', 'b' * 50)}"
-    assert C.chunk(small, C.Config(4000, 15000)) == [(small, "")]
-    big = f"# Guide\n\n{part('One', 'x' * 900)}\n{part('Two', 'x' * 900)}\n{part('Three', 'x' * 900)}"
-    out = C.chunk(big, C.Config(1000, 1500))
-    assert len(out) > 1 and all(x == "Guide" for _, x in out[1:]) and "## Two" in "\n".join(c for c, _ in out)
-    out = C.chunk("# Doc\n\n## Big Section\n\n" + "\n".join(f"line {i} {'z' * 40}" for i in range(40)), C.Config(600, 800))
-    i = next(i for i, (c, _) in enumerate(out) if "## Big Section" in c)
-    assert len(out) > 2 and out[i][1] == "Doc" and all(x == "Doc > Big Section" for _, x in out[i + 1 :]) and out[i + 1][0].startswith("\n".join(out[i][0].split("\n")[-2:]))
-    fence = "```js\nconst x = 1;\nconst y = 2;\n```"
-    out = C.chunk(f"# Doc\n\n## A\n\n{'a' * 500}\n\n## B\n\n{fence}\n\n## C\n\n{'c' * 500}", C.Config(600, 1000))
-    assert [c.count("```") for c, _ in out if "```" in c] == [2]
-    assert all(x == "" and len(c) <= 600 for c, x in C.chunk(big, C.Config(400, 600, by_heading=False)))
-    assert C.split_text("a" * 8 + "\n\n" + "b" * 25 + "\n\n" + "c", 10) == ["a" * 8, "b" * 10, "b" * 10, "b" * 5, "c"]  # the tail of a long paragraph stands alone
-    assert C.split_text("aa\n\nbb\n\ncc", 6) == ["aa\n\nbb", "cc"]
+    """Sections are packed up to the target; a longer one is split, and its later pieces say whose they are."""
+    page = lambda n: "\n".join(["# Herbal", *(f"## Herb {i}\n" + f"leaf {i} " * 12 for i in range(n))])
+    assert C.chunk(page(1), C.Config()) == [(page(1), "")]  # short enough for one chunk
+    out = C.chunk(page(30), C.Config(target=500, longest=700))
+    assert "\n".join(c for c, _ in out) == page(30) and all(len(c) <= 500 for c, _ in out) and [x for _, x in out] == [""] + ["Herbal"] * (len(out) - 1)
+    fits = [len(a) + 1 + len(b.split("\n## ")[0]) for (a, _), (b, _) in zip(out, out[1:])]
+    assert all(n > 500 for n in fits)  # no chunk could have taken the next section, too
+    tall = "# Herbal\n## Mint\n" + "\n".join(f"row {i:03d} " + "m" * 30 for i in range(60)) + "\n## Sage\nshort"
+    out = C.chunk(tall, C.Config(target=400, longest=600, overlap_lines=1))
+    mint = [c for c, x in out if x == "Herbal > Mint"]
+    assert len(mint) > 3 and all(b.split("\n")[0] == a.split("\n")[-1] for a, b in zip(mint, mint[1:])) and out[-1] == ("## Sage\nshort", "Herbal")
+    code = "# Herbal\n\n" + "t" * 300 + "\n\n## Still\n```\n# not a herb\n```\n" + "s" * 250
+    assert [c.count("```") for c, _ in C.chunk(code, C.Config(target=330, longest=500)) if "```" in c] == [2]
+    flat = C.chunk(page(30), C.Config(target=300, longest=400, by_heading=False, overlap_lines=0))
+    assert {x for _, x in flat} == {""} and max(len(c) for c, _ in flat) <= 300
+    assert C.split_text("st\nst\n\n" + "o" * 9 + "\n\np\n\nq", 5) == ["st\nst", "o" * 5, "o" * 4, "p\n\nq"]  # a part that is too long stands alone
+    assert C.split_text("one\ntwo\nthree", 8) == ["one\ntwo", "three"] and C.split_text("abcdefg", 3) == ["abc", "def", "g"]
 
 
 def brute_diff(a, b):
@@ -135,8 +155,8 @@ def brute_diff(a, b):
 def test_diff(spark):
     assert S.line_diff("a\nb\nc", "a\nx\nc") == [" a", "-b", "+x", " c"] and S.line_diff(None, "a") == ["-", "+a"]
     rng = random.Random(3)
-    for _ in range(300):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, 9))] for _ in range(2))
+    for n in [9] * 300 + [60] * 20:
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, n))] for _ in range(2))
         assert S.line_diff("\n".join(a), "\n".join(b)) == brute_diff(a, b)
     rows = spark.createDataFrame([("p", at(0), False, "x\ny"), ("p", at(10), False, "x\nz"), ("p", at(20), False, "z")], VERSIONS + ", content string")
     got = [r.diff for r in S.diff_versions(rows).orderBy("from_version").collect()]
@@ -145,6 +165,18 @@ def test_diff(spark):
     assert S.diff_with_current(rows, wanted).first().diff.split("\n")[2:] == ["-x", "-y", "+z"]
 
 
+def test_diff_of_long_texts():
+    """Memory grows with the lines of one text and the root of the other's."""
+    rng = random.Random(8)
+    a = [str(rng.randrange(50)) for _ in range(6000)]
+    b = [x if rng.random() < 0.9 else "new" for x in a[100:]]
+    tracemalloc.start()
+    out = S.line_diff("\n".join(a), "\n".join(b))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6 and [s[1:] for s in out if s[0] != "+"] == a and [s[1:] for s in out if s[0] != "-"] == b
+
+
 def test_tree_and_counts(spark):
     paths = lambda *x: spark.createDataFrame([(p,) for p in x], "logical_path string")
     assert sorted((r.node, r.is_file, r.files) for r in S.path_tree(paths("a/b/c/d", "a/b", "x"), 2).collect()) == [("a", False, 2), ("a/b", True, 2), ("x", True, 1)]
@@ -154,12 +186,78 @@ def test_tree_and_counts(spark):
     assert {r.m: r.n for r in S.top_and_other(rows, "m", 2).collect()} == {"a": 3, "(null)": 2, "(other)": 2}
 
 
+HTML = [
+    ("<h1>Ice &amp; snow</h1><p>One <b>bold</b> and <em>soft</em><br>line.</p>", "# Ice & snow\n\nOne **bold** and _soft_  \nline."),
+    ("<ol start=3><li>three<li>four<ul><li>deep</ul></ol>", "3.  three\n4.  four\n    -   deep"),
+    ("<ul><li><p>a</p><p>b</p></li><li></li><li>c</li></ul>", "-   a\n\n    b\n-\n-   c"),
+    ("<blockquote><p>said</p><blockquote>twice</blockquote></blockquote>after", "> said\n> \n> > twice\n\nafter"),
+    ("<table><tr><th>k<th>v</tr><tr><td>a|b<td><p>1</p><p>2</p></table>", "| k | v |\n| --- | --- |\n| a\\|b | 1 2 |"),
+    ("<table><tbody><tr><td>x</td></tr><tr><td>y</td><td>z</td></tr></tbody></table>", "| x |  |\n| --- | --- |\n| y | z |"),
+    ("<h2><a href='/p(1)' title='t &quot;q&quot;'>Link</a></h2><hr><img src=i.png alt='an  [x]'>", '## [Link](/p\\(1\\) "t \\"q\\"")\n\n* * *\n\n![an x](i.png)'),
+    ("<pre><code class='language-py'>a  *b*\n\n  # c &lt;</code></pre>", "```py\na  *b*\n\n  # c <\n```"),
+    ("<pre>```\nx</pre><p>use <code>a`b</code> and <code>`</code></p>", "````\n```\nx\n````\n\nuse ``a`b`` and `` ` ``"),
+    ("<p># no * heading_1</p><p>1. not</p><p>- dash</p><p>> q</p><p>+ p [x]</p><p>a - b</p>", "\\# no \\* heading\\_1\n\n1\\. not\n\n\\- dash\n\n\\> q\n\n\\+ p \\[x\\]\n\na - b"),
+    ("<p>“curly” – it’s</p>", "“curly” – it’s"),
+    ("<script>x</script><title>t</title><style>s</style>body<noscript>n</noscript>", "body"),
+    ("<p><b>open<br><p>next</b> end</div></p><b></b><i> </i>!", "**open**\n\nnext end\n\n!"),
+    ("<div>a<div>b<span> c </span>d</div>e</div>", "a\n\nb c d\n\ne"),
+    ("<li>alone</li><td>cell", "alone\n\ncell"),
+    ("<a href='x'></a><a>plain</a> <a href=' u v '>w</a>", "plain [w](uv)"),
+    ("", ""), ("<p>  </p>", ""), ("a < b & c", "a < b & c"),
+]
+
+
+@pytest.mark.parametrize(("html", "want"), HTML)
+def test_html(html, want):
+    assert markdown(html)[0] == want
+
+
+def test_html_loses_no_text():
+    """Whatever is open or closed, each word of a text is there, in order."""
+    rng = random.Random(5)
+    tags = ["p", "div", "b", "a href=x", "ul", "ol", "li", "table", "tr", "td", "th", "h2", "blockquote", "pre", "code", "em", "dl", "dt", "dd", "br", "hr"]
+    for _ in range(400):
+        n, out = 0, ""
+        for _ in range(rng.randrange(25)):
+            tag = rng.choice(tags)
+            out += rng.choice([f"<{tag}>", f"</{tag.split()[0]}>"])
+            if rng.random() < 0.7:
+                out += f" w{n} "
+                n += 1
+        got = re.findall(r"w\d+", markdown(out)[0])
+        assert sorted(got) == sorted(f"w{i}" for i in range(n)), out
+
+
 def test_images(spark):
-    html = "<p>a <img alt='x' src=\"data:image/png;base64,QU JD\"> b <img src='data:image/gif;base64,REVG'> <img src='u.png'></p>"
-    pages = spark.createDataFrame([("p", html), ("q", "none")], "logical_path string, content string")
-    assert [(r.image_no, r.mime_type, bytes(r.bytes), r.captioned) for r in V.image_table(pages, 1).orderBy("image_no").collect()] == [(1, "image/png", b"ABC", True), (2, "image/gif", b"DEF", False)]
-    got = {r.logical_path: r.content for r in V.captioned(pages, lambda data, mime: F.concat(F.lit("seen "), F.octet_length(data).cast("string")), 1).collect()}
-    assert got["q"] == "none" and "<!-- image: x -->\n\nseen 3\n\n" in got["p"] and "<!-- image -->\n\n(image, image/gif, 3 bytes — caption skipped" in got["p"] and "<img src='u.png'>" in got["p"] and "base64" not in got["p"]
+    html = "<p>a <img alt='x' src=\"data:image/png;base64,QU JD\"> b <IMG SRC='data:image/gif;base64,REVG'>\n<img src='u.png'><img src=data:image/png;base64,QUJD alt='x'><img src='data:text/plain,no'></p>"
+    pages = spark.createDataFrame([("p", html), ("q", "none"), ("r", "<img src='data:image/png;base64,QUJD'><img alt='own' src='embedded-image:7'>"), ("n", None)], "logical_path string, content string")
+    assert [(r.logical_path, r.image_no, r.mime_type, bytes(r.bytes), r.captioned) for r in V.image_table(pages, 1).orderBy("logical_path", "image_no").collect()] == [
+        ("p", 1, "image/png", b"ABC", True), ("p", 2, "image/gif", b"DEF", False), ("p", 3, "image/png", b"ABC", False), ("r", 1, "image/png", b"ABC", True)]
+    parts = lambda text: [x.strip() for x in text.split("\n\n")]
+    plain = {r.logical_path: r.m for r in pages.select("logical_path", V.html_to_markdown(F.col("content")).alias("m")).collect()}
+    assert plain["n"] is None and plain["q"] == "none" and parts(plain["p"]) == ["a", "<!-- image: x -->", "(image, image/png, 3 bytes)", "b", "<!-- image -->", "(image, image/gif, 3 bytes)", "![](u.png)", "<!-- image: x -->", "(image, image/png, 3 bytes)"]
+    rows = pages.select("logical_path", F.lit("text/html").alias("mime_type"), F.encode("content", "UTF-8").alias("bytes"))
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def seen(data: pd.Series, mime: pd.Series) -> pd.Series:
+        calls.add(len(data))
+        return pd.Series([None if m == "image/gif" else f"seen {len(d)}" for d, m in zip(data, mime, strict=True)])
+
+    got = {r.logical_path: r.content for r in V.converted(rows, "logical_path", caption=seen, cap=2).collect()}
+    assert calls.value == 2  # each different image once
+    assert got["q"] == "none" and parts(got["p"]) == ["a", "<!-- image: x -->", "seen 3", "b", "<!-- image -->", "(image, image/gif, no caption available)", "![](u.png)", "<!-- image: x -->", "(image, image/png, 3 bytes — caption skipped, exceeded max_inline_image_captions)"]
+    assert parts(got["r"]) == ["<!-- image -->", "seen 3", "<!-- image: own -->", "(image, no caption available)"]
+
+
+def test_hooks_of_the_write_path(spark, tmp_path):
+    """Captions, structured text and descriptions by hooks."""
+    rows = entries(spark, [("a.html", "text/html", "<p>x</p><img src='data:image/png;base64,QUJD'>"), ("b.json", "application/json", '{"k": 1}'), ("c.html", "text/html", "<p>only</p>")])
+    said = lambda text: lambda a, b: F.concat(F.lit(text), F.octet_length(a).cast("string"))
+    settings = ingest.Settings(caption=said("picture of "), structured=lambda t: F.concat(F.lit("```json\n"), t, F.lit("\n```")), model=lambda mime, text: F.concat(F.lit("about "), mime))
+    now = ingest.ingest_batch(spark, str(tmp_path / "s"), "k", rows, ms(0), settings)
+    got = {r.logical_path: (r.content, r.description) for r in now.read("files").collect()}
+    assert got == {"a.html": ("x\n\n<!-- image -->\n\npicture of 3", "about text/html"), "b.json": ('```json\n{"k": 1}\n```', "about application/json"), "c.html": ("only", "about text/html")}
 
 
 USER = "struct<name:string,email:string>"
@@ -205,20 +303,24 @@ def entries(spark, rows):
     return spark.createDataFrame([(p, m, bytearray(t.encode()), "local", p, 0) for p, m, t in rows], "logical_path string, mime_type string, bytes binary, source_type string, source_path string, source_mtime_ms long")
 
 
+def ms(n):
+    return F.lit(at(n)).cast("timestamp_ntz")
+
+
 def test_write_path(spark, tmp_path):
-    """Two batches and a failed one: gate, convert, describe, chunk, search text, vectors, blobs, tombstones, commit."""
-    where, v = str(tmp_path / "store"), lambda ms: F.lit(at(ms)).cast("timestamp_ntz")
+    """Two batches: gate, convert, describe, chunk, search text, vectors, blobs, tombstones, outcomes."""
+    where = str(tmp_path / "store")
     body = "# First file\n\n" + "alpha beta gamma.\n" * 40
-    ingest.ingest_batch(spark, where, 0, entries(spark, [("d/a.md", "text/markdown", body), ("d/b.html", "text/html", "<h1>Second page</h1><p>text</p>"), ("d/c.bin", "application/zip", "zzzz")]), v(0), ingest.Settings(skip_mimes=["application/*"]))
-    ingest.publish(where, 7, {"files": ingest.read_store(spark, where)["files"]})
-    shutil.rmtree(f"{where}/commits/of=7")  # as if it had failed before its commit
-    ingest.ingest_batch(spark, where, 1, entries(spark, [("d/a.md", "text/markdown", body), ("d/b.html", "text/html", "<h1>Second page</h1><p>new</p>")]), v(50), in_scope="d/")
+    ingest.ingest_batch(spark, where, 0, entries(spark, [("d/a.md", "text/markdown", body), ("d/b.html", "text/html", "<h1>Second page</h1><p>text</p>"), ("d/c.bin", "application/zip", "zzzz")]), ms(0), ingest.Settings(skip_mimes=["application/*"]))
+    ingest.ingest_batch(spark, where, 1, entries(spark, [("d/a.md", "text/markdown", body), ("d/b.html", "text/html", "<h1>Second page</h1><p>new</p>")]), ms(50), in_scope="d/")
     store = ingest.read_store(spark, where)
     files = store["files"].orderBy("logical_path", "version_id").collect()
     assert [(r.logical_path, r.version_id, r.tombstone) for r in files] == [("d/a.md", at(0), False), ("d/b.html", at(0), False), ("d/b.html", at(50), False), ("d/c.bin", at(0), False), ("d/c.bin", at(50), True)]
     assert files[0].description.startswith("First file — alpha") and files[1].content == "# Second page\n\ntext" and files[4].change_note == "source gone"
     blobs = [(r.mime_type, r.bytes and bytes(r.bytes)[:5]) for r in store["blobs"].collect()]
     assert sorted(blobs, key=str) == [("application/zip", None), ("text/html", b"<h1>S"), ("text/html", b"<h1>S"), ("text/markdown", b"# Fir")]
+    told = store["outcomes"].filter("key = '1'").collect()
+    assert sorted((r.logical_path, r.version_id, r.status, r.change) for r in told) == [("d/a.md", at(0), "unchanged", None), ("d/b.html", at(50), "ok", "changed")]
     now = S.current_chunks(store["chunks"], store["files"])
     found = now.collect()
     assert {r.logical_path for r in found} == {"d/a.md", "d/b.html"} and all(r.search_text.startswith(r.logical_path + "\n") and len(r.embedding) == 64 for r in found)
@@ -233,25 +335,241 @@ def test_write_path(spark, tmp_path):
         R.search_chunks(store["chunks"], store["files"], queries.withColumn("query", F.lit(" "))).collect()
 
 
+def state(store):
+    return {r.logical_path: r.content for r in S.current(store["files"]).collect()}
+
+
+def test_a_batch_is_taken_once(spark, tmp_path):
+    """A replayed batch, a stream that begins on an existing store, a failed try, and entries of one path."""
+    where = str(tmp_path / "store")
+    take = lambda key, rows, v, **more: ingest.ingest_batch(spark, where, key, entries(spark, [(p, "text/plain", t) for p, t in rows]), ms(v), **more)
+    take("s#0", [("a", "one"), ("b", "two")], 0)
+    take("s#1", [("a", "ONE"), ("c", "three")], 10)
+    again = take("s#1", [("a", "ONE"), ("c", "three")], 10)
+    assert state(ingest.read_store(spark, where)) == {"a": "ONE", "b": "two", "c": "three"} and again.seq == 1
+    take("t#0", [("d", "four")], 20)  # another stream's first batch
+    assert set(state(ingest.read_store(spark, where))) == {"a", "b", "c", "d"} and state(ingest.read_store(spark, where, at=0)) == {"a": "one", "b": "two"}
+    base = snapshots.snapshot(spark, where)
+    base.write("files", base.read("files"))  # a try that failed before its commit
+    assert ingest.read_store(spark, where)["files"].count() == 5
+    doubled = entries(spark, [("e", "text/plain", "x"), ("e", "text/plain", "y"), ("e", "text/plain", "y"), ("f", "text/plain", "z")]).withColumn("source_mtime_ms", F.when(F.col("bytes") == F.lit(b"x"), 9).otherwise(1).cast("long"))
+    ingest.ingest_batch(spark, where, "u", doubled, ms(30))
+    store = ingest.read_store(spark, where)
+    assert state(store)["e"] == "x" and store["files"].filter("logical_path = 'e'").count() == 1 and store["chunks"].filter("logical_path = 'e'").count() == 1
+    assert store["outcomes"].filter("key = 'u' and logical_path = 'e'").first().duplicates == 2
+    with pytest.raises(Exception, match="not later"):
+        take("late", [("a", "older")], 5)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit(base, "other", {})  # its number has been taken meanwhile
+    assert take("same", [("a", "ONE")], 40).read("files").count() == 7 and take("force", [("a", "ONE")], 41, force=True).read("files").count() == 8
+    assert take("plain", [("a", "ONE")], 42, gated=False).read("files").count() == 9
+    done = ingest.write_texts(spark, where, "note", spark.createDataFrame([("n.md", "# Some note\nbody")], "logical_path string, content string"), ms(50))
+    note = done.read("files").filter("logical_path = 'n.md'").first()
+    assert (note.source_type, note.blob_sha256, note.description) == ("inline", None, "Some note — body") and done.read("blobs").filter(F.col("sha256") == note.source_sha256).isEmpty()
+    assert take("empty", [], 60).seq == done.seq + 1
+
+
+def test_failed_entries(spark, tmp_path):
+    rows = [("ok.txt", bytearray(b"fine"), None), ("bad.txt", None, "unreadable"), ("none.txt", None, None), ("odd.txt", bytearray(b"a\xffb"), None)]
+    df = spark.createDataFrame([(p, "text/plain", b, p, "local", 0, e) for p, b, e in rows], "logical_path string, mime_type string, bytes binary, source_path string, source_type string, source_mtime_ms long, error string")
+    store = ingest.ingest_batch(spark, str(tmp_path / "s"), "k", df, ms(0))
+    assert {r.logical_path: (r.status, r.error) for r in store.read("outcomes").collect()} == {"ok.txt": ("ok", None), "bad.txt": ("failed", "unreadable"), "none.txt": ("failed", "no bytes"), "odd.txt": ("ok", None)}
+    assert {r.logical_path: r.content for r in store.read("files").collect()} == {"ok.txt": "fine", "odd.txt": "a\ufffdb"}
+    assert tuple(S.outcomes(store.read("outcomes")).first()) == (2, 0, 2)
+
+
+def test_refresh(spark, tmp_path):
+    """Ticks: what is due is read again, changed sources get versions, and nothing is due again before its time."""
+    where, hour = str(tmp_path / "store"), 3_600_000
+    rows = entries(spark, [(p, "text/plain", p) for p in ("same", "new", "gone", "down")]).withColumn("refresh_frequency_sec", F.lit(3600))
+    ingest.ingest_batch(spark, where, "in", rows, ms(0))
+    ingest.write_texts(spark, where, "note", spark.createDataFrame([("note", "text")], "logical_path string, content string"), ms(1), ingest.Settings(refresh_frequency_sec=3600))
+    ingest.ingest_batch(spark, where, "never", entries(spark, [("never", "text/plain", "x")]), ms(2))
+    asked = []
+
+    def live(due):
+        asked.append({r.logical_path for r in due.collect()})
+        found = [("same", bytearray(b"same"), None), ("new", bytearray(b"NEW"), None), ("down", None, "timeout"), ("never", bytearray(b"changed"), None)]
+        return spark.createDataFrame([(p, b, None, 7, e) for p, b, e in found], "logical_path string, bytes binary, mime_type string, source_mtime_ms long, error string")
+
+    now = ingest.refresh(spark, where, "t0", live, ms(hour // 2))
+    assert asked[-1] == set() and now.read("refreshes").isEmpty()
+    now = ingest.refresh(spark, where, "t1", live, ms(2 * hour))
+    assert asked[-1] == {"same", "new", "gone", "down", "note"}
+    status = {r.logical_path: (r.last_refresh_status, r.refreshed_at) for r in S.current(ingest.with_status(now)).collect()}
+    t1 = at(2 * hour)
+    assert status == {"same": ("unchanged", t1), "new": ("ok", t1), "gone": ("failed:source gone", t1), "down": ("failed:timeout", t1), "note": ("unchanged", t1), "never": ("ok", at(2))}
+    assert ingest.due(now, ms(2 * hour + 5)).isEmpty() and state({"files": now.read("files")})["new"] == "NEW" and now.read("files").filter("logical_path = 'new'").count() == 2
+    assert ingest.refresh(spark, where, "t1", live, ms(9 * hour)).seq == now.seq and len(asked) == 2  # the tick has been done
+    after = ingest.refresh(spark, where, "t2", live, ms(4 * hour))
+    assert {r.logical_path for r in ingest.due(after, ms(6 * hour)).collect()} == {"same", "new", "gone", "down", "note"} and after.read("files").count() == now.read("files").count()
+    forced = ingest.refresh(spark, where, "t3", live, ms(6 * hour), force=True)
+    assert forced.read("files").filter("logical_path = 'same'").count() == 2
+
+
+def test_upkeep(spark, tmp_path):
+    """Prune, strip, collect, reindex, move, remove and compact, with the index as if built anew after each."""
+    where = str(tmp_path / "store")
+    take = lambda key, rows, v: ingest.ingest_batch(spark, where, key, entries(spark, [(p, "text/plain", t) for p, t in rows]), ms(v))
+    take("0", [("a", "red red fox"), ("b", "blue jay"), ("c", "red kite " * 60)], 0)
+    old = take("1", [("a", "grey fox"), ("d", "red deer")], 10)
+
+    def searched(now):
+        queries = spark.createDataFrame([(1, "red fox"), (2, "blue deer kite"), (3, "none")], "query_id int, query string")
+        chunks = S.current_chunks(now.read("chunks"), now.read("files")).withColumn("key", F.struct(*index.CHUNK))
+        fresh = R.bm25(chunks.select("key", F.col("search_text").alias("text")), queries).select("query_id", "key.*", "score", "rank")
+        got = sorted(tuple(r) for r in index.search(now, queries).collect())
+        assert got and got == sorted(tuple(r) for r in fresh.collect())
+        return got
+
+    assert {r[1] for r in searched(old) if r[0] == 1} == {"a", "c", "d"}
+    now = ingest.prune(spark, where, "prune", ms(5))
+    assert sorted((r.logical_path, r.version_id) for r in now.read("files").collect()) == [("a", at(10)), ("b", at(0)), ("c", at(0)), ("d", at(10))]
+    assert now.read("chunks").filter("logical_path = 'a'").count() == 1 and now.read("blobs").count() == 4 and searched(now)
+    assert old.read("files").count() == 5 and old.read("blobs").count() == 5  # the older snapshot still has all
+    assert len(now.parts["files"]) == 2 and now.parts["files"][0] in old.parts["files"]  # the part without old versions stays
+    now = ingest.strip_blobs(spark, where, "strip", 100)
+    assert {r.size_bytes: r.bytes is None for r in now.read("blobs").collect()}[540]
+    assert ingest.strip_blobs(spark, where, "strip again", 100).parts == now.parts
+    now = ingest.move(spark, where, "move", spark.createDataFrame([("b", "z/b")], "old_path string, new_path string"), ms(20))
+    assert {r.logical_path for r in S.current(now.read("files")).collect()} == {"a", "c", "d", "z/b"} and any(r[1] == "z/b" for r in searched(now))
+    now = ingest.remove(spark, where, "rm", spark.createDataFrame([("c",)], "logical_path string"), ms(30))
+    assert {r[1] for r in searched(now)} == {"a", "d", "z/b"}
+    now = ingest.reindex(spark, where, "reindex", "r2", ingest.Settings(chunks=C.Config(target=40, longest=50)))
+    assert now.revision == "r2" and now.read("chunks").filter("logical_path = 'c'").count() > 5 and searched(now)
+    take("2", [("e", "red fox blue deer")], 40)
+    before = snapshots.snapshot(spark, where)
+    now = ingest.compact(spark, where, "compact")
+    assert all(len(p) == 1 for p in now.parts.values()) and now.revision == "r2" and searched(now) == searched(before) and now.read("postings").filter("sign < 0").isEmpty()
+    assert ingest.collect_blobs(spark, where, "collect").read("blobs").count() == now.read("blobs").count()
+    assert snapshots.vacuum(spark, where, now.seq) > 5 and searched(snapshots.snapshot(spark, where)) == searched(now)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        old.read("files").collect()
+
+
 def test_streams(spark, tmp_path):
     source, where = str(tmp_path / "in"), str(tmp_path / "store")
     for k, text in enumerate(("one", "two")):
-        entries(spark, [("p.txt", "text/plain", text), (f"q{k}.txt", "text/plain", "same")]).coalesce(1).write.mode("append").parquet(source)
+        rows = entries(spark, [("p.txt", "text/plain", text), (f"q{k}.txt", "text/plain", "same")]).withColumn("refresh_frequency_sec", F.lit(60))
+        rows.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    streams.ingest_stream(stream, where, str(tmp_path / "c1"), lambda b: F.lit(at(b)).cast("timestamp_ntz")).awaitTermination()
+    run = lambda: streams.ingest_stream(stream, where, str(tmp_path / "c1"), lambda b: ms(b)).awaitTermination()
+    run()
     store = ingest.read_store(spark, where)
     assert store["files"].filter("logical_path = 'p.txt'").count() == 2 and S.current(store["files"]).count() == 3
-    due = store["files"].withColumn("refresh_frequency_sec", F.lit(60))
-    live = spark.createDataFrame([("p.txt", "x", None), ("q0.txt", None, "down")], "logical_path string, source_sha256 string, error string")
+    shutil.rmtree(tmp_path / "c1" / "commits")  # as if the query had stopped between the store's commit and its own
+    run()
+    assert ingest.read_store(spark, where)["files"].count() == 4
+    live = lambda due: spark.createDataFrame([("p.txt", bytearray(b"three"), None, 1, None), ("q0.txt", None, None, 1, "down")], "logical_path string, bytes binary, mime_type string, source_mtime_ms long, error string")
     spark.createDataFrame([(at(10_000_000),)], "now timestamp_ntz").write.parquet(str(tmp_path / "ticks"))
     ticks = spark.readStream.schema("now timestamp_ntz").parquet(str(tmp_path / "ticks"))
-    streams.refresh_stream(ticks, lambda s: due, lambda s: live, str(tmp_path / "log"), str(tmp_path / "c2")).awaitTermination()
-    assert {r.logical_path: r.status for r in spark.read.parquet(str(tmp_path / "log")).collect()} == {"p.txt": "ok", "q0.txt": "failed:down", "q1.txt": "failed:source gone"}
-    (tmp_path / "logs").mkdir()
-    (tmp_path / "logs" / "a.jsonl").write_text('{"tool": "x"}\nnot json\n')
-    records = streams.follow_log(spark, str(tmp_path / "logs"))
-    assert records.isStreaming and "record" in records.columns
-    assert [(r.line_no, r.raw) for r in scan.last_records(scan.audit_log(spark, str(tmp_path / "logs")), 1).collect()] == [(1, "not json")]
+    streams.refresh_stream(ticks, where, live, str(tmp_path / "c2")).awaitTermination()
+    now = snapshots.snapshot(spark, where)
+    assert {r.logical_path: r.status for r in now.read("refreshes").collect()} == {"p.txt": "ok", "q0.txt": "failed:down", "q1.txt": "failed:source gone"}
+    assert state({"files": now.read("files")})["p.txt"] == "three" and ingest.due(now, ms(10_000_001)).isEmpty()
+
+
+def test_log_follow(spark, tmp_path):
+    """Lines that are appended, rotated away and written anew, over restarts: each once."""
+    logs, out = tmp_path / "logs", str(tmp_path / "out")
+    logs.mkdir()
+    live, told = logs / "app.log", []
+
+    def say(n, end="\n"):
+        for i in range(n):
+            told.append(f"line {len(told)}")
+            with live.open("a") as f:
+                f.write(f'{{"msg": "{told[-1]}"}}' + ("\n" if i + 1 < n else end))
+
+    def read():
+        rows = follow.follow_log(spark, f"{logs}/app.log*")
+        q = rows.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        return sorted(r.msg for r in spark.read.parquet(out).select("record.msg").collect())
+
+    say(3)
+    assert read() == sorted(told)
+    say(2, end="")  # the last line is not complete
+    assert read() == sorted(told[:-1])
+    with live.open("a") as f:
+        f.write("\n")
+    live.rename(logs / "app.log.1")
+    say(4)
+    assert read() == sorted(told)
+    (logs / "app.log.1").rename(logs / "app.log.2")
+    live.rename(logs / "app.log.1")
+    with (logs / "app.log.1").open("a") as f:
+        f.write('{"msg": "late"}\n')
+    say(1)
+    assert read() == sorted([*told, "late"]) == read()
+
+
+def test_log_ranges(tmp_path, monkeypatch):
+    """Each line is in one range, wherever the ranges begin."""
+    path = tmp_path / "x.log"
+    lines = ["", "é" * 9, "b", "", "c" * 40, "d"]
+    path.write_text("\n".join(lines) + "\nopen")
+    for size in range(1, 70, 3):
+        monkeypatch.setattr(follow, "SPLIT", size)
+        monkeypatch.setattr(follow, "TAIL", size)
+        reader = follow._Reader(str(path))
+        got = [row for p in reader.partitions({}, reader.latestOffset()) for row in reader.read(p)]
+        assert [r[3] for r in got] == lines and [r[2] for r in got] == [len("\n".join([*lines[:i], ""]).encode()) for i in range(len(lines))]
+
+
+def test_audit_log(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"tool": "x"}\nnot json\n')
+    assert [(r.line_no, r.raw) for r in scan.last_records(scan.audit_log(spark, str(tmp_path)), 1).collect()] == [(1, "not json")]
+
+
+def test_latest_state(spark, tmp_path):
+    """Versions in any order, late and repeated ones included, and a restart."""
+    rows = [("a", at(1), 1), ("a", at(3), 2), ("b", at(5), 3), ("a", at(2), 4), ("b", at(5), 9), ("b", at(5), 8), ("c", at(0), 1)]
+    schema, source = "logical_path string, version_id timestamp_ntz, event_id long", str(tmp_path / "in")
+    out = str(tmp_path / "out")
+
+    def run(more):
+        for r in more:
+            spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+        held = spark.conf.get(latest.PROVIDER[0])
+        spark.conf.set(*latest.PROVIDER)
+        try:
+            streams.append_stream(latest.latest_stream(stream), out, str(tmp_path / "check")).awaitTermination()
+        finally:
+            spark.conf.set(latest.PROVIDER[0], held)
+        return sorted((r.logical_path, r.version_id, r.event_id) for r in latest.last_updates(spark.read.parquet(out)).collect())
+
+    assert run(rows) == [("a", at(3), 2), ("b", at(5), 9), ("c", at(0), 1)]
+    assert run([("a", at(2), 7), ("b", at(4), 99), ("c", at(9), 1), ("d", at(1), 1)]) == [("a", at(3), 2), ("b", at(5), 9), ("c", at(9), 1), ("d", at(1), 1)]
+
+
+def test_source_contract(spark, tmp_path):
+    """Listing, probe, reading and sync of landed issue records, by selector."""
+    landed = {"rows": [("Org", "Re", 1, None, "open", "2024-01-01T00:00:00Z", "u1", "first"), ("org", "re", 2, "{}", "open", "2024-01-01T00:00:00Z", "u2", "pull"), ("org", "other", 3, None, "open", "2024-01-01T00:00:00Z", "u3", "no")]}
+    schema = "owner string, repo string, number long, pull_request string, state string, updated_at string, html_url string, body string"
+    read = []
+
+    def markdown(rows):
+        read.append({r.number for r in rows.collect()})
+        return rows.withColumn("markdown", F.concat(F.lit("# Issue\n"), "body"))
+
+    contract.register(contract.issues_source("tracker", lambda s: s.createDataFrame(landed["rows"], schema), markdown))
+    where = str(tmp_path / "s")
+    now = contract.add(spark, where, "a", "tracker:org/re", ms(0))
+    assert {r.logical_path for r in now.read("files").collect()} == {"github/org/re/issues/1.md", "github/org/re/pulls/2.md"} and read[-1] == {1, 2}
+    landed["rows"] = [("org", "re", 1, None, "open", "2024-01-01T00:00:00Z", "u1", "edited, same time"), ("org", "re", 4, None, "open", "2024-02-01T00:00:00Z", "u4", "new")]
+    now = contract.add(spark, where, "b", "tracker:org/re#issues", ms(10), sync=True)
+    assert read[-1] == {4} and {r.logical_path for r in S.current(now.read("files")).collect()} == {"github/org/re/issues/1.md", "github/org/re/pulls/2.md", "github/org/re/issues/4.md"}  # pulls are not of this selector
+    now = contract.add(spark, where, "c", "tracker:org/re", ms(20), sync=True, force=True)
+    current = {r.logical_path: r.content for r in S.current(now.read("files")).collect()}
+    assert current == {"github/org/re/issues/1.md": "# Issue\nedited, same time", "github/org/re/issues/4.md": "# Issue\nnew"} and read[-1] == {1, 4}
+    for text, error in (("nobody:x", LookupError), ("tracker:org", ValueError), ("tracker:a/b/c", ValueError), ("tracker:a/b#x", ValueError)):
+        with pytest.raises(error):
+            contract.add(spark, where, "d", text, ms(30))
+    assert [contract.notes_scope(f"apple-notes:{x}") for x in ("", "Me", "Me/", "/Work", "Me/Work/Ideas")] == [("*", "**"), ("Me", "**"), ("Me", "**"), ("*", "Work"), ("Me", "Work/Ideas")]
+    with pytest.raises(ValueError):
+        contract.notes_scope("notes:Me")
 
 
 def test_containing(spark):

@@ -132,7 +132,7 @@ def test_chunks(spark):
 def test_convert(spark):
     html = "<h1>T</h1><script>x</script><p>a <b>b</b> <a href='u'>l</a></p><ul><li>i</li></ul><pre>c\n d</pre>"
     got = spark.range(1).select(V.html_to_markdown(F.lit(html)).alias("x")).first().x
-    assert "# T" in got and "**b**" in got and "[l](u)" in got and "- i" in got and "```\nc\n d" in got and "x" not in got.split("\n")[0][3:]
+    assert "# T" in got and "**b**" in got and "[l](u)" in got and "-   i" in got and "```\nc\n d" in got and "x" not in got.split("\n")[0][3:]
     cells = spark.createDataFrame([("d", "s", 1, 1, "h"), ("d", "s", 1, 2, "k|"), ("d", "s", 3, 2, "v"), ("d", "e", 1, 1, " ")], "doc string, sheet string, row int, col int, value string")
     out = {r.sheet: r.markdown for r in V.cells_to_table(cells).collect()}
     assert out == {"s": "| h | k\\| |\n| --- | --- |\n|  |  |\n|  | v |"}
