@@ -7,7 +7,6 @@ without labels nothing is rejected for quality but by the fixed rules; null and
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,27 +18,10 @@ from docstrata.llm.common import emptied, recorded, shared_dir
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-_done: list[str] = []  # large tables of the stages before, whose results have been written by now
-
-
-def _stage(f):
-    """A stage that first empties the large intermediate tables of the one before it: that one's result has been
-    written and read again."""
-
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        emptied(spark, _done)
-        with recorded(_done):
-            return f(spark, docs, sf_dir)
-
-    return run_stage
-
-
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-@_stage
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
     docs = _columns(docs)
@@ -47,25 +29,21 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _columns(cotraining.score(docs, model).filter("accepted"))
 
 
-@_stage
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return _columns(quality_rules.judge(_columns(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept"))
 
 
-@_stage
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least doc_id, of each group of near copies (five words, 0.8)."""
     return _columns(jaccard_join.keep_one(docs))
 
 
-@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return _columns(mixing.mix(_columns(docs)))
 
 
-@_stage
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, and whether they decode to the text, which is told by its digest."""
     vocabulary = byte_bpe.public_vocabulary()
@@ -88,10 +66,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     where = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{where}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path, made = f"{where}/{k}-{name}", []
+        with recorded(made):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        emptied(spark, made)  # the stage's own large tables: what it returned has been written
         docs = spark.read.parquet(path)
-    emptied(spark, _done)
     return docs
 
 

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -131,17 +132,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_recorders: list[list[str]] = []
+_recorder: ContextVar[list[str] | None] = ContextVar("recorder", default=None)
 
 
 @contextmanager
 def recorded(paths: list[str]) -> Iterator[None]:
-    """Adds the folders that ``written`` makes in this block to paths, for a caller who knows when they are done with."""
-    _recorders.append(paths)
+    """Adds the folders that ``written`` makes in this block, and in this thread, to paths, for a caller who knows when
+    they are done with."""
+    held = _recorder.set(paths)
     try:
         yield
     finally:
-        _recorders.pop()
+        _recorder.reset(held)
 
 
 def emptied(spark: SparkSession, paths: list[str]) -> None:
@@ -154,9 +156,9 @@ def emptied(spark: SparkSession, paths: list[str]) -> None:
 def written(df: DataFrame, label: str) -> DataFrame:
     """The table written as Parquet in the shared folder and read again (smaller than a checkpoint)."""
     path = shared_path(df.sparkSession, label)
-    for paths in _recorders[-1:]:
-        if label in LARGE:
-            paths.append(path)
+    paths = _recorder.get()
+    if paths is not None and label in LARGE:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,10 +4,10 @@
    source's words, and what that leaves is shared again among the others until none is above.  Sources are numbered in
    ranges, and each round is one aggregate over them, so a source a domain is no special case.
 2. Whole copies of a source come first.  For the rest of its budget, count its documents by exact length.  Of the
-   budget but its last ``ROOM`` words, each length gets its share, along rising lengths: rounded down, and what rounding
-   leaves is handed on to the next length, so that less than the longest length is left.  A bounded knapsack by
-   dynamic programming (counts in powers of two) over the documents not yet taken fits this and the last ``ROOM`` words
-   as closely as they can be.
+   budget but as many words as its longest document has (or half of it, if that is less), each length gets its share,
+   along rising lengths: rounded down, and what rounding leaves is handed on to the next length, so that less than twice the
+   longest length is left.  A bounded knapsack by dynamic programming (counts in powers of two) over the documents not yet
+   taken fits that as closely as it can be.  So a source of any size is mixed from all lengths alike.
    A source's lengths are one group: as many rows as it has different lengths, not documents.
 3. Of each length the planned number of documents is selected, in the order of a seeded hash of doc_id and text, and of
    rows alike in both in the order of a row number, written with the rows.  A length with very many documents is first
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD_CLASS, checkpoint, documents, written
 
-ROOM = 65_536
 BUCKET_ROWS = 2_000
 BROADCAST_ROWS = 500_000
 SOURCE, SIZE, HASH, ROW = "__mix_source", "__mix_size", "__mix_hash", "__mix_row"
@@ -57,13 +56,16 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return counts.copy()
     order = np.argsort(lengths)
     take = np.zeros_like(counts)
-    take[order] = shares(lengths[order], counts[order], max(0, budget - ROOM))
+    fitting = lengths[lengths <= budget]
+    if not len(fitting):
+        return take
+    take[order] = shares(lengths[order], counts[order], budget - min(int(fitting.max()), budget // 2))
     left = budget - int((lengths * take).sum())
     if left <= 0:
         return take
     reached = np.zeros(left + 1, dtype=bool)
     reached[0] = True
-    by, items = np.full(left + 1, -1, dtype=np.int64), []
+    by, items = np.full(left + 1, -1, dtype=np.int32), []
     for i in order[::-1]:
         free, part = min(int(counts[i] - take[i]), left // int(lengths[i])), 1
         while free > 0 and not reached[left]:

@@ -491,31 +491,39 @@ def test_write_shards(spark, docs, tmp_path):
     assert names == want and spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
 
 
-@pytest.mark.parametrize("room", [65_536, 40, 0])
-def test_fit_budget(monkeypatch, room):
+def test_fit_budget():
     """As near the budget as any choice of the documents that the handed-on shares leave, and each length near its share."""
-    monkeypatch.setattr(mixing, "ROOM", room)
     rng = np.random.default_rng(3)
-    for _ in range(60):
+    for _ in range(150):
         lengths = np.unique(rng.integers(2, 60, 8))
         counts = rng.integers(1, 6, len(lengths))
         total = int((lengths * counts).sum())
         budget = int(rng.integers(0, total + 5))
         take = mixing.fit_budget(lengths, counts, budget)
         assert ((take >= 0) & (take <= counts)).all() and (lengths * take).sum() <= budget
+        fitting = lengths[lengths <= budget]
+        gap = min(int(fitting.max()), budget // 2) if len(fitting) else budget
         base, due = [], 0.0
         for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
-            due += c * n * min(1.0, max(0, budget - room) / total)
+            due += c * n * min(1.0, (budget - gap) / total)
             base.append(min(c, int(due // n)))
             due -= base[-1] * n
-        assert budget >= total or budget - int((lengths * base).sum()) <= room + lengths.max()
+        assert budget >= total or budget - int((lengths * base).sum()) <= gap + lengths.max()
         reach = {int((lengths * base).sum())}
         for n, c in zip(lengths.tolist(), (counts - base).tolist(), strict=True):
             reach = {s + n * k for s in reach for k in range(c + 1)}
         assert (lengths * take).sum() == max(s for s in reach if s <= budget)
     lengths = np.arange(1, 3000)
     take = mixing.fit_budget(lengths, np.full(2999, 50), 100_000_000)
-    assert int((lengths * take).sum()) == 100_000_000 and take.min() >= 21 and ((take - 23) * lengths).max() <= room + 3000  # lengths are alike but for the last words
+    assert int((lengths * take).sum()) == 100_000_000 and take.min() >= 21 and ((take - 23) * lengths).max() <= 6000  # lengths are alike but for the last words
+
+
+@pytest.mark.parametrize("budget", [3_000, 20_000, 60_000, 65_536, 70_000, 200_000, 390_000])
+def test_budgets_of_any_size_take_short_and_long_texts(budget):
+    """20,000 documents of 10 words and 200 of 1,000: both give near their share of half, whatever the budget is."""
+    take = mixing.fit_budget(np.array([10, 1000]), np.array([20_000, 200]), budget)
+    words = take * [10, 1000]
+    assert words.sum() == budget and abs(words[0] - budget / 2) <= 1500
 
 
 def test_mixing_with_ties(spark, monkeypatch):
@@ -583,9 +591,11 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    left, columns = docs, set(docs.columns)
+    left, columns, lazy = docs, set(docs.columns), []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = common.written(stage(spark, left, SF), "stage")
+        made = stage(spark, left, SF)
+        out = common.written(made, "stage")
+        lazy.append((made, out.count()))
         if k < len(corpus_pipeline.STAGES) - 1:
             assert set(out.columns) == columns
         if k == 2:
@@ -593,3 +603,36 @@ def test_pipeline(spark):
             assert {r.doc_id for r in out.collect()} == {c for _, c in brute.values()}
         left = out
     assert left.filter("not exact").count() == 0 and left.count() > 0
+    assert all(made.count() == n for made, n in lazy)  # a stage's result outlives the stages behind it
+
+
+def test_pipelines_side_by_side(spark):
+    """Two runs in two threads agree with each other."""
+    import concurrent.futures
+
+    import corpus_pipeline
+
+    with concurrent.futures.ThreadPoolExecutor(2) as pool:
+        runs = list(pool.map(lambda _: sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens").collect()), range(2)))
+    assert runs[0] == runs[1] and len(runs[0]) > 50
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_on_odd_tables(spark, odd, k):
+    """Null, empty, wordless, repeated and long rows, clashing columns, and an empty table through each stage."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, odd, SF)
+    columns = ["doc_id", "source", "n_tokens", "ids", "exact"] if k == 4 else ["doc_id", "text", "lang", "source", "n_chars"]
+    got = out.collect()
+    assert out.columns == columns and {r.doc_id for r in got} <= {r[0] for r in ODD}
+    if name == "byte_bpe":
+        assert len(got) == len(ODD) and all(r.exact for r in got) and {r.doc_id: r.n_tokens for r in got}[1] == 0
+    if name == "jaccard_join":
+        assert sorted(r.doc_id for r in got if r.text and "one" == r.text) == [4] and sum(r.doc_id == 6 for r in got) == 1
+    if name == "mixing":
+        assert not [r for r in got if not (r.text or "").strip()]
+    if name == "quality_rules":
+        assert not [r for r in got if len((r.text or "").split()) < 20]
+    assert stage(spark, odd.limit(0), SF).collect() == []
