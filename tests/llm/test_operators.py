@@ -523,7 +523,7 @@ def test_budgets_of_any_size_take_short_and_long_texts(budget):
     """20,000 documents of 10 words and 200 of 1,000: both give near their share of half, whatever the budget is."""
     take = mixing.fit_budget(np.array([10, 1000]), np.array([20_000, 200]), budget)
     words = take * [10, 1000]
-    assert words.sum() == budget and abs(words[0] - budget / 2) <= 1500
+    assert words.sum() == budget // 10 * 10 and abs(words[0] - budget / 2) <= 1500
 
 
 def test_mixing_with_ties(spark, monkeypatch):
