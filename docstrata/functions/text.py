@@ -74,6 +74,16 @@ def issue_path(owner: Column, repo: Column, kind: Column, number: Column) -> Col
     return F.concat(F.lit("github/"), F.lower(F.concat_ws("/", owner, repo)), F.lit("/"), F.when(kind.isin("pull", "pulls"), "pulls").otherwise("issues"), F.lit("/"), number.cast("string"), F.lit(".md"))
 
 
+def ticket_path(workspace: Column, identifier: Column) -> Column:
+    """A tracker issue's path, by its key."""
+    return F.concat(F.lit("linear/"), F.lower(workspace), F.lit("/issues/"), identifier, F.lit(".md"))
+
+
+def project_path(workspace: Column, slugged: Column) -> Column:
+    """A tracker project's path, by its full slug."""
+    return F.concat(F.lit("linear/"), F.lower(workspace), F.lit("/projects/"), slugged, F.lit(".md"))
+
+
 def disambiguate(path: Column, suffix: Column) -> Column:
     """``-suffix`` (8 characters) before the last dot, or at the end."""
     stem, ext = F.regexp_extract(path, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(path, r"^(.*?)(\.[^.]*)?$", 2)
@@ -105,8 +115,8 @@ def duration_seconds(d: Column) -> Column:
 
 def resolve_cutoff(value: str, now: Column) -> Column:
     """A duration before ``now``, or an ISO timestamp."""
-    if re.fullmatch(r"\s*\d+\s*[smhd]\s*", value):
-        scale = {"s": 1, "m": 60, "h": 3600, "d": 86400}[value.strip()[-1]]
+    if re.fullmatch(r"\s*\d+\s*[smhdSMHD]\s*", value):
+        scale = {"s": 1, "m": 60, "h": 3600, "d": 86400}[value.strip()[-1].lower()]
         return now - F.make_dt_interval(secs=F.lit(int(re.sub(r"\D", "", value)) * scale))
     return F.lit(value).cast("timestamp_ntz")
 

@@ -107,26 +107,59 @@ def _lines(rows: DataFrame, keys: list[str], order: list[str], line: Column, glu
 
 
 def cells_to_table(cells: DataFrame) -> DataFrame:
-    """(doc, sheet, row, col, value) to one pipe table a sheet: trimmed to its filled cells, the first row as header."""
+    """(doc, sheet, row, col, value) to one pipe table a sheet: trimmed to its filled cells, the first row as header.  Only
+    filled cells are rows of the job; the gaps between them are written as text."""
     filled = cells.filter(F.trim(F.coalesce("value", F.lit(""))) != "")
-    box = filled.groupBy("doc", "sheet").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    grid = box.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
-    value = F.replace(F.regexp_replace(F.trim(F.coalesce("value", F.lit(""))), r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))
-    full = grid.join(filled.select("doc", "sheet", "row", "col", "value"), ["doc", "sheet", "row", "col"], "left").withColumn("value", value)
-    rows = _lines(full, ["doc", "sheet", "row", "r0", "c0", "c1"], ["col"], F.col("value"), " | ", "cells")
-    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), (F.col("c1") - F.col("c0") + 1).cast("int")))
-    line = F.concat(F.lit("| "), F.col("cells"), F.lit(" |"), F.when(F.col("row") == F.col("r0"), rule).otherwise(""))
-    return _lines(rows, ["doc", "sheet"], ["row"], line, "\n", "markdown")
-
-
-def slides_to_markdown(paragraphs: DataFrame) -> DataFrame:
-    """(doc, slide, kind, position, level, text), kind in title, body, notes, to one text a document."""
-    title = paragraphs.filter("kind = 'title'").groupBy("doc", "slide").agg(F.min_by("text", "position").alias("title"))
-    body = _lines(paragraphs.filter("kind = 'body'"), ["doc", "slide"], ["position"], F.concat(F.repeat(F.lit("  "), F.col("level")), F.lit("- "), F.col("text")), "\n", "body")
-    notes = _lines(paragraphs.filter("kind = 'notes'"), ["doc", "slide"], ["position"], F.col("text"), "\n", "notes")
-    rows = paragraphs.select("doc", "slide").distinct().join(title, ["doc", "slide"], "left").join(body, ["doc", "slide"], "left").join(notes, ["doc", "slide"], "left")
+    value = F.replace(F.regexp_replace(F.trim("value"), r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))
+    box = filled.groupBy("doc", "sheet").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
+    rows = filled.groupBy("doc", "sheet", "row").agg(F.sort_array(F.collect_list(F.struct("col", value.alias("v")))).alias("x")).join(box, ["doc", "sheet"])
+    empty = lambda n: F.repeat(F.lit("  |"), n.cast("int"))
+    before = lambda i: F.when(i == 0, F.col("c0") - 1).otherwise(F.get("x.col", i - 1))
+    line = F.concat(F.lit("|"), F.array_join(F.transform("x", lambda c, i: F.concat(empty(c["col"] - before(i) - 1), F.lit(" "), c["v"], F.lit(" |"))), ""), empty(F.col("c1") - F.element_at("x.col", -1)))
+    columns = (F.col("c1") - F.col("c0") + 1).cast("int")
+    sheets = rows.select("doc", "sheet", columns.alias("n"), F.struct("row", line.alias("line")).alias("r")).groupBy("doc", "sheet", "n").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    gap = lambda c, i: F.repeat(F.concat(F.lit("|"), empty(F.col("n")), F.lit("\n")), F.when(i == 0, 0).otherwise(c["row"] - F.get("r.row", i - 1) - 1).cast("int"))
+    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.col("n")))
+    lines = F.transform("r", lambda c, i: F.concat(gap(c, i), c["line"], F.when(i == 0, rule).otherwise("")))
+    return sheets.select("doc", "sheet", F.array_join(lines, "\n").alias("markdown"))
+
+
+TITLES, BODIES = ("title", "ctrTitle"), ("body", "subTitle")
+
+
+def slides_to_markdown(shapes: DataFrame) -> DataFrame:
+    """Slides as one text a document.  shapes has a row a paragraph of a shape, a row of a table, a picture or a line of notes: (doc,
+    slide, position: of the shape, part: of the paragraph or table row, kind: shape, table, picture or notes, placeholder,
+    level, bullet, text, cells: array of a table row).  The first paragraph with text of the first title shape that has one
+    is the title, and that shape is used up; without one, the first paragraph with text of any shape, which is used up
+    alone.  Paragraphs of body shapes with several are bullets."""
+    slide = ["doc", "slide"]
+    rows = shapes.withColumn("t", trimmed(F.coalesce("text", F.lit(""))))
+    w = W.partitionBy(*slide)
+    place = F.struct("position", "part")
+    said = (F.col("kind") == "shape") & (F.col("t") != "")
+    titled = F.coalesce(F.col("placeholder").isin(*TITLES), F.lit(False))
+    rows = rows.withColumns({"own": F.min(F.when(said & titled, place)).over(w), "any": F.min(F.when(said, place)).over(w)})
+    rows = rows.withColumn("picked", F.coalesce("own", "any"))
+    used = (F.col("kind") == "shape") & F.when(F.col("own").isNotNull(), F.col("position") == F.col("own.position")).otherwise(place == F.col("picked"))
+    rows = rows.withColumn("used", F.coalesce(used, F.lit(False)))
+    rows = rows.withColumn("several", F.sum((~F.col("used")).cast("int")).over(W.partitionBy(*slide, "position", "kind")) > 1)
+    title = rows.filter((F.col("kind") == "shape") & (place == F.col("picked"))).groupBy(*slide).agg(F.min("t").alias("title"))
+    bullet = F.coalesce("bullet", F.lit(False)) | (F.coalesce(F.col("placeholder").isin(*BODIES), F.lit(False)) & F.col("several"))
+    line = F.when(bullet, F.concat(F.repeat(F.lit("  "), F.greatest(F.coalesce("level", F.lit(0)), F.lit(0))), F.lit("- "), F.regexp_replace("t", r"\n+", " "))).otherwise(F.col("t"))
+    texts = _lines(rows.filter("kind = 'shape' and not used and t <> ''"), [*slide, "position"], ["part"], line, "\n", "block")
+    width = F.max(F.size("cells")).over(W.partitionBy(*slide, "position"))
+    cell = lambda x: F.replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\r?\n", " "), F.lit("|"), F.lit("\\|"))
+    table = rows.filter("kind = 'table' and size(cells) > 0").withColumns({"width": width, "first": F.row_number().over(W.partitionBy(*slide, "position").orderBy("part")) == 1})
+    padded = F.concat(F.transform("cells", cell), F.array_repeat(F.lit(""), (F.col("width") - F.size("cells")).cast("int")))
+    rule = F.when(F.col("first"), F.concat(F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width")), " | "), F.lit(" |"))).otherwise("")
+    tables = _lines(table, [*slide, "position"], ["part"], F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |"), rule), "\n", "block")
+    pictures = rows.filter("kind = 'picture'").select(*slide, "position", F.concat(F.lit("*Image:* "), F.coalesce("text", F.lit(""))).alias("block"))
+    body = _lines(texts.unionByName(tables).unionByName(pictures), slide, ["position"], F.col("block"), "\n\n", "body")
+    notes = _lines(rows.filter("kind = 'notes' and t <> ''"), slide, ["position", "part"], F.col("t"), "\n", "notes")
+    all_ = rows.select(*slide).distinct().join(title, slide, "left").join(body, slide, "left").join(notes, slide, "left")
     head = F.concat(F.lit("## Slide "), F.col("slide").cast("string"), F.coalesce(F.concat(F.lit(": "), F.col("title")), F.lit("")))
-    return _lines(rows, ["doc"], ["slide"], F.concat_ws("\n\n", head, "body", F.concat(F.lit("### Notes\n\n"), F.col("notes"))), "\n\n---\n\n", "markdown")
+    return _lines(all_, ["doc"], ["slide"], F.concat_ws("\n\n", head, "body", F.concat(F.lit("### Notes\n\n"), F.col("notes"))), "\n\n---\n\n", "markdown")
 
 
 def pages_to_markdown(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A commit adds the postings of its chunks with sign 1 and those of chunks that are no longer current with sign -1, and one
 row of how many chunks and words that makes.  N, document frequencies and lengths are sums over all parts, so no part is
-rewritten; ``merged`` cancels what has been taken out.
+rewritten; ``merged`` cancels what has been taken out.  Words that are new go to a vocabulary with their stem, so each
+word is stemmed once, and a search by stems looks up the words of its stems there.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.porter import stems
 from . import retrieval as R
 from .snapshots import Snapshot
 
@@ -33,7 +35,12 @@ def deltas(base: Snapshot, added: DataFrame | None, left: DataFrame | None) -> d
     postings, sums = [postings_of(c, s) for c, s in sides], [_sums(c, s) for c, s in sides]
     both = lambda x: x[0] if len(x) == 1 else x[0].unionByName(x[1])
     corpus = both(sums).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total_len"), F.lit(0)).alias("total_len"))
-    return {"postings": [base.write("postings", both(postings))], "corpus": [base.write("corpus", corpus)]}
+    name = base.write("postings", both(postings))
+    out = {"postings": [name], "corpus": [base.write("corpus", corpus)]}
+    if added is not None:
+        fresh = base.part("postings", name).filter("sign > 0").join(base.read("vocabulary").select("term"), "term", "left_anti")
+        out["vocabulary"] = [base.write("vocabulary", stems(fresh))]
+    return out
 
 
 def net(postings: DataFrame) -> DataFrame:
@@ -47,14 +54,19 @@ def merged(now: Snapshot) -> dict[str, DataFrame]:
     return {"postings": net(now.read("postings")).withColumn("sign", F.lit(1)), "corpus": corpus}
 
 
-def search(now: Snapshot, queries: DataFrame, k: int = 10, prefix: str = "") -> DataFrame:
+def search(now: Snapshot, queries: DataFrame, k: int = 10, prefix: str = "", by_stem: bool = False) -> DataFrame:
     """(query_id, path, version_id, chunk_index, score, rank) of queries (query_id, query) over the current chunks.  With a
-    prefix, only chunks of paths below it are ranked; the statistics stay those of all chunks."""
+    prefix, only chunks of paths below it are ranked; the statistics stay those of all chunks.  by_stem compares stems, a
+    chunk's words of one stem being one term."""
     terms = R.query_terms(queries)
-    found = now.read("postings").join(terms.select("term").distinct(), "term", "left_semi")
-    hits = net(found).withColumn("key", F.struct(*CHUNK))
+    postings = now.read("postings")
+    if by_stem:
+        terms = terms.join(stems(terms), "term").select("query_id", F.col("stem").alias("term")).distinct()
+        words = now.read("vocabulary").join(terms.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
+        found = net(postings.join(words, "term").drop("term").withColumnRenamed("stem", "term"))
+    else:
+        found = net(postings.join(terms.select("term").distinct(), "term", "left_semi"))
     corpus = now.read("corpus").agg(F.sum("n").alias("n"), (F.sum("total_len") / F.sum("n")).alias("avg_len"))
     kept = (lambda c: c["logical_path"].startswith(prefix)) if prefix else None
-    out = R.ranked(hits.select("key", "len", "term", "tf"), corpus, terms, k, "key", kept)
-    return out.select("query_id", "key.*", "score", "rank")
-
+    hits = found.select(F.struct(*CHUNK).alias("key"), "len", "term", "tf")
+    return R.ranked(hits, corpus, terms, k, "key", kept).select("query_id", "key.*", "score", "rank")

@@ -258,7 +258,8 @@ def reindex(spark: SparkSession, where: str, key: str | int, revision: str, sett
     chunks = whole(base, "chunks", rechunk(files, settings))
     now = S.current_chunks(base.part("chunks", chunks[0]["chunks"][0]), files.select(*KEY, "tombstone"))
     fresh = index.deltas(base, now, None)
-    return commit(base, key, *together(chunks, (fresh, {t: list(base.parts.get(t, ())) for t in fresh})), revision=revision)
+    old = {t: list(base.parts.get(t, ())) for t in ("postings", "corpus")}  # a vocabulary only grows
+    return commit(base, key, *together(chunks, (fresh, old)), revision=revision)
 
 
 def compact(spark: SparkSession, where: str, key: str | int) -> Snapshot:
@@ -267,7 +268,7 @@ def compact(spark: SparkSession, where: str, key: str | int) -> Snapshot:
     if key in base.keys:
         return base
     last = base.read("refreshes").groupBy(*KEY).agg(F.max(F.struct("refreshed_at", "status")).alias("x")).select(*KEY, "x.*")
-    rows = {t: base.read(t) for t in ("files", "chunks", "blobs", "outcomes")} | {"refreshes": last} | index.merged(base)
+    rows = {t: base.read(t) for t in ("files", "chunks", "blobs", "outcomes", "vocabulary")} | {"refreshes": last} | index.merged(base)
     return commit(base, key, *together(*[whole(base, t, r) for t, r in rows.items() if base.parts.get(t)]))
 
 

@@ -303,10 +303,19 @@ def containing(docs: DataFrame, passages: DataFrame, key: str = "key") -> DataFr
     return found.unionByName(docs.select(key, "text").join(_small(short), F.contains("text", "passage")).select("query_id", key))
 
 
-def answered(hits: DataFrame, golden: DataFrame, top: int = 3) -> DataFrame:
-    """Whether the answer is in the text of one of the first hits (query_id, rank, text)."""
-    rows = golden.filter("answer is not null").join(hits.filter(F.col("rank") <= top).select("query_id", "text"), "query_id", "left")
-    return rows.groupBy("query_id").agg(F.max(F.coalesce(F.contains("text", "answer"), F.lit(False))).alias("answered"))
+def answered(hits: DataFrame, golden: DataFrame, top: int = 3, name: str = "answered") -> DataFrame:
+    """(query_id, answered) of the queries with an answer: whether it is in the text of one of the first hits (query_id, rank,
+    text)."""
+    rows = golden.filter("answer is not null").select("query_id", "answer").join(hits.filter(F.col("rank") <= top).select("query_id", "text"), "query_id", "left")
+    return rows.groupBy("query_id").agg(F.max(F.coalesce(F.contains("text", "answer"), F.lit(False))).alias(name))
+
+
+def metrics_with_answers(ranked: DataFrame, hybrid: DataFrame, semantic: DataFrame) -> DataFrame:
+    """``metrics`` with n_answers and the share of them that the fused and the semantic hits answer (null without any)."""
+    told = ranked.join(hybrid, "query_id", "left").join(semantic, "query_id", "left")
+    share = lambda c: F.round(F.avg(F.col(c).cast("int")), 6).alias(c)
+    answers = told.rollup("kind").agg(F.count("answer_3").alias("n_answers"), share("answer_3"), share("semantic_answer_3")).withColumn("kind", F.coalesce("kind", F.lit("overall")))
+    return metrics(ranked).join(answers, "kind")
 
 
 def metrics(ranked: DataFrame) -> DataFrame:

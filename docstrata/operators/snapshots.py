@@ -31,6 +31,7 @@ SCHEMAS = {
     "outcomes": "key string, logical_path string, version_id timestamp_ntz, status string, change string, error string, mime_type string, size_bytes long, source_sha256 string, duplicates long",
     "postings": "logical_path string, version_id timestamp_ntz, chunk_index int, len int, term string, tf long, sign int",
     "corpus": "n long, total_len long",
+    "vocabulary": "term string, stem string",
 }
 _PART = "array<struct<tbl:string,part:string>>"
 COMMITS = f"seq long, key string, adds {_PART}, retires {_PART}, revision string"

@@ -239,8 +239,11 @@ def refresh_health(files: DataFrame, now: Column) -> DataFrame:
     return rows.agg(F.count_if(F.col("refresh_frequency_sec").isNotNull()).alias("scheduled"), F.count_if(F.col("refresh_frequency_sec").isNotNull() & due).alias("due"))
 
 
-def report(files: DataFrame, blobs: DataFrame, chunks: DataFrame, now: Column) -> DataFrame:
-    """All statistics as (section, key, value)."""
+def report(files: DataFrame, blobs: DataFrame, chunks: DataFrame, now: Column, prefix: str = "") -> DataFrame:
+    """All statistics as (section, key, value), of all paths or those below a prefix and their blobs and chunks."""
+    if prefix:
+        blobs = blobs_under(blobs, files, prefix)
+        files, chunks = files.filter(F.col(PATH).startswith(prefix)), chunks.filter(F.col(PATH).startswith(prefix))
 
     def rows(df: DataFrame, section: str) -> DataFrame:
         cols = df.columns

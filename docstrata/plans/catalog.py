@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.globs import any_match
 from ..operators import chunks as C
 from ..operators import convert as V
+from ..operators import evaluate as E
 from ..operators import index
 from ..operators import ingest as W
 from ..operators import retrieval as R
@@ -439,6 +440,15 @@ def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", V.html_to_markdown(F.col("html")).alias("markdown"))
 
 
+@query(r"""with p as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript\s*>', '', 'g') as h from pages)
+  select page_id, len(regexp_extract_all(h, '(?i)<h1[ >]')) as headings, len(regexp_extract_all(h, '(?i)<li[ >]')) as items, len(regexp_extract_all(h, '(?i)<a [^>]*href=')) as links, len(regexp_extract_all(h, '(?i)<img ')) as images from p""")
+def page_structure(spark: SparkSession, d: str) -> DataFrame:
+    """What of each page's structure its markdown has: headings, list items, links and images, as many as its elements."""
+    count = lambda pattern: F.regexp_count("m", F.lit(pattern)).cast("long")
+    rows = read(spark, d, "pages").select("page_id", V.html_to_markdown(F.col("html")).alias("m"))
+    return rows.select("page_id", count(r"(?m)^# ").alias("headings"), count(r"(?m)^ *-   ").alias("items"), count(r"(?<![\\!])\[[^\]]*\]\(").alias("links"), count(r"!\[[^\]]*\]\(").alias("images"))
+
+
 @query(f"with {V_DOCS} select logical_path, i::int as chunk_index, substr(content, i * 1800 + 1, 1800) as chunk_content from (select *, unnest(range(0, greatest(ceil(length(content) / 1800.0), 1)::int)) as i from v_docs)")
 def chunk_hard_cut(spark: SparkSession, d: str) -> DataFrame:
     return C.hard_cut(v_docs(spark, d), 1800)
@@ -614,6 +624,17 @@ def eval_variants(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("kind = 'overall'").select("variant", "n", "recall_5", "mrr")
 
 
+@query()
+def eval_chunk_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Three variants of chunking and reranking over one golden set of whole passages, with answer@3."""
+    docs = v_docs(spark, d).select("logical_path", F.coalesce("content", F.lit("")).alias("content"))
+    passages = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    holding = R.containing(docs.select(F.col("logical_path").alias("key"), F.col("content").alias("text")), passages.withColumnRenamed("query", "passage"))
+    golden = holding.groupBy("query_id").agg(F.min("key").alias("expected")).join(passages, "query_id").withColumns({"kind": F.lit("passage"), "answer": F.substring("query", 1, 30)})
+    variants = (E.Variant("whole", C.Config(4000, 15000, by_heading=False)), E.Variant("current"), E.Variant("rerank", scorer=R.lexical_score))
+    return E.compared(docs, golden, variants).filter("kind = 'overall'")
+
+
 # Rendering.
 
 
@@ -652,6 +673,21 @@ def pages_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return V.pages_to_markdown(read(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_no"), "text"))
 
 
+@query(r"""with l as (select conv_id as doc, turn // 2 as slide, turn as pos, role, unnest(range(0, len(string_split(text, chr(10))))) as part, unnest(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))) as t from conversations),
+  p as (select doc, slide, min((pos, part)) filter (t <> '' and role = 'user') as own, min((pos, part)) filter (t <> '') as any_ from l group by 1, 2),
+  u as (select l.*, own, coalesce(own, any_) as picked, coalesce(case when own is not null then pos = own[1] else (pos, part) = any_ end, false) as used from l join p using (doc, slide)),
+  s as (select *, sum((not used)::int) over (partition by doc, slide, pos) > 1 as several from u),
+  b as (select doc, slide, pos, string_agg(case when role <> 'user' and several then '- ' || t else t end, chr(10) order by part) as block from s where not used and t <> '' group by 1, 2, 3),
+  k as (select doc, slide, string_agg(block, chr(10) || chr(10) order by pos) as body from b group by 1, 2),
+  h as (select doc, slide, min(t) filter ((pos, part) = picked) as title from s group by 1, 2)
+  select doc, string_agg('## Slide ' || slide || coalesce(': ' || title, '') || coalesce(chr(10) || chr(10) || body, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by slide) as markdown from h left join k using (doc, slide) group by 1""")
+def slides_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as decks, two turns a slide: user turns are title shapes, the others body shapes, a paragraph a line."""
+    rows = read(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.floor(F.col("turn") / 2).alias("slide"), F.col("turn").alias("position"), "role", F.posexplode(F.split("text", "\n")).alias("part", "text"))
+    shapes = rows.select("doc", "slide", "position", "part", F.lit("shape").alias("kind"), F.when(F.col("role") == "user", "title").otherwise("body").alias("placeholder"), F.lit(0).alias("level"), F.lit(False).alias("bullet"), "text", F.array().cast("array<string>").alias("cells"))
+    return V.slides_to_markdown(shapes)
+
+
 # Streaming.
 
 
