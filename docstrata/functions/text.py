@@ -165,12 +165,17 @@ def _textual(mime: Column, *others: str) -> Column:
     return mime.startswith("text/") | mime.isin(*others)
 
 
+# What a title and a heading are, which descriptions depend on.
+TITLE = r"^#\s+(.+?)\s*#*$"
+HEADING = r"(?m)^#+\s+(.+)$"
+
+
 def title_description(mime: Column, text: Column) -> Column:
     """The first H1 of the first 40 lines that are not blank, 5 to 200 characters long, and the start of the text
     without it; null for other types and without such a heading."""
     lines = F.slice(F.filter(F.transform(F.split(text, r"\r?\n"), trimmed), lambda x: x != ""), 1, 40)
     heading = F.get(F.filter(lines, lambda x: x.rlike(r"^#\s+.")), F.lit(0))
-    title = trimmed(F.regexp_extract(heading, r"^#\s+(.+?)\s*#*$", 1))
+    title = trimmed(F.regexp_extract(heading, TITLE, 1))
     body = one_line(F.regexp_replace(text, r"(?m)\A((?s:.*?))^#\s+.+$", "$1"))
     fits = _textual(mime, "application/json", "application/yaml", "application/x-yaml") & F.char_length(title).between(5, 200)
     return F.when(fits, F.concat_ws(" — ", title, F.nullif(body, F.lit(""))))
@@ -179,7 +184,7 @@ def title_description(mime: Column, text: Column) -> Column:
 def fallback_description(path: Column, mime: Column, text: Column) -> Column:
     """Heading and start of a text, or whichever it has; type and length of anything else."""
     body = trimmed(F.coalesce(text, F.lit("")))
-    heading = F.nullif(trimmed(F.regexp_extract(body, r"(?m)^#+\s+(.+)$", 1)), F.lit(""))
+    heading = F.nullif(trimmed(F.regexp_extract(body, HEADING, 1)), F.lit(""))
     shown = F.nullif(F.concat_ws(" — ", heading, F.nullif(one_line(body), F.lit(""))), F.lit(""))
     other = F.concat(mime, F.lit(" · "), F.char_length(F.coalesce(text, F.lit(""))).cast("string"), F.lit(" chars"))
     return F.when(_textual(mime, "application/json", "application/yaml"), F.coalesce(shown, F.concat(path, F.lit(" ("), mime, F.lit(")")))).otherwise(other)
@@ -276,4 +281,4 @@ def relations(links: Column, kind: str) -> Column:
 
 
 def breadcrumb(parts: Column) -> Column:
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda x: x != ""), " > ")
+    return F.array_join(F.filter(F.transform(parts, lambda x: trimmed(x)), lambda x: x != ""), " > ")
