@@ -3,15 +3,16 @@
 The text view averages case-keeping character n-gram embeddings into a linear softmax.  The metadata view is a logistic
 regression over what a page's record says without its words: language, source, length and layout (lines, their
 length, shares of capitals, digits and other signs).  Both start from the labelled sample.  In each round both views
-score all unlabelled documents, in Spark; each view then hands the other the ``PICKS`` different documents that it is
-most sure of, among those not handed over before, as many of each class as that class's share asks.  Where both
-views are sure of a document and differ, neither gets it.  Held labelled documents calibrate both views; the score is
-their combined probability.
+score all unlabelled documents, in Spark; each view then hands the other the ``SHARE`` of them that it is most sure of,
+among those not handed over before: the most likely of each class, by cut-offs at quantiles of all scores, split as the
+classes are in the labels.  Where both views are sure of a document and differ, neither gets it.  Held labelled documents
+calibrate both views; the score is their combined probability.
 
 A document is rejected below the cut-off, the lower of ``CUT`` and the score that ``REJECT`` of the held good documents
-fall below, so clean documents stay.  The fit is bounded: at most ``LABELLED`` labelled documents, the least by a seeded
-hash, and ``PICKS`` of each view a round.  Tasks read these whole, and turn each into n-gram shares and features, which
-is all that the driver gets; the same functions serve fit and score.
+fall below, so clean documents stay.  The labelled sample is bounded: ``LABELLED`` documents, the least by a seeded hash;
+the driver gets their n-gram shares and features.  What is handed over grows with the input and stays in Spark: it is dealt
+by hash to fits of about ``TEACH`` documents each, in tasks, every one with the labelled sample; the model is the mean of
+their logits, slot by slot.  The same functions serve fit and score.
 
 Cases: null text, lang, source and n_chars are values of their own; null labels, and labels of a doc_id that has both
 classes, are not learned from; of different rows of one labelled doc_id, the one with the least hash is learned from;
@@ -25,26 +26,33 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, mix, utf8_rows, written
+from .common import documents, map_batches, mix, utf8_rows, word_hashes, word_spans, written
 from .subword import Bag, bag, bag_logits, grams, logits_of, pack, train, unpack
 from .toxicity import platt
 
-LABELLED, PICKS = 1500, 300
+LABELLED = 1500
+SHARE, TEACH = 0.05, 2000
+BROADCAST_ROWS = 500_000  # hashes
 BUCKETS, DIM, SIZES = 1 << 15, 8, (2, 3, 4)
 ROUNDS = 2
 SURE = 0.95
 CUT, REJECT = 0.5, 0.005
 SLOTS = 16
+REPETITION, REPEATED = 0, 8  # a bucket, and how much an immediate repetition counts in n-grams
 KEYED = ("h", "text", "lang", "source", "n_chars")
 NOTHING = np.zeros(0, np.uint8)
 
 
 def text_grams(buf: np.ndarray) -> np.ndarray:
-    return grams(buf, BUCKETS, SIZES, fold=False)[1]
+    """The buckets of a text's n-grams, and REPEATED times that of a repetition for each word that is the one before it."""
+    ids, hashes = grams(buf, BUCKETS, SIZES, fold=False)[1], word_hashes(buf, *word_spans(buf))
+    again = int(np.count_nonzero(hashes[1:] == hashes[:-1]))
+    return np.append(ids, np.full(again * REPEATED, REPETITION)) if again else ids
 
 
 def metadata(buf: np.ndarray, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -88,16 +96,14 @@ def _views(batch: pa.RecordBatch, at: Sequence[int]) -> Iterator[tuple[np.ndarra
         yield buf, metadata(buf, lang[i], source[i], None if size[i] is None else int(size[i]))
 
 
-def features(keyed: DataFrame, chosen: Sequence[int]) -> dict[int, tuple[Bag, np.ndarray]]:
-    """hash to (bag, metadata) of the chosen (few) hashes, from keyed documents (h, text, lang, source, n_chars)."""
-    if not chosen:
-        return {}
-    few = F.broadcast(keyed.sparkSession.createDataFrame([(h,) for h in chosen], "h long"))  # at most LABELLED or 2 * PICKS
+def feature_rows(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(h, bag, meta) of the different documents whose hashes are in chosen (h), from keyed documents (h, text, lang, source,
+    n_chars)."""
+    few = F.broadcast(chosen) if chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            out = []
+            out, seen = [], set()
             for h, (buf, meta) in zip(batch.column(0).to_pylist(), _views(batch, (1, 2, 3, 4)), strict=True):
                 if h not in seen:
                     seen.add(h)
@@ -105,10 +111,45 @@ def features(keyed: DataFrame, chosen: Sequence[int]) -> dict[int, tuple[Bag, np
             if out:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.list_(pa.float64())), strict=True)], ["h", "bag", "meta"])
 
-    rows = map_batches(keyed.join(few, "h").select(*KEYED), run, "h long, bag binary, meta array<double>").dropDuplicates(["h"])
+    return map_batches(keyed.join(few, "h").select(*KEYED), run, "h long, bag binary, meta array<double>").dropDuplicates(["h"])
+
+
+def features(keyed: DataFrame, chosen: Sequence[int]) -> dict[int, tuple[Bag, np.ndarray]]:
+    """hash to (bag, metadata) of at most LABELLED hashes."""
+    rows = feature_rows(keyed, keyed.sparkSession.createDataFrame([(h,) for h in chosen], "h long"))
     return {r["h"]: (unpack(r["bag"]), np.array(r["meta"])) for r in rows.toArrow().to_pylist()}
 
 
+def fit_text(bags: list[Bag], y: np.ndarray, seed: int) -> np.ndarray:
+    """The logit of each n-gram bucket, and the offset behind them."""
+    weight = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
+    m = train(lambda i: bags[i], y, 2, BUCKETS, DIM, 3, 20.0, seed, 32, weight)
+    table = m.table()
+    return np.append(table[:, 1] - table[:, 0], m.bias[1] - m.bias[0]).astype(np.float64)
+
+
+def fit_view(view: str, known: list[tuple[Bag, np.ndarray]], y: np.ndarray, seed: int) -> np.ndarray:
+    return fit_text([b for b, _ in known], y, seed) if view == "text" else fit_linear(np.array([m for _, m in known]), y.astype(float))
+
+
+def taught_views(taught: DataFrame, known: list[tuple[Bag, np.ndarray]], label: np.ndarray, seed: int) -> dict[str, np.ndarray]:
+    """What each view learns from the labelled sample and what it has been handed (view, h, y, bag, meta): the mean of fits
+    in tasks.  Sums are of decimals, so their order does not matter."""
+    most = taught.groupBy("view").count().agg(F.max("count")).first()[0] or 0
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        view, rows = rows["view"].iloc[0], rows.sort_values("h")
+        more = [(unpack(b), np.asarray(m, dtype=float)) for b, m in zip(rows["bag"], rows["meta"], strict=True)]
+        values = fit_view(view, [*known, *more], np.append(label, rows["y"].to_numpy()).astype(np.int64), seed)
+        return pd.DataFrame({"view": view, "slot": np.arange(len(values), dtype=np.int32), "value": values})
+
+    dealt = taught.withColumn("fit", F.pmod(F.xxhash64("h"), F.lit(max(1, -(-most // TEACH)))))
+    fits = dealt.groupBy("view", "fit").applyInPandas(run, "view string, slot int, value double")
+    mean = fits.groupBy("view", "slot").agg((F.sum(F.col("value").cast("decimal(24,12)")).cast("double") / F.count("*")).alias("value"))
+    found = mean.toPandas().sort_values(["view", "slot"])  # a row a slot
+    return {view: rows["value"].to_numpy() for view, rows in found.groupby("view")}
+
+
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 23) -> dict | None:
     """docs (doc_id, text, lang, source, n_chars), labels (doc_id, quality)."""
     keyed = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).withColumn("h", record_hash(seed))
@@ -126,44 +167,38 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 23) -> dict | None:
         held = fit_on = given_hashes
     share = float(np.mean([label[h] for h in fit_on]))
     goal = np.array([label[h] for h in held], dtype=float)
-    extra: dict[str, dict[int, int]] = {"text": {}, "meta": {}}
-
-    def sample(view: str) -> tuple[list[tuple[Bag, np.ndarray]], np.ndarray]:
-        at = [*fit_on, *extra[view]]
-        return [known[h] for h in at], np.array([*(label[h] for h in fit_on), *extra[view].values()])
-
-    def learn() -> dict:
-        xs, y = sample("text")
-        weight = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
-        m = train(lambda i: xs[i][0], y, 2, BUCKETS, DIM, 3, 20.0, seed, 32, weight)
-        table, bias = m.table(), m.bias
-        view = {"table": np.ascontiguousarray(table[:, 1:] - table[:, :1]), "bias": bias[1:] - bias[:1]}
-        xs, y = sample("meta")
-        view["meta"] = fit_linear(np.array([x for _, x in xs]), y.astype(float))
+    learned = [known[h] for h in fit_on], np.array([label[h] for h in fit_on])
+
+    def learn(taught: DataFrame | None) -> dict:
+        views = taught_views(taught, *learned, seed) if taught is not None else {}
+        text, meta = (views[v] if v in views else fit_view(v, *learned, seed) for v in ("text", "meta"))
+        view = {"table": text[:-1, None].astype(np.float32), "bias": text[-1:].astype(np.float32), "meta": meta}
         tz = np.array([logits_of(known[h][0], view["table"], view["bias"])[0] for h in held])
         mz = np.array([known[h][1] @ view["meta"] for h in held])
         view["cal"] = (*platt(tz, goal), *platt(mz, goal))
         return view
 
-    model = learn()
+    model, taught = learn(None), None
+    sure = float(np.log(SURE / (1 - SURE)))
     for _ in range(ROUNDS):
         scored = written(_logits(keyed, model), "scores")
         free = scored.join(labels.select("doc_id"), "doc_id", "left_anti").groupBy("h").agg(F.first("text_z").alias("text_z"), F.first("meta_z").alias("meta_z"))
-        free = written(free.filter(~F.col("h").isin([*known])), "free")  # known: the documents of the fit, bounded
-        picks: dict[str, dict[int, int]] = {"text": {}, "meta": {}}
-        sure = float(np.log(SURE / (1 - SURE)))
-        for z, pupil in (("text_z", "meta"), ("meta_z", "text")):
-            for y, order, part in ((1, F.desc(z), share), (0, F.asc(z), 1 - share)):
-                able = free.filter(F.col(z) >= sure) if y else free.filter(F.col(z) <= -sure)
-                for r in able.orderBy(order, "h").limit(max(1, int(PICKS * part))).select("h").collect():
-                    picks[pupil][r["h"]] = y
-        apart = {h for h in picks["text"].keys() & picks["meta"].keys() if picks["text"][h] != picks["meta"][h]}
-        for pupil, found in picks.items():
-            extra[pupil] |= {h: y for h, y in sorted(found.items()) if h not in apart}
-        if not any(picks.values()):
+        free = free.filter(~F.col("h").isin([*known]))  # at most LABELLED
+        free = written(free if taught is None else free.join(taught.select("h").distinct(), "h", "left_anti"), "free")
+        at = [1 - SHARE * share, SHARE * (1 - share)]
+        cuts = free.agg(*[F.percentile_approx(z, at, 100_000).alias(z) for z in ("text_z", "meta_z")]).first()
+        if cuts["text_z"] is None:
+            break
+        said = lambda z: F.when(F.col(z) >= max(sure, cuts[z][0]), 1).when(F.col(z) <= min(-sure, cuts[z][1]), 0)  # noqa: B023, E731
+        picked = free.select("h", said("text_z").alias("of_text"), said("meta_z").alias("of_meta")).filter("coalesce(of_text, of_meta) is not null and coalesce(of_text = of_meta, true)")
+        picked = written(picked, "handed")
+        pairs = F.explode(F.array(F.struct(F.lit("meta").alias("view"), F.col("of_text").alias("y")), F.struct(F.lit("text").alias("view"), F.col("of_meta").alias("y"))))
+        rows = feature_rows(keyed, picked.select("h")).join(picked, "h").select("h", pairs.alias("x"), "bag", "meta").select("x.view", "h", "x.y", "bag", "meta").filter("y is not null")
+        fresh = written(rows, "taught")
+        if fresh.isEmpty():
             break
-        known |= features(keyed, sorted(picks["text"].keys() | picks["meta"].keys()))
-        model = learn()
+        taught = fresh if taught is None else taught.unionByName(fresh)
+        model = learn(taught)
     ta, tb, ma, mb = model["cal"]
     both = np.array([[ta * logits_of(known[h][0], model["table"], model["bias"])[0] + tb, ma * (known[h][1] @ model["meta"]) + mb] for h in held])
     model["w"] = fit_linear(np.column_stack([both / 4, np.ones(len(held))]), goal)
