@@ -1,8 +1,9 @@
 """Toxicity by subword bags averaged into a linear softmax.
 
 A text is read as its different words, in order, in segments of ``WORDS``; a segment is the mean of its words' character n-gram vectors, so a
-misspelling shares most n-grams with its word.  A text's score is that of its most toxic segment, calibrated: a few
-insults in a long text are not averaged away.  Labels are of whole texts, so after a first pass over all segments,
+misspelling shares most n-grams with its word.  A text is judged by its most toxic segments and words, calibrated together (see
+``profile``): a few insults in a long text are not averaged away, and several words that each say little add up.  Labels are of
+whole texts, so after a first pass over all segments,
 each round trains on the segments of toxic texts that the last model ranks first, on the likeliest and some other
 segments of clean texts, and on copies of both with random typing errors.
 
@@ -10,12 +11,15 @@ Fitting takes at most ``SAMPLE`` different labelled rows (doc_id and text) of ea
 quarter is held back for calibration.  They are chosen by ids and hashes alone, so no text is shuffled to its label;
 only the chosen texts are read again.  Tasks read these texts whole: they draw the segments of the first pass by
 hash (``PIECES`` of a text) and rank all segments of a text in each round, of which the model fit gets ``TOP`` of a toxic
-text and ``LIKELIEST`` and ``OTHERS`` of a clean one, and score the held texts for calibration.  The calibrated offset is shifted by the log-odds of the share of toxic labels, counted over all of
-them, less those of the held sample, so the classes' caps move no score.
-
-Cases: null or wordless text gets the score of a segment without evidence; null labels are not learned from; with
-labels of one class only, every score is that class's share; repeated rows are scored alike; other columns are carried
-along; an empty table gives an empty result.
+text and ``LIKELIEST`` and ``OTHERS`` of a clean one, and give the profiles of held
+texts, and of these with typing errors, for calibration.  The calibrated offset is
+shifted by the log-odds of the share of toxic labels, counted over all of them, less those of the sample, so the classes'
+caps move no score.
+
+Cases: null or wordless text gets the score of a text without evidence; null labels are not learned from; a document
+that is labelled with both classes is learned as both; with labels of one class only, every score is that class's share;
+repeated rows and texts that tie are scored alike; other columns are carried along, but those named ``score`` and
+``predicted`` are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ SAMPLE = 1500
 PIECES = 24
 BUCKETS, DIM = 1 << 15, 8
 WORDS = 8
-LEAST = 30
+LEAST, WORD_LEAST = 30, 16  # n-grams that a segment, a word counts as having at least
+TOPS, TOP_SEGMENTS = (1, 2, 3, 5, 8), 3
 ROUNDS = 3
 TOP, LIKELIEST, OTHERS = 3, 6, 6  # segments of a toxic text, of a clean one by rank, and by hash
 
@@ -64,15 +69,29 @@ def segments(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], ends[np.append(first[1:], len(starts)) - 1]
 
 
-def segment_logits(buf: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
-    """Of a text of distinct words.  A segment with few n-grams counts as padded with neutral ones."""
-    starts, _ = segments(buf)
+def evidence(buf: np.ndarray, table: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """The logits of the segments and of the words of a text of distinct words.  One with few n-grams counts as padded with
+    neutral ones."""
+    starts, _ = word_spans(buf)
     if not len(starts):
-        return np.array([bias])
+        return np.array([bias]), np.zeros(0)
     at, ids = grams(buf, BUCKETS)
     which = np.searchsorted(starts, at, side="right") - 1
-    n = np.bincount(which, minlength=len(starts))
-    return np.bincount(which, weights=table[ids], minlength=len(starts)) / np.maximum(n, LEAST) + bias
+    n, total = np.bincount(which, minlength=len(starts)), np.bincount(which, weights=table[ids], minlength=len(starts))
+    first = np.searchsorted(starts, segments(buf)[0])
+    return np.add.reduceat(total, first) / np.maximum(np.add.reduceat(n, first), LEAST) + bias, total / np.maximum(n, WORD_LEAST)
+
+
+def segment_logits(buf: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
+    return evidence(buf, table, bias)[0]
+
+
+def profile(buf: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
+    """What a text is judged by: the mean logits of its most toxic 1, 2, 3, 5 and 8 words (missing ones are 0), the logarithm of
+    its number of different words, its most toxic segment, and the mean of its first three."""
+    of_segments, of_words = evidence(distinct_words(buf), table, bias)
+    words, best = np.sort(of_words)[::-1][: TOPS[-1]], np.sort(of_segments)[::-1][:TOP_SEGMENTS]
+    return np.array([*(words[:k].sum() / k for k in TOPS), np.log1p(len(of_words)), best[0], best.mean()])
 
 
 def misspell(text: bytes, rng: np.random.Generator) -> bytes:
@@ -114,9 +133,34 @@ def drawn(buf: np.ndarray, y: int, model: tuple[np.ndarray, float] | None, seed:
     return [pieces[i] for i in order[: TOP if y else LIKELIEST]] + ([] if y else by_hash[:OTHERS])
 
 
-def shifted(b: float, share: float, held: float) -> float:
+def standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Profiles in units of the spread of those that were calibrated with, and not further out than these can tell."""
+    return np.clip((x - mean) / spread, -4, 4)
+
+
+def calibrated(x: np.ndarray, y: np.ndarray) -> dict:
+    """Logistic regression (mean, spread, w, b) by Newton's method, with a pull of the weights towards 0."""
+    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    z, w = np.column_stack([standard(x, mean, spread), np.ones(len(x))]), np.zeros(x.shape[1] + 1)
+    pull = np.append(np.full(x.shape[1], 1.0), 1e-6)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z.T * np.maximum(p * (1 - p), 1e-9)) @ z + np.diag(pull), z.T @ (p - y) + pull * w)
+        w -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return {"mean": mean, "spread": spread, "w": w[:-1], "b": float(w[-1])}
+
+
+def shifted(b: float, share: float, sample: float) -> float:
     """A calibrated offset for a population with this share of toxic texts, from a sample with another."""
-    return b + float(np.log(share / (1 - share)) - np.log(held / (1 - held)))
+    return b + float(np.log(share / (1 - share)) - np.log(sample / (1 - sample)))
+
+
+def plain(odds: float) -> dict:
+    """A model that says the same of each text."""
+    n = len(TOPS) + 3
+    return {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0, "mean": np.zeros(n), "spread": np.ones(n), "w": np.zeros(n), "b": odds}
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> dict:
@@ -128,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> dict:
     counts = {r["y"]: r["count"] for r in light.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if not counts.get(0) or not counts.get(1):
-        return {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0, "a": 0.0, "b": float(np.log((share or 1e-6) / max(1e-6, 1 - share)))}
+        return plain(float(np.log((share or 1e-6) / max(1e-6, 1 - share))))
     ids = [r for c in (0, 1) for r in light.filter(F.col("y") == c).select("y", "h").distinct().orderBy("h").limit(SAMPLE).collect()]
     chosen = F.broadcast(docs.sparkSession.createDataFrame(ids, "y int, h long"))  # at most 2 * SAMPLE
     found = docs.select(h.alias("h"), "text").join(chosen, "h").select("y", "h", "text")
@@ -163,25 +207,26 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> dict:
 
     first = pieces(None)
     if {y for y, _ in first} != {0, 1}:
-        return {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0, "a": 0.0, "b": float(np.log(share / (1 - share)))}
+        return plain(float(np.log(share / (1 - share))))
     table, bias = learn(first, 2)
     for _ in range(ROUNDS):
         table, bias = learn([x for y, t in pieces((table, bias)) for x in ((y, t), (y, misspell(t, rng)))], 4)
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                (y, h, float(segment_logits(distinct_words(buf), table, bias).max()))
+                (y, h, profile(t, table, bias).tolist())
                 for y, h, buf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_rows(batch.column(2)), strict=True)
                 if not both or is_held(h)
+                for t in (buf, np.frombuffer(misspell(buf.tobytes(), np.random.default_rng(h % (1 << 32))), np.uint8))
             ]
             if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.float64()), strict=True)], ["y", "h", "z"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.float64())), strict=True)], ["y", "h", "x"])
 
-    found = sorted(map_batches(picked, held, "y int, h long, z double").collect())
-    z, y = np.array([r["z"] for r in found]), np.array([r["y"] for r in found], dtype=float)
-    a, b = platt(z, y)
-    return {"table": table.astype(np.float32), "bias": bias, "a": a, "b": shifted(b, share, float(y.mean()))}
+    found = sorted(map_batches(picked, profiles, "y int, h long, x array<double>").collect())  # of at most 2 * SAMPLE texts
+    x, y = np.array([r["x"] for r in found]), np.array([r["y"] for r in found], dtype=float)
+    found = calibrated(x, y)
+    return {"table": table.astype(np.float32), "bias": bias, **found, "b": shifted(found["b"], share, float(y.mean()))}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -194,8 +239,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.array([segment_logits(distinct_words(empty if buf is None else buf), model["table"], model["bias"]).max() for buf in utf8_rows(batch.column(at))])
-            p = 1 / (1 + np.exp(-np.clip(model["a"] * z + model["b"], -30, 30)))
+            x = np.array([profile(empty if buf is None else buf, model["table"], model["bias"]) for buf in utf8_rows(batch.column(at))]).reshape(batch.num_rows, -1)
+            p = 1 / (1 + np.exp(-np.clip(standard(x, model["mean"], model["spread"]) @ model["w"] + model["b"], -30, 30))) if batch.num_rows else np.zeros(0)
             yield pa.record_batch([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
     return map_batches(docs, run, schema)
