@@ -31,10 +31,11 @@ def searchable(docs: DataFrame, variant: Variant) -> DataFrame:
     return rows.withColumn("embedding", variant.vector(F.col("text")))
 
 
-def measured(docs: DataFrame, golden: DataFrame, variant: Variant, limit: int = 10, weight: float = 0.6, cap: int = 3, top: int = 3) -> DataFrame:
+def measured(docs: DataFrame, golden: DataFrame, variant: Variant, where: str, limit: int = 10, weight: float = 0.6, cap: int = 3, top: int = 3) -> DataFrame:
     """recall@1, @3, @5, MRR, answer@3 of fused and of semantic hits, overall and by kind, of golden (query_id, query, expected: a
-    path, kind, answer or null)."""
-    chunks = searchable(docs, variant)
+    path, kind, answer or null).  The chunks are written below where, once, as several searches read them."""
+    searchable(docs, variant).write.mode("overwrite").parquet(f"{where}/{variant.name}")
+    chunks = docs.sparkSession.read.parquet(f"{where}/{variant.name}")
     queries = golden.select("query_id", "query").withColumn("vector", variant.vector(F.col("query")))
     hits = R.search(chunks.select("key", "logical_path", "text"), chunks.select("key", "embedding"), queries, limit, weight=weight, cap=cap, scorer=variant.scorer)
     hits = hits.select("query_id", "logical_path", "key", F.col("final_rank").alias("rank"))
@@ -44,5 +45,5 @@ def measured(docs: DataFrame, golden: DataFrame, variant: Variant, limit: int =
     return R.metrics_with_answers(ranked, said(hits, "answer_3"), said(near, "semantic_answer_3")).withColumn("variant", F.lit(variant.name))
 
 
-def compared(docs: DataFrame, golden: DataFrame, variants: Sequence[Variant], **options) -> DataFrame:
-    return reduce(DataFrame.unionByName, [measured(docs, golden, v, **options) for v in variants])
+def compared(docs: DataFrame, golden: DataFrame, variants: Sequence[Variant], where: str, **options) -> DataFrame:
+    return reduce(DataFrame.unionByName, [measured(docs, golden, v, where, **options) for v in variants])

@@ -632,7 +632,9 @@ def eval_chunk_variants(spark: SparkSession, d: str) -> DataFrame:
     holding = R.containing(docs.select(F.col("logical_path").alias("key"), F.col("content").alias("text")), passages.withColumnRenamed("query", "passage"))
     golden = holding.groupBy("query_id").agg(F.min("key").alias("expected")).join(passages, "query_id").withColumns({"kind": F.lit("passage"), "answer": F.substring("query", 1, 30)})
     variants = (E.Variant("whole", C.Config(4000, 15000, by_heading=False)), E.Variant("current"), E.Variant("rerank", scorer=R.lexical_score))
-    return E.compared(docs, golden, variants).filter("kind = 'overall'")
+    where = f"{shared_dir(spark)}/variants-{uuid.uuid4().hex}"
+    golden.write.parquet(f"{where}/golden")
+    return E.compared(docs, spark.read.parquet(f"{where}/golden"), variants, f"{where}/chunks").filter("kind = 'overall'")
 
 
 # Rendering.

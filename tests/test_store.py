@@ -168,11 +168,11 @@ def test_slides(spark):
     assert V.slides_to_markdown(spark.createDataFrame([], SHAPES)).collect() == []
 
 
-def test_evaluation(spark):
+def test_evaluation(spark, tmp_path):
     """answer@3 and ranks of two variants against counting by hand."""
     docs = spark.createDataFrame([(f"{w}.md", f"the {w} stone is here. " * 3) for w in ("red", "blue", "green", "grey")], "logical_path string, content string")
     golden = spark.createDataFrame([(1, "red stone", "red.md", "a", "red stone is"), (2, "blue", "blue.md", "a", None), (3, "grey stone", "green.md", "b", "nowhere")], "query_id int, query string, expected string, kind string, answer string")
-    got = {(r.variant, r.kind): r for r in E.compared(docs, golden, [E.Variant("plain"), E.Variant("again", C.Config(target=30, longest=40), scorer=R.lexical_score)]).collect()}
+    got = {(r.variant, r.kind): r for r in E.compared(docs, golden, [E.Variant("plain"), E.Variant("again", C.Config(target=30, longest=40), scorer=R.lexical_score)], str(tmp_path)).collect()}
     assert {k[1] for k in got} == {"a", "b", "overall"} and len(got) == 6
     for variant in ("plain", "again"):
         a, b, overall = (got[variant, k] for k in ("a", "b", "overall"))
