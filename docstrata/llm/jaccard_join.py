@@ -482,7 +482,8 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, num: int = 8, den:
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10, block: int = BLOCK) -> DataFrame:
     """The rows of docs whose doc_id is the least of its group of near copies, and one row of each group without a
-    doc_id; all their columns."""
+    doc_id; all their columns (the names __node, __n, __least, __component and __gone are reserved).  An empty table gives
+    an empty result."""
     sets, found = _groups(docs, size, num, den, block, False)
     found = written(found, "found")
     gone = sets.join(found, "node").filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()

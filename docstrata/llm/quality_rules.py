@@ -17,7 +17,7 @@ each stratum by a task, from its counts; the driver gets the number of strata fo
 row for each ratio and grid step.
 
 Cases: null text has no words; null is a stratum of its own, other than the empty string; repeated rows are judged alike
-(and count repeatedly in the holdout); a value at a cut-off is not above it; labels may be empty or null; a text is
+(and count repeatedly in the holdout); a document that is labelled both good and bad counts as one of each; a value at a cut-off is not above it; labels may be empty or null; a text is
 measured whole, however long; other columns are carried along, but those named like the new ones are replaced (names
 that begin with two underscores are reserved); an empty table gives an empty result.
 """

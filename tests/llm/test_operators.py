@@ -636,3 +636,15 @@ def test_pipeline_stages_on_odd_tables(spark, odd, k):
     if name == "quality_rules":
         assert not [r for r in got if len((r.text or "").split()) < 20]
     assert stage(spark, odd.limit(0), SF).collect() == []
+
+
+def test_clashing_columns_and_empty_tables(spark, odd):
+    """Columns of the caller's named like those that are made, where no other test has them, and empty tables."""
+    vocabulary = byte_bpe.public_vocabulary()
+    clash = odd.withColumn("ids", F.lit("own")).withColumn("decoded", F.lit("own"))
+    coded = byte_bpe.decode(byte_bpe.encode(clash, *vocabulary), *vocabulary)
+    assert [c for c in coded.columns if c not in odd.columns] == ["ids", "decoded"] and all(bytes(r.decoded).decode() == (r.text or "") for r in coded.collect())
+    model = toxicity.plain(0.5)
+    got = toxicity.score(odd.withColumn("score", F.lit("own")).withColumn("predicted", F.lit("own")), model)
+    assert got.columns == [*odd.columns, "score", "predicted"] and {r.predicted for r in got.collect()} == {1}
+    assert jaccard_join.keep_one(odd.limit(0)).collect() == [] and byte_bpe.encode(odd.limit(0), *vocabulary).collect() == []
