@@ -23,7 +23,7 @@ IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-LARGE = ("measured", "sets", "mixing", "long", "stitched", "taught")  # tables that grow with the texts
+LARGE = ("measured", "sets", "mixing", "long", "stitched", "scores", "free", "handed", "taught")  # tables that grow with the texts
 BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
 
 

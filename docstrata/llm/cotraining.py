@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, mix, utf8_rows, word_hashes, word_spans, written
-from .subword import Bag, bag, bag_logits, grams, logits_of, pack, train, unpack
+from .common import documents, emptied, map_batches, mix, recorded, utf8_rows, word_hashes, word_spans, written
+from .subword import NO_BAG, Bag, bag, bag_logits, grams, logits_of, pack, train, unpack
 from .toxicity import platt
 
 LABELLED = 1500
@@ -139,7 +139,7 @@ def taught_views(taught: DataFrame, known: list[tuple[Bag, np.ndarray]], label:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         view, rows = rows["view"].iloc[0], rows.sort_values("h")
-        more = [(unpack(b), np.asarray(m, dtype=float)) for b, m in zip(rows["bag"], rows["meta"], strict=True)]
+        more = [(unpack(b) if b is not None else NO_BAG, np.asarray(m, dtype=float)) for b, m in zip(rows["bag"], rows["meta"], strict=True)]
         values = fit_view(view, [*known, *more], np.append(label, rows["y"].to_numpy()).astype(np.int64), seed)
         return pd.DataFrame({"view": view, "slot": np.arange(len(values), dtype=np.int32), "value": values})
 
@@ -151,7 +151,16 @@ def taught_views(taught: DataFrame, known: list[tuple[Bag, np.ndarray]], label:
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 23) -> dict | None:
-    """docs (doc_id, text, lang, source, n_chars), labels (doc_id, quality)."""
+    """docs (doc_id, text, lang, source, n_chars), labels (doc_id, quality).  The model is whole when this returns, so the tables
+    it was made with are emptied."""
+    made: list[str] = []
+    with recorded(made):
+        model = _fit(docs, labels, seed)
+    emptied(docs.sparkSession, made)
+    return model
+
+
+def _fit(docs: DataFrame, labels: DataFrame, seed: int) -> dict | None:
     keyed = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")).withColumn("h", record_hash(seed))
     labels = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("z")).filter("y = z").drop("z")
     given = keyed.select("doc_id", "h").join(labels, "doc_id").groupBy("doc_id", "y").agg(F.min("h").alias("h"))
@@ -193,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 23) -> dict | None:
         picked = free.select("h", said("text_z").alias("of_text"), said("meta_z").alias("of_meta")).filter("coalesce(of_text, of_meta) is not null and coalesce(of_text = of_meta, true)")
         picked = written(picked, "handed")
         pairs = F.explode(F.array(F.struct(F.lit("meta").alias("view"), F.col("of_text").alias("y")), F.struct(F.lit("text").alias("view"), F.col("of_meta").alias("y"))))
-        rows = feature_rows(keyed, picked.select("h")).join(picked, "h").select("h", pairs.alias("x"), "bag", "meta").select("x.view", "h", "x.y", "bag", "meta").filter("y is not null")
+        rows = feature_rows(keyed, picked.select("h")).join(picked, "h").select("h", pairs.alias("x"), "bag", "meta").filter("x.y is not null")
+        rows = rows.select("x.view", "h", "x.y", F.when(F.col("x.view") == "text", F.col("bag")).alias("bag"), "meta")
         fresh = written(rows, "taught")
         if fresh.isEmpty():
             break
