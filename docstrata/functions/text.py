@@ -183,9 +183,9 @@ def title_description(mime: Column, text: Column) -> Column:
 
 def fallback_description(path: Column, mime: Column, text: Column) -> Column:
     """Heading and start of a text, or whichever it has; type and length of anything else."""
-    body = trimmed(F.coalesce(text, F.lit("")))
-    heading = F.nullif(trimmed(F.regexp_extract(body, HEADING, 1)), F.lit(""))
-    shown = F.nullif(F.concat_ws(" — ", heading, F.nullif(one_line(body), F.lit(""))), F.lit(""))
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  read once, used often
+    or_null = lambda value: bound(value, lambda x: F.when(x != "", x))
+    shown = bound(trimmed(F.coalesce(text, F.lit(""))), lambda body: or_null(F.concat_ws(" — ", or_null(trimmed(F.regexp_extract(body, HEADING, 1))), or_null(one_line(body)))))
     other = F.concat(mime, F.lit(" · "), F.char_length(F.coalesce(text, F.lit(""))).cast("string"), F.lit(" chars"))
     return F.when(_textual(mime, "application/json", "application/yaml"), F.coalesce(shown, F.concat(path, F.lit(" ("), mime, F.lit(")")))).otherwise(other)
 

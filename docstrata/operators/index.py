@@ -20,22 +20,17 @@ CHUNK = ("logical_path", "version_id", "chunk_index")
 
 def postings_of(chunks: DataFrame, sign: int) -> DataFrame:
     """(path, version_id, chunk_index, len, term, tf, sign) of chunks."""
-    rows = chunks.select(*CHUNK, R.tokens(F.col("search_text")).alias("t")).withColumn("len", F.size("t"))
-    rows = rows.select(*CHUNK, "len", F.explode("t").alias("term")).groupBy(*CHUNK, "len", "term").agg(F.count("*").alias("tf"))
-    return rows.withColumn("sign", F.lit(sign))
-
-
-def _sums(chunks: DataFrame, sign: int) -> DataFrame:
-    return chunks.select(F.lit(sign).alias("n"), (F.size(R.tokens(F.col("search_text"))) * sign).alias("total_len"))
+    return R.term_counts(chunks, R.tokens(F.col("search_text")), *CHUNK).withColumn("sign", F.lit(sign))
 
 
 def deltas(base: Snapshot, added: DataFrame | None, left: DataFrame | None) -> dict[str, list[str]]:
     """Written parts of the index for chunks that become current and chunks that no longer are."""
     sides = [(c, sign) for c, sign in ((added, 1), (left, -1)) if c is not None]
-    postings, sums = [postings_of(c, s) for c, s in sides], [_sums(c, s) for c, s in sides]
     both = lambda x: x[0] if len(x) == 1 else x[0].unionByName(x[1])
-    corpus = both(sums).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total_len"), F.lit(0)).alias("total_len"))
-    name = base.write("postings", both(postings))
+    name = base.write("postings", both([postings_of(c, s) for c, s in sides]))
+    words = base.part("postings", name).select(F.lit(0).alias("n"), (F.col("tf") * F.col("sign")).alias("total_len"))
+    sums = both([words, both([c.select(F.lit(s).alias("n"), F.lit(0).cast("long").alias("total_len")) for c, s in sides])])
+    corpus = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total_len"), F.lit(0)).alias("total_len"))
     out = {"postings": [name], "corpus": [base.write("corpus", corpus)]}
     if added is not None:
         fresh = base.part("postings", name).filter("sign > 0").join(base.read("vocabulary").select("term"), "term", "left_anti")
@@ -45,7 +40,7 @@ def deltas(base: Snapshot, added: DataFrame | None, left: DataFrame | None) -> d
 
 def net(postings: DataFrame) -> DataFrame:
     """The postings of current chunks: what was taken out cancels what was added."""
-    rows = postings.groupBy(*CHUNK, "len", "term").agg(F.sum(F.col("tf") * F.col("sign")).alias("tf"))
+    rows = postings.repartition(*CHUNK).groupBy(*CHUNK, "len", "term").agg(F.sum(F.col("tf") * F.col("sign")).alias("tf"))
     return rows.filter("tf > 0")
 
 

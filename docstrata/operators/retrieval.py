@@ -1,23 +1,27 @@
 """Retrieval for batches of queries: BM25, exact cosine, reciprocal-rank fusion, diversity, rerank, evaluation.
 
 A batch of queries is the caller's and small; its terms and vectors are broadcast after a check of their number.  All
-other data stays partitioned by document, and each query keeps ``depth`` candidates.
+other data stays partitioned by document, and each query keeps ``depth`` candidates: scores are made and cut to these in
+tasks that hold whole documents, so that pairs of queries and documents are never shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DataType, IntegerType, StructField, StructType
 
 from ..functions.text import make_snippet, snippet_terms
+from ..session import shared_dir
 from .store import current_chunks
 
 K1, B = 1.2, 0.75
@@ -41,14 +45,27 @@ def _bounded(hits: DataFrame, queries: DataFrame, depth: int) -> DataFrame:
 
 
 def tokens(text: Column, pattern: str = "[^a-z]+") -> Column:
-    return F.filter(F.split(F.lower(text), pattern), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), pattern), "")
+
+
+def term_counts(rows: DataFrame, words: Column, *keep: str) -> DataFrame:
+    """(keep..., len, term, tf): how often each word of an array is in it.  A row's words are sorted and counted in place, so
+    nothing is shuffled; rows alike in keep are not added up."""
+    rows = rows.select(*keep, F.sort_array(words).alias("__t")).withColumn("len", F.size("__t"))
+    rows = rows.withColumn("__p", F.expr("case when len > 0 then filter(sequence(0, len - 1), i -> i = 0 or __t[i] <> __t[i - 1]) else array() end"))
+    rows = rows.withColumn("__x", F.expr("transform(__p, (p, j) -> struct(__t[p] as term, cast(coalesce(get(__p, j + 1), len) - p as long) as tf))"))
+    # Outer, as a filter of empty arrays would be moved below and sort once for each word.
+    return rows.select(*keep, "len", F.posexplode_outer("__x").alias("__i", "__x")).filter("__i is not null").select(*keep, "len", "__x.term", "__x.tf")
 
 
 def term_statistics(docs: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
-    """Postings (key, len, term, tf) and corpus statistics (n, avg_len), for a maintained index."""
-    tok = docs.select(key, tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    postings = tok.select(key, "len", F.explode("t").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
-    return postings, tok.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    """Postings (key, len, term, tf) and corpus statistics (n, avg_len), for a maintained index.  Postings of rows alike in
+    key are added up by a search."""
+    return term_counts(docs, tokens(F.col("text")), key), docs.agg(F.count("*").alias("n"), _mean_length())
+
+
+def _mean_length() -> Column:
+    return F.avg(F.regexp_count(F.lower("text"), F.lit("[a-z]+"))).alias("avg_len")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "key", stem: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -57,7 +74,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "key", ste
     words = (lambda c: F.transform(tokens(c), stem)) if stem else tokens
     terms = _small(queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term")))
     tok = docs.select(key, words(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    corpus = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower("text"), F.lit("[a-z]+"))).alias("avg_len"))
+    corpus = docs.agg(F.count("*").alias("n"), _mean_length())
     hits = tok.select(key, "len", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     return ranked(hits.groupBy(key, "len", "term").agg(F.count("*").alias("tf")), corpus, terms, k, key)
 
@@ -75,7 +92,56 @@ def bm25_of_index(postings: DataFrame, corpus: DataFrame, queries: DataFrame, k:
 
 def ranked(hits: DataFrame, corpus: DataFrame, terms: DataFrame, k: int, key: str, kept: Callable[[Column], Column] | None = None) -> DataFrame:
     """Scores from the postings (key, len, term, tf) of the queries' terms (query_id, term) alone.  kept says which keys
-    are ranked; all count in the document frequencies."""
+    are ranked; all count in the document frequencies.  Hits of one key and length are added up.  They are dealt by key once
+    and written, a row a key; a task scores whole keys against all queries and hands on its best k of each.  Terms beyond
+    MAX_QUERIES are joined instead."""
+    hits = hits.repartition(key).groupBy(key, "len", "term").agg(F.sum("tf").alias("tf"))
+    asked = terms.select("query_id", "term").limit(MAX_QUERIES + 1).collect()
+    if not 0 < len(asked) <= MAX_QUERIES:
+        return _joined(hits, corpus, terms, k, key, kept)
+    spark, where = hits.sparkSession, f"{shared_dir(hits.sparkSession)}/hits-{uuid.uuid4().hex}"
+    words, ids = sorted({r["term"] for r in asked}), list(dict.fromkeys(r["query_id"] for r in asked))
+    place, number = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
+    fields = _fields(hits, key)
+    rows = hits.join(F.broadcast(spark.createDataFrame(list(place.items()), "term string, t int")), "term")
+    rows.groupBy(key).agg(F.collect_list(F.struct("t", "len", "tf")).alias("h")).write.parquet(where)
+    rows = spark.read.parquet(where)
+    counted, (n, avg_len) = np.zeros(len(words)), corpus.select("n", "avg_len").first()
+    for r in rows.select(F.explode("h.t").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # at most a row a term
+        counted[r["t"]] = r["df"]
+    of = sorted((place[r["term"]], number[r["query_id"]]) for r in asked)
+    rows = rows.filter(kept(F.col(key))) if kept else rows
+    own = rows.select(*[c.alias(name) for name, c, *_ in fields], F.col("h.t").alias("t"), F.col("h.len").alias("len"), F.col("h.tf").alias("tf"))
+    names = [name for name, *_ in fields]
+    scores = own.mapInArrow(_scored(np.array(of, dtype=np.int64), np.log(1 + (n - counted + 0.5) / (counted + 0.5)), float(avg_len or 0), len(ids), k, names), _hit_schema(fields))
+    numbered = spark.createDataFrame([(i, q) for i, q in enumerate(ids)], StructType([StructField("query", IntegerType()), terms.schema["query_id"]]))
+    return top_k(scores.join(F.broadcast(numbered), "query").select("query_id", _key(fields, hits.schema[key].dataType, key), "score"), k, key)
+
+
+def _scored(of: np.ndarray, idf: np.ndarray, avg_len: float, queries: int, k: int, names: list[str]):
+    """Batches of (keys..., t, len, tf), a row a key, to the best k of each query.  of is the sorted pairs of a term and a query
+    that asks for it."""
+    first, asked = np.searchsorted(of[:, 0], np.arange(len(idf))), np.bincount(of[:, 0], minlength=len(idf))
+    step = max(1, PAIRS // queries)
+
+    def hits(batch: pa.RecordBatch) -> pa.Table:
+        t, length, tf = (c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns[len(names) :])
+        part = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
+        row, times = np.repeat(np.arange(batch.num_rows), batch.column(len(names)).value_lengths().to_numpy(zero_copy_only=False)), asked[t]
+        within = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        cell = of[np.repeat(first[t], times) + within, 1] * batch.num_rows + np.repeat(row, times)
+        size = queries * batch.num_rows
+        scores = rounded(np.bincount(cell, np.repeat(part, times), size))
+        scores[np.bincount(cell, minlength=size) == 0] = -np.inf
+        return _least(scores.reshape(queries, batch.num_rows), batch, k, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _kept((hits(b.slice(i, step)) for b in batches for i in range(0, b.num_rows, step)), queries, k, names)
+
+    return run
+
+
+def _joined(hits: DataFrame, corpus: DataFrame, terms: DataFrame, k: int, key: str, kept: Callable[[Column], Column] | None = None) -> DataFrame:
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = terms.join(df, "term").crossJoin(F.broadcast(corpus))  # one row of corpus statistics
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -119,44 +185,70 @@ def rounded(scores: np.ndarray) -> np.ndarray:
     return out + 0.0
 
 
+def _best(table: pa.Table, k: int, names: list[str]) -> pa.Table:
+    """The first k rows of each query by score, ties by key, as ``top_k`` orders them."""
+    order = [("query", "ascending"), ("score", "descending"), *((n, "ascending") for n in names)]
+    table = table.take(pc.sort_indices(table, order, null_placement="at_start"))
+    query = table.column("query").to_numpy()
+    first = np.flatnonzero(np.diff(query, prepend=-1))
+    within = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return table.filter(pa.array(within < k))
+
+
+def _least(scores: np.ndarray, batch: pa.RecordBatch, k: int, names: list[str]) -> pa.Table:
+    """The best k rows of a batch for each query, of scores (a row a query); what has the score -inf is no hit."""
+    hit = scores > -np.inf
+    if scores.shape[1] > k:  # whatever ties with the k-th is left to the order by key
+        hit &= scores >= np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k][:, None]
+    query, row = np.nonzero(hit)
+    found = {n: c.take(pa.array(row)) for n, c in zip(names, batch.columns, strict=False)}
+    return _best(pa.table({"query": pa.array(query.astype(np.int32)), **found, "score": pa.array(scores[query, row])}), k, names)
+
+
+def _kept(tables: Iterator[pa.Table], queries: int, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A task's best k of each query: what each step adds is merged."""
+    held: list[pa.Table] = []
+    for table in tables:
+        held.append(table)
+        if sum(t.num_rows for t in held) > 4 * k * queries:
+            held = [_best(pa.concat_tables(held), k, names)]
+    if held:
+        yield from _best(pa.concat_tables(held), k, names).to_batches()
+
+
+def _fields(rows: DataFrame, key: str) -> list[tuple[str, Column, str, str]]:
+    """(name, column, type, label) of a key, or of the fields of one that is a struct."""
+    kind = rows.schema[key].dataType
+    if isinstance(kind, StructType):
+        return [(f"k{i}", F.col(f"{key}.`{f.name}`"), f.dataType.simpleString(), f.name) for i, f in enumerate(kind.fields)]
+    return [("k0", F.col(key), kind.simpleString(), "")]
+
+
+def _key(fields: list[tuple[str, Column, str, str]], kind: DataType, key: str) -> Column:
+    whole = F.struct(*[F.col(name).alias(label) for name, _, _, label in fields]) if isinstance(kind, StructType) else F.col("k0")
+    return whole.alias(key)
+
+
+def _hit_schema(fields: list[tuple[str, Column, str, str]]) -> str:
+    return ", ".join(["query int", *(f"{name} {kind}" for name, _, kind, _ in fields), "score double"])
+
+
 def _nearest(asked: np.ndarray, k: int, names: list[str]):
     """Batches of (keys..., embedding) to the best k of each query (query, keys..., score).  A batch's scores are products of
     blocks of both sides; a task keeps k hits a query, and merges what each batch adds."""
     unit = asked / np.linalg.norm(asked, axis=1, keepdims=True)
-    order = [("query", "ascending"), ("score", "descending"), *((n, "ascending") for n in names)]
+    step = max(1, PAIRS // len(asked))
 
-    def best(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        query = table.column("query").to_numpy()
-        first = np.flatnonzero(np.diff(query, prepend=-1))
-        within = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
-        return table.filter(pa.array(within < k))
-
-    def hits(batch: pa.RecordBatch) -> pa.Table | None:
+    def hits(batch: pa.RecordBatch) -> pa.Table:
         vectors = batch.column(batch.num_columns - 1)
         flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         if len(flat) != len(vectors) * asked.shape[1]:
             raise ValueError(f"a vector is not of dimension {asked.shape[1]}")
         rows = flat.reshape(len(vectors), asked.shape[1])
-        scores = rounded(unit @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T)
-        if scores.shape[1] > k:  # whatever ties with the k-th is left to the order by key
-            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-            query, row = np.nonzero(scores >= least[:, None])
-        else:
-            query, row = np.nonzero(np.ones_like(scores, dtype=bool))
-        found = {n: c.take(pa.array(row)) for n, c in zip(names, batch.columns, strict=False)}
-        return best(pa.table({"query": pa.array(query.astype(np.int32)), **found, "score": pa.array(scores[query, row])}))
+        return _least(rounded(unit @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T), batch, k, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        for batch in batches:
-            step = max(1, PAIRS // len(asked))
-            for i in range(0, batch.num_rows, step):
-                held.append(hits(batch.slice(i, step)))
-                if sum(t.num_rows for t in held) > 4 * k * len(asked):
-                    held = [best(pa.concat_tables(held))]
-        if held:
-            yield from best(pa.concat_tables(held)).to_batches()
+        yield from _kept((hits(b.slice(i, step)) for b in batches for i in range(0, b.num_rows, step)), len(asked), k, names)
 
     return run
 
@@ -165,26 +257,23 @@ def semantic(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "ke
     """(query_id, key, score, rank): the stated queries (query_id, vector) against every row of vectors (key, embedding), by
     cosine.  Queries go along with a pass over the vectors in blocks of a fixed size; more of them take more passes, over
     the same partitions.  A null or zero vector is like nothing."""
-    kind = vectors.schema[key].dataType
-    fields = [(f"k{i}", F.col(f"{key}.`{f.name}`"), f.dataType.simpleString(), f.name) for i, f in enumerate(kind.fields)] if isinstance(kind, StructType) else [("k0", F.col(key), kind.simpleString(), "")]
+    fields = _fields(vectors, key)
     length = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     own = vectors.filter(length(F.col("embedding")) > 0).select(*[c.alias(n) for n, c, _, _ in fields], F.col("embedding").cast("array<double>").alias("embedding"))
     asked = queries.filter(length(F.col("vector")) > 0).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     n, dim = asked.agg(F.count("*"), F.max(F.size("vector"))).first()
     blocks = max(1, -(-n * (dim or 1) // QUERY_FLOATS))
-    schema = ", ".join(["query int", *(f"{name} {kind}" for name, _, kind, _ in fields), "score double"])
     parts = []
     for block in range(blocks):
         mine = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect() if n else []
         if not mine:
             continue
         numbered = queries.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(mine)], StructType([StructField("query", IntegerType()), asked.schema["query_id"]]))
-        found = own.mapInArrow(_nearest(np.array([r["vector"] for r in mine]), k, [name for name, *_ in fields]), schema)
+        found = own.mapInArrow(_nearest(np.array([r["vector"] for r in mine]), k, [name for name, *_ in fields]), _hit_schema(fields))
         parts.append(found.join(F.broadcast(numbered), "query"))  # as many rows as the block has queries
-    whole = F.struct(*[F.col(name).alias(label) for name, _, _, label in fields]) if isinstance(kind, StructType) else F.col("k0")
     if not parts:
         return queries.select("query_id").crossJoin(vectors.select(key).limit(0)).select("query_id", key, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    return top_k(reduce(DataFrame.unionByName, parts).select("query_id", whole.alias(key), "score"), k, key)
+    return top_k(reduce(DataFrame.unionByName, parts).select("query_id", _key(fields, vectors.schema[key].dataType, key), "score"), k, key)
 
 
 def top_k(scores: DataFrame, k: int, key: str = "key") -> DataFrame:
@@ -195,14 +284,17 @@ def top_k(scores: DataFrame, k: int, key: str = "key") -> DataFrame:
 
 
 def hash_vector(text: Column, dim: int = 64) -> Column:
-    """The default vectoriser: words hashed to buckets, counted and L2-normalised.  Buckets, counts and norm are each bound
-    to a lambda's variable, so the words are read once."""
+    """The default vectoriser: words hashed to buckets, counted and L2-normalised.  Buckets are sorted, so that each is counted
+    where it begins and ends; what is used more than once is bound to a lambda's variable."""
     bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-    buckets = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
-    count = lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double"))
+    buckets = F.sort_array(F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim))))
+    starts = lambda b: F.when(F.size(b) > 0, F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: (i == 0) | (F.get(b, i) != F.get(b, i - 1)))).otherwise(F.array().cast("array<int>"))
+    runs = lambda b: bound(starts(b), lambda p: F.transform(p, lambda at, j: F.struct(F.get(b, at), F.coalesce(F.get(p, j + 1), F.size(b)) - at)))
+    count = lambda n: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(n, i.cast("long")), F.lit(0)).cast("double"))
     scaled = lambda counts, norm: F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(0.0).cast("float"))
     length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return bound(buckets, lambda found: bound(count(found), lambda counts: bound(length(counts), lambda norm: scaled(counts, norm))))
+    number = bound(buckets, lambda b: F.map_from_entries(runs(b)))
+    return bound(bound(number, count), lambda counts: bound(length(counts), lambda norm: scaled(counts, norm)))
 
 
 def fuse(sem: DataFrame, kw: DataFrame, weight: float = 0.5, k: int = 60, depth: int = 50, key: str = "key") -> DataFrame:
