@@ -7,10 +7,13 @@ and the overlap are plain expressions and windows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,13 +150,41 @@ def chunk_documents(docs: DataFrame, cfg: Config = Config()) -> DataFrame:  # no
 def chunks_of(cfg: Config = Config()):  # noqa: B008
     """A function of a text column: its chunks as an array of (chunk_index, chunk_content, context)."""
 
-    @F.pandas_udf("array<struct<chunk_index:int,chunk_content:string,context:string>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"chunk_index": i, "chunk_content": c, "context": x} for i, (c, x) in enumerate(chunk(t or "", cfg))])
+    @F.arrow_udf("array<struct<chunk_index:int,chunk_content:string,context:string>>")
+    def cut(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = {"chunk_index": pa.int32(), "chunk_content": pa.string(), "context": pa.string()}
+        return by_slices(texts, lambda t: [(i, c, x) for i, (c, x) in enumerate(chunk(t or "", cfg))], names)
 
     return cut
 
 
+SLICE = 1 << 20  # characters of texts whose rows a task holds as Python objects at once
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """An Arrow array of texts in slices of about SLICE bytes; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > SLICE:
+            yield texts.slice(begin, i - begin)
+            begin, held = i, 0
+        held += int(size) + 64
+    yield texts.slice(begin)
+
+
+def by_slices(batches: Iterator[pa.Array], rows: Callable[[str | None], list[tuple]], names: dict[str, pa.DataType]) -> Iterator[pa.Array]:
+    """A list of structs for each text, made slice by slice and column by column: what is held grows with neither the batch
+    nor the table."""
+    for batch in batches:
+        for part in slices(batch):
+            found = [rows(t) for t in part.to_pylist()]
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            flat = [x for some in found for x in some]
+            columns = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate(names.values())]
+            yield pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(columns, list(names)))
+
+
 def hard_cut(docs: DataFrame, longest: int) -> DataFrame:
     """Cuts of a fixed length."""
     n = F.greatest(F.ceil(F.char_length("content") / longest), F.lit(1)).cast("int")
@@ -172,9 +203,10 @@ def section_lines(docs: DataFrame) -> DataFrame:
     """(logical_path, line_no, line, in_fence, section): the lines of the same reading as the chunks', the sections
     numbered by a running sum."""
 
-    @F.pandas_udf("array<struct<line_no:int,line:string,in_fence:boolean,heads:int>>")
-    def read(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"line_no": i, "line": line, "in_fence": fenced, "heads": int(bool(h))} for i, (line, fenced, h) in enumerate(lines_of(t or ""))])
+    @F.arrow_udf("array<struct<line_no:int,line:string,in_fence:boolean,heads:int>>")
+    def read(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = {"line_no": pa.int32(), "line": pa.string(), "in_fence": pa.bool_(), "heads": pa.int32()}
+        return by_slices(texts, lambda t: [(i, line, fenced, int(bool(h))) for i, (line, fenced, h) in enumerate(lines_of(t or ""))], names)
 
     rows = docs.select("logical_path", read("content").alias("x")).select("logical_path", F.inline("x"))
     return rows.withColumn("section", F.sum("heads").over(W.partitionBy("logical_path").orderBy("line_no"))).drop("heads")

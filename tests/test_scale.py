@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
+from docstrata.operators import chunks as C
 from docstrata.operators import index
 from docstrata.operators import retrieval as R
 from pyspark.sql import functions as F
@@ -31,3 +34,14 @@ def test_scores_are_cut_in_tasks(spark):
     want = R._joined(merged, corpus, terms, 3, "key")
     rows = lambda df: sorted((r.query_id, r["rank"], r.key, r.score) for r in df.collect())
     assert rows(found) == rows(want) == rows(R.bm25_of_index(hits, corpus, queries, 3)) and len(rows(found)) == 6 and rows(found)[0][2] == 0
+
+
+def test_texts_are_read_in_slices():
+    """Of a large batch, a task holds the rows of few texts at once; a long text stands alone, and none is lost or moved."""
+    texts = ["a" * 1000] * 3000 + [None, "b" * 3 * C.SLICE, ""]
+    parts = list(C.slices(pa.array(texts)))
+    assert [t for p in parts for t in p.to_pylist()] == texts and len(parts) > 4
+    assert all(len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= C.SLICE for p in parts)
+    made = list(C.by_slices(iter([pa.array(texts)]), lambda t: [(0, t)] if t else [], {"i": pa.int32(), "t": pa.string()}))
+    assert len(made) == len(parts) and sum(map(len, made)) == len(texts) and max(sum(len(x["t"]) for r in m.to_pylist() for x in r) for m in made) == 3 * C.SLICE
+    assert len(C.slices(pa.array([], pa.string())).__next__()) == 0
