@@ -18,7 +18,7 @@ from ..operators.store import current
 
 
 def _started(rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool, every: str) -> StreamingQuery:
-    out = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    out = rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)  # without state, the same as append
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 

@@ -1,55 +1,27 @@
 """The latest version of each path, kept as state while versions stream in, in any order.
 
-The state of a path is one row.  A version later than it takes its place and is emitted; an earlier one, and one that comes
-again, is ignored.  Which version is later is told by version_id, then by event_id.
+The state of a path is one row, an aggregate that Spark keeps and merges by partition: the greatest by version_id, then by
+event_id, so that an earlier version, and one that comes again, change nothing.  A batch emits the paths that it has rows of.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-ORDER = "logical_path string, version_id timestamp_ntz, event_id long, update long"
-
-
-class _Latest(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "version long, event long, updates long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for part in rows:  # one row a path and partition, see latest_stream
-            top = part.sort_values(["version_us", "event_id"]).iloc[-1]
-            if best is None or (top["version_us"], top["event_id"]) > (best["version_us"], best["event_id"]):
-                best = top
-        if best is None:
-            return
-        held = self.last.get() if self.last.exists() else None
-        if held is None or (int(best["version_us"]), int(best["event_id"])) > (held[0], held[1]):
-            updates = (held[2] if held else 0) + 1
-            self.last.update((int(best["version_us"]), int(best["event_id"]), updates))
-            yield pd.DataFrame([best]).assign(update=updates)
-
-    def close(self) -> None:
-        pass
 
 
 def latest_stream(rows: DataFrame) -> DataFrame:
-    """A stream of version rows (logical_path, version_id, event_id and any others) to the rows that become their path's
-    latest, with ``update``, which counts them: the one with the greatest is the latest."""
-    rows = rows.withColumn("version_us", F.unix_micros(F.col("version_id").cast("timestamp")))
-    schema = StructType(list(rows.schema.fields)).add("update", "long")
-    return rows.groupBy("logical_path").transformWithStateInPandas(_Latest(), outputStructType=schema, outputMode="update", timeMode="none")
+    """A stream of version rows (logical_path, version_id, event_id and any others) to the latest of each path that a batch
+    has rows of, with ``update``, which counts the path's rows so far: the one with the greatest is the latest."""
+    whole = F.struct("version_id", "event_id", *[c for c in rows.columns if c not in ("logical_path", "version_id", "event_id")])
+    held = rows.groupBy("logical_path").agg(F.max_by(whole, F.struct("version_id", "event_id")).alias("x"), F.count("*").alias("update"))
+    return held.select("logical_path", "x.*", "update").select(*rows.columns, "update")
 
 
 def last_updates(updates: DataFrame) -> DataFrame:
     """The latest row of each path, of all that ``latest_stream`` has written."""
-    r = F.row_number().over(W.partitionBy("logical_path").orderBy(F.desc("update")))
-    return updates.withColumn("__r", r).filter("__r = 1").drop("__r", "update", "version_us")
+    rest = [c for c in updates.columns if c not in ("logical_path", "update", "batch")]
+    last = updates.groupBy("logical_path").agg(F.max_by(F.struct(*rest), "update").alias("x"))
+    return last.select("logical_path", "x.*")

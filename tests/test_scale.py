@@ -7,6 +7,7 @@ import pyarrow as pa
 from docstrata.operators import chunks as C
 from docstrata.operators import index
 from docstrata.operators import retrieval as R
+from docstrata.streaming import latest
 from pyspark.sql import functions as F
 
 
@@ -45,3 +46,11 @@ def test_texts_are_read_in_slices():
     made = list(C.by_slices(iter([pa.array(texts)]), lambda t: [(0, t)] if t else [], {"i": pa.int32(), "t": pa.string()}))
     assert len(made) == len(parts) and sum(map(len, made)) == len(texts) and max(sum(len(x["t"]) for r in m.to_pylist() for x in r) for m in made) == 3 * C.SLICE
     assert len(C.slices(pa.array([], pa.string())).__next__()) == 0
+
+
+def test_latest_state_is_an_aggregate(spark, tmp_path):
+    """A batch of many paths is merged by Spark's own state, not by a call of Python for each path."""
+    spark.range(4).selectExpr("'a' as logical_path", "timestamp_ntz'2024-01-01' as version_id", "id as event_id").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("logical_path string, version_id timestamp_ntz, event_id long").parquet(str(tmp_path / "in"))
+    plan = latest.latest_stream(stream)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "max_by" in plan
