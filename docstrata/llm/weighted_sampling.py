@@ -117,14 +117,18 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         pick = lambda v: F.first(F.when(F.col("v") == v, F.col("sig")), ignorenulls=True)
         return drawn.groupBy("doc_id", "n_chars", "edited_sha256", "same").agg(pick(0).alias("sig"), pick(1).alias("edited_sig"), F.max("rows").alias("rows"))
 
-    both = sampled(rows).unionByName(sampled(docs.filter("__id is null").withColumn("head", F.lit(""))))
+    # The plan of a sample is long; its second half and what follows from it are only there for rows that need them.
+    nameless = docs.filter("__id is null")
+    some = not nameless.select("__id").isEmpty()
+    both = sampled(rows).unionByName(sampled(nameless.withColumn("head", F.lit("")))) if some else sampled(rows)
     both = written(both, "fingerprints")
     named = both.filter("doc_id is not null")
     least = named.groupBy("doc_id").agg(F.min_by("sig", "same").alias("next_sig")).withColumnRenamed("doc_id", "next_id")
     linked = following.select("doc_id", "next_id").join(least, "next_id").select("doc_id", "next_sig")
     near = named.join(linked, "doc_id").withColumn("near_next", likeness("sig", "next_sig"))
-    lone = both.filter("doc_id is null").withColumn("next_sig", F.lit(None).cast("array<int>")).withColumn("near_next", F.lit(None).cast("double"))
-    return repeated(near.unionByName(lone), "rows").select(
+    if some:
+        near = near.unionByName(both.filter("doc_id is null").withColumn("next_sig", F.lit(None).cast("array<int>")).withColumn("near_next", F.lit(None).cast("double")))
+    return repeated(near, "rows").select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sig"), samples).alias("fingerprint"), fingerprint(F.col("edited_sig"), samples).alias("edited_fingerprint"),
         likeness("sig", "edited_sig").alias("near_edited"), "near_next",
     )

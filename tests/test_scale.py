@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 
+from docstrata.llm import weighted_sampling
 from docstrata.operators import chunks as C
 from docstrata.operators import index
 from docstrata.operators import retrieval as R
@@ -54,3 +55,13 @@ def test_latest_state_is_an_aggregate(spark, tmp_path):
     stream = spark.readStream.schema("logical_path string, version_id timestamp_ntz, event_id long").parquet(str(tmp_path / "in"))
     plan = latest.latest_stream(stream)._jdf.queryExecution().analyzed().toString()
     assert "TransformWithState" not in plan and "max_by" in plan
+
+
+def test_fingerprints_sample_once(spark, monkeypatch):
+    """Rows without an id have a sample of their own; without such rows its long plan is not made."""
+    made, sample = [], weighted_sampling.sample
+    monkeypatch.setattr(weighted_sampling, "sample", lambda *a: made.append(1) or sample(*a))
+    for docs, samples in (([(1, "oak elm"), (2, "ash")], 1), ([(1, "oak elm"), (None, "ash")], 2)):
+        made.clear()
+        rows = weighted_sampling.fingerprints(spark.createDataFrame(docs, "doc_id long, text string"), 2)
+        assert len(made) == samples and rows.count() == 2
