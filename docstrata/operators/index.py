@@ -33,7 +33,7 @@ def deltas(base: Snapshot, added: DataFrame | None, left: DataFrame | None) -> d
     corpus = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total_len"), F.lit(0)).alias("total_len"))
     out = {"postings": [name], "corpus": [base.write("corpus", corpus)]}
     if added is not None:
-        fresh = base.part("postings", name).filter("sign > 0").join(base.read("vocabulary").select("term"), "term", "left_anti")
+        fresh = base.part("postings", name).filter("sign > 0").select("term").distinct().join(base.read("vocabulary").select("term"), "term", "left_anti")
         out["vocabulary"] = [base.write("vocabulary", stems(fresh))]
     return out
 

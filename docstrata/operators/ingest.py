@@ -25,7 +25,7 @@ from . import store as S
 from .chunks import Config, chunks_of
 from .convert import converted
 from .retrieval import hash_vector
-from .snapshots import SCHEMAS, Snapshot, commit, remove_folder, replaced, snapshot, together, whole
+from .snapshots import PLACE, SCHEMAS, WRITTEN, Snapshot, chosen, commit, placed, remove_folder, replaced, snapshot, together, whole
 
 PATH, KEY = "logical_path", ["logical_path", "version_id"]
 BLOBS = SCHEMAS["blobs"]
@@ -46,13 +46,18 @@ class Settings:
     change_note: str | None = None
 
 
-def once(entries: DataFrame) -> DataFrame:
-    """One entry a path (see the module's cases), with source_sha256, error and the number of those left out.  Entries that a
-    probe has found unchanged (``probed``) need no bytes."""
+def stated(entries: DataFrame) -> DataFrame:
+    """Entries with source_sha256, their size, and what is wrong with them.  Entries that a probe has found unchanged (``probed``)
+    need no bytes."""
     probed = F.coalesce("probed", F.lit(False)) if "probed" in entries.columns else F.lit(False)
     error = F.col("error") if "error" in entries.columns else F.lit(None).cast("string")
     every = F.col("refresh_frequency_sec") if "refresh_frequency_sec" in entries.columns else F.lit(None).cast("int")
-    rows = entries.select(*ENTRY, F.when(~probed, F.coalesce(error, F.when(F.col("bytes").isNull(), "no bytes"))).alias("error"), probed.alias("probed"), every.alias("refresh_frequency_sec"), F.sha2("bytes", 256).alias("source_sha256"))
+    error = F.when(~probed, F.coalesce(error, F.when(F.col("bytes").isNull(), "no bytes")))
+    return entries.select(*ENTRY, error.alias("error"), probed.alias("probed"), every.alias("refresh_frequency_sec"), F.sha2("bytes", 256).alias("source_sha256"), F.octet_length("bytes").cast("long").alias("size_bytes"))
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """One entry a path (see the module's cases), of stated ones, and the number of those left out."""
     order = F.struct(F.col("error").isNull(), F.coalesce("source_mtime_ms", F.lit(-1)), F.coalesce("source_sha256", F.lit("")))
     rest = [c for c in rows.columns if c != PATH]
     best = rows.groupBy(PATH).agg(F.max_by(F.struct(*rest), order).alias("x"), (F.count("*") - 1).alias("duplicates"))
@@ -73,16 +78,16 @@ def judged(entries: DataFrame, files: DataFrame, version: Column, force: bool =
     return rows.withColumn("change", F.when(F.col("status") == "ok", F.when(there, "changed").otherwise("new"))).drop("__last", "__sha", "__gone")
 
 
-def versions(rows: DataFrame, version: Column, settings: Settings = Settings(), carried: Sequence[Column] = ()) -> DataFrame:  # noqa: B008
-    """Version rows, with their bytes, of entries (and source_sha256): markdown and description."""
+def versions(rows: DataFrame, version: Column, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """Version rows of stated entries: markdown and description."""
     rows = converted(rows, PATH, settings.structured, settings.caption, settings.max_captions)
     inline = F.col("source_type") == "inline"
     return rows.select(
         PATH, version.alias("version_id"), F.lit(False).alias("tombstone"), "source_type", "source_path", "source_mtime_ms", "source_sha256",
         F.when(~inline, F.col("source_sha256")).alias("blob_sha256"), F.sha2("content", 256).alias("content_sha256"), "content",
-        describe(F.col(PATH), F.col("mime_type"), F.col("content"), settings.model and settings.model(F.col("mime_type"), F.col("content"))).alias("description"), "mime_type", F.octet_length("bytes").cast("long").alias("size_bytes"),
+        describe(F.col(PATH), F.col("mime_type"), F.col("content"), settings.model and settings.model(F.col("mime_type"), F.col("content"))).alias("description"), "mime_type", "size_bytes",
         F.coalesce("refresh_frequency_sec", F.lit(settings.refresh_frequency_sec)).cast("int").alias("refresh_frequency_sec"), version.alias("refreshed_at"), F.lit("ok").alias("last_refresh_status"),
-        F.lit(settings.change_note).cast("string").alias("change_note"), "bytes", *carried,
+        F.lit(settings.change_note).cast("string").alias("change_note"),
     )
 
 
@@ -95,11 +100,13 @@ def chunk_rows(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return rows.withColumn("embedding", settings.vector(F.col("search_text")))
 
 
-def blob_rows(files: DataFrame, known: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """The blobs of version rows with bytes that are not stored yet; the policy decides whether bytes are kept."""
-    rows = files.filter("blob_sha256 is not null").select(F.col("blob_sha256").alias("sha256"), "mime_type", "size_bytes", "bytes")
+def blob_rows(rows: DataFrame, ok: DataFrame, known: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """The blobs of placed entries that become versions (ok) and are not stored yet, each hash once; the policy decides whether
+    bytes are kept."""
+    hashes = ok.filter("source_type <> 'inline'").select(F.col("source_sha256").alias("sha256"), F.struct(*PLACE).alias("x"))
+    new = hashes.groupBy("sha256").agg(F.min("x").alias("x")).join(known.select("sha256"), "sha256", "left_anti")
     kept = persist_reason(F.col("mime_type"), F.col("size_bytes"), settings.max_blob_size, settings.skip_mimes).isNull()
-    return S.new_blobs(rows, known).withColumn("bytes", F.when(kept, F.col("bytes")))
+    return chosen(rows, new.select("x.*")).select(F.col("source_sha256").alias("sha256"), "mime_type", "size_bytes", F.when(kept, F.col("bytes")).alias("bytes"))
 
 
 def read_store(spark: SparkSession, where: str, at: int | None = None) -> dict[str, DataFrame]:
@@ -108,33 +115,30 @@ def read_store(spark: SparkSession, where: str, at: int | None = None) -> dict[s
     return {t: now.read(t) for t in SCHEMAS}
 
 
-def _publish(base: Snapshot, key: str, staged: DataFrame, version: Column, settings: Settings, graves: DataFrame | None = None, log: DataFrame | None = None) -> Snapshot:
-    """A commit of staged rows: entries with status, change, current and, if ok, their version row as ``made``."""
-    made = staged.filter("status = 'ok'").select("made.*")
-    files = made.drop("bytes")
-    left = staged.filter("status = 'ok' and current is not null").select(PATH, F.col("current").alias("version_id"))
+def _publish(base: Snapshot, key: str, rows: DataFrame, told: DataFrame, version: Column, settings: Settings, graves: DataFrame | None = None, log: DataFrame | None = None) -> Snapshot:
+    """A commit of placed entries, and what is told of each path: status, change, current, and the place of its entry."""
+    ok = told.filter("status = 'ok'")
+    files = versions(chosen(rows, ok), version, settings)
+    left = ok.filter("current is not null").select(PATH, F.col("current").alias("version_id"))
     if graves is not None:
         files = files.unionByName(graves.drop("current"), allowMissingColumns=True)
         left = left.unionByName(graves.select(PATH, F.col("current").alias("version_id")))
-    adds = {"files": [base.write("files", files)], "chunks": [base.write("chunks", chunk_rows(made, settings))], "blobs": [base.write("blobs", blob_rows(made, base.read("blobs"), settings))]}
-    added = base.part("chunks", adds["chunks"][0])
-    adds |= index.deltas(base, added, base.read("chunks").join(left, KEY, "left_semi"))
+    adds = {"files": [base.write("files", files)]}
+    adds["chunks"] = [base.write("chunks", chunk_rows(base.part("files", adds["files"][0]).filter("not tombstone"), settings))]
+    adds["blobs"] = [base.write("blobs", blob_rows(rows, ok, base.read("blobs"), settings))]
+    adds |= index.deltas(base, base.part("chunks", adds["chunks"][0]), base.only("chunks", left, KEY))
     made_version = F.when(F.col("status") == "ok", version).otherwise(F.col("current"))
-    told = staged.select(F.lit(key).alias("key"), PATH, made_version.alias("version_id"), "status", "change", "error", "mime_type", "size_bytes", "source_sha256", "duplicates")
-    adds["outcomes"] = [base.write("outcomes", told)]
+    outcomes = told.select(F.lit(key).alias("key"), PATH, made_version.alias("version_id"), "status", "change", "error", "mime_type", "size_bytes", "source_sha256", "duplicates")
+    adds["outcomes"] = [base.write("outcomes", outcomes)]
     if log is not None:
         adds["refreshes"] = [base.write("refreshes", log)]
     return commit(base, key, adds)
 
 
-def _staged(base: Snapshot, rows: DataFrame, version: Column, settings: Settings) -> tuple[DataFrame, str]:
-    """Judged entries written with their version rows, so that nothing is converted once for each table."""
-    path = f"{base.where}/staged/{uuid.uuid4().hex}"
-    rows = rows.withColumns({"bytes": F.when(F.col("status") == "ok", F.col("bytes")), "__size": F.octet_length("bytes").cast("long")})
-    new = versions(rows, version, settings, [F.struct("status", "change", "error", "current", "duplicates", F.col("__size").alias("size_bytes")).alias("told")])
-    made = F.struct(*[c for c in new.columns if c != "told"])
-    new.select(PATH, "told.*", "mime_type", "source_sha256", F.when(F.col("told.status") == "ok", made).alias("made")).write.parquet(path)
-    return base.spark.read.parquet(path), path
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    """Rows as written once, so that a batch is read once, and judged without its bytes."""
+    rows.write.options(**WRITTEN).parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def ingest_batch(spark: SparkSession, where: str, key: str | int, entries: DataFrame, version: Column, settings: Settings = Settings(), in_scope: str | Column | None = None, force: bool = False, gated: bool = True) -> Snapshot:  # noqa: B008
@@ -145,14 +149,15 @@ def ingest_batch(spark: SparkSession, where: str, key: str | int, entries: DataF
     base, key = snapshot(spark, where), str(key)
     if key in base.keys:
         return base
-    files = base.read("files")
-    staged, path = _staged(base, judged(once(entries), files, version, force, gated), version, settings)
+    files, path = base.read("files"), f"{base.where}/staged/{uuid.uuid4().hex}"
+    rows = placed(_kept(stated(entries), f"{path}/entries"))
+    told = _kept(judged(once(rows.drop("bytes")), files, version, force, gated), f"{path}/told")
     graves = None
     if in_scope is not None:
         now = S.current(files).filter(F.col(PATH).startswith(in_scope) if isinstance(in_scope, str) else in_scope)
-        gone = S.gone(now, staged).select(PATH, F.col("version_id").alias("current"))
+        gone = S.gone(now, told).select(PATH, F.col("version_id").alias("current"))
         graves = gone.select(PATH, "current", version.alias("version_id"), F.lit(True).alias("tombstone"), F.lit("source gone").alias("change_note"))
-    done = _publish(base, key, staged, version, settings, graves)
+    done = _publish(base, key, rows, told, version, settings, graves)
     remove_folder(spark, path)
     return done
 
@@ -188,19 +193,22 @@ def refresh(spark: SparkSession, where: str, key: str | int, live: Callable[[Dat
     base, key = snapshot(spark, where), str(key)
     if key in base.keys:
         return base
-    asked = due(base, at).select(PATH, F.col("version_id").alias("current"), "source_type", "source_path", F.col("source_sha256").alias("__old"), F.col("mime_type").alias("__mime"), "refresh_frequency_sec")
-    found = live(asked).select(PATH, "bytes", "mime_type", "source_mtime_ms", "error", F.lit(True).alias("__there"))
-    rows = asked.join(found, PATH, "left").withColumn("source_sha256", F.sha2("bytes", 256))
+    path = f"{base.where}/staged/{uuid.uuid4().hex}"
+    asked = _kept(due(base, at).select(PATH, F.col("version_id").alias("current"), "source_type", "source_path", F.col("source_sha256").alias("__old"), F.col("mime_type").alias("__mime"), "refresh_frequency_sec"), f"{path}/asked")
+    found = live(asked).select(PATH, "bytes", "mime_type", "source_mtime_ms", "error")
+    of = asked.select(PATH, "source_type", "source_path", "__mime", "refresh_frequency_sec").hint("shuffle_hash")  # the side with bytes is not sorted
+    rows = placed(_kept(stated(found.join(of, PATH).withColumn("mime_type", F.coalesce("mime_type", "__mime"))), f"{path}/entries"))
+    there = rows.select(PATH, "mime_type", "error", "source_sha256", "size_bytes", *PLACE)
+    told = asked.drop("refresh_frequency_sec", "source_path").join(there, PATH, "left")
     inline = F.col("source_type") == "inline"
-    error = F.when(inline, None).otherwise(F.coalesce("error", F.when(F.col("__there").isNull(), "source gone"), F.when(F.col("bytes").isNull(), "no bytes")))
+    error = F.when(inline, None).otherwise(F.when(F.col("__at").isNull(), "source gone").otherwise(F.col("error")))
     same = inline | (F.coalesce(F.col("source_sha256") == F.col("__old"), F.lit(False)) & F.lit(not force))
-    rows = rows.withColumn("error", error).withColumn("mime_type", F.coalesce("mime_type", "__mime"))
-    rows = rows.withColumn("status", F.when(F.col("error").isNotNull(), "failed").when(same, "unchanged").otherwise("ok"))
-    rows = rows.withColumns({"change": F.when(F.col("status") == "ok", "changed"), "duplicates": F.lit(0).cast("long")}).drop("__old", "__mime", "__there")
-    staged, path = _staged(base, rows, at, settings)
+    told = told.withColumn("error", error).withColumn("mime_type", F.coalesce("mime_type", "__mime"))
+    told = told.withColumn("status", F.when(F.col("error").isNotNull(), "failed").when(same, "unchanged").otherwise("ok"))
+    told = _kept(told.withColumns({"change": F.when(F.col("status") == "ok", "changed"), "duplicates": F.lit(0).cast("long")}).drop("__old", "__mime"), f"{path}/told")
     said = F.when(F.col("status") == "failed", F.concat(F.lit("failed:"), F.col("error"))).otherwise(F.col("status"))
-    log = staged.select(PATH, F.when(F.col("status") == "ok", at).otherwise(F.col("current")).alias("version_id"), at.alias("refreshed_at"), said.alias("status"))
-    done = _publish(base, key, staged, at, settings, log=log)
+    log = told.select(PATH, F.when(F.col("status") == "ok", at).otherwise(F.col("current")).alias("version_id"), at.alias("refreshed_at"), said.alias("status"))
+    done = _publish(base, key, rows, told, at, settings, log=log)
     remove_folder(spark, path)
     return done
 
@@ -280,7 +288,7 @@ def move(spark: SparkSession, where: str, key: str | int, renames: DataFrame, ve
     now = S.current(base.read("files"))
     files, chunks = base.write("files", S.move(now, renames, version)), base.write("chunks", S.moved_chunks(base.read("chunks"), now, renames, version))
     left = now.join(renames.select(F.col("old_path").alias(PATH)), PATH, "left_semi").select(*KEY)
-    return commit(base, key, {"files": [files], "chunks": [chunks]} | index.deltas(base, base.part("chunks", chunks), base.read("chunks").join(left, KEY, "left_semi")))
+    return commit(base, key, {"files": [files], "chunks": [chunks]} | index.deltas(base, base.part("chunks", chunks), base.only("chunks", left, KEY)))
 
 
 def remove(spark: SparkSession, where: str, key: str | int, targets: DataFrame, version: Column, note: str = "removed") -> Snapshot:
@@ -290,7 +298,7 @@ def remove(spark: SparkSession, where: str, key: str | int, targets: DataFrame,
         return base
     left = S.current(base.read("files").select(*KEY, "tombstone")).join(targets.select(PATH), PATH, "left_semi")
     files = base.write("files", _as_files(base, S.tombstones(left, version, note)))
-    return commit(base, key, {"files": [files]} | index.deltas(base, None, base.read("chunks").join(left, KEY, "left_semi")))
+    return commit(base, key, {"files": [files]} | index.deltas(base, None, base.only("chunks", left, KEY)))
 
 
 def _as_files(base: Snapshot, rows: DataFrame) -> DataFrame:

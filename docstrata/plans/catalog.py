@@ -267,7 +267,7 @@ def store_refresh_loop(spark: SparkSession, d: str) -> DataFrame:
     where, docs = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", v_docs(spark, d)
     W.ingest_batch(spark, where, "first", _entries(docs, refresh_frequency_sec=3600), at(CUT))
     source = _entries(_later(docs), error=None).withColumn("error", F.col("error").cast("string"))
-    live = lambda due: source.join(due.select("logical_path"), "logical_path", "left_semi")
+    live = lambda due: source.join(due.select("logical_path").hint("shuffle_hash"), "logical_path", "left_semi")
     W.refresh(spark, where, "tick 1", live, at("2024-01-20 02:00:00"))
     again = W.due(snapshot(spark, where), at("2024-01-20 02:00:00")).select("logical_path", F.lit(True).alias("due"))
     again = again.unionByName(W.due(W.refresh(spark, where, "tick 2", live, at("2024-01-20 04:00:00")), at("2024-01-20 04:00:00")).select("logical_path", F.lit(True).alias("due"))).distinct()

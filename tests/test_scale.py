@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from docstrata.llm import weighted_sampling
 from docstrata.operators import chunks as C
-from docstrata.operators import index
+from docstrata.operators import index, ingest, snapshots
 from docstrata.operators import retrieval as R
 from docstrata.streaming import latest
 from pyspark.sql import functions as F
@@ -65,3 +65,36 @@ def test_fingerprints_sample_once(spark, monkeypatch):
         made.clear()
         rows = weighted_sampling.fingerprints(spark.createDataFrame(docs, "doc_id long, text string"), 2)
         assert len(made) == samples and rows.count() == 2
+
+
+def test_rows_are_chosen_by_place(spark, tmp_path):
+    """Rows are picked by bitmaps of their places, exactly, in all files and beyond the rows of one bitmap."""
+    spark.range(70_000).withColumn("text", F.lit("x")).repartition(2).write.parquet(str(tmp_path / "in"))
+    rows = snapshots.placed(spark.read.parquet(str(tmp_path / "in")))
+    some = rows.filter("id % 3 = 0 or id in (1, 69998)").select(*snapshots.PLACE)
+    got = snapshots.chosen(rows, some)
+    want = {i for i in range(70_000) if i % 3 == 0 or i in (1, 69998)}
+    assert {r.id for r in got.collect()} == want and got.columns == ["id", "text"]
+    assert {r.id for r in snapshots.chosen(rows, some, but=True).collect()} == set(range(70_000)) - want
+    assert snapshots.chosen(rows, some.limit(0)).count() == 0 and snapshots.chosen(rows, some.limit(0), but=True).count() == 70_000
+
+
+def test_a_batch_shuffles_no_bytes(spark, tmp_path, monkeypatch):
+    """Texts and bytes of a batch, of stored chunks and of kept blobs are neither dealt nor sorted, also where no table is small."""
+    plans, write = [], snapshots.Snapshot.write
+    monkeypatch.setattr(snapshots.Snapshot, "write", lambda self, table, rows: plans.append((table, plan(rows))) or write(self, table, rows))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        where = str(tmp_path / "store")
+        for n, (text, when) in enumerate((("oak", "2024-01-01"), ("elm", "2024-01-02"))):
+            rows = spark.createDataFrame([(f"{p}.md", "text/markdown", bytearray(f"{text} {p}".encode()), p, "local", n) for p in "abb"], "logical_path string, mime_type string, bytes binary, source_path string, source_type string, source_mtime_ms long")
+            ingest.ingest_batch(spark, where, n, rows, F.lit(when).cast("timestamp_ntz"))
+        ingest.prune(spark, where, "prune", F.lit("2024-01-02").cast("timestamp_ntz"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = [x for t, x in plans if t in ("files", "chunks", "blobs", "postings")]
+    assert len(wide) > 8 and all("SortMergeJoin" not in x.split("BroadcastExchange")[0] for x in wide)
+    now = snapshots.snapshot(spark, where)
+    assert sorted((r.logical_path, r.content) for r in now.read("files").collect()) == [("a.md", "elm a"), ("b.md", "elm b")]
+    assert now.read("blobs").count() == 2 and now.read("chunks").count() == 2
+    assert sorted((r.term, r.tf) for r in index.net(now.read("postings")).collect() if r.term in ("oak", "elm")) == sorted((r.term, r.tf) for r in index.net(index.postings_of(now.read("chunks"), 1)).collect() if r.term in ("oak", "elm"))
