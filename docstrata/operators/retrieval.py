@@ -22,6 +22,7 @@ from pyspark.sql.types import DataType, IntegerType, StructField, StructType
 
 from ..functions.text import make_snippet, snippet_terms
 from ..session import shared_dir
+from .chunks import slices
 from .store import current_chunks
 
 K1, B = 1.2, 0.75
@@ -73,12 +74,67 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "key", ste
     a word, used on both sides."""
     words = (lambda c: F.transform(tokens(c), stem)) if stem else tokens
     terms = _small(queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term")))
+    asked = _asked(terms)
+    if asked and not stem:
+        return _counted(docs, asked, terms, k, key)
     tok = docs.select(key, words(F.col("text")).alias("t")).withColumn("len", F.size("t"))
     corpus = docs.agg(F.count("*").alias("n"), _mean_length())
     hits = tok.select(key, "len", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     return ranked(hits.groupBy(key, "len", "term").agg(F.count("*").alias("tf")), corpus, terms, k, key)
 
 
+def _asked(terms: DataFrame) -> list:
+    """The pairs of a query and its term; none if they are more than go along with a pass."""
+    asked = terms.select("query_id", "term").limit(MAX_QUERIES + 1).collect()
+    return asked if len(asked) <= MAX_QUERIES else []
+
+
+def _counted(docs: DataFrame, asked: list, terms: DataFrame, k: int, key: str) -> DataFrame:
+    """Texts are read once: their length and the counts of the asked words are written, a row a text, and nothing is shuffled
+    but keys.  Only if keys are repeated are hits dealt by key, to be added up."""
+    spark, fields = docs.sparkSession, _fields(docs, key)
+    words, names = sorted({r["term"] for r in asked}), [name for name, *_ in fields]
+    where = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
+    texts = docs.select(*[c.alias(name) for name, c, *_ in fields], F.lower("text").alias("text"))
+    schema = ", ".join([*(f"{name} {kind}" for name, _, kind, _ in fields), "len long, t array<int>, tf array<long>"])
+    texts.mapInArrow(_word_counts(words, names), schema).write.parquet(where)
+    rows = spark.read.parquet(where)
+    corpus = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    whole = _key(fields, docs.schema[key].dataType, key)
+    if not rows.groupBy(*names).count().filter("count > 1").isEmpty():
+        spelled = F.broadcast(spark.createDataFrame(list(enumerate(words)), "t int, term string"))
+        hits = rows.select(whole, "len", F.explode(F.arrays_zip("t", "tf")).alias("x")).select(key, "len", "x.t", "x.tf").join(spelled, "t")
+        return ranked(hits, corpus, terms, k, key)
+    own = rows.filter(F.size("t") > 0).select(*names, "t", F.array_repeat("len", F.size("t")).alias("len"), "tf")
+    return _scores(own, rows.select(F.explode("t").alias("t")), corpus, asked, words, terms, k, key, fields, docs.schema[key].dataType)
+
+
+def _word_counts(words: list[str], names: list[str]):
+    """Batches of (keys..., text), lower-cased, to (keys..., len, t, tf): how many words a text has, and the places of those of
+    words that are in it with their counts."""
+
+    def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = batch.column(len(names))
+        parts = pc.split_pattern_regex(pc.fill_null(text, ""), "[^a-z]+")
+        flat, row = parts.flatten(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        size = np.bincount(row[pc.not_equal(flat, "").to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
+        place = pc.fill_null(pc.index_in(flat, value_set=pa.array(words, flat.type)), -1).to_numpy(zero_copy_only=False)
+        pair, tf = np.unique(row[place >= 0] * len(words) + place[place >= 0], return_counts=True)
+        ends = pa.array(np.searchsorted(pair, np.arange(batch.num_rows + 1) * len(words)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((pair % len(words)).astype(np.int32), tf.astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(size.astype(np.int64), mask=text.is_null().to_numpy(zero_copy_only=False)), *lists], [*names, "len", "t", "tf"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin = 0
+            for part in slices(batch.column(len(names))):  # of about 1 MB
+                if len(part):
+                    yield counts(batch.slice(begin, len(part)))
+                begin += len(part)
+
+    return run
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term): each query's different words."""
     return _small(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")))
@@ -96,26 +152,32 @@ def ranked(hits: DataFrame, corpus: DataFrame, terms: DataFrame, k: int, key: st
     and written, a row a key; a task scores whole keys against all queries and hands on its best k of each.  Terms beyond
     MAX_QUERIES are joined instead."""
     hits = hits.repartition(key).groupBy(key, "len", "term").agg(F.sum("tf").alias("tf"))
-    asked = terms.select("query_id", "term").limit(MAX_QUERIES + 1).collect()
-    if not 0 < len(asked) <= MAX_QUERIES:
+    asked = _asked(terms)
+    if not asked:
         return _joined(hits, corpus, terms, k, key, kept)
     spark, where = hits.sparkSession, f"{shared_dir(hits.sparkSession)}/hits-{uuid.uuid4().hex}"
-    words, ids = sorted({r["term"] for r in asked}), list(dict.fromkeys(r["query_id"] for r in asked))
-    place, number = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
+    words = sorted({r["term"] for r in asked})
     fields = _fields(hits, key)
-    rows = hits.join(F.broadcast(spark.createDataFrame(list(place.items()), "term string, t int")), "term")
+    rows = hits.join(F.broadcast(spark.createDataFrame([(w, i) for i, w in enumerate(words)], "term string, t int")), "term")
     rows.groupBy(key).agg(F.collect_list(F.struct("t", "len", "tf")).alias("h")).write.parquet(where)
     rows = spark.read.parquet(where)
+    found = rows.filter(kept(F.col(key))) if kept else rows
+    own = found.select(*[c.alias(name) for name, c, *_ in fields], F.col("h.t").alias("t"), F.col("h.len").alias("len"), F.col("h.tf").alias("tf"))
+    return _scores(own, rows.select(F.explode("h.t").alias("t")), corpus, asked, words, terms, k, key, fields, hits.schema[key].dataType)
+
+
+def _scores(own: DataFrame, held: DataFrame, corpus: DataFrame, asked: list, words: list[str], terms: DataFrame, k: int, key: str, fields: list, kind: DataType) -> DataFrame:
+    """The best k of each query of own (keys..., t, len, tf: arrays of a row a key); held has a row (t) for each key and word."""
+    spark, ids = own.sparkSession, list(dict.fromkeys(r["query_id"] for r in asked))
+    place, number = {w: i for i, w in enumerate(words)}, {q: i for i, q in enumerate(ids)}
     counted, (n, avg_len) = np.zeros(len(words)), corpus.select("n", "avg_len").first()
-    for r in rows.select(F.explode("h.t").alias("t")).groupBy("t").agg(F.count("*").alias("df")).collect():  # at most a row a term
+    for r in held.groupBy("t").agg(F.count("*").alias("df")).collect():  # at most a row a term
         counted[r["t"]] = r["df"]
     of = sorted((place[r["term"]], number[r["query_id"]]) for r in asked)
-    rows = rows.filter(kept(F.col(key))) if kept else rows
-    own = rows.select(*[c.alias(name) for name, c, *_ in fields], F.col("h.t").alias("t"), F.col("h.len").alias("len"), F.col("h.tf").alias("tf"))
     names = [name for name, *_ in fields]
     scores = own.mapInArrow(_scored(np.array(of, dtype=np.int64), np.log(1 + (n - counted + 0.5) / (counted + 0.5)), float(avg_len or 0), len(ids), k, names), _hit_schema(fields))
     numbered = spark.createDataFrame([(i, q) for i, q in enumerate(ids)], StructType([StructField("query", IntegerType()), terms.schema["query_id"]]))
-    return top_k(scores.join(F.broadcast(numbered), "query").select("query_id", _key(fields, hits.schema[key].dataType, key), "score"), k, key)
+    return top_k(scores.join(F.broadcast(numbered), "query").select("query_id", _key(fields, kind, key), "score"), k, key)
 
 
 def _scored(of: np.ndarray, idf: np.ndarray, avg_len: float, queries: int, k: int, names: list[str]):

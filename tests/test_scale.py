@@ -38,6 +38,21 @@ def test_scores_are_cut_in_tasks(spark):
     assert rows(found) == rows(want) == rows(R.bm25_of_index(hits, corpus, queries, 3)) and len(rows(found)) == 6 and rows(found)[0][2] == 0
 
 
+def test_a_search_reads_texts_once(spark, monkeypatch):
+    """Words are counted and texts measured in one pass, and no hit is shuffled, unless a key is repeated."""
+    passes, dealt, count, ranked = [], [], R._word_counts, R.ranked
+    monkeypatch.setattr(R, "_word_counts", lambda *a: passes.append(1) or count(*a))
+    monkeypatch.setattr(R, "ranked", lambda *a: dealt.append(1) or ranked(*a))
+    texts = [(1, "Oak, oak ELM"), (2, "oak \u0130 \u212a"), (3, None), (4, ""), (5, "ash " * 3), (6, "elm" + "b" * (C.SLICE + 1)), (7, "elm")]
+    docs, queries = spark.createDataFrame(texts, "key long, text string"), spark.createDataFrame([(1, "oak k"), (2, "Elm elm"), (3, "none"), (4, "...")], "query_id int, query string")
+    hits, corpus = R.term_statistics(docs)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.key, r.score) for r in df.collect())
+    want = rows(R._joined(hits, corpus, R.query_terms(queries), 3, "key"))
+    assert rows(R.bm25(docs, queries, 3)) == want and passes == [1] and not dealt and len(want) == 4
+    R.bm25(docs.unionByName(docs), queries, 3)
+    assert dealt == [1]
+
+
 def test_texts_are_read_in_slices():
     """Of a large batch, a task holds the rows of few texts at once; a long text stands alone, and none is lost or moved."""
     texts = ["a" * 1000] * 3000 + [None, "b" * 3 * C.SLICE, ""]
