@@ -29,6 +29,7 @@ ORACLE: dict[str, str] = {}
 CUT = "2024-01-20 00:00:00"
 NOW = "2024-01-30 12:00:00"
 KEYS = ("logical_path", "version_id", "event_id")
+TASK_ROWS = 250_000  # rows of a few numbers that a task gets
 
 
 def query(sql: str | None = None):
@@ -665,9 +666,12 @@ def issue_markdown(spark: SparkSession, d: str) -> DataFrame:
   select m.doc, string_agg('| ' || coalesce(a, '') || ' | ' || coalesce(b, '') || ' |' || case when m.r = r0 then chr(10) || '| --- | --- |' else '' end, chr(10) order by m.r) as markdown from m left join c on c.doc = m.doc and c.r = m.r group by 1""")
 def cells_to_table(spark: SparkSession, d: str) -> DataFrame:
     """Each order as a sheet: a row for each line number from its least to its greatest, empty where it has none."""
-    lines = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag"))
-    cell = lambda i, v: lines.select(F.col("l_orderkey").alias("doc"), F.lit("s").alias("sheet"), F.col("l_linenumber").cast("int").alias("row"), F.lit(i).alias("col"), v.cast("string").alias("value"))
-    return V.cells_to_table(cell(1, F.col("l_partkey")).unionByName(cell(2, F.col("l_returnflag")))).select("doc", "markdown")
+    items = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-items.count() // TASK_ROWS))
+    lines = items.repartition(tasks, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_returnflag").alias("l_returnflag"))
+    cell = lambda i, v: F.struct(F.lit(i).alias("col"), F.col(v).cast("string").alias("value"))
+    cells = lines.select(F.col("l_orderkey").alias("doc"), F.lit("s").alias("sheet"), F.col("l_linenumber").cast("int").alias("row"), F.inline(F.array(cell(1, "l_partkey"), cell(2, "l_returnflag"))))
+    return V.cells_to_table(cells).select("doc", "markdown")
 
 
 @query("""select conv_id as doc, string_agg('## Page ' || turn || chr(10) || chr(10) || trim(text), chr(10) || chr(10) order by turn, '## Page ' || turn || chr(10) || chr(10) || trim(text)) as markdown from conversations group by 1""")

@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from docstrata.llm import weighted_sampling
 from docstrata.operators import chunks as C
+from docstrata.operators import convert as V
 from docstrata.operators import index, ingest, snapshots
 from docstrata.operators import retrieval as R
 from docstrata.streaming import latest
@@ -113,3 +114,12 @@ def test_a_batch_shuffles_no_bytes(spark, tmp_path, monkeypatch):
     assert sorted((r.logical_path, r.content) for r in now.read("files").collect()) == [("a.md", "elm a"), ("b.md", "elm b")]
     assert now.read("blobs").count() == 2 and now.read("chunks").count() == 2
     assert sorted((r.term, r.tf) for r in index.net(now.read("postings")).collect() if r.term in ("oak", "elm")) == sorted((r.term, r.tf) for r in index.net(index.postings_of(now.read("chunks"), 1)).collect() if r.term in ("oak", "elm"))
+
+
+def test_cells_are_dealt_once(spark):
+    """A sheet's cells meet in one shuffle; rows and columns between them are written, also before the first and after the last."""
+    cells = [("a", 3, 2, "x"), ("a", 3, 4, " y|z "), ("a", 6, 3, "w"), ("a", 9, 9, " "), ("b", 1, 1, "one"), ("b", 2, 1, "p\n q"), ("b", 2, 1, "r")]
+    rows = V.cells_to_table(spark.createDataFrame([(d, "s", r, c, v) for d, r, c, v in cells], "doc string, sheet string, row int, col int, value string"))
+    assert plan(rows).count("Exchange hashpartitioning") == 1
+    got = {r.doc: r.markdown for r in rows.collect()}
+    assert got == {"a": "| x |  | y\\|z |\n| --- | --- | --- |\n|  |  |  |\n|  |  |  |\n|  | w |  |", "b": "| one |\n| --- |\n| p q | r |"}
