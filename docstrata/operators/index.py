@@ -20,7 +20,7 @@ CHUNK = ("logical_path", "version_id", "chunk_index")
 
 def postings_of(chunks: DataFrame, sign: int) -> DataFrame:
     """(path, version_id, chunk_index, len, term, tf, sign) of chunks."""
-    return R.term_counts(chunks, R.tokens(F.col("search_text")), *CHUNK).withColumn("sign", F.lit(sign))
+    return R.term_counts(chunks, F.col("search_text"), *CHUNK).withColumn("sign", F.lit(sign))
 
 
 def deltas(base: Snapshot, added: DataFrame | None, left: DataFrame | None) -> dict[str, list[str]]:

@@ -49,20 +49,60 @@ def tokens(text: Column, pattern: str = "[^a-z]+") -> Column:
     return F.array_remove(F.split(F.lower(text), pattern), "")
 
 
-def term_counts(rows: DataFrame, words: Column, *keep: str) -> DataFrame:
-    """(keep..., len, term, tf): how often each word of an array is in it.  A row's words are sorted and counted in place, so
-    nothing is shuffled; rows alike in keep are not added up."""
-    rows = rows.select(*keep, F.sort_array(words).alias("__t")).withColumn("len", F.size("__t"))
-    rows = rows.withColumn("__p", F.expr("case when len > 0 then filter(sequence(0, len - 1), i -> i = 0 or __t[i] <> __t[i - 1]) else array() end"))
-    rows = rows.withColumn("__x", F.expr("transform(__p, (p, j) -> struct(__t[p] as term, cast(coalesce(get(__p, j + 1), len) - p as long) as tf))"))
-    # Outer, as a filter of empty arrays would be moved below and sort once for each word.
-    return rows.select(*keep, "len", F.posexplode_outer("__x").alias("__i", "__x")).filter("__i is not null").select(*keep, "len", "__x.term", "__x.tf")
+def term_counts(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(keep..., len, term, tf): how often each word of a text is in it.  Words are counted in place, so nothing is shuffled; rows
+    alike in keep are not added up."""
+    rows = rows.select(*keep, F.lower(text).alias("text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(_postings(list(keep)), f"{kept}, len int, term string, tf long")
+
+
+def _postings(names: list[str]):
+    """Batches of (keys..., text), lower-cased, to (keys..., len, term, tf)."""
+
+    def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat, row, filled, size = _words(batch, len(names))
+        found = flat.filter(pa.array(filled)).dictionary_encode()
+        n = max(1, len(found.dictionary))
+        pair, tf = np.unique(row[filled] * n + found.indices.to_numpy(), return_counts=True)
+        at = pa.array(pair // n)
+        return pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(names)]), pa.array(size[pair // n].astype(np.int32)), found.dictionary.take(pa.array(pair % n)), pa.array(tf)], [*names, "len", "term", "tf"])
+
+    return _by_slices(counts, len(names))
+
+
+def _words(batch: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts between a text's separators, the row of each, whether it is a word, and how many words a row has."""
+    parts = pc.split_pattern_regex(pc.fill_null(batch.column(column), ""), "[^a-z]+")
+    flat, row = parts.flatten(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    return flat, row, filled, np.bincount(row[filled], minlength=batch.num_rows)
+
+
+def _by_slices(counts: Callable[[pa.RecordBatch], pa.RecordBatch], column: int):
+    """counts of each batch in slices of about 1 MB of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin = 0
+            for part in slices(batch.column(column)):
+                if len(part):
+                    yield counts(batch.slice(begin, len(part)))
+                begin += len(part)
+
+    return run
 
 
 def term_statistics(docs: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """Postings (key, len, term, tf) and corpus statistics (n, avg_len), for a maintained index.  Postings of rows alike in
     key are added up by a search."""
-    return term_counts(docs, tokens(F.col("text")), key), docs.agg(F.count("*").alias("n"), _mean_length())
+    return term_counts(docs, F.col("text"), key), docs.agg(F.count("*").alias("n"), _mean_length())
+
+
+def statistics_of(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """The corpus statistics of docs whose postings have been written: no text is split again."""
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return docs.agg(F.count("*").alias("n"), F.count("text").alias("texts")).crossJoin(total).select("n", F.try_divide("total", "texts").alias("avg_len"))
 
 
 def _mean_length() -> Column:
@@ -115,24 +155,14 @@ def _word_counts(words: list[str], names: list[str]):
 
     def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         text = batch.column(len(names))
-        parts = pc.split_pattern_regex(pc.fill_null(text, ""), "[^a-z]+")
-        flat, row = parts.flatten(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
-        size = np.bincount(row[pc.not_equal(flat, "").to_numpy(zero_copy_only=False)], minlength=batch.num_rows)
+        flat, row, _, size = _words(batch, len(names))
         place = pc.fill_null(pc.index_in(flat, value_set=pa.array(words, flat.type)), -1).to_numpy(zero_copy_only=False)
         pair, tf = np.unique(row[place >= 0] * len(words) + place[place >= 0], return_counts=True)
         ends = pa.array(np.searchsorted(pair, np.arange(batch.num_rows + 1) * len(words)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((pair % len(words)).astype(np.int32), tf.astype(np.int64))]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(size.astype(np.int64), mask=text.is_null().to_numpy(zero_copy_only=False)), *lists], [*names, "len", "t", "tf"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            begin = 0
-            for part in slices(batch.column(len(names))):  # of about 1 MB
-                if len(part):
-                    yield counts(batch.slice(begin, len(part)))
-                begin += len(part)
-
-    return run
+    return _by_slices(counts, len(names))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -151,14 +181,14 @@ def ranked(hits: DataFrame, corpus: DataFrame, terms: DataFrame, k: int, key: st
     are ranked; all count in the document frequencies.  Hits of one key and length are added up.  They are dealt by key once
     and written, a row a key; a task scores whole keys against all queries and hands on its best k of each.  Terms beyond
     MAX_QUERIES are joined instead."""
-    hits = hits.repartition(key).groupBy(key, "len", "term").agg(F.sum("tf").alias("tf"))
     asked = _asked(terms)
     if not asked:
-        return _joined(hits, corpus, terms, k, key, kept)
+        return _joined(hits.groupBy(key, "len", "term").agg(F.sum("tf").alias("tf")), corpus, terms, k, key, kept)
     spark, where = hits.sparkSession, f"{shared_dir(hits.sparkSession)}/hits-{uuid.uuid4().hex}"
     words = sorted({r["term"] for r in asked})
     fields = _fields(hits, key)
-    rows = hits.join(F.broadcast(spark.createDataFrame([(w, i) for i, w in enumerate(words)], "term string, t int")), "term")
+    numbered = F.broadcast(spark.createDataFrame([(w, i) for i, w in enumerate(words)], "term string, t int"))
+    rows = hits.join(numbered, "term").select(key, "len", "t", "tf").repartition(key).groupBy(key, "len", "t").agg(F.sum("tf").alias("tf"))
     rows.groupBy(key).agg(F.collect_list(F.struct("t", "len", "tf")).alias("h")).write.parquet(where)
     rows = spark.read.parquet(where)
     found = rows.filter(kept(F.col(key))) if kept else rows

@@ -576,9 +576,9 @@ def reranked_search(spark: SparkSession, d: str) -> DataFrame:
 def bm25_stored_index(spark: SparkSession, d: str) -> DataFrame:
     """From postings that are written first: a search reads no text."""
     where = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
-    postings, corpus = R.term_statistics(read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"))
-    postings.write.parquet(f"{where}/postings")
-    corpus.write.parquet(f"{where}/corpus")
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    R.term_statistics(docs)[0].write.parquet(f"{where}/postings")
+    R.statistics_of(docs, spark.read.parquet(f"{where}/postings")).write.parquet(f"{where}/corpus")
     return R.bm25_of_index(spark.read.parquet(f"{where}/postings"), spark.read.parquet(f"{where}/corpus"), v_golden(spark, d))
 
 

@@ -47,6 +47,7 @@ def test_a_search_reads_texts_once(spark, monkeypatch):
     texts = [(1, "Oak, oak ELM"), (2, "oak \u0130 \u212a"), (3, None), (4, ""), (5, "ash " * 3), (6, "elm" + "b" * (C.SLICE + 1)), (7, "elm")]
     docs, queries = spark.createDataFrame(texts, "key long, text string"), spark.createDataFrame([(1, "oak k"), (2, "Elm elm"), (3, "none"), (4, "...")], "query_id int, query string")
     hits, corpus = R.term_statistics(docs)
+    assert R.statistics_of(docs, hits).collect() == corpus.collect() and R.statistics_of(docs.limit(0), hits.limit(0)).first().avg_len is None
     rows = lambda df: sorted((r.query_id, r["rank"], r.key, r.score) for r in df.collect())
     want = rows(R._joined(hits, corpus, R.query_terms(queries), 3, "key"))
     assert rows(R.bm25(docs, queries, 3)) == want and passes == [1] and not dealt and len(want) == 4
