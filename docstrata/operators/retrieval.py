@@ -143,7 +143,7 @@ def _counted(docs: DataFrame, asked: list, terms: DataFrame, k: int, key: str) -
     whole = _key(fields, docs.schema[key].dataType, key)
     if not rows.groupBy(*names).count().filter("count > 1").isEmpty():
         spelled = F.broadcast(spark.createDataFrame(list(enumerate(words)), "t int, term string"))
-        hits = rows.select(whole, "len", F.explode(F.arrays_zip("t", "tf")).alias("x")).select(key, "len", "x.t", "x.tf").join(spelled, "t")
+        hits = rows.select(whole, "len", F.explode(F.arrays_zip("t", "tf")).alias("x")).select(key, "len", "x.t", "x.tf").join(spelled, "t").drop("t")
         return ranked(hits, corpus, terms, k, key)
     own = rows.filter(F.size("t") > 0).select(*names, "t", F.array_repeat("len", F.size("t")).alias("len"), "tf")
     return _scores(own, rows.select(F.explode("t").alias("t")), corpus, asked, words, terms, k, key, fields, docs.schema[key].dataType)
