@@ -24,6 +24,7 @@ those named like the new ones are replaced; an empty table gives an empty result
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, emptied, map_batches, mix, recorded, utf8_rows, word_hashes, word_spans, written
-from .subword import NO_BAG, Bag, bag, bag_logits, grams, logits_of, pack, train, unpack
+from .subword import NO_BAG, Bag, bag, gram_sums, grams, logits_of, pack, side_by_side, train, unpack
 from .toxicity import platt
 
 LABELLED = 1500
@@ -43,6 +44,7 @@ ROUNDS = 2
 SURE = 0.95
 CUT, REJECT = 0.5, 0.005
 SLOTS = 16
+GROUP = 1 << 18  # bytes of texts that are scored at once
 REPETITION, REPEATED = 0, 8  # a bucket, and how much an immediate repetition counts in n-grams
 KEYED = ("h", "text", "lang", "source", "n_chars")
 NOTHING = np.zeros(0, np.uint8)
@@ -55,22 +57,60 @@ def text_grams(buf: np.ndarray) -> np.ndarray:
     return np.append(ids, np.full(again * REPEATED, REPETITION)) if again else ids
 
 
-def metadata(buf: np.ndarray, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Features of a record: hashed one-hot language and source, length and layout."""
-    out = np.zeros(2 * SLOTS + 10)
-    for k, v in enumerate((lang, source)):
-        code = np.frombuffer(("" if v is None else "=" + v).encode(), dtype=np.uint8).astype(np.uint64)
-        slot = int(mix(np.array([len(code) + int((code * mix(np.arange(1, len(code) + 1, dtype=np.uint64))).sum()) & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))[0] % np.uint64(SLOTS))
-        out[k * SLOTS + slot] = 1
-    h = np.bincount(buf, minlength=256) if len(buf) else np.zeros(256, np.int64)
-    n, lines = max(1, len(buf)), int(h[10]) + 1
-    upper, lower, digits, spaces = h[65:91].sum(), h[97:123].sum(), h[48:58].sum(), h[[9, 10, 11, 12, 13, 32]].sum()
-    signs = n - upper - lower - digits - spaces - h[128:].sum()
-    size = np.log1p(len(buf) if n_chars is None else max(0, n_chars))
-    out[2 * SLOTS :] = [1.0, size / 10, np.log1p(lines) / 5, np.log(n / lines) / 10, upper / max(1, upper + lower), min(1.0, 10 * digits / n), min(1.0, 10 * signs / n), spaces / n, h[128:].sum() / n, np.sqrt(min(1.0, signs / n))]
+@lru_cache(1 << 12)
+def _slot(value: str | None) -> int:
+    """The slot of a language or a source."""
+    code = np.frombuffer(("" if value is None else "=" + value).encode(), dtype=np.uint8).astype(np.uint64)
+    return int(mix(np.array([len(code) + int((code * mix(np.arange(1, len(code) + 1, dtype=np.uint64))).sum()) & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))[0] % np.uint64(SLOTS))
+
+
+def metadata(texts: Sequence[np.ndarray], lang: Sequence[str | None], source: Sequence[str | None], n_chars: Sequence[int | None]) -> np.ndarray:
+    """Features of records, a row each: hashed one-hot language and source, length and layout."""
+    rows, length = np.arange(len(texts)), np.array([len(t) for t in texts], dtype=np.int64)
+    out = np.zeros((len(texts), 2 * SLOTS + 10))
+    for k, values in enumerate((lang, source)):
+        out[rows, [k * SLOTS + _slot(v) for v in values]] = 1
+    h = np.array([np.bincount(t, minlength=256) for t in texts], dtype=np.int64).reshape(-1, 256)
+    upper, lower, digits, spaces, wide = h[:, 65:91].sum(1), h[:, 97:123].sum(1), h[:, 48:58].sum(1), h[:, [9, 10, 11, 12, 13, 32]].sum(1), h[:, 128:].sum(1)
+    n, lines = np.maximum(1, length), h[:, 10] + 1
+    signs = n - upper - lower - digits - spaces - wide
+    size = np.log1p([max(0, int(c)) if c is not None else k for c, k in zip(n_chars, length.tolist(), strict=True)])
+    layout = [np.ones(len(texts)), size / 10, np.log1p(lines) / 5, np.log(n / lines) / 10, upper / np.maximum(1, upper + lower), np.minimum(1.0, 10 * digits / n), np.minimum(1.0, 10 * signs / n), spaces / n, wide / n, np.sqrt(np.minimum(1.0, signs / n))]
+    out[:, 2 * SLOTS :] = np.column_stack(layout)
     return out
 
 
+def repetitions(text: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often a word is the one before it, in each of the texts side by side."""
+    step = np.flatnonzero((text[1:] == 32) != (text[:-1] == 32)) + 1
+    starts, ends = step[::2], step[1::2]
+    size = ends - starts
+    k = np.flatnonzero((size[1:] == size[:-1]) & (text[starts[1:]] == text[starts[:-1]]) & (text[ends[1:] - 1] == text[ends[:-1] - 1]))
+    of = np.searchsorted(first, starts[k], "right") - 1
+    within = of == np.searchsorted(first, starts[k + 1], "right") - 1
+    k, of = k[within], of[within]
+    if not len(k):
+        return np.zeros(len(first), np.int64)
+    begin = np.cumsum(size[k]) - size[k]
+    letter = np.arange(int(size[k].sum())) - np.repeat(begin, size[k])
+    same = text[letter + np.repeat(starts[k], size[k])] == text[letter + np.repeat(starts[k + 1], size[k])]
+    return np.bincount(of[np.logical_and.reduceat(same, begin)], minlength=len(first))
+
+
+def text_logits(texts: Sequence[np.ndarray], table: np.ndarray, bias: float) -> np.ndarray:
+    """Each text's mean of the logits of its ``text_grams``, for many short texts at once; a text over GROUP bytes stands alone."""
+    out, begin, held = [], 0, 0
+    for i, t in enumerate([*texts, None]):
+        if i > begin and (t is None or held + len(t) > GROUP):
+            text, first = side_by_side(texts[begin:i], SIZES)
+            total, number = gram_sums(text, first, table, SIZES)
+            again = repetitions(text, first) * REPEATED
+            out.append((total + again * table[REPETITION]) / (number + again) + bias)
+            begin, held = i, 0
+        held += len(t) if t is not None else 0
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def fit_linear(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 1.0, decay: float = 1e-3, seed: int = 3) -> np.ndarray:
     rng, w = np.random.default_rng(seed), np.zeros(x.shape[1])
     for e in range(epochs):
@@ -88,12 +128,10 @@ def record_hash(seed: int) -> Column:
     return F.xxhash64(*parts, F.lit(seed))
 
 
-def _views(batch: pa.RecordBatch, at: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, metadata) of each row of a batch, whose columns at are text, lang, source and n_chars."""
-    lang, source, size = (batch.column(i).to_pylist() for i in at[1:])
-    for i, buf in enumerate(utf8_rows(batch.column(at[0]))):
-        buf = NOTHING if buf is None else buf
-        yield buf, metadata(buf, lang[i], source[i], None if size[i] is None else int(size[i]))
+def _views(batch: pa.RecordBatch, at: Sequence[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The bytes of each row of a batch, whose columns at are text, lang, source and n_chars, and their metadata, a row each."""
+    texts = [NOTHING if buf is None else buf for buf in utf8_rows(batch.column(at[0]))]
+    return texts, metadata(texts, *(batch.column(i).to_pylist() for i in at[1:]))
 
 
 def feature_rows(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -104,7 +142,7 @@ def feature_rows(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, seen = [], set()
-            for h, (buf, meta) in zip(batch.column(0).to_pylist(), _views(batch, (1, 2, 3, 4)), strict=True):
+            for h, buf, meta in zip(batch.column(0).to_pylist(), *_views(batch, (1, 2, 3, 4)), strict=True):
                 if h not in seen:
                     seen.add(h)
                     out.append((h, pack(bag(text_grams(buf), BUCKETS)), meta.tolist()))
@@ -231,9 +269,10 @@ def _logits(keyed: DataFrame, model: dict) -> DataFrame:
 
 def view_logits(batch: pa.RecordBatch, at: Sequence[int], model: dict) -> np.ndarray:
     """The calibrated logits of both views for each row."""
-    z = np.array([[bag_logits(text_grams(buf), model["table"], model["bias"])[0], meta @ model["meta"]] for buf, meta in _views(batch, at)]).reshape(-1, 2)
+    texts, meta = _views(batch, at)
+    text_z = text_logits(texts, model["table"][:, 0].astype(np.float64), float(model["bias"][0]))
     ta, tb, ma, mb = model["cal"]
-    return z * [ta, ma] + [tb, mb]
+    return np.column_stack([text_z * ta + tb, (meta * model["meta"]).sum(1) * ma + mb])
 
 
 def combine(model: dict, text: np.ndarray, meta: np.ndarray) -> np.ndarray:

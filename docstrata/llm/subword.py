@@ -33,20 +33,59 @@ def grams(buf: np.ndarray, buckets: int, sizes: Sequence[int] = SIZES, fold: boo
         m = len(text) - n + 1
         if m <= 0:
             continue
-        h = np.full(m, n * 0x1B873593 & 0xFFFFFFFF, dtype=np.uint32)
-        for i in range(n):
-            h ^= code[i : i + m]
-            h *= np.uint32(0x01000193 + 2 * i)
-            h ^= h >> np.uint32(15)
         # Nothing but borders may be a space: the n-gram's inside has none.
         inside = np.flatnonzero(gaps[n - 1 : n - 1 + m] == gaps[1 : 1 + m])
         at.append(inside)
-        ids.append(((h[inside] * np.uint32(0x85EBCA6B)) >> np.uint32(8)) & np.uint32(buckets - 1))
+        ids.append(_buckets(_hashes(code, n, m)[inside], buckets))
     if not at:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(at), np.concatenate(ids).astype(np.int64)
 
 
+def _hashes(code: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Hashes of the first m n-grams of a text by the codes of its bytes."""
+    h, high = np.full(m, n * 0x1B873593 & 0xFFFFFFFF, dtype=np.uint32), np.empty(m, dtype=np.uint32)
+    for i in range(n):
+        h ^= code[i : i + m]
+        h *= np.uint32(0x01000193 + 2 * i)
+        h ^= np.right_shift(h, np.uint32(15), out=high)
+    return h
+
+
+def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h * np.uint32(0x85EBCA6B)) >> np.uint32(8)) & np.uint32(buckets - 1)
+
+
+WINDOW = 1 << 15  # bytes whose n-grams are hashed at once: they stay in the processor's cache
+
+
+def side_by_side(texts: Sequence[np.ndarray], sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in one buffer with their case, any space as 32: one border before each, at the places returned, and behind the last as
+    many as n-grams of these sizes read."""
+    border, end = np.full(1, 32, np.uint8), np.full(max(sizes) - 1, 32, np.uint8)
+    text = np.concatenate([x for t in texts for x in (border, t)] + [end])
+    text[IS_SPACE[text]] = 32
+    return text, np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+
+
+def gram_sums(text: np.ndarray, first: np.ndarray, table: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """What the n-grams (see ``grams``, without folding) of each of the texts side by side add up to in a table of one number a
+    bucket, and how many they are.  The sums of a text do not depend on those beside it."""
+    end = len(text) - max(sizes) + 1
+    value, number, more = np.zeros(end), np.zeros(end, np.uint8), np.append(table, 0.0)  # behind the buckets: what is no n-gram
+    for begin in range(0, end, WINDOW):
+        part = text[begin : min(begin + WINDOW, end) + max(sizes) - 1]
+        m = len(part) - max(sizes) + 1
+        code, space = _CODE[part], part == 32
+        for n in sizes:
+            ids = _buckets(_hashes(code, n, m), len(table))
+            for i in range(1, n - 1):
+                ids[space[i : i + m]] = len(table)
+            value[begin : begin + m] += more.take(ids)
+            number[begin : begin + m] += ids < len(table)
+    return np.add.reduceat(value, first), np.add.reduceat(number, first, dtype=np.int64)
+
+
 Bag = tuple[np.ndarray, np.ndarray]  # different buckets of a text, and the share of its n-grams in each
 NO_BAG: Bag = (np.zeros(1, np.uint16), np.zeros(1, np.float32))
 

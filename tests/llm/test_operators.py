@@ -441,6 +441,21 @@ def test_cotraining_rejects_held_out_bad_documents(spark):
     assert cotraining.score(df.limit(0), model).count() == 0 and cotraining.fit(df.limit(0), labels) is None
 
 
+def test_cotraining_scores_texts_side_by_side(monkeypatch):
+    """Short texts are hashed together, a window at a time; a text's logit is that of its own n-grams, whatever is beside it."""
+    calls, hashes, rng = [], subword._hashes, np.random.default_rng(5)
+    words = ["oak", "elm", "oak oak", "\u00e4\u00f6", "a", "  ", "\n", "x\ty\x0b", "elm elm elm", "ab ba"]
+    texts = [np.frombuffer(t.encode(), np.uint8) for t in ["", " ", "a", "a a", "aa aa aa", "aa", *(" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(800)), "oak oak " * 50_000, "aa"]]
+    table, bias = rng.normal(0, 1, (cotraining.BUCKETS, 1)).astype(np.float32), np.array([0.25], np.float32)
+    want = [subword.bag_logits(cotraining.text_grams(t), table.astype(np.float64), bias)[0] for t in texts]
+    monkeypatch.setattr(subword, "_hashes", lambda *a: calls.append(1) or hashes(*a))
+    got = cotraining.text_logits(texts, table[:, 0].astype(np.float64), 0.25)
+    assert np.allclose(got, want, rtol=0, atol=1e-9) and got[5] == got[-1] and len(calls) < 100
+    alone = np.concatenate([cotraining.text_logits([t], table[:, 0].astype(np.float64), 0.25) for t in texts[:50]])
+    assert (alone == got[:50]).all() and len(cotraining.text_logits([], table[:, 0], 0.25)) == 0
+    assert cotraining.metadata(texts[:2], [None, "de"], ["a", None], [None, 5]).shape == (2, 42) and cotraining.metadata([], [], [], []).shape == (0, 42)
+
+
 def test_subword_grams_stay_in_words():
     """" ab ", " cde ": five n-grams of three bytes and three of four, none across the gap."""
     at, ids = subword.grams(np.frombuffer(b"ab  cde", np.uint8), 1 << 10, (3, 4))
