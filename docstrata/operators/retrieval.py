@@ -473,9 +473,58 @@ def expected_rank(hits: DataFrame, golden: DataFrame, key: str = "key") -> DataF
 
 
 def containing(docs: DataFrame, passages: DataFrame, key: str = "key") -> DataFrame:
-    """(query_id, key) of docs (key, text) that contain a passage (query_id, passage).  A passage of five or more words,
-    as single spaces part them, has its second to fourth whole in any text that contains it: only documents with these
-    three in a row are compared.  Shorter ones (few, and counted) are compared with all."""
+    """(query_id, key) of docs (key, text) that contain a passage (query_id, passage).  Texts are read once and not shuffled: the
+    passages go along.  A passage of five or more words, as single spaces part them, has its second to fourth whole in any
+    text that contains it: only documents with these three in a row are compared.  Shorter ones (few) are compared with all.
+    Passages beyond MAX_QUERIES are joined instead."""
+    stated = passages.select("query_id", "passage").filter("passage is not null").limit(MAX_QUERIES + 1).collect()
+    if len(stated) > MAX_QUERIES:
+        return _containing_joined(docs, passages, key)
+    spark, fields = docs.sparkSession, _fields(docs, key)
+    names, different = [name for name, *_ in fields], sorted({r["passage"] for r in stated})
+    number = {p: i for i, p in enumerate(different)}
+    texts = docs.select(*[c.alias(name) for name, c, *_ in fields], "text")
+    schema = ", ".join([*(f"{name} {kind}" for name, _, kind, _ in fields), "passage int"])
+    found = texts.mapInArrow(_holding(different, names), schema)
+    asked = spark.createDataFrame([(number[r["passage"]], r["query_id"]) for r in stated], StructType([StructField("passage", IntegerType()), passages.schema["query_id"]]))
+    return found.join(F.broadcast(asked), "passage").select("query_id", _key(fields, docs.schema[key].dataType, key))
+
+
+def _holding(passages: list[str], names: list[str]):
+    """Batches of (keys..., text) to (keys..., passage), a row for each of the different passages that is in a text, by its place."""
+    parts = [p.split(" ") for p in passages]
+    runs = {i: tuple(w[1:4]) for i, w in enumerate(parts) if len(w) >= 5}
+    words, short = sorted({w for run in runs.values() for w in run}), [i for i in range(len(passages)) if i not in runs]
+    place, size = {w: k for k, w in enumerate(words)}, len(words)  # at most 3 * MAX_QUERIES: three places fit 63 bits
+    coded = {i: (place[x] * size + place[y]) * size + place[z] for i, (x, y, z) in runs.items()}
+    codes, of = np.unique(np.array(list(coded.values()), np.int64)), {}
+    for i, code in coded.items():
+        of.setdefault(code, []).append(i)
+
+    def hits(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text, found = batch.column(len(names)), []
+        if size:
+            split = pc.split_pattern(pc.fill_null(text, ""), " ")
+            at = pc.fill_null(pc.index_in(split.flatten(), value_set=pa.array(words, text.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(text)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+            first = np.flatnonzero((at[:-2] >= 0) & (at[1:-1] >= 0) & (at[2:] >= 0) & (row[:-2] == row[2:]))
+            code = (at[first] * size + at[first + 1]) * size + at[first + 2]
+            known = np.isin(code, codes)
+            held, read = sorted(set(zip(row[first[known]].tolist(), code[known].tolist(), strict=True))), (-1, "")
+            for r, c in held:
+                if read[0] != r:
+                    read = r, text[r].as_py()
+                found += [(r, i) for i in of[c] if read[1] is not None and passages[i] in read[1]]
+        for i in short:
+            held = pc.fill_null(pc.match_substring(text, passages[i]), False).to_numpy(zero_copy_only=False)
+            found += [(int(r), i) for r in np.flatnonzero(held)]
+        rows = pa.array([r for r, _ in found], pa.int64())
+        return pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[: len(names)]), pa.array([i for _, i in found], pa.int32())], [*names, "passage"])
+
+    return _by_slices(hits, len(names))
+
+
+def _containing_joined(docs: DataFrame, passages: DataFrame, key: str) -> DataFrame:
     parts = F.split("passage", " ")
     three = lambda t, i: F.xxhash64(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2))
     long = passages.withColumn("__n", F.size(parts)).filter("__n >= 5").select("query_id", "passage", three(parts, F.lit(1)).alias("__h"))

@@ -124,3 +124,20 @@ def test_cells_are_dealt_once(spark):
     assert plan(rows).count("Exchange hashpartitioning") == 1
     got = {r.doc: r.markdown for r in rows.collect()}
     assert got == {"a": "| x |  | y\\|z |\n| --- | --- | --- |\n|  |  |  |\n|  |  |  |\n|  | w |  |", "b": "| one |\n| --- |\n| p q | r |"}
+
+
+def test_passages_go_along_with_texts(spark):
+    """Texts are read once and not shuffled to be compared with passages; the same rows as by joins, repeated and struct keys included."""
+    long, gap = "one two three four five", "one  two three four"
+    texts = [(1, f"x{long}y"), (2, "one two three four"), (3, None), (4, ""), (5, f"{gap} {long}"), (5, f"a {long} b {long}"), (5, "two three four"), (6, "b" * (C.SLICE + 1) + f" {long} \u00e4 \u00e4\u00e4 c d e"), (7, "%_ five")]
+    docs = spark.createDataFrame(texts, "key long, text string").repartition(3)
+    asked = [(1, long), (2, long), (2, "two three"), (3, gap), (4, ""), (5, None), (6, "\u00e4 \u00e4\u00e4 c d e"), (7, "_ f"), (8, "no two three four no"), (9, "e two three four f"), (1, "five")]
+    passages = spark.createDataFrame(asked, "query_id int, passage string")
+    found = R.containing(docs, passages)
+    assert "Exchange hashpartitioning" not in plan(found) and plan(found).count("MapInArrow") == 1 and "Generate" not in plan(found)
+    rows = lambda df: sorted((r.query_id, str(r.key)) for r in df.collect())
+    want = sorted((q, str(k)) for k, t in texts for q, p in asked if t is not None and p is not None and p in t)
+    assert rows(found) == want == rows(R._containing_joined(docs, passages, "key"))
+    struct = docs.select(F.struct(F.col("key").alias("a"), F.lit("b").alias("b")).alias("key"), "text")
+    assert len(rows(R.containing(struct, passages))) == len(want) and R.containing(docs, passages.limit(0)).count() == 0
+    assert rows(R.containing(docs, passages.filter("query_id = 4"))) == sorted((4, str(k)) for k, t in texts if t is not None)
