@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -24,6 +24,7 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LARGE = ("measured", "sets", "mixing", "long", "stitched", "scores", "free", "handed", "taught")  # tables that grow with the texts
+FEW_EDGES = 1000
 BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
 
 
@@ -172,25 +173,57 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def least_reached(pairs: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """Each node of these edges to the least node that it reaches."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (above := up.setdefault(x, x)) != x:
+            up[x] = up[above]
+            x = above
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in up}
+
+
+def closed(edges: DataFrame) -> DataFrame:
+    """(node, up) of a few edges (a, b): all of them in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = least_reached((a, b) for batch in batches for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["node", "up"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, up long")
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """Connected components of an undirected graph given as (a, b) longs; returns (node, component).
 
     Each round maps every node to the least of itself and its neighbours and contracts the graph, so node
     ids should be in no order along paths (hashes are); then the rounds grow as the logarithm of the longest
     path.  The component is its least node.  Each round is written, so plans stay short and an empty
-    partition costs no task in the next.  Nodes and edges stay in Spark throughout.
+    partition costs no task in the next.  Nodes and edges stay in Spark throughout.  Every round has the same jobs,
+    broadcasts and tasks for the driver to keep, however few edges are left, so at most ``few`` edges (16 KB, at any
+    input size) are closed in one round: a task follows their paths to the end.
     """
     edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     label = None
-    while not edges.isEmpty():
+    while left_over := edges.count():
+        last = left_over <= few
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("up")), "parents")
+        nearest = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("up"))
+        parent = written(closed(edges) if last else nearest, "parents")
         if label is None:
             label = parent.select("node", F.col("up").alias("component"))
         else:
             label = label.join(parent.select(F.col("node").alias("component"), "up"), "component", "left").select(
                 "node", F.coalesce("up", "component").alias("component")
             )
+        if last:
+            break
         left = parent.select(F.col("node").alias("a"), F.col("up").alias("ua"))
         right = parent.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         edges = edges.join(left, "a").join(right, "b").filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()

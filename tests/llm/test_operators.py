@@ -171,6 +171,22 @@ def test_components(spark):
     assert {(r.node, r.component) for r in common.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
 
 
+def test_components_close_few_edges_in_one_round(spark, monkeypatch):
+    """However long the last paths are, the driver keeps the jobs of one round for them."""
+    rng, written, rounds = np.random.default_rng(5), common.written, []
+    monkeypatch.setattr(common, "written", lambda df, label: rounds.append(label) or written(df, label))
+    nodes = rng.permutation(200).tolist()
+    pairs = [*zip(nodes[:120], nodes[1:120], strict=False), *zip(nodes[120:], nodes[121:], strict=False)]
+    want = {n: min(part) for part in (nodes[:120], nodes[120:]) for n in part}
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    seen = {}
+    for few in (0, 40, common.FEW_EDGES):
+        rounds.clear()
+        assert {r.node: r.component for r in common.components(edges, few).collect()} == want
+        seen[few] = rounds.count("parents")
+    assert seen[0] > seen[40] > seen[common.FEW_EDGES] == 1
+
+
 def test_fingerprints(docs):
     rows = sorted((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
     by = {r.doc_id: r for r in weighted_sampling.fingerprints(docs).collect()}
