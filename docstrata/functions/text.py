@@ -145,7 +145,7 @@ def search_text(path: Column, description: Column, body: Column, context: Column
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(" \t\n\v\f\r"))
 
 
 def one_line(text: Column, limit: int = 200) -> Column:
@@ -173,7 +173,8 @@ HEADING = r"(?m)^#+\s+(.+)$"
 def title_description(mime: Column, text: Column) -> Column:
     """The first H1 of the first 40 lines that are not blank, 5 to 200 characters long, and the start of the text
     without it; null for other types and without such a heading."""
-    lines = F.slice(F.filter(F.transform(F.split(text, r"\r?\n"), trimmed), lambda x: x != ""), 1, 40)
+    marked = F.when(F.contains(text, F.lit("#")), text)  # most texts have no heading, and no line of them is looked at
+    lines = F.slice(F.filter(F.transform(F.split(marked, r"\r?\n"), trimmed), lambda x: x != ""), 1, 40)
     heading = F.get(F.filter(lines, lambda x: x.rlike(r"^#\s+.")), F.lit(0))
     title = trimmed(F.regexp_extract(heading, TITLE, 1))
     body = one_line(F.regexp_replace(text, r"(?m)\A((?s:.*?))^#\s+.+$", "$1"))
@@ -185,7 +186,7 @@ def fallback_description(path: Column, mime: Column, text: Column) -> Column:
     """Heading and start of a text, or whichever it has; type and length of anything else."""
     bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  read once, used often
     or_null = lambda value: bound(value, lambda x: F.when(x != "", x))
-    shown = bound(trimmed(F.coalesce(text, F.lit(""))), lambda body: or_null(F.concat_ws(" — ", or_null(trimmed(F.regexp_extract(body, HEADING, 1))), or_null(one_line(body)))))
+    shown = bound(trimmed(F.coalesce(text, F.lit(""))), lambda body: or_null(F.concat_ws(" — ", or_null(F.when(F.contains(body, F.lit("#")), trimmed(F.regexp_extract(body, HEADING, 1)))), or_null(one_line(body)))))
     other = F.concat(mime, F.lit(" · "), F.char_length(F.coalesce(text, F.lit(""))).cast("string"), F.lit(" chars"))
     return F.when(_textual(mime, "application/json", "application/yaml"), F.coalesce(shown, F.concat(path, F.lit(" ("), mime, F.lit(")")))).otherwise(other)
 

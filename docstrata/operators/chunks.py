@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 SHORT = 200
 BREAKS = ((r"\n\n+", "\n\n"), (r"\n", "\n"))
+MARKED = re.compile(r"(?m)^ {0,3}#")  # what any line that is a heading begins with
 
 
 @dataclass(frozen=True)
@@ -133,7 +134,7 @@ def chunk(text: str, cfg: Config) -> list[tuple[str, str]]:
     """(content, context) of each chunk."""
     if len(text) < SHORT:
         return [(text, "")]
-    if cfg.by_heading and any(heading for _, _, heading in lines_of(text)):
+    if cfg.by_heading and MARKED.search(text) and any(heading for _, _, heading in lines_of(text)):
         found = list(_packed(text, cfg))
     else:
         sized = [q for p in split_text(text, cfg.target) for q in split_text(p, cfg.longest)]

@@ -126,7 +126,7 @@ def _publish(base: Snapshot, key: str, rows: DataFrame, told: DataFrame, version
     adds = {"files": [base.write("files", files)]}
     adds["chunks"] = [base.write("chunks", chunk_rows(base.part("files", adds["files"][0]).filter("not tombstone"), settings))]
     adds["blobs"] = [base.write("blobs", blob_rows(rows, ok, base.read("blobs"), settings))]
-    adds |= index.deltas(base, base.part("chunks", adds["chunks"][0]), base.only("chunks", left, KEY))
+    adds |= index.deltas(base, base.part("chunks", adds["chunks"][0]), left)
     made_version = F.when(F.col("status") == "ok", version).otherwise(F.col("current"))
     outcomes = told.select(F.lit(key).alias("key"), PATH, made_version.alias("version_id"), "status", "change", "error", "mime_type", "size_bytes", "source_sha256", "duplicates")
     adds["outcomes"] = [base.write("outcomes", outcomes)]
@@ -271,13 +271,17 @@ def reindex(spark: SparkSession, where: str, key: str | int, revision: str, sett
 
 
 def compact(spark: SparkSession, where: str, key: str | int) -> Snapshot:
-    """Each table in one part, the search index without what has been taken from it, and the last refresh of each version."""
+    """Each table in one part, the search index without what has been taken from it, and the last refresh of each version.  A
+    table that is in one part, from which nothing has been taken, stays as it is."""
     base, key = snapshot(spark, where), str(key)
     if key in base.keys:
         return base
+    many = {t for t, parts in base.parts.items() if len(parts) > 1}
+    if base.parts.get("postings") and not base.read("postings").filter("sign < 0").isEmpty():
+        many.add("postings")
     last = base.read("refreshes").groupBy(*KEY).agg(F.max(F.struct("refreshed_at", "status")).alias("x")).select(*KEY, "x.*")
     rows = {t: base.read(t) for t in ("files", "chunks", "blobs", "outcomes", "vocabulary")} | {"refreshes": last} | index.merged(base)
-    return commit(base, key, *together(*[whole(base, t, r) for t, r in rows.items() if base.parts.get(t)]))
+    return commit(base, key, *together(*[whole(base, t, r) for t, r in rows.items() if t in many]))
 
 
 def move(spark: SparkSession, where: str, key: str | int, renames: DataFrame, version: Column) -> Snapshot:
@@ -288,7 +292,7 @@ def move(spark: SparkSession, where: str, key: str | int, renames: DataFrame, ve
     now = S.current(base.read("files"))
     files, chunks = base.write("files", S.move(now, renames, version)), base.write("chunks", S.moved_chunks(base.read("chunks"), now, renames, version))
     left = now.join(renames.select(F.col("old_path").alias(PATH)), PATH, "left_semi").select(*KEY)
-    return commit(base, key, {"files": [files], "chunks": [chunks]} | index.deltas(base, base.part("chunks", chunks), base.only("chunks", left, KEY)))
+    return commit(base, key, {"files": [files], "chunks": [chunks]} | index.deltas(base, base.part("chunks", chunks), left))
 
 
 def remove(spark: SparkSession, where: str, key: str | int, targets: DataFrame, version: Column, note: str = "removed") -> Snapshot:
@@ -298,7 +302,7 @@ def remove(spark: SparkSession, where: str, key: str | int, targets: DataFrame,
         return base
     left = S.current(base.read("files").select(*KEY, "tombstone")).join(targets.select(PATH), PATH, "left_semi")
     files = base.write("files", _as_files(base, S.tombstones(left, version, note)))
-    return commit(base, key, {"files": [files]} | index.deltas(base, None, base.only("chunks", left, KEY)))
+    return commit(base, key, {"files": [files]} | index.deltas(base, None, left))
 
 
 def _as_files(base: Snapshot, rows: DataFrame) -> DataFrame:

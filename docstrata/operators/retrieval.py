@@ -61,22 +61,55 @@ def _postings(names: list[str]):
     """Batches of (keys..., text), lower-cased, to (keys..., len, term, tf)."""
 
     def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat, row, filled, size = _words(batch, len(names))
-        found = flat.filter(pa.array(filled)).dictionary_encode()
-        n = max(1, len(found.dictionary))
-        pair, tf = np.unique(row[filled] * n + found.indices.to_numpy(), return_counts=True)
-        at = pa.array(pair // n)
-        return pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(names)]), pa.array(size[pair // n].astype(np.int32)), found.dictionary.take(pa.array(pair % n)), pa.array(tf)], [*names, "len", "term", "tf"])
+        words, row, tf, _, size = _counted_words(batch, len(names))
+        at = pa.array(row)
+        return pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(names)]), pa.array(size[row].astype(np.int32)), words, pa.array(tf)], [*names, "len", "term", "tf"])
 
     return _by_slices(counts, len(names))
 
 
-def _words(batch: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """The parts between a text's separators, the row of each, whether it is a word, and how many words a row has."""
-    parts = pc.split_pattern_regex(pc.fill_null(batch.column(column), ""), "[^a-z]+")
-    flat, row = parts.flatten(), np.repeat(np.arange(batch.num_rows), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
-    filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    return flat, row, filled, np.bincount(row[filled], minlength=batch.num_rows)
+def term_lists(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(keep..., len, terms, tfs): the same as ``term_counts``, a row a text, which may have no word; terms are one string."""
+    rows = rows.select(*keep, F.lower(text).alias("text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+
+    def lists(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, _, tf, first, size = _counted_words(batch, len(keep))
+        terms, tfs = (pa.ListArray.from_arrays(pa.array(first), x) for x in (words, pa.array(tf.astype(np.int32))))
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(size.astype(np.int32)), pc.binary_join(terms, " "), tfs], [*keep, "len", "terms", "tfs"])
+
+    return rows.mapInArrow(_by_slices(lists, len(keep)), f"{kept}, len int, terms string, tfs array<int>")
+
+
+def _words(batch: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of lower-cased texts, the row of each, and how many a row has.  Words are runs of the bytes a to z, as no
+    other character has such a byte."""
+    text = pc.fill_null(batch.column(column).cast(pa.string()), "")
+    _, ends, data = text.buffers()
+    ends = np.frombuffer(ends, np.int32)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    letter = (data >= ord("a")) & (data <= ord("z"))
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    begin = ends[:-1][ends[:-1] < len(data)]
+    first[begin] = letter[begin]  # a text does not go on with the word of the one before it
+    starts = np.flatnonzero(first)
+    size = np.diff(np.searchsorted(starts, ends))
+    letters = np.cumsum(letter, dtype=np.int32)  # up to each byte, itself included
+    offsets = np.append(letters[starts] - 1, letters[-1:] if len(starts) else 0).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[letter]))
+    return words, np.repeat(np.arange(len(text)), size), size
+
+
+def _counted_words(batch: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each different word of a text (its word, row and count), sorted by row; a row's first, and the rows' sizes."""
+    words, row, size = _words(batch, column)
+    found = words.dictionary_encode()
+    n = max(1, len(found.dictionary))
+    pair, tf = np.unique(row * n + found.indices.to_numpy(), return_counts=True)
+    first = np.searchsorted(pair, np.arange(len(size) + 1) * n).astype(np.int32)
+    return found.dictionary.take(pa.array(pair % n)), pair // n, tf, first, size
 
 
 def _by_slices(counts: Callable[[pa.RecordBatch], pa.RecordBatch], column: int):
@@ -155,7 +188,7 @@ def _word_counts(words: list[str], names: list[str]):
 
     def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         text = batch.column(len(names))
-        flat, row, _, size = _words(batch, len(names))
+        flat, row, size = _words(batch, len(names))
         place = pc.fill_null(pc.index_in(flat, value_set=pa.array(words, flat.type)), -1).to_numpy(zero_copy_only=False)
         pair, tf = np.unique(row[place >= 0] * len(words) + place[place >= 0], return_counts=True)
         ends = pa.array(np.searchsorted(pair, np.arange(batch.num_rows + 1) * len(words)).astype(np.int32))
@@ -376,17 +409,18 @@ def top_k(scores: DataFrame, k: int, key: str = "key") -> DataFrame:
 
 
 def hash_vector(text: Column, dim: int = 64) -> Column:
-    """The default vectoriser: words hashed to buckets, counted and L2-normalised.  Buckets are sorted, so that each is counted
-    where it begins and ends; what is used more than once is bound to a lambda's variable."""
-    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
-    buckets = F.sort_array(F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim))))
-    starts = lambda b: F.when(F.size(b) > 0, F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: (i == 0) | (F.get(b, i) != F.get(b, i - 1)))).otherwise(F.array().cast("array<int>"))
-    runs = lambda b: bound(starts(b), lambda p: F.transform(p, lambda at, j: F.struct(F.get(b, at), F.coalesce(F.get(p, j + 1), F.size(b)) - at)))
-    count = lambda n: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(n, i.cast("long")), F.lit(0)).cast("double"))
-    scaled = lambda counts, norm: F.transform(counts, lambda v: F.when(norm > 0, v / norm).otherwise(0.0).cast("float"))
-    length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    number = bound(buckets, lambda b: F.map_from_entries(runs(b)))
-    return bound(bound(number, count), lambda counts: bound(length(counts), lambda norm: scaled(counts, norm)))
+    """The default vectoriser: words hashed to buckets, counted and L2-normalised."""
+
+    @F.arrow_udf("array<float>")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for buckets in batches:
+            flat, size = buckets.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False)
+            counts = np.bincount(np.repeat(np.arange(len(size)), size) * dim + flat, minlength=len(size) * dim).reshape(-1, dim)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            unit = (counts / np.where(norm > 0, norm, 1)).astype(np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * dim), pa.array(unit.ravel()))
+
+    return counted(F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")))
 
 
 def fuse(sem: DataFrame, kw: DataFrame, weight: float = 0.5, k: int = 60, depth: int = 50, key: str = "key") -> DataFrame:

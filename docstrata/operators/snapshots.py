@@ -29,7 +29,7 @@ SCHEMAS = {
     "blobs": "sha256 string, mime_type string, size_bytes long, bytes binary",
     "refreshes": "logical_path string, version_id timestamp_ntz, refreshed_at timestamp_ntz, status string",
     "outcomes": "key string, logical_path string, version_id timestamp_ntz, status string, change string, error string, mime_type string, size_bytes long, source_sha256 string, duplicates long",
-    "postings": "logical_path string, version_id timestamp_ntz, chunk_index int, len int, term string, tf long, sign int",
+    "postings": "logical_path string, version_id timestamp_ntz, chunk_index int, len int, terms string, tfs array<int>, sign int",
     "corpus": "n long, total_len long",
     "vocabulary": "term string, stem string",
 }

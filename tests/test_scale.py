@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
+import pytest
 
 from docstrata.llm import weighted_sampling
 from docstrata.operators import chunks as C
@@ -141,3 +144,34 @@ def test_passages_go_along_with_texts(spark):
     struct = docs.select(F.struct(F.col("key").alias("a"), F.lit("b").alias("b")).alias("key"), "text")
     assert len(rows(R.containing(struct, passages))) == len(want) and R.containing(docs, passages.limit(0)).count() == 0
     assert rows(R.containing(docs, passages.filter("query_id = 4"))) == sorted((4, str(k)) for k, t in texts if t is not None)
+
+
+def test_upkeep_writes_what_changes(spark, tmp_path):
+    """The index has a row a chunk, what is taken out is told without its words, and compaction leaves tables that are compact."""
+    where, at = str(tmp_path / "store"), lambda n: F.lit(f"2024-01-0{n}").cast("timestamp_ntz")
+    for n, text in enumerate(("oak elm oak", "ash " * 90, "12 !"), 1):
+        rows = spark.createDataFrame([(f"{p}.md", "text/markdown", bytearray(f"{text}{p * (p == 'a')}".encode()), p, "local", n) for p in "abc"], "logical_path string, mime_type string, bytes binary, source_path string, source_type string, source_mtime_ms long")
+        now = ingest.ingest_batch(spark, where, n, rows, at(n))
+    signs = sorted((r.sign, r.version_id.day, r.terms is None) for r in now.read("postings").collect())
+    assert signs == [(-1, n, True) for n in (1, 1, 1, 2, 2, 2)] + [(1, n, False) for n in (1, 1, 1, 2, 2, 2, 3, 3, 3)]
+    want = lambda s: sorted((r.logical_path, r.len, r.term, r.tf) for r in index.postings_of(s.read("chunks").filter("version_id = '2024-01-03'"), 1).collect())
+    assert sorted((r.logical_path, r.len, r.term, r.tf) for r in index.net(now.read("postings")).collect()) == want(now)
+    merged = ingest.compact(spark, where, "compact")
+    assert sorted((r.logical_path, r.len, r.term, r.tf) for r in index.net(merged.read("postings")).collect()) == want(now) and merged.read("postings").filter("sign < 0").isEmpty()
+    assert merged.read("corpus").first() == (3, sum(tf for *_, tf in want(now)))
+    assert ingest.compact(spark, where, "again").parts == merged.parts
+    now = ingest.reindex(spark, where, "reindex", "r2", ingest.Settings(chunks=C.Config(target=40, longest=50)))
+    assert ingest.compact(spark, where, "last").parts == {**now.parts, "vocabulary": snapshots.snapshot(spark, where).parts["vocabulary"]}
+    old = now.read("postings").withColumn("terms", F.lit(None).cast("string"))  # as of a store that had a row a word
+    with pytest.raises(Exception, match="reindex the store"):
+        index.net(old).collect()
+
+
+def test_words_of_texts():
+    """Words are read from the bytes of all texts at once, and none goes on in the next text."""
+    texts = ["ab", "c d\u00e9e", None, "", "-f", "g\u65e5h-", "`{z", "i" * 3]
+    for texts_, kind in ((texts, pa.string()), (texts[1:], pa.string()), (texts, pa.large_string()), ([], pa.string()), ([""], pa.string())):
+        column = pa.array(texts, kind).slice(1) if texts_ == texts[1:] else pa.array(texts_, kind)
+        found, row, size = R._words(pa.RecordBatch.from_arrays([column], ["t"]), 0)
+        words = [re.findall("[a-z]+", t or "") for t in texts_]
+        assert found.to_pylist() == sum(words, []) and row.tolist() == [i for i, w in enumerate(words) for _ in w] and size.tolist() == [len(w) for w in words]
