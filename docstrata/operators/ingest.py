@@ -25,7 +25,7 @@ from . import store as S
 from .chunks import Config, chunks_of
 from .convert import converted
 from .retrieval import hash_vector
-from .snapshots import PLACE, SCHEMAS, WRITTEN, Snapshot, chosen, commit, placed, remove_folder, replaced, snapshot, together, whole
+from .snapshots import PLACE, SCHEMAS, WRITTEN, Snapshot, chosen, commit, keyed, placed, remove_folder, replaced, snapshot, together, whole
 
 PATH, KEY = "logical_path", ["logical_path", "version_id"]
 BLOBS = SCHEMAS["blobs"]
@@ -264,7 +264,7 @@ def reindex(spark: SparkSession, where: str, key: str | int, revision: str, sett
         return base
     files = base.read("files")
     chunks = whole(base, "chunks", rechunk(files, settings))
-    now = S.current_chunks(base.part("chunks", chunks[0]["chunks"][0]), files.select(*KEY, "tombstone"))
+    now = keyed(base.part("chunks", chunks[0]["chunks"][0]), S.current(files.select(*KEY, "tombstone")), KEY)
     fresh = index.deltas(base, now, None)
     old = {t: list(base.parts.get(t, ())) for t in ("postings", "corpus")}  # a vocabulary only grows
     return commit(base, key, *together(chunks, (fresh, old)), revision=revision)

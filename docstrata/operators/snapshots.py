@@ -57,6 +57,12 @@ def chosen(rows: DataFrame, places: DataFrame, but: bool = False) -> DataFrame:
     return found.filter(~there if but else there).drop(*PLACE, "__b", "__m")
 
 
+def keyed(rows: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The rows, read from Parquet files that do not change, whose keys are in keys; only the keys are shuffled."""
+    rows = placed(rows)
+    return chosen(rows, rows.select(*on, *PLACE).join(keys.select(*on), list(on), "left_semi"))
+
+
 class Conflict(RuntimeError):
     """Another writer has taken the commit number."""
 
@@ -92,10 +98,8 @@ class Snapshot:
 
     def only(self, table: str, keys: DataFrame, on: Sequence[str]) -> DataFrame:
         """The rows of a table whose keys are in keys; only the keys are shuffled."""
-        if not self.parts.get(table):
-            return self.read(table)
-        rows = placed(self.read(table))
-        return chosen(rows, rows.select(*on, *PLACE).join(keys.select(*on), list(on), "left_semi"))
+        rows = self.read(table)
+        return keyed(rows, keys, on) if self.parts.get(table) else rows
 
     def part(self, table: str, name: str) -> DataFrame:
         """A part that has been written, whether or not a commit names it."""
